@@ -1 +1 @@
-
+"""Column expressions: hashing, schedules, signals, tokens, paths."""

@@ -1,4 +1,11 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from . import decoding, evaluation, identity, preparation, schedules, signals
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (evaluation, identity, preparation, decoding, signals, schedules):
+    QUERIES.update(_part.QUERIES)
+    ORACLES.update(_part.ORACLES)
