@@ -15,6 +15,7 @@ sum of BPE scores would not give it.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +29,7 @@ from .core import slices
 
 MARK = "▁"
 #: Words whose ids a worker remembers.
-MOST_WORDS = 600_000
+MOST_WORDS = 250_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -43,11 +44,11 @@ class Segmenter:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == "byte"}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == "unknown"), 0)
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        #: The longest piece that ends with a character.
-        self.reach: dict[str, int] = {}
-        for p in self.ids:
-            self.reach[p[-1]] = max(len(p), self.reach.get(p[-1], 0))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: All ends of pieces: a walk backwards from a position stops where no piece goes on.
+        self.ends = {p[k:] for p in self.ids for k in range(len(p))}
+        #: (piece before, piece) to whether one may follow the other.
+        self.pairs: dict[tuple[int, str], bool] = {}
+        self.texts = [p for p, _, _ in pieces]
         self.raw = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(MARK, " ").encode() if k == "normal" else b" \xe2\x81\x87 " if k == "unknown" else b"" for p, _, k in pieces]
         self.words: dict[str, bytes] = {}
 
@@ -77,57 +78,84 @@ class Segmenter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 4_000_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(before + piece) == [before, piece] if before else self.merge(piece) == [piece]
+    def _follows(self, before: int, piece: str) -> bool:
+        """Whether merging the joined text of the two gives just them; before -1 is the start of a word or an unknown character."""
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        if before < 0:
+            ok = self.merge(piece) == [piece]
+        else:
+            ok = self.merge(self.texts[before] + piece) == [self.texts[before], piece]
+        self.pairs[before, piece] = ok
         return ok
 
-    def segment(self, words: list[str]) -> Iterator[list[str]]:
-        """The pieces of each word; words sorted.  last[i], score[i]: last piece and score of the prefix of i characters."""
-        last: list[str] = [""]
-        score: list[float] = [0.0]
+    def segment(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of each word; words sorted, so each takes over the states of the prefix shared with the one before.
+
+        state[i] is (id of the last piece of the first i characters, its length, score); id -1 is an unknown character.
+        """
+        state: list[tuple[int, int, float]] = [(-1, 0, 0.0)]
         old = ""
-        ids, scores, reach, follows, unigram, worst = self.ids, self.scores, self.reach, self._follows, self.unigram, self.worst
+        ids, ends, pairs, unigram = self.ids, self.ends, self.pairs, self.unigram
+        step = self._best if unigram else None
         for word in words:
             if not unigram and word.startswith(MARK + MARK):
-                yield self.merge(word)  # runs of marks have pieces of equal score: by the definition
+                yield self.ids_of(self.merge(word))  # runs of marks have pieces of equal score: by the definition
                 continue
-            n = min(len(word), len(old))
-            same = next((i for i in range(n) if word[i] != old[i]), n)
-            del last[same + 1 :], score[same + 1 :]
+            same = 0
+            for x, y in zip(word, old, strict=False):
+                if x != y:
+                    break
+                same += 1
+            del state[same + 1 :]
             for i in range(same + 1, len(word) + 1):
-                far = min(i, reach.get(word[i - 1], 0))
-                piece, best = word[i - 1], None
-                if unigram:
-                    for k in range(far, 0, -1):
-                        p = word[i - k : i]
-                        if p in ids and (best is None or score[i - k] + scores[p] > best):
-                            piece, best = p, score[i - k] + scores[p]
-                    if piece not in ids:
-                        best = score[i - 1] + worst
-                    elif best is None:
-                        best = score[i - 1] + worst
-                else:
-                    for k in range(far, 0, -1):
-                        p = word[i - k : i]
-                        if p in ids:
-                            before = last[i - k]
-                            if follows(before if before in ids else "", p):
-                                piece = p
-                                break
-                    best = 0.0
-                last.append(piece)
-                score.append(best)
+                if step:
+                    state.append(step(word, i, state))
+                    continue
+                new, k = (-1, 1, 0.0), 1
+                while k <= i and (p := word[i - k : i]) in ends:
+                    if p in ids:
+                        key = (state[i - k][0], p)
+                        ok = pairs.get(key)
+                        if ok or ok is None and self._follows(*key):
+                            new = (ids[p], k, 0.0)
+                            break
+                    k += 1
+                state.append(new)
             old = word
-            out, i = [], len(word)
+            out, i, known = [], len(word), True
             while i:
-                out.append(last[i])
-                i -= len(last[i])
-            yield out[::-1]
+                t, k, _ = state[i]
+                if t < 0:
+                    known = False
+                    break
+                out.append(t)
+                i -= k
+            yield out[::-1] if known else self.ids_of(self._parts(word, state))
+
+    def _best(self, word: str, i: int, state: list) -> tuple[int, int, float]:
+        """The unigram step: the best last piece of the first i characters."""
+        new, k = None, 1
+        while k <= i and (p := word[i - k : i]) in self.ends:
+            if p in self.ids:
+                s = state[i - k][2] + self.scores[p]
+                if new is None or s > new[2]:
+                    new = (self.ids[p], k, s)
+            k += 1
+        if word[i - 1] not in self.ids:
+            s = state[i - 1][2] + self.worst
+            if new is None or s > new[2]:
+                new = (-1, 1, s)
+        return new or (-1, 1, state[i - 1][2] + self.worst)
+
+    @staticmethod
+    def _parts(word: str, state: list) -> list[str]:
+        out, i = [], len(word)
+        while i:
+            k = state[i][1]
+            out.append(word[i - k : i])
+            i -= k
+        return out[::-1]
 
     def ids_of(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -143,11 +171,12 @@ class Segmenter:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own encoder gives them."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
         split = [cut(((" " if self.dummy_prefix else "") + t).replace(" ", MARK)) if t else [] for t in texts]
-        fresh = sorted(set(chain.from_iterable(split)).difference(self.words))
-        self.words.update(zip(fresh, (np.array(self.ids_of(p), dtype="<i4").tobytes() for p in self.segment(fresh)), strict=True))
+        need = set(chain.from_iterable(split))
+        if len(self.words) + len(need) > MOST_WORDS:  # go on with the words that are in use
+            self.words = {w: self.words[w] for w in need.intersection(self.words)}
+        fresh = sorted(need.difference(self.words))
+        self.words.update(zip(fresh, (array("i", ids).tobytes() for ids in self.segment(fresh)), strict=True))
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, s)), dtype="<i4") for s in split]
 
@@ -188,7 +217,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = segmenter(model_path)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids = model.encode(texts)
                 n = np.array([len(x) for x in ids], dtype=np.int32)

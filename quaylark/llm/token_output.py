@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -32,7 +33,7 @@ from .core import binary, materialise, shared_dir, slices
 MAGIC = b"QLTOK1\0\0"
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 65_536
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 GAMMA = 2.0
 
 
@@ -145,42 +146,71 @@ class TokenShard:
             return np.frombuffer(f.read_at(int(slot["length"]) * self.width, int(slot["offset"]) * self.width), f"<u{self.width}")
 
 
+#: Texts whose pieces the pattern below finds: printable ASCII, line ends, tabs and Latin letters.  Other words go through the whole library.
+LATIN = re.compile("[ -~\\n\\r\\tÀ-ÖØ-öø-ɏ]*")
+#: Fixed value: the pre-tokeniser's pattern, for these characters.
+PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\\s+(?!\\S)|\\s+")
+
+
 class ByteBpe:
     """A byte-level BPE of the tokenizers library with a bounded memory of words.
 
     Its pre-tokeniser always begins a new piece at a space before a non-space, and merges never cross pieces, so
-    a text without runs of white space is the words between its spaces, each encoded once.  All other texts, and
-    those with special tokens, go whole to the library.
+    a text without runs of white space is the words between its spaces, each encoded once: piece by piece with the
+    library's BPE model where their characters are of a stated set.  All else goes through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.width = 2 if self.model.get_vocab_size() <= 65_536 else 4
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.width = 2 if self.whole.get_vocab_size() <= 65_536 else 4
+        #: Latin-1 characters, standing for bytes, to the letters that stand for them in the vocabulary.
+        letters, taken = ByteLevel.alphabet(), 0
+        self.letters = {}
+        for byte in range(256):
+            if chr(byte) in letters:
+                self.letters[byte] = chr(byte)
+            else:
+                self.letters[byte] = chr(256 + taken)
+                taken += 1
+        self.tokenize = self.whole.model.tokenize
+        #: Ids of words after a space, and of pieces.
         self.words: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _pack(self, encoding) -> bytes:
-        return np.array(encoding.ids, dtype=f"<u{self.width}").tobytes()
-
-    def _all(self, words: list[str]) -> list[bytes]:
-        return [self._pack(e) for e in self.model.encode_batch(words, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def _all(self, text: str) -> bytes:
+        return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+
+    def _pieces(self, text: str) -> bytes:
+        """A text by its pieces: each goes once to the library's model."""
+        if not LATIN.fullmatch(text):
+            return self._all(text)
+        out = []
+        for p in PIECE.findall(text):
+            got = self.pieces.get(p)
+            if got is None:
+                mapped = p.encode().decode("latin-1").translate(self.letters)
+                got = self.pieces[p] = self._pack([t.id for t in self.tokenize(mapped)])
+            out.append(got)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.heads.clear()
         split = [t.split(" ") if plain(t, self.special) else None for t in texts]
-        fresh = sorted(set().union(*(s[1:] for s in split if s)).difference(self.words))
-        self.words.update(zip(fresh, self._all([" " + w for w in fresh]), strict=True))
-        fresh = sorted({s[0] for s in split if s}.difference(self.heads))
-        self.heads.update(zip(fresh, self._all(fresh), strict=True))
+        need = set().union(*(s[1:] for s in split if s))
+        if len(self.words) + len(need) > CACHE_WORDS:  # go on with the words that are in use
+            self.words = {w: self.words[w] for w in need.intersection(self.words)}
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {}
+        for w in need.difference(self.words):
+            self.words[w] = self._pieces(" " + w)
         get = self.words.__getitem__
-        return [
-            self.heads[s[0]] + b"".join(map(get, s[1:])) if s else self._all([t])[0] for t, s in zip(texts, split, strict=True)
-        ]
+        return [self._pieces(s[0]) + b"".join(map(get, s[1:])) if s else self._all(t) for t, s in zip(texts, split, strict=True)]
 
 
 AFTER_SPACE = re.compile(r" (?:\s|\Z)")
@@ -224,7 +254,7 @@ def write_tokens(
         bpe, edges = byte_bpe(tokenizer_path), np.array(cuts, dtype=np.int64)
         tail = np.array([end_id], dtype=f"<u{bpe.width}").tobytes()
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 ids = batch.column(0)
                 shard = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(), side="left").astype(np.int32)
                 packed = [x + tail for x in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]

@@ -240,7 +240,8 @@ def test_unigram_viterbi():
         return max(vocab[w[:k]] + best(w[k:]) for k in range(1, min(5, len(w)) + 1) if w[:k] in vocab)
 
     words = sorted({"▁" + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(80)})
-    for w, parts in zip(words, own.segment(words), strict=True):
+    for w, ids in zip(words, own.segment(words), strict=True):
+        parts = [own.texts[i] for i in ids]
         assert "".join(parts) == w and abs(sum(vocab[p] for p in parts) - best(w)) < 1e-9
 
 
