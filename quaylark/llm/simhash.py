@@ -75,13 +75,15 @@ def spread(h: np.ndarray, stream: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, streams: int = 1) -> DataFrame:
-    """(id long, fp binary) per row: streams 64-bit words, little-endian.  Null is empty: all bits 0."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, streams: int = 1, distinct: bool = False) -> DataFrame:
+    """(id long, fp binary) per row: streams 64-bit words, little-endian; of distinct shingles only if asked for.  Null is empty: all bits 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 hashes = [shingle_hashes(t, shingle, SEED) for t in binary(batch, "text")]
+                if distinct:
+                    hashes = [np.unique(h) for h in hashes]
                 counts = np.array([len(h) for h in hashes], dtype=np.int64)
                 flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
                 words = np.column_stack([majority(spread(flat, s), counts) for s in range(streams)]).astype("<u8")
@@ -166,13 +168,13 @@ def _code(words: np.ndarray, first: int, width: int) -> np.ndarray:
     return out if width == 64 else out & np.uint64((1 << width) - 1)
 
 
-def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], budget: int, most_bits: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of prints (node long, fp binary).
+def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], budget: int, most_bits: int | None = None, sure_bits: int = -1) -> DataFrame:
+    """Links (a, b, sure) between distinct fingerprints of prints (node long, fp binary).
 
     Each trie (first bit, width) is walked with the Hamming budget, cut into budget + 1 pigeonhole parts.  Where
-    most_bits is given, it bounds the differing bits of the whole fingerprints too.  Within a task only the links
-    of a spanning forest are passed on when the walk itself decides (most_bits None); else, of a leaf, the
-    links to the leaf's first row and, between leaves, of each row to the other leaf's first.
+    most_bits is given, it bounds the differing bits of the whole fingerprints too, and links of more than sure_bits
+    are not sure.  A task passes on a spanning forest, of sure links first (all are, without most_bits), then by
+    differing bits.  Of rows with equal codes each meets the first of its leaf, and the first of other leaves.
     """
     spark = prints.sparkSession
     n_tasks = partitions(spark)
@@ -190,9 +192,9 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
                     key = (np.int64(t * (budget + 1) + k) << np.int64(32)) | value
                     yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), raw], names=["key", "node", "fp"])
 
-    def walk(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def walk(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kind = key >> 32
-        found = ([], [])
+        found = ([], [], [])
         sets = UnionFind()
         for q in np.unique(kind).tolist():
             at = np.flatnonzero(kind == q)
@@ -209,20 +211,21 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
                 left, right = leaf_links(a0, a1, b0, b1)
                 left, right = at[left], at[right]
                 if most_bits is not None:
-                    bits = np.bitwise_count(words[left] ^ words[right]).sum(1)
-                    ok = bits <= most_bits
-                    left, right = left[ok], right[ok]
-                    found[0].append(node[left])
-                    found[1].append(node[right])
-                else:
-                    for x, y in zip(node[left].tolist(), node[right].tolist(), strict=True):
-                        sets.join(x, y)
-        if most_bits is None:
-            a, b = sets.links()
-            return np.array(a, np.int64), np.array(b, np.int64)
-        a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-        pairs = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+                    bits = np.bitwise_count(words[left] ^ words[right]).sum(1, dtype=np.int64)
+                    doubt = (bits > sure_bits) & (bits <= most_bits)
+                    found[0].append(node[left[doubt]])
+                    found[1].append(node[right[doubt]])
+                    found[2].append(bits[doubt])
+                    left, right = left[bits <= sure_bits], right[bits <= sure_bits]
+                for x, y in zip(node[left].tolist(), node[right].tolist(), strict=True):
+                    sets.join(x, y)
+        a, b = sets.links()
+        sure = [np.array(a, np.int64), np.array(b, np.int64)]
+        x, y, bits = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+        # The links in doubt that a spanning forest needs, those of fewest differing bits first: linear in the rows.
+        order = np.lexsort((np.minimum(x, y), np.maximum(x, y), bits))
+        pairs = np.array([(p, q) for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True) if sets.join(p, q)], dtype=np.int64).reshape(-1, 2)
+        return np.concatenate([sure[0], pairs[:, 0]]), np.concatenate([sure[1], pairs[:, 1]]), np.arange(len(a) + len(pairs)) < len(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key: whole buckets are walked as they fill up."""
@@ -234,10 +237,10 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
                 return
             key, node, w = np.concatenate(keys), np.concatenate(nodes), np.concatenate(words)
             stop = len(key) if last else int(np.searchsorted(key, key[-1]))
-            a, b = walk(key[:stop], node[:stop], w[:stop])
+            a, b, sure = walk(key[:stop], node[:stop], w[:stop])
             keys, nodes, words, rows = [key[stop:]], [node[stop:]], [w[stop:]], len(key) - stop
             for lo in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (a, b, sure)], names=["a", "b", "sure"])
 
         limit = 400_000
         for b in batches:
@@ -252,7 +255,7 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
         yield from flush(True)
 
     dealt = prints.select("node", "fp").mapInArrow(deal, "key long, node long, fp binary")
-    return dealt.repartition(n_tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return dealt.repartition(n_tasks, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def leaf_links(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
