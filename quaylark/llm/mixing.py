@@ -53,7 +53,7 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
     stay 0.  Each sweep is written to the shared folder.
     """
     cells = materialise(cells.withColumn("raked", F.col(weight).cast("double")), "cells")
-    total = cells.agg(F.sum("raked").alias("total"))
+    total = cells.agg(F.sum("raked")).first()[0] or 0.0
     wanted = []
     for m in margins:
         seen = cells.groupBy(m).agg(F.sum("raked").alias("w")).where("w > 0")
@@ -62,8 +62,9 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
             seen = seen.select(m, F.coalesce(F.try_element_at(pairs, F.col(m)), F.lit(0.0)).cast("double").alias("w"))
         else:
             seen = seen.select(m, F.pow("w", F.lit(temperature)).alias("w"))
-        norm = seen.agg(F.sum("w").alias("norm")).crossJoin(total)  # one row by one row
-        wanted.append(materialise(seen.crossJoin(F.broadcast(norm)).select(m, (F.col("w") / F.col("norm") * F.col("total")).alias("want")), "targets"))
+        seen = materialise(seen, "targets")
+        norm = seen.agg(F.sum("w")).first()[0] or 1.0
+        wanted.append(seen.select(m, (F.col("w") / F.lit(float(norm)) * F.lit(float(total))).alias("want")))
     for _ in range(sweeps):
         for m, want in zip(margins, wanted, strict=True):
             have = cells.groupBy(m).agg(F.sum("raked").alias("have")).join(want, m).select(m, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("factor"))
@@ -92,8 +93,8 @@ def mix_weights(
     cells = rows.groupBy(*margins).agg(F.sum("n_tokens").alias("n"))
     raked = rake(cells, margins, "n", targets, sweeps, temperature)
     weights = raked.select(*margins, F.when(F.col("n") > 0, F.col("raked") / F.col("n")).alias("weight"))
-    top = weights.agg(F.max("weight").alias("top"))
-    weights = weights.crossJoin(F.broadcast(top)).select(*margins, "weight", F.coalesce(F.col("weight") / F.col("top"), F.lit(1.0)).alias("probability"))
+    top = weights.agg(F.max("weight")).first()[0]
+    weights = weights.select(*margins, "weight", F.coalesce(F.col("weight") / F.lit(top).cast("double"), F.lit(1.0)).alias("probability"))
     return rows.join(weights, margins).select(
         F.col("id").alias(id_col), *margins, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "probability",
         (uniform(F.col("id"), seed) < F.col("probability")).alias("kept"),
