@@ -25,37 +25,46 @@ def peak(x: Column) -> Column:
     return F.array_max(F.transform(x, F.abs))
 
 
-def mix_scale(signal: Column, noise: Column, snr_db: Column) -> Column:
-    return rms(signal) / (F.greatest(rms(noise), F.lit(EPSILON)) * F.pow(F.lit(10.0), snr_db / 20.0))
-
-
-def mix_valid(signal: Column, noise: Column) -> Column:
-    return (rms(signal) > EPSILON) & (rms(noise) > EPSILON)
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: expressions inside lambdas are otherwise computed at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def mix(signal: Column, noise: Column, snr_db: Column) -> Column:
     """signal + noise at the SNR, limited to a peak of 0.999; silent input gives the signal back."""
-    added = F.zip_with(signal, F.transform(noise, lambda v: v * mix_scale(signal, noise, snr_db)), lambda s, n: s + n)
-    limited = F.transform(added, lambda v: v * F.least(F.lit(1.0), F.lit(PEAK) / F.greatest(peak(added), F.lit(EPSILON))))
-    return F.when(mix_valid(signal, noise), limited).otherwise(signal)
+
+    def limited(y: Column) -> Column:
+        return let(F.least(F.lit(1.0), F.lit(PEAK) / F.greatest(peak(y), F.lit(EPSILON))), lambda k: F.transform(y, lambda v: v * k))
+
+    def scaled(s: Column, n: Column, rs: Column, rn: Column) -> Column:
+        scale = rs / (F.greatest(rn, F.lit(EPSILON)) * F.pow(F.lit(10.0), snr_db / 20.0))
+        return let(scale, lambda k: let(F.zip_with(s, n, lambda a, b: a + b * k), limited))
+
+    def checked(s: Column, n: Column) -> Column:
+        return let(rms(s), lambda rs: let(rms(n), lambda rn: F.when((rs > EPSILON) & (rn > EPSILON), scaled(s, n, rs, rn)).otherwise(s)))
+
+    return let(signal, lambda s: let(noise, lambda n: checked(s, n)))
 
 
 def convolve_direct(x: Column, response: Column) -> Column:
     """Linear convolution cut to the input's length, for short responses (quadratic)."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size(x)),
-        lambda n: F.aggregate(
-            F.sequence(F.lit(1), F.least(n, F.size(response))), F.lit(0.0),
-            lambda a, k: a + F.element_at(response, k) * F.element_at(x, n - k + 1),
-        ),
-    )
+
+    def sums(x: Column, h: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.size(x)),
+            lambda n: F.aggregate(F.sequence(F.lit(1), F.least(n, F.size(h))), F.lit(0.0), lambda a, k: a + F.element_at(h, k) * F.element_at(x, n - k + 1)),
+        )
+
+    return let(x, lambda x: let(response, lambda h: sums(x, h)))
 
 
 def full_wet(context: Column, response: Column, past: Column) -> Column:
     """Convolve context with response, scale by the peak over the whole context, and drop the past; NULL if silent."""
-    wet = convolve_direct(context, response)
-    top = peak(wet)
-    return F.when(top > EPSILON, F.transform(F.slice(wet, past + 1, F.greatest(F.size(context) - past, F.lit(0))), lambda v: v / top))
+
+    def scaled(wet: Column) -> Column:
+        return let(peak(wet), lambda top: F.when(top > EPSILON, F.transform(F.slice(wet, past + 1, F.greatest(F.size(wet) - past, F.lit(0))), lambda v: v / top)))
+
+    return let(convolve_direct(context, response), scaled)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -73,15 +82,20 @@ def convolve_fft(x: pd.Series, response: pd.Series) -> pd.Series:
 
 def severity(x: Column) -> Column:
     """Samples from the peak until 99 % of the energy after it is spent; infinite for silent or non-finite input."""
-    tail = F.slice(x, F.array_position(F.transform(x, F.abs), peak(x)).cast("int"), F.size(x))
-    energy = F.transform(tail, lambda v: v * v)
-    steps = F.aggregate(
-        energy, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
-        lambda a, e: F.struct((a["sum"] + e).alias("sum"), (a["n"] + F.when(a["sum"] + e < F.lit(0.99) * total(energy), 1).otherwise(0)).alias("n")),
-        lambda a: a["n"],
-    )
+
+    def steps(energy: Column) -> Column:
+        return let(F.lit(0.99) * total(energy), lambda most: F.aggregate(
+            energy, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
+            lambda a, e: F.struct((a["sum"] + e).alias("sum"), (a["n"] + F.when(a["sum"] + e < most, 1).otherwise(0)).alias("n")),
+            lambda a: a["n"].cast("double"),
+        ))
+
+    def decay(x: Column, top: Column) -> Column:
+        tail = F.slice(x, F.array_position(F.transform(x, F.abs), top).cast("int"), F.size(x))
+        return let(F.transform(tail, lambda v: v * v), steps)
+
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (peak(x) > EPSILON)
-    return F.when(fine, steps.cast("double")).otherwise(F.lit(float("inf")))
+    return F.when(fine, let(x, lambda x: let(peak(x), lambda top: decay(x, top)))).otherwise(F.lit(float("inf")))
 
 
 def invalid_reason(x: Column, length: Column) -> Column:
@@ -100,11 +114,14 @@ def with_context(x: Column, start: Column, past: Column, length: Column) -> Colu
 
 def quantile_normalize(x: Column, q: float = 0.95) -> Column:
     """Divide by the linear-interpolated quantile of the absolute values."""
-    ordered = F.array_sort(F.transform(x, F.abs))
-    at = (F.size(x) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(x)))
-    return F.transform(x, lambda v: v / F.greatest(a + (b - a) * (at - low), F.lit(EPSILON)))
+
+    def level(ordered: Column, n: Column) -> Column:
+        at = (n - 1) * F.lit(q)
+        low = F.floor(at).cast("int")
+        a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, n))
+        return F.greatest(a + (b - a) * (at - low), F.lit(EPSILON))
+
+    return let(let(F.array_sort(F.transform(x, F.abs)), lambda o: level(o, F.size(o))), lambda k: F.transform(x, lambda v: v / k))
 
 
 def tile(x: Column, n: Column) -> Column:
