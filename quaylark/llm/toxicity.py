@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .core import WORD_BYTES, binary, segment_sums, slices
 
 #: Most training texts a class, and most bytes of all of them: these bound the model and the driver's memory.
-MOST_DOCS = 4000
-MOST_TRAIN_BYTES = 96 << 20
+MOST_DOCS = 1500
+MOST_TRAIN_BYTES = 32 << 20
 FOLDS = 5
 #: Expressions with fewer counts in both classes together, or whose classes differ by a lower likelihood-ratio
 #: statistic or log ratio of rates, are known by the shared counts only.
