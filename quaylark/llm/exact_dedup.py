@@ -55,6 +55,18 @@ def ledger_state(ledger_path: str, schema, spark, checkpoint: str, max_bytes: st
     return spark.read.format("statestore").load(checkpoint).select("key.digest", *(F.col(f"value.{k}").alias(v) for k, v in kept.items()))
 
 
+#: Tasks that the rows of one digest are dealt to.
+SALTS = 16
+
+
+def _salt():
+    return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _every_salt():
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def _file(rows: DataFrame):
     """The file of a row; rows of joined or computed tables have their identifier only."""
     try:
@@ -84,13 +96,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         state = materialise(ledger_state(f"{folder}/ledger", ledger.schema, spark, f"{folder}/state", max_bytes), "exact-state")
     # Hits only: full texts, combined in each task before they move, so a hot text moves once a task.
-    repeated = state.where("group_size > 1").select("digest")
-    whole = rows.select(F.unhex("hex").alias("digest"), "id", "text").join(repeated, "digest", "left_semi")
+    # A digest's rows are dealt to SALTS tasks, so one text with a third of the rows doesn't land in one.
+    repeated = state.where("group_size > 1").select("digest", _every_salt())
+    whole = rows.select(F.unhex("hex").alias("digest"), _salt(), "id", "text").join(repeated, ["digest", "salt"], "left_semi")
     checked = materialise(whole.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-hits")
     clash = checked.groupBy("digest").count().where("count > 1").select("digest")
     if clash.isEmpty():
-        groups = checked.select("digest", "keep_id", "group_size")
-        found = seen.join(groups, "digest", "left")
+        groups = checked.select("digest", _every_salt(), "keep_id", "group_size")
+        found = seen.withColumn("salt", _salt()).join(groups, ["digest", "salt"], "left")
     else:  # two texts under one digest: only those need their text to tell them apart
         groups = checked.join(clash, "digest", "left_anti").select("digest", "keep_id", "group_size")
         alone = seen.join(clash, "digest", "left_anti").join(groups, "digest", "left")
