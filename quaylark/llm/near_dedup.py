@@ -1,12 +1,17 @@
-"""Near-deduplication of whole texts: wide SimHash fingerprints, trie self-joins, and a check of every candidate.
-
-Four 64-bit streams give 256 bits over shingles of five words.  At a similarity
-of 0.8 about 15 in 100 bits differ, too many for one trie of 64 bits with a
-small budget, so ten tries of 24 bits are walked with a budget of 2: a pair at
-0.8 is met by one of them at least with a chance of 96 in 100, one at 0.9 or
-more almost surely.  All 256 bits then weed out chance meetings.  Pairs that differ in
-a few bits only are links (a pair at 0.75 would differ in 44, give or take 6),
-and all others are settled by the Jaccard similarity of their shingle sets.
+"""Near-deduplication of whole texts: SimHash tries for the bulk, a prefix join for the rest, and a check of every link.
+
+Four 64-bit streams give 256 bits over shingles of five words.  Ten tries of 24
+bits are walked with a budget of 2; what they meet within MOST_BITS is checked
+by the Jaccard similarity of the shingle sets and joined.  The walk is quick but
+loses pairs: it meets a pair at 0.8 with a chance of 96 in 100 at best, less for
+short texts, and passes on a forest of candidates that are not yet checked.
+
+So nothing rests on it.  A prefix join makes the result whole: in one order of
+all shingles, two sets at 0.8 share one of the first n - ceil(0.8 n) + 1 of each
+(n its size).  Texts that share such a shingle and are not yet in one component
+are checked, too: as pairs where a shingle has few texts, block against block
+where it has many.  What leaves a task has passed the check, so no pair at the
+similarity is left between two components.
 """
 
 from __future__ import annotations
@@ -14,13 +19,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import binary, materialise, slices
-from .graph import components
-from .simhash import SEED, fingerprints, near_links, shingle_hashes
+from .core import binary, materialise, partitions, slices
+from .graph import UnionFind, components, segments
+from .simhash import SEED, majority, near_links, shingle_hashes, spread
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -30,18 +37,163 @@ BUDGET = 2
 #: Of 256 bits; at similarity 0.8 a pair differs in 39, give or take 6.
 MOST_BITS = 62
 SURE_BITS = 18
+#: Texts of the sample that tells common shingles, which come last in the order; it bears on time alone.
+SAMPLE = 8_000
+#: Texts of one shingle up to which they are checked as pairs, and of a block beyond.
+FEW = 64
+BLOCK = 512
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words): each text's sorted distinct shingle hashes, 32 bits each."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, key, words) per row: fingerprint, digest of the set, and its sorted distinct shingle hashes, 32 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                sets = [np.unique(shingle_hashes(t, SHINGLE, SEED).astype(np.uint32)).astype("<u4").tobytes() for t in binary(b, "text")]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "words"])
+                hashes = [np.unique(shingle_hashes(t, SHINGLE, SEED)) for t in binary(b, "text")]
+                counts = np.array([len(h) for h in hashes], dtype=np.int64)
+                flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+                prints = np.column_stack([majority(spread(flat, s), counts) for s in range(STREAMS)]).astype("<u8")
+                sets = [np.unique(h.astype(np.uint32)).astype("<u4").tobytes() for h in hashes]
+                keys = [xxhash.xxh3_128_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.binary()) for x in ([r.tobytes() for r in prints], keys, sets))], names=["id", "fp", "key", "words"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    return rows.mapInArrow(run, "id long, fp binary, key binary, words binary")
+
+
+def _common(prepared: DataFrame) -> np.ndarray:
+    """Shingles that several texts of a bounded sample share, sorted by hash, with their ranks, rarest first."""
+    step = max(1, prepared.count() // SAMPLE)
+    drawn = prepared.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.substring("words", 1, 40_000).alias("w")).limit(SAMPLE).toArrow()
+    values, counts = np.unique(np.frombuffer(b"".join(drawn.column(0).to_pylist()), "<u4"), return_counts=True)
+    values, counts = values[counts >= 4], counts[counts >= 4]
+    ranks = np.empty(len(values), np.int64)
+    ranks[np.lexsort((values, counts))] = np.arange(len(values))
+    return np.stack([values.astype(np.int64), ranks])
+
+
+def prefix(words: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n sorted shingles: those that are not common by hash, then the common ones by rank."""
+    n = len(words)
+    if not n:
+        return words
+    size = n - -(-4 * n // 5) + 1
+    at = np.searchsorted(common[0], words)
+    known = np.zeros(n, bool)
+    inside = at < common.shape[1]
+    known[inside] = common[0][at[inside]] == words[inside]
+    rare = words[~known]
+    if len(rare) >= size:
+        return rare[:size]
+    return np.concatenate((rare, words[known][np.argsort(common[1][at[known]])[: size - len(rare)]]))
+
+
+def _fits(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can be near if the i-th and j-th (from 0) are the first that they share."""
+    return 9 * np.minimum(n - i, m - j) >= 4 * (n + m)
+
+
+def prefix_pairs(prepared: DataFrame, common: np.ndarray) -> DataFrame:
+    """(a, b, group): pairs of ids that share a prefix shingle and may be near; of a shingle of many texts (group, its text a) instead."""
+    n_shards = 4 * max(8, partitions(prepared.sparkSession))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 2_000):
+                part = b.slice(start, 2_000)
+                sets = [np.frombuffer(w, "<u4") for w in part.column(1).to_pylist()]
+                heads = [prefix(s, common) for s in sets]
+                size = np.array([len(h) for h in heads], dtype=np.int64)
+                word = np.concatenate(heads).astype("<u4")
+                node = np.repeat(part.column(0).to_numpy(), size).astype("<i8")
+                n, at = np.repeat([len(s) for s in sets], size).astype("<u4"), segments(size).astype("<u4")
+                shard = word % n_shards
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                cols = [[x[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full] for x in (word, node, n, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", "word", "node", "n", "at"])
+
+    def settle(word: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((node, word))
+        word, node, n, at = (x[order] for x in (word, node, n, at))
+        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        size = np.diff(np.concatenate((cut, [len(word)])))
+        found = []
+        for k in range(2, FEW + 1):  # all groups of one size at once
+            first = cut[size == k]
+            if len(first):
+                i, j = np.triu_indices(k, 1)
+                x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                ok = _fits(n[x], n[y], at[x], at[y]) & (node[x] != node[y])
+                found.append(np.stack([node[x[ok]], node[y[ok]]], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        for lo in range(0, len(pairs), 100_000):
+            p = pairs[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], names=["a", "b", "group"])
+        for lo, k in zip(cut[size > FEW].tolist(), size[size > FEW].tolist(), strict=True):
+            some = np.unique(node[lo : lo + k])
+            # Named by its texts: shingles of the same texts are one group.
+            group = np.int64(xxhash.xxh3_64_intdigest(some.tobytes()) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(np.full(len(some), group))], names=["a", "b", "group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        kinds = ("<u4", "<i8", "<u4", "<u4")
+        for b in batches:
+            for shard, *cols in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != now and held:
+                    yield from settle(*(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)))
+                    held = []
+                now = shard
+                held.append([np.frombuffer(c, kind) for c, kind in zip(cols, kinds, strict=True)])
+        if held:
+            yield from settle(*(np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True)))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, words binary")
+    posted = prepared.select("id", "words").mapInArrow(post, "shard int, word binary, node binary, n binary, at binary")
+    return posted.repartition(partitions(prepared.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long, group long")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles that each set of x shares with each of y: products of 0/1 matrices, some columns at a time."""
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    nx, ny = [len(s) for s in x], [len(s) for s in y]
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(fx, fy)
+    sides = []
+    for flat, n in ((fx, nx), (fy, ny)):
+        row, col = np.repeat(np.arange(len(n)), n), np.searchsorted(both, flat)
+        ok = np.isin(flat, both)
+        row, col = row[ok], col[ok]
+        order = np.argsort(col, kind="stable")
+        sides.append((row[order], col[order]))
+    for lo in range(0, len(both), 4096):
+        dense = []
+        for (row, col), n in zip(sides, (len(x), len(y)), strict=True):
+            a, b = np.searchsorted(col, [lo, lo + 4096])
+            d = np.zeros((n, min(4096, len(both) - lo)), dtype=np.float32)
+            d[row[a:b], col[a:b] - lo] = 1
+            dense.append(d)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Checked links between two blocks of a group, as many as join their components."""
+    x, y = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
+    links = []
+    if len(x) and len(y):
+        sx, sy = ([np.frombuffer(w, "<u4") for w in p["words"]] for p in (x, y))
+        same = overlaps(sx, sy).astype(np.int64)
+        total = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :]
+        cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+        sets = UnionFind()
+        near = (same >= SIMILARITY * (total - same)) & (cx[:, None] != cy[None, :])
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+            if sets.join(int(cx[i]), int(cy[j])):
+                links.append((int(cx[i]), int(cy[j])))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,29 +208,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _checked(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are near."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialise(prepared.select("id", "key", "words").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "key"]), "near-sets")
+    x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+
+
+def _between(pairs: DataFrame, trees: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component."""
+    tree = lambda c, name: trees.select(F.col("node").alias(c), F.col("component").alias(name))
+    apart = pairs.join(tree("a", "s"), "a", "left").join(tree("b", "t"), "b", "left")
+    return apart.where(F.coalesce("s", F.col("a")) != F.coalesce("t", F.col("b"))).select("a", "b")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) for every row that has near copies: the smallest id of those reachable through them.
 
     Rows with a null id take no part.  Texts of fewer than five words are one shingle, texts without words have
     none and are near only each other.  Rows that repeat an id are one document.  An empty table gives no rows.
+    Exact but for chance meetings of 32-bit hashes: no pair at the similarity is lost.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, SHINGLE, STREAMS, distinct=True).where("id is not null"), "near-prints")
-    # Texts with one fingerprint are one row of the walk.
-    firsts = materialise(prints.groupBy("fp").agg(F.min("id").alias("node")), "near-firsts")
-    walked = materialise(near_links(firsts, STREAMS, TRIES, BUDGET, MOST_BITS, SURE_BITS), "near-links")
-    same = prints.join(firsts, "fp").where(F.col("id") != F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"))
-    sure = materialise(walked.where("sure").select("a", "b").unionByName(same).distinct(), "near-sure")
-    trees = materialise(components(sure), "near-trees")
-    tree = lambda c, name: trees.select(F.col("node").alias(c), F.col("component").alias(name))
-    pairs = walked.where("not sure").select("a", "b").distinct().join(tree("a", "s"), "a", "left").join(tree("b", "t"), "b", "left")
-    pairs = materialise(pairs.where(F.coalesce("s", F.col("a")) != F.coalesce("t", F.col("b"))).select("a", "b"), "near-candidates")
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    met = docs.join(ends.withColumnRenamed("id", "_end").hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_end"), "left_semi")
-    sets = materialise(_sets(met, id_col, text_col).dropDuplicates(["id"]), "near-sets")
-    x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
-    checked = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-    good = sure.unionByName(checked)
-    return components(good).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
+    prepared = materialise(_prepared(docs, id_col, text_col), "near-prepared")
+    # Texts with one set are one row of the walk.
+    firsts = materialise(prepared.groupBy("key").agg(F.min("id").alias("node"), F.first("fp").alias("fp")), "near-firsts")
+    same = prepared.select("key", "id").join(firsts, "key").where(F.col("id") != F.col("node")).select(F.col("id").alias("a"), F.col("node").alias("b"))
+    walked = near_links(firsts.select("node", "fp"), STREAMS, TRIES, BUDGET, MOST_BITS, SURE_BITS)
+    walked = materialise(walked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "near-walked")
+    good = materialise(same.unionByName(_checked(walked, prepared)), "near-good")
+    trees = materialise(components(good), "near-trees")
+    # What is not joined yet.
+    met = materialise(prefix_pairs(prepared, _common(prepared)), "near-prefixes")
+    few = met.where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    few = materialise(_between(few, trees), "near-few")
+    good = materialise(good.unionByName(_checked(few, prepared)), "near-good")
+    trees = materialise(components(good), "near-trees")
+    members = met.where("group is not null").select("group", F.col("a").alias("id")).distinct()
+    # One text for each set, and groups of two components at least.
+    members = members.join(firsts.select(F.col("node").alias("id")).distinct(), "id", "left_semi").join(trees.withColumnRenamed("node", "id"), "id", "left")
+    members = materialise(members.withColumn("component", F.coalesce("component", "id")), "near-members")
+    open_ = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = materialise(members.join(open_.select("group", "size"), "group"), "near-open")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cells = members.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    cells = cells.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    sets = prepared.select("id", "key", "words").join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "key"])
+    cells = cells.join(materialise(sets.drop("key"), "near-sets"), "id").drop("id")
+    joined = cells.groupBy("group", "i", "j").applyInPandas(_block, "a long, b long")
+    return components(good.unionByName(joined)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -174,7 +174,8 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
     Each trie (first bit, width) is walked with the Hamming budget, cut into budget + 1 pigeonhole parts.  Where
     most_bits is given, it bounds the differing bits of the whole fingerprints too, and links of more than sure_bits
     are not sure.  A task passes on a spanning forest, of sure links first (all are, without most_bits), then by
-    differing bits.  Of rows with equal codes each meets the first of its leaf, and the first of other leaves.
+    differing bits.  Of rows with equal codes each meets the first of its leaf, and the first of other leaves.  That
+    is exact where a trie takes the whole fingerprint; else links are candidates, and the caller finds those missing.
     """
     spark = prints.sparkSession
     n_tasks = partitions(spark)

@@ -337,6 +337,34 @@ def test_near_stage(spark, docs, texts, odd, empty):
     assert kept.columns == odd.columns and near_dedup.near_dedup(empty).count() == 0
 
 
+def whole_groups(rows):
+    """The smallest id of each row's component, by every pair of texts."""
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in rows.items()}
+    names = sorted(rows)
+    return union([(a, b) for n, a in enumerate(names) for b in names[:n] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], names)
+
+
+def near_parts(spark, rows):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df).collect()}
+    return {i: got.get(i, i) for i in rows}
+
+
+def edited(rng, base, n):
+    w = list(base)
+    for at in rng.sample(range(len(w)), n):
+        w[at] = f"own{rng.randrange(10**9)}"
+    return w
+
+
+def test_near_stage_joins_edits_of_a_base(spark):
+    """Copies whose link with the base passes while those among themselves mostly fail."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = {0: base} | {i: edited(rng, base, rng.choice((3, 4))) for i in range(1, 500)}
+    assert near_parts(spark, rows) == whole_groups(rows) == dict.fromkeys(rows, 0)
+
+
 # -- 7
 
 def test_language(spark, docs, sf_dir):
