@@ -365,6 +365,16 @@ def test_near_stage_joins_edits_of_a_base(spark):
     assert near_parts(spark, rows) == whole_groups(rows) == dict.fromkeys(rows, 0)
 
 
+def test_near_stage_joins_a_hot_group(spark):
+    """2,000 copies that the base alone holds together, which is the last of them."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = {i: edited(rng, base, 4) for i in range(2000)} | {2000: base}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(196)) for i, w in rows.items()}
+    assert all(5 * len(s & sets[2000]) >= 4 * len(s | sets[2000]) for s in sets.values())
+    assert near_parts(spark, rows) == dict.fromkeys(rows, 0)
+
+
 # -- 7
 
 def test_language(spark, docs, sf_dir):
