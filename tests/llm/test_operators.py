@@ -375,6 +375,16 @@ def test_near_stage_joins_a_hot_group(spark):
     assert near_parts(spark, rows) == dict.fromkeys(rows, 0)
 
 
+def test_near_stage_joins_short_texts(spark):
+    """8 against 9 words: 4 of 5 shingles; and no texts below 0.8."""
+    rng = random.Random(7)
+    rows = {}
+    for k in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        rows |= {3 * k: w, 3 * k + 1: w[:8], 3 * k + 2: w[2:]}
+    assert near_parts(spark, rows) == whole_groups(rows)
+
+
 # -- 7
 
 def test_language(spark, docs, sf_dir):
