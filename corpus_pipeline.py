@@ -14,6 +14,10 @@ from quaylark.llm.queries import SENTENCEPIECE_MODEL, public_path
 from quaylark.llm.sentencepiece_codec import sentencepiece_encode
 
 
+#: Of the tokens that reach the mixing stage, how many stay.
+MIX_SHARE = 0.5
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough."""
     return identify(docs, fit(docs), host=F.col("source"), carry=True).where("accepted").drop("accepted")
@@ -30,8 +34,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that meets the target weights of sources, languages and topics."""
-    return mix_sample(docs)
+    """A sample of half the tokens by the target weights of sources, languages and topics; small cells are kept whole."""
+    return mix_sample(docs, share=MIX_SHARE)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,14 +73,32 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
     return cells
 
 
+def inclusion_scale(raked: DataFrame, weight: str, share: float) -> float:
+    """The factor of raked weights at which cells, none kept more than whole, keep a share of the total weight."""
+    n, r = F.col(weight), F.col("raked")
+    want = share * (raked.agg(F.sum(n)).first()[0] or 0)
+    scale = 0.0
+    while True:  # it only rises, and with it the cells kept whole
+        whole = r * scale >= n
+        got = raked.where("raked > 0").agg(F.sum(F.when(whole, n)).alias("sure"), F.sum(F.when(~whole, r)).alias("rest"), F.max(n / r).alias("most")).first()
+        if not got["rest"]:
+            return scale
+        new = min((want - (got["sure"] or 0)) / got["rest"], got["most"])
+        if new <= scale * (1 + 1e-12):
+            return scale
+        scale = new
+
+
 def mix_weights(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-    targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED,
+    targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED, share: float | None = None,
 ) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, kept) per row.
 
     weight is the cell's raked weight a token; probability is weight over the largest weight of any cell, so nothing
-    is clipped and the kept tokens meet all three targets in expectation.  Null sources and languages are a value of
+    is clipped and the kept tokens meet all three targets in expectation, but one rare cell decides how many are kept.
+    With a share, that share of all tokens is kept in expectation instead (all, if fewer have a weight): cells too
+    small for their target are kept whole, the rest in proportion to their weights.  Null sources and languages are a value of
     their own, "(none)".  Texts without words weigh nothing: in a cell without tokens probability is 1.  Rows that
     repeat an id fall alike.  An empty table gives an empty result.
     """
@@ -93,8 +111,12 @@ def mix_weights(
     cells = rows.groupBy(*margins).agg(F.sum("n_tokens").alias("n"))
     raked = rake(cells, margins, "n", targets, sweeps, temperature)
     weights = raked.select(*margins, F.when(F.col("n") > 0, F.col("raked") / F.col("n")).alias("weight"))
-    top = weights.agg(F.max("weight")).first()[0]
-    weights = weights.select(*margins, "weight", F.coalesce(F.col("weight") / F.lit(top).cast("double"), F.lit(1.0)).alias("probability"))
+    if share is None:
+        top = weights.agg(F.max("weight")).first()[0]
+        chance = F.col("weight") / F.lit(top).cast("double")
+    else:
+        chance = F.least(F.col("weight") * F.lit(inclusion_scale(raked, "n", share)), F.lit(1.0))
+    weights = weights.select(*margins, "weight", F.coalesce(chance, F.lit(1.0)).alias("probability"))
     return rows.join(weights, margins).select(
         F.col("id").alias(id_col), *margins, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "probability",
         (uniform(F.col("id"), seed) < F.col("probability")).alias("kept"),

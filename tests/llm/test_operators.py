@@ -490,6 +490,22 @@ def test_mix(docs, odd, empty):
     assert mix_weights(empty).count() == 0
 
 
+def test_mixing_stage_keeps_its_share(spark, sf_dir, docs):
+    """A document of a new source does not shrink the sample."""
+    import corpus_pipeline
+
+    tiny = docs.limit(1).selectExpr("cast(-1 as long) AS doc_id", "'one two three four five' AS text", "lang", "'new source' AS source", "cast(23 as long) AS n_chars")
+    words = lambda df: sum(len(r["text"].split()) for r in df.collect())
+    for df in (docs, docs.unionByName(tiny)):
+        kept = corpus_pipeline.mixing_stage(spark, df, sf_dir)
+        assert words(kept) / words(df) == pytest.approx(0.5, abs=0.05)
+    assert kept.where("doc_id = -1").count() == 1
+    rows = mix_weights(docs, share=0.5).collect()
+    assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(0.5 * sum(r["n_tokens"] for r in rows))
+    assert all(0 <= r["probability"] <= 1 for r in rows)
+    assert all(r["kept"] for r in mix_weights(docs, share=1.0).where("weight > 0").collect())
+
+
 # -- 10
 
 def test_token_output_is_the_library(docs, texts, tmp_path):
