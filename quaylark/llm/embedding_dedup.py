@@ -74,7 +74,7 @@ def projection_links(vectors: DataFrame, passes: int = PASSES, window: int = WIN
                 node, vec = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
                 for p in range(passes):
                     key = (np.int64(p) << np.int64(BITS)) | value[:, p]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), node, vec], names=["key", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(key), node, vec], names=["size", "key", "node", "vec"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, tail = UnionFind(), None
@@ -82,8 +82,7 @@ def projection_links(vectors: DataFrame, passes: int = PASSES, window: int = WIN
             if not b.num_rows:
                 continue
             rows = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
-            key, node, raw = rows.column(0).to_numpy() >> BITS, rows.column(1).to_numpy(), rows.column(2).to_pylist()
-            size = np.array([len(r) for r in raw])
+            size, key, node, raw = rows.column(0).to_numpy(), rows.column(1).to_numpy() >> BITS, rows.column(2).to_numpy(), rows.column(3).to_pylist()
             start = 0
             for stop in [*(np.flatnonzero((key[1:] != key[:-1]) | (size[1:] != size[:-1])) + 1).tolist(), len(key)]:
                 x = _unit(_matrix(raw[start:stop]))
@@ -91,13 +90,13 @@ def projection_links(vectors: DataFrame, passes: int = PASSES, window: int = WIN
                     for i in np.flatnonzero((x[:-step] * x[step:]).sum(axis=1) >= threshold).tolist():
                         sets.join(int(node[start + i]), int(node[start + i + step]))
                 start = stop
-            tail = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else c for c in rows.slice(max(0, rows.num_rows - window)).columns], names=["key", "node", "vec"])
+            tail = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else c for c in rows.slice(max(0, rows.num_rows - window)).columns], names=["size", "key", "node", "vec"])
         a, r = sets.links()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
 
     n = partitions(vectors.sparkSession)
-    dealt = vectors.select("node", "vec").mapInArrow(hashed, "key long, node long, vec binary")
-    return dealt.repartitionByRange(n, "key").sortWithinPartitions("key", "node").mapInArrow(compare, "a long, b long")
+    dealt = vectors.select("node", "vec").mapInArrow(hashed, "size int, key long, node long, vec binary")
+    return dealt.repartitionByRange(n, "size", "key").sortWithinPartitions("size", "key", "node").mapInArrow(compare, "a long, b long")
 
 
 def component_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -197,6 +197,16 @@ def test_embeddings(spark, sf_dir):
     assert embedding_components(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_two_lengths(spark):
+    """Vectors of one length are neighbours in the order whatever others there are."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, 16)
+    rows = [(i, (base + rng.normal(0, 0.02, 16)).tolist()) for i in range(40)]
+    rows += [(1000 + i, rng.normal(0, 1, 15).tolist()) for i in range(4000)]
+    got = {r["vec_id"]: r for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), passes=1, window=2).collect()}
+    assert [got[i]["component_id"] for i in range(40)] == [0] * 40
+
+
 # -- 5
 
 def test_sentencepiece_is_the_library(docs, texts):
