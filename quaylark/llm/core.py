@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A new folder below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quaylark-work")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quaylark/{name}-{uuid.uuid4().hex}"
@@ -32,6 +35,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,22 +90,3 @@ def segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)
 )
-
-
-class Vocabulary:
-    """Byte words to consecutive ids, with a bound on memory: it starts anew beyond most words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.ids, self.words = most, {}, []
-
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, int]:
-        """Ids of the words and the first id that is new to the caller."""
-        if len(self.ids) > self.most:
-            self.ids, self.words = {}, []
-        known = len(self.words)
-        fresh = set(words).difference(self.ids)
-        if fresh:
-            fresh = sorted(fresh)
-            self.ids.update(zip(fresh, range(known, known + len(fresh)), strict=True))
-            self.words.extend(fresh)
-        return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words)), known

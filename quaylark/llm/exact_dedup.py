@@ -3,60 +3,80 @@
 The ledger of a table (digest of the normalised text, identifier, content
 locator) runs as a stream through an aggregation keyed by digest.  Its state is
 kept without expiry by the RocksDB store on disk, checkpointed in the shared
-folder, so later batches meet all earlier texts.  It retains, for each digest,
-the identifier that stays, where that row's content is and how many rows had
-the digest.  The final state is read with the state data source.  A digest seen
-more than once is a hit: its rows are read again and grouped by their full
-text, so texts count as equal by their bytes, never by digest alone.
+folder, so later calls meet all earlier texts.  It retains, for each digest, the
+identifier that stays, where the digest's content was first kept and how many
+rows had it, and each micro-batch writes what became of the digests that it
+touched.  A digest with more than one row is a hit: its rows' full texts are
+compared with each other and with the content at the locator, so texts count as
+equal by their bytes, never by digest alone.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import lower_ascii, materialise, shared_dir
+from .core import fresh, lower_ascii, materialise, shared_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores share one executor: little memory for each, and bounded for all.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKS,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # Many small stores: without this each takes megabytes of preallocated log.
+    # Without this each store takes megabytes of preallocated log.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
+LEDGER = "digest binary, id long, locator long"
+HELD = "digest binary, keep_id long, locator long, group_size long"
+CONTENT = "digest binary, text string, keep_id long, n long"
+#: Tasks that the rows of one digest are dealt to, where a join can't be broadcast.
+SALTS = 16
+#: Keys that a join may broadcast (longs: some 40 MB); beyond it, it goes by a shuffle.
+MOST_KEYS = 1_000_000
+
 
+def run_ledger(spark: SparkSession, folder: str, call: int, max_bytes: str | None = None) -> DataFrame:
+    """Run the files of the ledger that the state has not seen through it: (digest, keep_id, locator, group_size) of the digests in them.
 
-def ledger_state(ledger_path: str, schema, spark, checkpoint: str, max_bytes: str | None = None) -> DataFrame:
-    """Run all of the ledger that the checkpoint has not seen through the keyed state, and return the state:
-    (digest, keep_id, locator, group_size).  Calling it again after more files arrived goes on from there.
+    The figures are those of all calls.  A micro-batch that runs again overwrites what it wrote.
     """
     old = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
+    written = set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/touched/call={call}/{number}")
+        written.add(number)
+
     try:
-        reader = spark.readStream.schema(schema)
+        reader = spark.readStream.schema(LEDGER)
         if max_bytes:
             reader = reader.option("maxBytesPerTrigger", max_bytes)
         held = (
-            reader.parquet(ledger_path)
-            .groupBy("digest")
-            .agg(F.max("id").alias("keep_id"), F.max_by("locator", F.coalesce("id", F.lit(-(2**63)))).alias("locator"), F.count(F.lit(1)).alias("group_size"))
+            reader.parquet(f"{folder}/ledger").groupBy("digest")
+            .agg(F.max("id").alias("keep_id"), F.first("locator").alias("locator"), F.count(F.lit(1)).alias("group_size"))
         )
-        held.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+        stream = held.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True)
+        stream.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    # The store names the values after the aggregates' buffers.
-    kept = {"max": "keep_id", "valueWithExtremumOrdering": "locator", "count": "group_size"}
-    return spark.read.format("statestore").load(checkpoint).select("key.digest", *(F.col(f"value.{k}").alias(v) for k, v in kept.items()))
-
-
-#: Tasks that the rows of one digest are dealt to.
-SALTS = 16
+    if not written:
+        return spark.createDataFrame([], HELD)
+    read = [spark.read.schema(HELD).parquet(f"{folder}/touched/call={call}/{n}") for n in sorted(written)]
+    if len(read) == 1:
+        return read[0]
+    told = read[0].withColumn("batch", F.lit(0))
+    for n, part in enumerate(read[1:], 1):
+        told = told.unionByName(part.withColumn("batch", F.lit(n)))
+    last = told.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("v")).select("digest", "v.*")
+    return materialise(last, "exact-touched")
 
 
 def _salt():
@@ -67,48 +87,79 @@ def _every_salt():
     return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
 
 
-def _file(rows: DataFrame):
-    """The file of a row; rows of joined or computed tables have their identifier only."""
+def _of(rows: DataFrame, digests: DataFrame, few: bool) -> DataFrame:
+    """The rows (digest, ...) with one of the digests; a broadcast of 64-bit hashes thins them out first where it may."""
+    if few:
+        hashes = F.broadcast(digests.select(F.xxhash64("digest").alias("_h")).distinct())
+        return rows.join(hashes, F.xxhash64("digest") == F.col("_h"), "left_semi")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return dealt.join(digests.select("digest", _every_salt()), ["digest", "salt"], "left_semi").drop("salt")
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    """(digest, text, keep_id, n) of (id, text, digest): combined in each task, so a hot text moves once a task."""
+    return rows.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+
+
+def _next_call(spark: SparkSession, folder: str) -> int:
     try:
-        rows.select(F.input_file_name())
+        last = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").agg(F.max("locator")).first()[0]
     except AnalysisException:
-        return F.lit("")
-    return F.input_file_name()
+        return 0
+    return 0 if last is None else last + 1
+
+
+def normal(text_col: str):
+    return lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def digest_of(text):
+    return F.unhex(F.sha2(text, 256))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, max_bytes: str | None = None) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for every row.
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, max_bytes: str | None = None, most_keys: int = MOST_KEYS,
+) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256) for every row of docs.
 
     Texts are equal when identical after lower-casing A-Z; null is the empty text, and all empty texts are equal.
     Of equal texts the row with the largest id stays.  A null id ranks below all others: such a row stays only where
     its whole group has null ids.  Rows that repeat an id with equal text are one document: each counts in
     group_size, and all or none are kept.  An empty table gives an empty result.
+
+    With a state_dir, calls go on from each other: keep_id and group_size are of the rows of this and all earlier
+    calls, and each call keeps its distinct texts below it, as the content that its locators name.
     """
     spark = docs.sparkSession
-    text = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("hex", F.sha2("text", 256))
     folder = state_dir or shared_dir(spark, "exact")
-    ledger = rows.select(F.unhex("hex").alias("digest"), "id", F.concat_ws("#", _file(rows), "id").alias("locator"))
-    ledger.write.mode("append").parquet(f"{folder}/ledger")
-    seen = spark.read.schema(ledger.schema).parquet(f"{folder}/ledger")
-    if seen.isEmpty():
-        state = spark.createDataFrame([], "digest binary, keep_id long, locator string, group_size long")
+    call = _next_call(spark, folder) if state_dir else 0
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normal(text_col).alias("text")).withColumn("digest", digest_of("text"))
+    rows.select("digest", "id", F.lit(call).cast("long").alias("locator")).write.mode("append").parquet(f"{folder}/ledger")
+    seen = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").where(F.col("locator") == call).select("digest", "id")
+    hits = materialise(run_ledger(spark, folder, call, max_bytes).where("group_size > 1"), "exact-hits")
+    few = hits.count() <= most_keys
+    kept_texts = lambda n: spark.read.schema(CONTENT).parquet(f"{folder}/content/{n}")
+    if state_dir:
+        _contents(rows).write.mode("overwrite").parquet(f"{folder}/content/{call}")
+        texts = _of(kept_texts(call), hits, few)
+        for r in hits.where(F.col("locator") != call).select("locator").distinct().collect():  # a row a call
+            texts = texts.unionByName(_of(kept_texts(r[0]), hits.where(F.col("locator") == r[0]), few))
+    else:
+        texts = _contents(_of(rows, hits, few))
+    clash = materialise(texts.groupBy("digest").agg(F.count_distinct("text").alias("n")).where("n > 1").select("digest"), "exact-clash")
+    groups = hits.select("digest", "keep_id", "group_size")
+    if few:
+        found = seen.join(F.broadcast(groups), "digest", "left")
     else:
-        state = materialise(ledger_state(f"{folder}/ledger", ledger.schema, spark, f"{folder}/state", max_bytes), "exact-state")
-    # Hits only: full texts, combined in each task before they move, so a hot text moves once a task.
-    # A digest's rows are dealt to SALTS tasks, so one text with a third of the rows doesn't land in one.
-    repeated = state.where("group_size > 1").select("digest", _every_salt())
-    whole = rows.select(F.unhex("hex").alias("digest"), _salt(), "id", "text").join(repeated, ["digest", "salt"], "left_semi")
-    checked = materialise(whole.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "exact-hits")
-    clash = checked.groupBy("digest").count().where("count > 1").select("digest")
-    if clash.isEmpty():
-        groups = checked.select("digest", _every_salt(), "keep_id", "group_size")
-        found = seen.withColumn("salt", _salt()).join(groups, ["digest", "salt"], "left")
-    else:  # two texts under one digest: only those need their text to tell them apart
-        groups = checked.join(clash, "digest", "left_anti").select("digest", "keep_id", "group_size")
-        alone = seen.join(clash, "digest", "left_anti").join(groups, "digest", "left")
-        told = whole.join(clash, "digest", "left_semi").join(checked, ["digest", "text"])
-        found = alone.select("digest", "id", "keep_id", "group_size").unionByName(told.select("digest", "id", "keep_id", "group_size"))
+        found = seen.withColumn("salt", _salt()).join(groups.select("digest", _every_salt(), "keep_id", "group_size"), ["digest", "salt"], "left")
+    found = found.select("digest", "id", "keep_id", "group_size")
+    if not clash.isEmpty():  # several texts under one digest: only those need their text to tell them apart
+        every = texts if not state_dir else kept_texts(0)
+        for n in range(1, call + 1 if state_dir else 0):
+            every = every.unionByName(kept_texts(n))
+        told = every.join(clash, "digest", "left_semi").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        told = rows.join(clash, "digest", "left_semi").join(told, ["digest", "text"]).select("digest", "id", "keep_id", "group_size")
+        found = found.join(clash, "digest", "left_anti").unionByName(told)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -116,16 +167,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an id with equal text, one."""
-    groups = exact_groups(docs, id_col, text_col)
-    # A row is its id and digest; those that don't stay are dropped, and of rows that repeat both, all but one.
-    gone = materialise(groups.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "exact-gone")
-    repeats = materialise(groups.where("kept and group_size > 1").groupBy(id_col, "text_sha256").count().where("count > 1").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")), "exact-repeats")
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat an id with equal text, one.
+
+    Few rows that go are broadcast as 64-bit hashes of id and digest, checked to meet no row that stays, so no text
+    is shuffled; more are joined by a shuffle.
+    """
+    told = materialise(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept", "group_size"), "exact-told")
+    told = told.withColumn("h", F.xxhash64(F.coalesce("id", F.lit(0)), F.col("id").isNull(), "sha"))
+    hash_, id_, sha_ = fresh(docs, "h", "id", "sha")
+    gone = materialise(told.where(~F.col("kept")).select(F.col("h").alias(hash_), F.col("id").alias(id_), F.col("sha").alias(sha_)).distinct(), "exact-gone")
+    sha = F.lower(F.hex(digest_of(normal(text_col))))
+    own = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull(), sha)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (sha == F.col(sha_))
+    if gone.count() <= most_keys and told.where("kept").join(F.broadcast(gone.select(F.col(hash_).alias("h"))), "h", "left_semi").isEmpty():
+        kept = docs.join(F.broadcast(gone.select(hash_).distinct()), own == F.col(hash_), "left_anti")
+    else:
+        kept = docs.join(gone.select(id_, sha_).hint("shuffle_hash"), same, "left_anti")
+    repeats = told.where("kept and group_size > 1").groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias(id_), F.col("sha").alias(sha_))
+    repeats = materialise(repeats, "exact-repeats")
     if repeats.isEmpty():
         return kept
-    many = kept.join(repeats, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    named = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("i"), sha.alias("s")]
+    many = kept.join(repeats, same, "left_semi").select(*named).dropDuplicates(["i", "s"]).select("row.*")
     return kept.join(repeats, same, "left_anti").unionByName(many)

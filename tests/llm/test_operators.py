@@ -166,10 +166,48 @@ def test_exact_odd_and_later_files(spark, odd, empty, tmp_path):
     kept = exact_dedup(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7]
     assert exact_groups(empty).count() == 0
-    # State without expiry: a second batch meets the first.
+
+
+def test_exact_calls_go_on_from_each_other(spark, tmp_path):
+    """State without expiry: later calls meet the rows of earlier ones."""
     state = f"file://{tmp_path}/state"
-    exact_groups(odd.limit(3), state_dir=state).count()
-    assert {r["group_size"] for r in exact_groups(odd.limit(3), state_dir=state).collect()} != set()
+    told = lambda rows, **o: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), state_dir=state, **o).collect())
+    assert told([(10, "same"), (11, "other")]) == [(10, 10, 1, True), (11, 11, 1, True)]
+    assert told([(3, "Same"), (4, "new")]) == [(3, 10, 2, False), (4, 4, 1, True)]
+    assert told([(20, "SAME"), (4, "New"), (21, None)], max_bytes="1") == [(4, 4, 2, True), (20, 20, 3, True), (21, 21, 1, True)]
+    assert told([]) == []
+    assert told([(1, "same"), (2, "")]) == [(1, 20, 4, False), (2, 21, 2, False)]
+
+
+@pytest.mark.parametrize("calls", [1, 2])
+def test_exact_checks_full_texts(spark, tmp_path, monkeypatch, calls):
+    """Digests of one byte clash: texts are still told apart, in one call and across calls."""
+    from pyspark.sql import functions as F
+
+    from quaylark.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "digest_of", lambda t: F.unhex(F.substring(F.sha2(t, 256), 1, 2)))
+    rows = [(i, f"text {i % 700}") for i in range(1000)]
+    cut = [rows] if calls == 1 else [rows[:600], rows[600:]]
+    for n, part in enumerate(cut):
+        seen = plain_groups(rows if calls == 1 else sum(cut[: n + 1], []))
+        got = exact_groups(spark.createDataFrame(part, "doc_id long, text string"), state_dir=f"file://{tmp_path}/s" if calls > 1 else None).collect()
+        assert len(got) == len(part)
+        for r in got:
+            own = seen[rows[r["doc_id"]][1]]
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (max(own), len(own), r["doc_id"] == max(own))
+    if calls == 1:
+        assert sorted(r["doc_id"] for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(max(g) for g in plain_groups(rows).values())
+
+
+def test_exact_without_broadcasts(docs, odd):
+    """Beyond the bound of a broadcast joins are shuffled, with the same rows; helper columns may clash with the table's."""
+    few = sorted(map(str, exact_groups(docs).collect()))
+    assert sorted(map(str, exact_groups(docs, most_keys=0).collect())) == few
+    clashing = odd.withColumnsRenamed({"digest": "_h", "id": "_id", "row": "_sha"})
+    for most in (0, 1000):
+        kept = exact_dedup(clashing, most_keys=most)
+        assert kept.columns == clashing.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7]
 
 
 # -- 4
