@@ -133,11 +133,18 @@ def exact_groups(
     spark = docs.sparkSession
     folder = state_dir or shared_dir(spark, "exact")
     call = _next_call(spark, folder) if state_dir else 0
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), normal(text_col).alias("text")).withColumn("digest", digest_of("text"))
+    normalised = lambda df: df.select(F.col(id_col).cast("long").alias("id"), normal(text_col).alias("text")).withColumn("digest", digest_of("text"))
+    rows = normalised(docs)
     rows.select("digest", "id", F.lit(call).cast("long").alias("locator")).write.mode("append").parquet(f"{folder}/ledger")
     seen = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").where(F.col("locator") == call).select("digest", "id")
     hits = materialise(run_ledger(spark, folder, call, max_bytes).where("group_size > 1"), "exact-hits")
     few = hits.count() <= most_keys
+    groups = hits.select("digest", "keep_id", "group_size")
+    if few:
+        found = seen.join(F.broadcast(groups), "digest", "left")
+    else:
+        found = seen.withColumn("salt", _salt()).join(groups.select("digest", _every_salt(), "keep_id", "group_size"), ["digest", "salt"], "left")
+    found = materialise(found.select("digest", "id", "keep_id", "group_size"), "exact-found")
     kept_texts = lambda n: spark.read.schema(CONTENT).parquet(f"{folder}/content/{n}")
     if state_dir:
         _contents(rows).write.mode("overwrite").parquet(f"{folder}/content/{call}")
@@ -145,14 +152,13 @@ def exact_groups(
         for r in hits.where(F.col("locator") != call).select("locator").distinct().collect():  # a row a call
             texts = texts.unionByName(_of(kept_texts(r[0]), hits.where(F.col("locator") == r[0]), few))
     else:
+        (id_,) = fresh(docs, "id")
+        members = found.where("group_size is not null and id is not null").select(F.col("id").alias(id_)).distinct()
+        if members.count() <= most_keys:  # only the hits' texts are normalised again
+            named = docs.join(F.broadcast(members), F.col(id_col).cast("long") == F.col(id_), "left_semi")
+            rows = normalised(named.unionByName(docs.where(F.col(id_col).cast("long").isNull())))
         texts = _contents(_of(rows, hits, few))
     clash = materialise(texts.groupBy("digest").agg(F.count_distinct("text").alias("n")).where("n > 1").select("digest"), "exact-clash")
-    groups = hits.select("digest", "keep_id", "group_size")
-    if few:
-        found = seen.join(F.broadcast(groups), "digest", "left")
-    else:
-        found = seen.withColumn("salt", _salt()).join(groups.select("digest", _every_salt(), "keep_id", "group_size"), ["digest", "salt"], "left")
-    found = found.select("digest", "id", "keep_id", "group_size")
     if not clash.isEmpty():  # several texts under one digest: only those need their text to tell them apart
         every = texts if not state_dir else kept_texts(0)
         for n in range(1, call + 1 if state_dir else 0):
@@ -170,24 +176,23 @@ def exact_groups(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id with equal text, one.
 
-    Few rows that go are broadcast as 64-bit hashes of id and digest, checked to meet no row that stays, so no text
-    is shuffled; more are joined by a shuffle.
+    Where few rows go and none of their ids is null or names a row that stays, their ids are broadcast and no text is
+    shuffled; else rows are joined by id and digest.
     """
-    told = materialise(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept", "group_size"), "exact-told")
-    told = told.withColumn("h", F.xxhash64(F.coalesce("id", F.lit(0)), F.col("id").isNull(), "sha"))
-    hash_, id_, sha_ = fresh(docs, "h", "id", "sha")
-    gone = materialise(told.where(~F.col("kept")).select(F.col("h").alias(hash_), F.col("id").alias(id_), F.col("sha").alias(sha_)).distinct(), "exact-gone")
-    sha = F.lower(F.hex(digest_of(normal(text_col))))
-    own = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull(), sha)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (sha == F.col(sha_))
-    if gone.count() <= most_keys and told.where("kept").join(F.broadcast(gone.select(F.col(hash_).alias("h"))), "h", "left_semi").isEmpty():
-        kept = docs.join(F.broadcast(gone.select(hash_).distinct()), own == F.col(hash_), "left_anti")
+    told = materialise(exact_groups(docs, id_col, text_col, most_keys=most_keys).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept", "group_size"), "exact-told")
+    id_, sha_ = fresh(docs, "id", "sha")
+    rename = [F.col("id").alias(id_), F.col("sha").alias(sha_)]
+    gone = materialise(told.where(~F.col("kept")).select(*rename).distinct(), "exact-gone")
+    own, sha = F.col(id_col).cast("long"), F.lower(F.hex(digest_of(normal(text_col))))
+    same = own.eqNullSafe(F.col(id_)) & (sha == F.col(sha_))
+    alone = gone.count() <= most_keys and gone.where(F.col(id_).isNull()).isEmpty() and told.where("kept").join(F.broadcast(gone.select(F.col(id_).alias("id"))), "id", "left_semi").isEmpty()
+    if alone:
+        kept = docs.join(F.broadcast(gone.select(id_).distinct()), own == F.col(id_), "left_anti")
     else:
-        kept = docs.join(gone.select(id_, sha_).hint("shuffle_hash"), same, "left_anti")
-    repeats = told.where("kept and group_size > 1").groupBy("id", "sha").count().where("count > 1").select(F.col("id").alias(id_), F.col("sha").alias(sha_))
-    repeats = materialise(repeats, "exact-repeats")
+        kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    repeats = materialise(told.where("kept and group_size > 1").groupBy("id", "sha").count().where("count > 1").select(*rename), "exact-repeats")
     if repeats.isEmpty():
         return kept
-    named = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("i"), sha.alias("s")]
+    named = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("i"), sha.alias("s")]
     many = kept.join(repeats, same, "left_semi").select(*named).dropDuplicates(["i", "s"]).select("row.*")
     return kept.join(repeats, same, "left_anti").unionByName(many)
