@@ -483,19 +483,61 @@ def test_lm(docs, texts):
     assert np.mean([r["score"] > r["base_score"] for r in got]) > 0.9
 
 
+def test_lm_score_is_the_models(docs, texts):
+    """Scores against a plain model of quantised counts: with many bits an entry the filter has no false hits.
+
+    Probes that are sent to the segments give what a broadcast filter gives, false hits included.
+    """
+    from pyspark.sql import functions as F
+
+    rule = lambda i: F.crc32(i.cast("string").cast("binary")) % 7 != 2
+    one, two = Counter(), Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            tokens = [*lower(t).encode().split(), None]
+            one.update(tokens)
+            two.update(zip(["start", *tokens[:-1]], tokens, strict=True))
+    level = lambda c: 0.0 if not c else float(lm_scoring.count_of(lm_scoring.level_of(np.array([c])))[0])
+    total, n0 = sum(one.values()) + len(one) + 1, lm_scoring.DIRICHLET
+    exact = {r["doc_id"]: r["score"] for r in lm_scores(docs, rule, bits_per_entry=200).collect()}
+    for i, t in texts.items():
+        tokens = [*lower(t).encode().split(), None]
+        want, before = 0.0, None  # texts start as often as they end
+        for k, w in enumerate(tokens):
+            c0 = level(one[before])
+            c2 = min(level(two[(before if k else "start", w)]), c0)
+            want += np.log10((c2 + n0 * (level(one[w]) + 1) / total) / (c0 + n0))
+            before = w
+        assert exact[i] == pytest.approx(want, rel=1e-9)
+    near = {r["doc_id"]: r for r in lm_scores(docs, rule).collect()}
+    sent = {r["doc_id"]: r for r in lm_scores(docs, rule, most_filter_bytes=0).collect()}
+    assert near.keys() == sent.keys()
+    for i, r in near.items():
+        assert tuple(r)[:6] == pytest.approx(tuple(sent[i])[:6]) and r["score"] == pytest.approx(sent[i]["score"], rel=1e-9)
+
+
+def test_word_numbers_start_anew():
+    words = lm_scoring.Words(4)
+    seen = []
+    for text in (b"a b a", b"c d e", b"a c", b"x y z x"):
+        cur, before, n, fresh = lm_scoring.sequence([tokens := text.split(), []], words)
+        assert n.tolist() == [len(tokens) + 1, 1] and before[0] == 1 and before[-1] == 1 and cur[-1] == 0
+        assert words.hashes[cur[:-2]].tolist() == [xxhash.xxh3_64_intdigest(t) for t in tokens]
+        seen.append(words.generation)
+    assert seen == [0, 0, 1, 1]
+
+
 def test_bloom_counts():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**48, 20_000, dtype=np.uint64))
     counts = rng.geometric(0.3, len(keys)) ** 2
     seg = lm_scoring.segment_of(keys, 8)
-    parts = [(s, *lm_scoring.BloomCounts.build(keys[seg == s], counts[seg == s], 1 << 30)) for s in range(8)]
+    parts = [(s, *lm_scoring.BloomCounts.build(keys[seg == s], counts[seg == s])) for s in range(8)]
     bloom = lm_scoring.BloomCounts(parts, 8)
     got = bloom.lookup(keys)
     assert (got >= lm_scoring.count_of(lm_scoring.level_of(counts)) - 1e-9).all()  # never too low
     assert np.mean(got == lm_scoring.count_of(lm_scoring.level_of(counts))) > 0.85
     assert np.mean(bloom.lookup(rng.integers(0, 2**48, 20_000, dtype=np.uint64)) > 0) < 0.13
-    bits, raw = lm_scoring.BloomCounts.build(keys, counts, 40_000)
-    assert bits <= 40_000 and len(raw) <= 5_008
 
 
 def test_lm_odd(odd, empty):
@@ -503,6 +545,7 @@ def test_lm_odd(odd, empty):
 
     rows = lm_scores(odd, lambda i: i % 2 == 1).collect()
     assert len(rows) == 10 and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in rows)
+    assert sorted(map(str, lm_scores(odd, lambda i: i % 2 == 1, most_filter_bytes=0).collect())) == sorted(map(str, rows))
     assert lm_scores(odd, lambda i: F.lit(False)).where("n_known > 0").count() == 0
     assert lm_scores(empty, lambda i: F.lit(True)).count() == 0
 
@@ -586,8 +629,11 @@ def test_token_output_odd(odd, empty):
     rng = random.Random(9)
     cases = ["", " ", "a ", " a", "a  b", "a \n b", "x y", "a  b", "don't stop's", "<|endoftext|>", "a <|endoftext|> b", "\x1c \x1c", LONG[:5000]]
     cases += ["".join(rng.choice("ab '.\n\té中1 \x1d") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
-    for t, raw in zip(cases, bpe.encode(cases), strict=True):
-        assert np.frombuffer(raw, "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    for end in (None, END_ID):
+        flat, n = bpe.encode(cases, end)
+        for t, ids in zip(cases, np.split(flat, np.cumsum(n)[:-1]), strict=True):
+            assert ids.tolist() == lib.encode(t, add_special_tokens=False).ids + [END_ID] * (end is not None), repr(t)
+    assert [x.tolist() for x in bpe.encode([], END_ID)] == [[], []]
     rows = token_output.token_output(odd, path, END_ID).collect()
     assert len(rows) == 10 and [r["n_tokens"] for r in rows if r["doc_id"] == 1] == [1]
     assert token_output.token_output(empty, path, END_ID).count() == 0
