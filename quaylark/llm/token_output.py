@@ -13,12 +13,12 @@ next level, and a key's number is the rank of its place.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, repeat
 from uuid import uuid4
 
 import numpy as np
@@ -33,7 +33,8 @@ from .core import binary, materialise, shared_dir, slices
 MAGIC = b"QLTOK1\0\0"
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 65_536
-CACHE_WORDS = 300_000
+#: Words and pieces that a worker remembers.
+CACHE_WORDS = 700_000
 GAMMA = 2.0
 
 
@@ -59,6 +60,8 @@ class PerfectHash:
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
         levels, left = [], keys.astype(np.uint64)
+        if len(np.unique(left)) < len(left):
+            raise ValueError("two documents of a shard have one key")
         while len(left):
             n_words = max(1, int(np.ceil(GAMMA * len(left) / 64)))
             at = (mix(left, len(levels) + 1) % np.uint64(n_words * 64)).astype(np.int64)
@@ -88,19 +91,31 @@ def key_of(ids: np.ndarray, null: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return mix(mix(ids.view(np.uint64), 101) ^ null.astype(np.uint64), 103) ^ mix(nth.astype(np.uint64), 107)
 
 
+def row_keys(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Keys of a shard's rows, which come in ascending id order."""
+    if not len(ids):
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(ids))
+    first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])))
+    return key_of(np.ascontiguousarray(ids), null, at - np.maximum.accumulate(np.where(first, at, 0)))
+
+
+def prints(keys: np.ndarray) -> np.ndarray:
+    """Fingerprints of keys, 32 bits each."""
+    return (mix(keys, 211) >> np.uint64(32)).astype(np.uint32)
+
+
 SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 ROW = np.dtype([("id", "<i8"), ("null", "u1"), ("length", "<u8")])
 
 
 def pack_index(ids: np.ndarray, null: np.ndarray, lengths: np.ndarray) -> bytes:
     """The index file of a shard, whose rows come in ascending id order."""
-    first = np.concatenate(([True], (ids[1:] != ids[:-1]) | (null[1:] != null[:-1]))) if len(ids) else np.zeros(0, bool)
-    nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-    keys = key_of(ids, null, nth)
+    keys = row_keys(ids, null)
     hashed = PerfectHash.build(keys)
     slots = np.zeros(len(ids), SLOT)
     at = hashed(keys)
-    slots["print"][at] = (mix(keys, 211) >> np.uint64(32)).astype(np.uint32)
+    slots["print"][at] = prints(keys)
     slots["row"][at] = np.arange(len(ids))
     slots["offset"][at] = np.cumsum(lengths) - lengths
     slots["length"][at] = lengths
@@ -132,11 +147,20 @@ class TokenShard:
         with self.fs.open_input_stream(self.path + ".ids") as f:
             return np.frombuffer(f.read(), f"<u{self.width}")
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and length of every row, in row order: each by its key's hash, with its fingerprint and row checked."""
+        ids, null = self.rows["id"], self.rows["null"].astype(bool)
+        keys = row_keys(ids, null)
+        slots = self.slots[self.hash(keys)]
+        if not (slots["print"] == prints(keys)).all() or not (slots["row"] == np.arange(len(ids))).all():
+            raise ValueError(f"the index of {self.base} is damaged")
+        return slots["offset"].astype(np.int64), slots["length"].astype(np.int64)
+
     def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
         """Ids of the nth row with this id, or None: one hash, one slot, one read."""
         key = key_of(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([nth]))
         at = int(self.hash(key)[0])
-        if at < 0 or self.slots["print"][at] != np.uint32(int(mix(key, 211)[0]) >> 32):
+        if at < 0 or self.slots["print"][at] != prints(key)[0]:
             return None
         row = self.rows[self.slots["row"][at]]
         if row["id"] != (doc_id or 0) or bool(row["null"]) != (doc_id is None):
@@ -148,8 +172,10 @@ class TokenShard:
 
 #: Texts whose pieces the pattern below finds: printable ASCII, line ends, tabs and Latin letters.  Other words go through the whole library.
 LATIN = re.compile("[ -~\\n\\r\\tÀ-ÖØ-öø-ɏ]*")
-#: Fixed value: the pre-tokeniser's pattern, for these characters.
-PIECE = re.compile("'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ɏ0-9]+|\\s+(?!\\S)|\\s+")
+#: Fixed value: the pre-tokeniser's pattern, for these characters.  A zero byte ends a word of a joined list of words.
+PIECE = re.compile("\0|'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\\s\0A-Za-zÀ-ÖØ-öø-ɏ0-9]+|\\s+(?![^\\s\0])|\\s+")
+#: Pieces that go to the library in one string, a zero byte before each.
+BUNCH = 64
 
 
 class ByteBpe:
@@ -161,6 +187,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -176,41 +203,100 @@ class ByteBpe:
             else:
                 self.letters[byte] = chr(256 + taken)
                 taken += 1
-        self.tokenize = self.whole.model.tokenize
-        #: Ids of words after a space, and of pieces.
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array("H" if self.width == 2 else "I", ids).tobytes()
-
-    def _all(self, text: str) -> bytes:
-        return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
-
-    def _pieces(self, text: str) -> bytes:
-        """A text by its pieces: each goes once to the library's model."""
-        if not LATIN.fullmatch(text):
-            return self._all(text)
-        out = []
-        for p in PIECE.findall(text):
-            got = self.pieces.get(p)
-            if got is None:
-                mapped = p.encode().decode("latin-1").translate(self.letters)
-                got = self.pieces[p] = self._pack([t.id for t in self.tokenize(mapped)])
-            out.append(got)
-        return b"".join(out)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.type = np.dtype(f"<u{self.width}")
+        self.bare = Tokenizer(self.whole.model)
+        vocabulary = self.whole.get_vocab()
+        self.zero = vocabulary.get(self.letters[0], -1)
+        if sum(self.letters[0] in t for t in vocabulary) != 1:
+            raise ValueError("merges cross zero bytes")
+        self._anew()
+
+    def _anew(self) -> None:
+        """Units are runs of ids, numbered: words after a space and pieces, by dictionaries, and parts of the texts at hand."""
+        self.words: dict[str, int] = {}
+        self.pieces: dict[str, int] = {"\0": 0}
+        self.n_units = self.n_ids = 0
+        self.begins, self.sizes, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type)
+        self._add(np.zeros(0, self.type), np.zeros(1, np.int64))
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> int:
+        """The number of the first of new units, given the ids of all and the number of each."""
+        first, at = self.n_units, self.n_ids
+        self.n_units, self.n_ids = first + len(size), at + len(ids)
+        self.begins, self.sizes, self.ids = (x if len(x) >= n else np.resize(x, 2 * n) for x, n in ((self.begins, self.n_units), (self.sizes, self.n_units), (self.ids, self.n_ids)))
+        self.begins[first : self.n_units], self.sizes[first : self.n_units] = at + np.cumsum(size) - size, size
+        self.ids[at : self.n_ids] = ids
+        return first
+
+    def _gather(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units one after another, and where each unit's end."""
+        size = self.sizes[units]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.begins[units] - (ends - size), size) + np.arange(int(size.sum()))], ends
+
+    def _all(self, text: str) -> list[int]:
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Units of new pieces: bunches of them go to the library's model as one string each; no merge crosses a zero byte."""
+        bunches = ["\0" + "\0".join(pieces[k : k + BUNCH]) for k in range(0, len(pieces), BUNCH)]
+        encoded = self.bare.encode_batch_fast([t.encode().decode("latin-1").translate(self.letters) for t in bunches], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), dtype=np.int64)
+        at = np.flatnonzero(ids == self.zero)
+        first = self._add(ids[ids != self.zero], np.diff(np.concatenate((at, [len(ids)]))) - 1)
+        self.pieces.update(zip(pieces, range(first, self.n_units), strict=True))
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another and the number of each: by their pieces where their characters are of the stated set."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not LATIN.fullmatch("".join(words)):
+            fits = [bool(LATIN.fullmatch(w)) for w in words]
+            ids, size = self._encoded([w for w, f in zip(words, fits, strict=True) if f])
+            known = iter(np.split(ids, np.cumsum(size)))
+            parts = [next(known) if f else np.array(self._all(w), np.int64) for w, f in zip(words, fits, strict=True)]
+            return np.concatenate(parts), np.array([len(x) for x in parts], dtype=np.int64)
+        found = PIECE.findall("\0".join([*words, ""]))
+        new = list(set(found).difference(self.pieces))
+        if new:
+            self._learn(new)
+        units = np.fromiter(map(self.pieces.__getitem__, found), dtype=np.int64, count=len(found))
+        ids, ends = self._gather(units)
+        return ids, np.diff(np.concatenate(([0], ends[units == 0])))
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with end_id behind it if given, and the number of each text's ids."""
+        if self.n_units > CACHE_WORDS:
+            self._anew()
         split = [t.split(" ") if plain(t, self.special) else None for t in texts]
-        need = set().union(*(s[1:] for s in split if s))
-        if len(self.words) + len(need) > CACHE_WORDS:  # go on with the words that are in use
-            self.words = {w: self.words[w] for w in need.intersection(self.words)}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        for w in need.difference(self.words):
-            self.words[w] = self._pieces(" " + w)
-        get = self.words.__getitem__
-        return [self._pieces(s[0]) + b"".join(map(get, s[1:])) if s else self._all(t) for t, s in zip(texts, split, strict=True)]
+        flat = list(chain.from_iterable(s[1:] for s in split if s))
+        words = self.words
+        at = np.fromiter(map(words.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        miss = np.flatnonzero(at < 0)
+        new = [flat[i] for i in miss.tolist()]
+        fresh = list(dict.fromkeys(new))
+        first = self._add(*self._encoded([" " + w for w in fresh]))
+        words.update(zip(fresh, range(first, self.n_units), strict=True))
+        at[miss] = np.fromiter(map(words.__getitem__, new), dtype=np.int64, count=len(new))
+        begins = self._encoded([s[0] for s in split if s])
+        # The units of these texts only: their beginnings, texts that are not cut, and the end.
+        kept = self.n_units, self.n_ids
+        heads = np.empty(len(texts), np.int64)
+        cut = np.array([s is not None for s in split], dtype=bool)
+        heads[cut] = self._add(*begins) + np.arange(int(cut.sum()))
+        for i in np.flatnonzero(~cut).tolist():
+            ids = np.array(self._all(texts[i]), dtype=np.int64)
+            heads[i] = self._add(ids, np.array([len(ids)]))
+        end = self._add(np.array([] if end_id is None else [end_id], np.int64), np.array([int(end_id is not None)]))
+        inner = np.array([len(s) - 1 if s else 0 for s in split], dtype=np.int64)
+        stops = np.cumsum(inner + 2)
+        units = np.empty(int((inner + 2).sum()), np.int64)
+        own = np.ones(len(units), dtype=bool)
+        own[stops - 1] = own[stops - inner - 2] = False
+        units[stops - 1], units[stops - inner - 2], units[own] = end, heads, at
+        ids, ends = self._gather(units)
+        self.n_units, self.n_ids = kept
+        return ids, np.diff(np.concatenate(([0], ends[stops - 1])))
 
 
 AFTER_SPACE = re.compile(r" (?:\s|\Z)")
@@ -252,13 +338,14 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, edges = byte_bpe(tokenizer_path), np.array(cuts, dtype=np.int64)
-        tail = np.array([end_id], dtype=f"<u{bpe.width}").tobytes()
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 ids = batch.column(0)
                 shard = np.searchsorted(edges, ids.fill_null(-(2**63)).to_numpy(), side="left").astype(np.int32)
-                packed = [x + tail for x in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(packed, pa.binary())], names=["shard", "id", "ids"])
+                flat, n = bpe.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+                offsets = (np.concatenate(([0], np.cumsum(n))) * bpe.width).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), ids, packed], names=["shard", "id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -301,8 +388,8 @@ def read_tokens(manifest: DataFrame, width: int, id_col: str = "doc_id", with_id
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = TokenShard(path, width)
-                data, n = shard.payload(), shard.rows["length"].astype(np.int64)
-                ends = np.cumsum(n)
+                data, (begins, n) = shard.payload(), shard.places()
+                ends = begins + n
                 for lo in range(0, len(n), 4096):
                     at = slice(lo, lo + 4096)
                     docs = [data[e - k : e].astype("<u4") for e, k in zip(ends[at].tolist(), n[at].tolist(), strict=True)]
