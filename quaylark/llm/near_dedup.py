@@ -37,8 +37,10 @@ BUDGET = 2
 #: Of 256 bits; at similarity 0.8 a pair differs in 39, give or take 6.
 MOST_BITS = 62
 SURE_BITS = 18
-#: Texts of the sample that tells common shingles, which come last in the order; it bears on time alone.
-SAMPLE = 8_000
+#: One text in so many is counted to tell common shingles, which come last in the order, and so many of those at most
+#: are broadcast (12 bytes each); both bear on time alone.
+SAMPLE_OF = 8
+MOST_COMMON = 2_000_000
 #: Texts of one shingle up to which they are checked as pairs, and of a block beyond.
 FEW = 64
 BLOCK = 512
@@ -63,14 +65,48 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _common(prepared: DataFrame) -> np.ndarray:
-    """Shingles that several texts of a bounded sample share, sorted by hash, with their ranks, rarest first."""
-    step = max(1, prepared.count() // SAMPLE)
-    drawn = prepared.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select(F.substring("words", 1, 40_000).alias("w")).limit(SAMPLE).toArrow()
-    values, counts = np.unique(np.frombuffer(b"".join(drawn.column(0).to_pylist()), "<u4"), return_counts=True)
-    values, counts = values[counts >= 4], counts[counts >= 4]
+    """Shingles that some FEW texts or more share, sorted by hash, with their ranks, rarest first.
+
+    Counted over one text in SAMPLE_OF, in shards of the shingles; the most frequent MOST_COMMON go to the driver.
+    """
+    n_shards = 4 * max(8, partitions(prepared.sparkSession))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 2_000):
+                word = np.frombuffer(b"".join(b.column(0).slice(start, 2_000).to_pylist()), "<u4")
+                shard = word % n_shards
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([word[order[cuts[s] : cuts[s + 1]]].tobytes() for s in full], pa.binary())], names=["shard", "words"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done():
+            values, counts = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+            often = counts >= FEW // SAMPLE_OF
+            return pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["word", "n"])
+
+        for b in batches:
+            for shard, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != now and held:
+                    yield done()
+                    held = []
+                now = shard
+                held.append(words)
+        if held:
+            yield done()
+
+    drawn = prepared.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_OF)) == 0).select("words").mapInArrow(post, "shard int, words binary")
+    often = drawn.repartition(partitions(prepared.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(count, "word long, n long")
+    top = materialise(often, "near-common").orderBy(F.col("n").desc(), "word").limit(MOST_COMMON).toArrow()
+    values, counts = top.column(0).to_numpy(), top.column(1).to_numpy()
     ranks = np.empty(len(values), np.int64)
     ranks[np.lexsort((values, counts))] = np.arange(len(values))
-    return np.stack([values.astype(np.int64), ranks])
+    order = np.argsort(values)
+    return np.stack([values[order], ranks[order]])
 
 
 def prefix(words: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -156,11 +192,18 @@ def prefix_pairs(prepared: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Numbers of shingles that each set of x shares with each of y: products of 0/1 matrices, some columns at a time."""
+    """Numbers of shingles that each set of x shares with each of y: products of 0/1 matrices, some columns at a time.
+
+    Where x is y, a set's number with itself is of no use and left out of account.
+    """
     out = np.zeros((len(x), len(y)), dtype=np.float32)
     nx, ny = [len(s) for s in x], [len(s) for s in y]
     fx, fy = np.concatenate(x), np.concatenate(y)
-    both = np.intersect1d(fx, fy)
+    if x is y:
+        both, times = np.unique(fx, return_counts=True)
+        both = both[times > 1]
+    else:
+        both = np.intersect1d(fx, fy)
     sides = []
     for flat, n in ((fx, nx), (fy, ny)):
         row, col = np.repeat(np.arange(len(n)), n), np.searchsorted(both, flat)
@@ -184,7 +227,9 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y = pdf[pdf["own"] == pdf["i"]], pdf[pdf["own"] == pdf["j"]]
     links = []
     if len(x) and len(y):
-        sx, sy = ([np.frombuffer(w, "<u4") for w in p["words"]] for p in (x, y))
+        alike = bool((pdf["i"] == pdf["j"]).iloc[0])
+        sx = [np.frombuffer(w, "<u4") for w in x["words"]]
+        sy = sx if alike else [np.frombuffer(w, "<u4") for w in y["words"]]
         same = overlaps(sx, sy).astype(np.int64)
         total = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :]
         cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
@@ -196,6 +241,26 @@ def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """(group, i, j, own, id, component): the members of two blocks, for every two blocks of a group that need comparing.
+
+    A component with BLOCK members or more of a group has blocks of its own (home, its number; the others share home
+    -1), and blocks of one such component are not compared: its members are joined already.  So a hot group costs its
+    size times the number of those that are not joined to its bulk.
+    """
+    homes = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
+    homes = homes.select("group", "component", F.when(F.col("n") >= BLOCK, F.col("component")).otherwise(F.lit(-1)).alias("home"), "n")
+    sizes = homes.groupBy("group", "home").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "near-homes")
+    other = sizes.select("group", F.col("home").alias("other_home"), F.col("blocks").alias("other_blocks"))
+    placed = members.join(homes.drop("n"), ["group", "component"]).join(sizes, ["group", "home"])
+    name = lambda home, k: F.concat_ws("/", home.cast("string"), k.cast("string"))
+    placed = placed.withColumn("own", name(F.col("home"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    pairs = placed.join(other, "group").where("home != other_home or home = -1")
+    pairs = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1))).withColumn("other", name(F.col("other_home"), F.col("k").cast("long")))
+    return pairs.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -250,10 +315,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = materialise(members.withColumn("component", F.coalesce("component", "id")), "near-members")
     open_ = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = materialise(members.join(open_.select("group", "size"), "group"), "near-open")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cells = members.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cells = cells.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    cells = _cells(members.drop("size"))
     sets = prepared.select("id", "key", "words").join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "key"])
     cells = cells.join(materialise(sets.drop("key"), "near-sets"), "id").drop("id")
     joined = cells.groupBy("group", "i", "j").applyInPandas(_block, "a long, b long")
