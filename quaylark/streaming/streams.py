@@ -1,14 +1,12 @@
-"""Streaming forms of append-only logs: resume without repeats, last write wins, keyed state machines, reject filters."""
+"""Streaming forms of append-only logs: resume without repeats, last write wins, windows, reject filters."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: Parts that a table of last writes is cut into; a micro-batch rewrites only those that it touches.
+BUCKETS = 64
 
 
 def result_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -18,7 +16,8 @@ def result_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 def append_new(stream: DataFrame, keys: list[str], folder: str, checkpoint: str, watermark: tuple[str, str] | None = None):
     """Each key once: repeats are dropped by state, and a batch that runs again overwrites its own folder.
 
-    Without a watermark the state keeps every key; with one (event-time column, delay) it forgets older keys.
+    Without a watermark the state keeps every key for ever, and grows with them: give one (event-time column, delay)
+    wherever a key can't come back later than that.
     """
     if watermark:
         stream = stream.withWatermark(*watermark)
@@ -27,20 +26,46 @@ def append_new(stream: DataFrame, keys: list[str], folder: str, checkpoint: str,
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: str, folder: str, checkpoint: str):
-    """Last write per key: batch by batch against the table of the batch before, which stays as it is."""
+def upsert_latest(stream: DataFrame, keys: list[str], order: str, folder: str, checkpoint: str, buckets: int = BUCKETS):
+    """Last write per key.  Each micro-batch merges the buckets that its keys fall into, as a version of its own.
+
+    `current` names the version of each bucket after each batch (a row a bucket), so that a batch that runs again starts
+    from the batch before it and readers see whole batches.  read_latest() reads the table.
+    """
 
     def merge(df: DataFrame, batch: int):
         spark = df.sparkSession
-        if batch:
-            df = df.unionByName(spark.read.schema(df.schema).parquet(f"{folder}/version={batch - 1}"))
-        values = [c for c in df.columns if c not in keys]
-        last = df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("v")).select(*keys, "v.*").select(*df.columns)
-        last.write.mode("overwrite").parquet(f"{folder}/version={batch}")
+        names = df.columns
+        placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        placed.persist()
+        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # a row a bucket at most
+        before = _versions(spark, folder, batch - 1) if batch else {}
+        old = [f"{folder}/data/version={before[b]}/_bucket={b}" for b in touched if b in before]
+        if old:
+            kept = spark.read.schema(df.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            placed_all = placed.unionByName(kept)
+        else:
+            placed_all = placed
+        values = [c for c in names if c not in keys]
+        last = placed_all.groupBy("_bucket", *keys).agg(F.max_by(F.struct(*values), order).alias("_last")).select("_bucket", *keys, "_last.*")
+        last.select(*names, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/data/version={batch}")
+        now = before | dict.fromkeys(touched, batch)
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current/{batch}")
+        placed.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, folder: str, batch: int) -> dict[int, int]:
+    return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version long").parquet(f"{folder}/current/{batch}").collect()}
+
+
+def read_latest(spark: SparkSession, folder: str, batch: int, schema) -> DataFrame:
+    """The table of last writes after a batch."""
+    paths = [f"{folder}/data/version={v}/_bucket={b}" for b, v in _versions(spark, folder, batch).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and means by event-time window, with late rows up to the watermark."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
@@ -48,119 +73,3 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "10 min
 
 def without_rejects(stream: DataFrame, rejects: DataFrame) -> DataFrame:
     return stream.join(rejects.select("path"), "path", "left_anti")
-
-
-@dataclass
-class Curriculum:
-    """Gate and recovery of an adaptive curriculum, fed with probes in step order.
-
-    The gate opens at the first probe from the clean phase's end on whose exact accuracy reaches the threshold.  Later,
-    a drop of the beam's top-1 below the baseline freezes the schedule and halves the consistency weight, once; it goes
-    on after enough good probes in a row.
-    """
-
-    nominal: int = 70_000
-    threshold: float = 0.5
-    extra: int = 30_000
-    drop: float = 0.05
-    good_needed: int = 2
-    timeout: int = 20_000
-    opened_at: int | None = None
-    baseline: float | None = None
-    paused: int = 0
-    frozen: int | None = None
-    recovering_since: int | None = None
-    streak: int = 0
-    multiplier: float = 1.0
-    used: bool = False
-    history: list = field(default_factory=list)
-
-    @property
-    def clean(self) -> int:
-        return round(self.nominal * 20_000 / 70_000)
-
-    @property
-    def hard_limit(self) -> int:
-        return self.nominal + self.extra + self.timeout
-
-    def effective(self, step: int) -> int:
-        if step < self.clean:
-            return step
-        if self.opened_at is None:
-            return self.clean
-        if self.frozen is not None:
-            return self.frozen
-        return min(self.nominal, self.clean + max(0, step - self.opened_at - self.paused))
-
-    def probe(self, step: int, exact: float, top1: float, active: bool) -> tuple[str | None, str | None]:
-        """(event, failure) of one probe."""
-        if self.opened_at is None:
-            return self._gate(step, exact, top1)
-        good = top1 >= self.baseline - self.drop
-        if self.recovering_since is not None:
-            return self._recover(step, good)
-        if good or not active:
-            return None, None
-        if self.used:
-            return None, "second regression"
-        self.frozen, self.recovering_since, self.streak = self.effective(step), step, 0
-        self.used, self.multiplier = True, self.multiplier / 2
-        return "recovery_started", None
-
-    def _gate(self, step, exact, top1):
-        if step < self.clean:
-            return None, None
-        if exact >= self.threshold:
-            self.opened_at, self.baseline = step, top1
-            return "gate_opened", None
-        return ("gate_waiting", None) if step < self.clean + self.extra else (None, "gate timeout")
-
-    def _recover(self, step, good):
-        self.streak = self.streak + 1 if good else 0
-        if self.streak >= self.good_needed:
-            self.paused += step - self.recovering_since
-            self.frozen = self.recovering_since = None
-            self.streak = 0
-            return "recovery_completed", None
-        return ("recovery_waiting", None) if step - self.recovering_since < self.timeout else (None, "recovery timeout")
-
-    def to_dict(self) -> dict:
-        return asdict(self)
-
-    @classmethod
-    def from_dict(cls, d: dict) -> Curriculum:
-        return cls(**d)
-
-
-EVENTS = "run_id string, global_step long, event string, failure string, effective_step long, multiplier double"
-
-
-def _fold(machine: Curriculum, rows: pd.DataFrame, run_id) -> pd.DataFrame:
-    out = []
-    for r in rows.sort_values("global_step").itertuples():
-        event, failure = machine.probe(int(r.global_step), float(r.exact), float(r.top1), bool(r.active))
-        out.append((run_id, int(r.global_step), event, failure, machine.effective(int(r.global_step)), machine.multiplier))
-    return pd.DataFrame(out, columns=["run_id", "global_step", "event", "failure", "effective_step", "multiplier"])
-
-
-def curriculum_events(probes: DataFrame, **settings) -> DataFrame:
-    """Events of each run's probes (run_id, global_step, exact, top1, active): one run's probes are a few hundred rows."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(Curriculum(**settings), pdf, key[0])
-
-    return probes.groupBy("run_id").applyInPandas(run, EVENTS)
-
-
-def curriculum_stream(probes: DataFrame, **settings) -> DataFrame:
-    """The same over a stream: the machine of a run is its state."""
-    state = "nominal long, threshold double, extra long, drop double, good_needed long, timeout long, opened_at long, baseline double, paused long, frozen long, recovering_since long, streak long, multiplier double, used boolean"
-    names = [x.split()[0] for x in state.split(", ")]
-
-    def run(key, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Curriculum(**dict(zip(names, held.get, strict=True))) if held.exists else Curriculum(**settings)
-        for p in parts:
-            yield _fold(machine, p, key[0])
-        held.update(tuple(getattr(machine, n) for n in names))
-
-    return probes.groupBy("run_id").applyInPandasWithState(run, EVENTS, state, "append", GroupStateTimeout.NoTimeout)

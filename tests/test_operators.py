@@ -1,6 +1,7 @@
 """Operators on hand-made tables: goldens, errors, files, streams."""
 
 import itertools
+import json
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quaylark.functions.tokens import Vocabulary
 from quaylark.operators import catalogue, corpus, curves, decode, evaluation, losses, metrics, quality, sampling
 from quaylark.sources import files, settings
-from quaylark.streaming import streams
+from quaylark.streaming import curriculum, streams
 
 
 @pytest.fixture(scope="module")
@@ -99,8 +100,8 @@ def test_splits_and_matches(spark):
     a, b = rng.integers(0, 100, 60) / 1.0, rng.integers(0, 100, 20) / 1.0
     left = spark.createDataFrame([(i, float(x)) for i, x in enumerate(a)], "k int, s double")
     right = spark.createDataFrame([(i, float(x)) for i, x in enumerate(b)], "ir int, s double")
-    for width in (1.0, 30.0):
-        got = sampling.nearest_match(left, right, "k", "s", "ir", 1, buckets=width).collect()
+    for ranges in (1, 4, 256):
+        got = sampling.nearest_match(left, right, "k", "s", "ir", 1, ranges=ranges).collect()
         assert len(got) == 60 and all(abs(a[r["k"]] - r["matched"]) == np.abs(b - a[r["k"]]).min() and b[r["ir"]] == r["matched"] for r in got)
 
 
@@ -162,7 +163,9 @@ def test_corpus(spark):
     assert [r["label"] for r in corpus.apply_merge(rows, "label", 2).collect()] == [2, 2, 2, 2]
     assets = spark.createDataFrame([("d", "b", "x", "train"), ("d", "c", "y", "test"), ("d", "a", "z", "train"), ("e", "a", "w", "train")], "digest string, collection string, relative string, split string")
     assert {r["digest"]: r["relative"] for r in corpus.dedupe_keepers(assets).collect()} == {"d": "y", "e": "w"}
-    assert sorted((r["removed"], r["cross_split"]) for r in corpus.dedupe_audit(assets).collect()) == [("x", True), ("z", True)]
+    assert sorted((r["removed"], r["cross_split"]) for r in corpus.dedupe_audit(assets).collect()) == [("train/a/z", True), ("train/b/x", True)]
+    same_path = spark.createDataFrame([("d", "a", "x", "train"), ("d", "b", "x", "train")], assets.schema)
+    assert [tuple(r) for r in corpus.dedupe_audit(same_path).collect()] == [("d", "train/a/x", "train/b/x", False)]
 
 
 def test_curves(spark):
@@ -189,12 +192,15 @@ def test_token_store(spark, tmp_path):
     rows = [(i, f"t{i // 2}", f"{i // 2:05d}", "p", i * 5.0, 5.0, "ok" if i < 9 else "failed", 0, 2, 1, None if i < 9 else "bad", "canonical", "train", None, 0, [i, 1024 + i], i // 4) for i in range(10)]
     schema = files.TOKENS.add("shard_id", "integer")
     df = spark.createDataFrame(rows, schema)
-    files.write_token_store(df, f"{tmp_path}/store", Vocabulary(2).total, "train")
-    got = files.read_token_store(spark, f"{tmp_path}/store", Vocabulary(2).total, "train")
+    files.write_token_store(df, f"{tmp_path}/store", Vocabulary(2).total, "train", "f")
+    got = files.read_token_store(spark, f"{tmp_path}/store", Vocabulary(2).total, "train", "f")
     assert got.count() == 9 and [r["x"] for r in got.orderBy("document_index").select(files.span(F.col("tokens"), F.lit(1), F.lit(1)).alias("x")).limit(2).collect()] == [[1024], [1025]]
+    assert [r["document_index"] for r in got.collect()] == list(range(9))
+    with pytest.raises(ValueError, match="other tokenizer"):
+        files.read_token_store(spark, f"{tmp_path}/store", Vocabulary(2).total, "train", "g")
     for bad in (df.withColumn("token_offset", F.lit(-1).cast("long")), df.withColumn("corpus_role", F.lit("other")), df.withColumn("token_count", F.lit(3))):
         with pytest.raises(ValueError, match="token store"):
-            files.write_token_store(bad, f"{tmp_path}/bad", Vocabulary(2).total, "train")
+            files.write_token_store(bad, f"{tmp_path}/bad", Vocabulary(2).total, "train", "f")
 
 
 def test_files(spark, tracks, tmp_path):
@@ -206,7 +212,7 @@ def test_files(spark, tracks, tmp_path):
     files.write_csv(tracks, f"{tmp_path}/csv", ["track_id", "absent", "code"])
     assert spark.read.csv(f"{tmp_path}/csv", header=True).columns == ["track_id", "absent", "code"]
     waves = spark.createDataFrame([("a.wav", [0.0, 0.5, -0.5]), ("b.wav", [])], "name string, samples array<double>")
-    folder = f"{tmp_path}/wavs"
+    folder = f"file://{tmp_path}/wavs"
     assert {r["name"]: r["status"] for r in files.convert_files(waves, folder, 8000).collect()} == {"a.wav": "converted", "b.wav": "failed"}
     assert files.convert_files(waves, folder, 8000).where("status = 'existing'").count() == 1
     (tmp_path / "wavs/bad.WAV").write_bytes(b"no")
@@ -228,6 +234,29 @@ def test_results_log(spark, tmp_path):
     assert files.read_results(spark, f"{tmp_path}/log.jsonl", "p").count() == 1
     with pytest.raises(ValueError, match="other protocol"):
         files.read_results(spark, f"{tmp_path}/log.jsonl", "q")
+    # What is appended can be resumed from; nulls are written out and keys of all levels sorted.
+    rows = [("p", "ok", t, "s", 2.0, None, None, True, None, [1], [("00001", -1.0, True)]) for t in ("a", "b")]
+    for r in rows:
+        files.append_results(spark.createDataFrame([r], files.RESULT), f"{tmp_path}/log")
+    assert sorted(map(tuple, files.read_results(spark, f"{tmp_path}/log", "p").select("track_id", "top1_eos_valid", "window_starts").collect())) == [("a", True, [1]), ("b", True, [1])]
+    line = json.loads(spark.read.text(f"{tmp_path}/log").first()[0])
+    assert line["error"] is None and list(line) == sorted(line) and list(line["beam"][0]) == ["code", "ended_with_eos", "mean_log_probability"]
+
+
+def test_sealed_documents(tmp_path):
+    content = {"configuration": {"protocol": "v1", "n": 1}, "recipes": [{"track_id": "a"}], "queries": [1, 2]}
+    path = f"{tmp_path}/manifest.json"
+    assert files.reusable_recipes(path, "v1") is None
+    files.write_json(path, files.sealed(content))
+    assert files.reusable_recipes(path, "v1") == [{"track_id": "a"}]
+    assert files.check_manifest(files.read_json(path), content["configuration"], 2) == content
+    for broken, protocol in ((files.sealed(content) | {"queries": []}, "v1"), (files.sealed(content), "v2"), (files.sealed(content | {"recipes": 3}), "v1")):
+        files.write_json(path, broken)
+        with pytest.raises(ValueError):
+            files.reusable_recipes(path, protocol)
+    for configuration, n in (({}, 2), (content["configuration"], 3)):
+        with pytest.raises(ValueError):
+            files.check_manifest(files.sealed(content), configuration, n)
 
 
 def test_settings(tmp_path):
@@ -243,23 +272,42 @@ def test_settings(tmp_path):
     assert settings.unexpected_keys({"a": 1, "b": 2}, {"a"}) == ["b"]
 
 
-def test_curriculum(spark, tmp_path):
-    m = streams.Curriculum()
-    assert (m.clean, m.hard_limit) == (20_000, 120_000)
-    trace = [(10_000, 0.9, 0.9, False), (20_000, 0.2, 0.1, False), (25_000, 0.6, 0.8, False), (30_000, 0.6, 0.7, True), (31_000, 0.6, 0.8, True), (32_000, 0.6, 0.8, True), (40_000, 0.6, 0.1, True)]
-    want = [None, "gate_waiting", "gate_opened", "recovery_started", "recovery_waiting", "recovery_completed", None]
-    rows = spark.createDataFrame([("r", *t) for t in trace], "run_id string, global_step long, exact double, top1 double, active boolean")
-    got = streams.curriculum_events(rows).orderBy("global_step").collect()
-    assert [r["event"] for r in got] == want and got[-1]["failure"] == "second regression" and got[3]["multiplier"] == 0.5
-    assert [r["effective_step"] for r in got] == [10_000, 20_000, 20_000, 25_000, 25_000, 25_000, 33_000]
-    assert streams.Curriculum().probe(50_000, 0.1, 0.1, False) == (None, "gate timeout")
-    machine = streams.Curriculum.from_dict(m.to_dict())
-    assert machine == m
-    for i, part in enumerate((rows.limit(3), rows.exceptAll(rows.limit(3)))):
+TRACE = [(10_000, 0.9, 0.9, False), (20_000, 0.49, 0.7, False), (25_000, 0.5, 0.8, False), (30_000, 0.8, 0.74, True), (32_500, 0.8, 0.75, True), (35_000, 0.8, 0.76, True), (40_000, 0.8, 0.1, True)]
+TOLD = [None, "gate_waiting", "gate_opened", "recovery_started", "recovery_waiting", "recovery_completed", None]
+
+
+def test_curriculum_gate_and_recovery():
+    limits, state, told = curriculum.Limits(), curriculum.State(), []
+    assert (limits.clean, limits.hard_limit) == (20_000, 120_000)
+    clock = []
+    for t in TRACE:
+        state, event, failure = curriculum.advance(state, curriculum.Probe(*t), limits)
+        told.append(event)
+        clock.append(curriculum.effective_step(state, t[0], limits))
+    assert told == TOLD and "second time" in failure and curriculum.multiplier(state) == 0.5
+    assert clock == [10_000, 20_000, 20_000, 25_000, 25_000, 25_000, 30_000]
+    assert curriculum.effective_step(state, 42_500, limits) == 32_500 and curriculum.effective_step(state, 200_000, limits) == 70_000
+    gated = curriculum.State()
+    assert curriculum.effective_step(gated, 25_000, limits) == 20_000
+    assert "gate allowance" in curriculum.advance(gated, curriculum.Probe(50_000, 0.49, 0.7, False), limits)[2]
+    state = gated
+    for t in ((20_000, 0.5, 0.8, False), (25_000, 0.8, 0.7, True)):
+        state = curriculum.advance(state, curriculum.Probe(*t), limits)[0]
+    assert state.phase == "recovering" and curriculum.advance(state, curriculum.Probe(44_999, 0.8, 0.7, True), limits)[1] == "recovery_waiting"
+    assert "recover within" in curriculum.advance(state, curriculum.Probe(45_000, 0.8, 0.7, True), limits)[2]
+    quiet = curriculum.advance(state._replace(phase="open"), curriculum.Probe(30_000, 0.8, 0.1, False), limits)
+    assert quiet[1:] == (None, None)
+
+
+def test_curriculum_streams(spark, tmp_path):
+    rows = spark.createDataFrame([("r", *t) for t in TRACE], "run_id string, global_step long, exact double, top1 double, active boolean")
+    got = curriculum.curriculum_events(rows).orderBy("global_step").collect()
+    assert [r["event"] for r in got] == TOLD and got[3]["multiplier"] == 0.5 and got[-1]["failure"]
+    for part in (rows.where("global_step < 26000"), rows.where("global_step > 26000")):
         part.coalesce(1).write.mode("append").json(f"{tmp_path}/in")
-        stream = streams.curriculum_stream(streams.result_stream(spark, f"{tmp_path}/in", rows.schema))
+        stream = curriculum.curriculum_stream(streams.result_stream(spark, f"{tmp_path}/in", rows.schema))
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    assert [r["event"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("global_step").collect()] == want
+    assert [r["event"] for r in spark.read.parquet(f"{tmp_path}/out").orderBy("global_step").collect()] == TOLD
 
 
 def test_streams(spark, tmp_path):
@@ -271,4 +319,4 @@ def test_streams(spark, tmp_path):
         q = streams.upsert_latest(source(), ["track_id", "step"], "line", f"{tmp_path}/last", f"{tmp_path}/ck2")
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/new").count() == 2
-    assert sorted((r["track_id"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/last/version=1").collect()) == [("a", 3.0), ("b", 4.0)]
+    assert sorted((r["track_id"], r["value"]) for r in streams.read_latest(spark, f"{tmp_path}/last", 1, schema).collect()) == [("a", 3.0), ("b", 4.0)]
