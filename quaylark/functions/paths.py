@@ -32,13 +32,30 @@ def safe_name(name: Column) -> Column:
     return F.when(F.length(out) > 0, out).otherwise(F.raise_error(F.lit("empty query name")).cast("string"))
 
 
+def g_text(x: Column) -> Column:
+    """A number as %g writes it: six significant digits, no trailing zeros, an exponent below -4 and from 6 on."""
+    x = x.cast("double")
+    parts = F.split(F.format_string("%.5e", x), "e")
+    power = F.element_at(parts, 2).cast("int")
+    trimmed = lambda s: F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    out = F.concat(trimmed(F.element_at(parts, 1)), F.lit("e"), F.element_at(parts, 2))
+    for p in range(-4, 6):
+        out = F.when(power == p, trimmed(F.format_string(f"%.{5 - p}f", x))).otherwise(out)
+    return F.when(x == 0, "0").otherwise(out)
+
+
 def snr_range_id(low: Column, high: Column) -> Column:
-    """'0_5db' of integer bounds."""
-    return F.concat(low.cast("int").cast("string"), F.lit("_"), high.cast("int").cast("string"), F.lit("db"))
+    """'0_5db', '0_2.5db'."""
+    return F.concat(g_text(low), F.lit("_"), g_text(high), F.lit("db"))
 
 
 def record_id(track: Column, suite: Column, seconds: Column) -> Column:
-    return F.concat_ws("__", track, suite, F.concat(seconds.cast("int").cast("string"), F.lit("s")))
+    return F.concat_ws("__", track, suite, F.concat(g_text(seconds), F.lit("s")))
+
+
+def reference_id(path: Column) -> Column:
+    """The name under which a query's track is listed: the stem of its path."""
+    return stem(path)
 
 
 def metric_key(name: Column) -> Column:
@@ -71,19 +88,19 @@ def first_room(name: Column, rooms=AACHEN_ROOMS) -> Column:
 
 
 def microphone(path: Column, names) -> Column:
-    """Longest name that the file name starts with, else the longest that the path contains."""
-    ordered = sorted(names, key=lambda n: (-len(n), n))
+    """Longest name that the file name starts with, else the longest that the path contains; letters' case counts."""
+    ordered = sorted(names, key=lambda n: -len(n))
     known = F.array(*map(F.lit, ordered))
     file = basename(path)
     return F.coalesce(
-        F.try_element_at(F.filter(known, lambda n: F.startswith(F.lower(file), F.lower(n))), F.lit(1)),
-        F.try_element_at(F.filter(known, lambda n: F.contains(F.lower(path), F.lower(n))), F.lit(1)),
+        F.try_element_at(F.filter(known, lambda n: F.startswith(file, n)), F.lit(1)),
+        F.try_element_at(F.filter(known, lambda n: F.contains(path, n)), F.lit(1)),
     )
 
 
 def incident_angle(name: Column) -> Column:
-    """Last angle of forms like Deg030, angle_30 or 030Deg."""
-    found = F.regexp_extract_all(name, F.lit(r"(?i)(?:(?:deg|angle)[_-]?(\d+))|(?:(\d+)deg)"), F.lit(0))
+    """Last angle of three digits at most, of forms like Deg030, angle_30 or 030deg."""
+    found = F.regexp_extract_all(name, F.lit(r"(?:Deg|deg|angle[_-]?)(\d{1,3})|(\d{1,3})(?:Deg|deg)"), F.lit(0))
     return F.when(F.size(found) > 0, F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"(\d+)", 1).cast("int"))
 
 

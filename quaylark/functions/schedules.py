@@ -173,3 +173,13 @@ def batch_exposure(codebooks: int, tracks: int, updates: int = 225_000, document
     frames = int(seconds * rate)
     targets = frames * codebooks
     return dict(weight=4 * codebooks, targets=targets, length=targets + 8, batch_targets=documents * targets, exposures=updates * documents, per_track=updates * documents // tracks)
+
+
+def background_probability(noise: Column, noise_rir: Column) -> Column:
+    """How often any noise is applied: alone or with a room."""
+    return noise + noise_rir
+
+
+def room_probability(rir: Column, noise_rir: Column) -> Column:
+    """How often a room is applied: alone or with noise."""
+    return rir + noise_rir

@@ -58,15 +58,6 @@ def convolve_direct(x: Column, response: Column) -> Column:
     return let(x, lambda x: let(response, lambda h: sums(x, h)))
 
 
-def full_wet(context: Column, response: Column, past: Column) -> Column:
-    """Convolve context with response, scale by the peak over the whole context, and drop the past; NULL if silent."""
-
-    def scaled(wet: Column) -> Column:
-        return let(peak(wet), lambda top: F.when(top > EPSILON, F.transform(F.slice(wet, past + 1, F.greatest(F.size(wet) - past, F.lit(0))), lambda v: v / top)))
-
-    return let(convolve_direct(context, response), scaled)
-
-
 @F.pandas_udf(ArrayType(DoubleType()))
 def convolve_fft(x: pd.Series, response: pd.Series) -> pd.Series:
     """Linear convolution cut to the input's length by FFT: for responses of any length."""
@@ -80,14 +71,45 @@ def convolve_fft(x: pd.Series, response: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(x, response, strict=True)])
 
 
-def severity(x: Column) -> Column:
-    """Samples from the peak until 99 % of the energy after it is spent; infinite for silent or non-finite input."""
+def _wet(context, response, past):
+    if context is None or response is None or not len(context) or not len(response):
+        return None
+    size = 1 << (len(context) + len(response) - 1).bit_length()
+    wet = np.fft.irfft(np.fft.rfft(context, size) * np.fft.rfft(response, size), size)[: len(context)]
+    top = np.abs(wet).max()
+    return wet[past:] / top if top > EPSILON else None
+
+
+def _mixed(signal, noise, snr_db):
+    """mix() for one pair of arrays."""
+    level, own = (np.sqrt(np.mean(np.square(x))) if len(x) else 0.0 for x in (signal, noise))
+    if not (level > EPSILON and own > EPSILON):
+        return signal
+    y = signal + noise * (level / (max(own, EPSILON) * 10.0 ** (snr_db / 20.0)))
+    return y * min(1.0, PEAK / max(np.abs(y).max(), EPSILON))
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def full_wet(context: pd.Series, response: pd.Series, past: pd.Series) -> pd.Series:
+    """Convolve context with response, scale by the peak over the whole context, and drop the past; NULL if silent."""
+    return pd.Series([_wet(*x) for x in zip(context, response, past, strict=True)])
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def noisy_wet(context: pd.Series, noise: pd.Series, snr_db: pd.Series, response: pd.Series, past: pd.Series) -> pd.Series:
+    """full_wet() of mix(): noise as long as the context, then the room."""
+    rows = zip(context, noise, snr_db, response, past, strict=True)
+    return pd.Series([None if c is None or n is None or s is None else _wet(_mixed(c, n, s), r, p) for c, n, s, r, p in rows])
+
+
+def severity(x: Column, rate: Column) -> Column:
+    """Seconds from the peak until 99 % of the energy after it is spent; infinite for silent or non-finite input."""
 
     def steps(energy: Column) -> Column:
         return let(F.lit(0.99) * total(energy), lambda most: F.aggregate(
             energy, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),
             lambda a, e: F.struct((a["sum"] + e).alias("sum"), (a["n"] + F.when(a["sum"] + e < most, 1).otherwise(0)).alias("n")),
-            lambda a: a["n"].cast("double"),
+            lambda a: a["n"] / rate.cast("double"),
         ))
 
     def decay(x: Column, top: Column) -> Column:

@@ -120,6 +120,15 @@ def view_rotation(rows: DataFrame, seed: int, catalogue_pass: int) -> DataFrame:
     return rows.withColumn("_p", F.row_number().over(w) - 1).withColumn("_n", n).where(F.col("_p") == F.lit(catalogue_pass) % F.col("_n")).drop("_p", "_n")
 
 
+def canonical_pairs(rows: DataFrame, seed: int, catalogue_pass: int) -> DataFrame:
+    """Two canonical starts of each track for a pass: its turn's and the next in the track's keyed order, cyclically."""
+    w = Window.partitionBy("track_id")
+    placed = rows.where("view = 'canonical'").withColumn("_p", F.row_number().over(w.orderBy(stable_uint64(F.lit(seed), F.col("track_id"), F.col("view"), F.col("start").cast("string")), "start")) - 1)
+    placed = placed.withColumn("_n", F.count(F.lit(1)).over(w))
+    turn = lambda k: F.max(F.when(F.col("_p") == (F.lit(catalogue_pass) + k) % F.col("_n"), F.col("start")))
+    return placed.groupBy("track_id").agg(turn(0).alias("anchor_start"), turn(1).alias("other_start"))
+
+
 def anchor_swapped(seed: int, catalogue_pass: int, track: Column) -> Column:
     """Whether a pair's views change places in this pass."""
     return (stable_uint64(F.lit(seed), F.lit(catalogue_pass), track, F.lit("anchor")) % 2) == 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,31 +29,35 @@ def crop_with_retry(rows: DataFrame, key: list[Column], track: Column, role: str
     return rows.withColumn("start", first["start"]).withColumn("attempt", first["attempt"])
 
 
-def replace_identities(rows: DataFrame, n: int, usable: Callable[[int], bool] | set[int], seed: int, most: int = 33) -> DataFrame:
-    """(batch_idx, slot, index, chosen): each slot keeps its index if it is usable and unused in its batch, else takes the
-    first such candidate of its keyed sequence; NULL after `most` candidates.  Slots of a batch depend on the ones before.
+def replace_identities(rows: DataFrame, n: int, usable: Callable[[int], bool] | set[int], seed: int, retries: int = 32) -> DataFrame:
+    """(optimizer_step, batch_idx, slot, index, chosen): each slot keeps its index if it is usable and unused in its batch.
+
+    Else it takes the first such candidate of its keyed sequence, its own index left out; NULL after `retries` of them.
+    Slots of a batch depend on the ones before, so a batch (some hundred rows) is one group.
     """
     fine = usable.__contains__ if isinstance(usable, set) else usable
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         pdf = pdf.sort_values("slot")
-        for slot, index in zip(pdf["slot"], pdf["index"], strict=True):
-            h = py_uint64(seed, key[0], slot, index, "replacement")
-            found = next((c for c in (int(index), *((h + k) % n for k in range(most - 1))) if c not in used and fine(c)), None)
+        for slot, index in zip(pdf["slot"].tolist(), pdf["index"].tolist(), strict=True):
+            begin = py_uint64(seed, *key, slot, index, "replacement") % n
+            others = islice((c for c in ((begin + k) % n for k in range(n)) if c != index), retries)
+            found = next((c for c in chain([index], others) if c not in used and fine(c)), None)
             if found is not None:
                 used.add(found)
-            out.append((key[0], slot, index, found))
-        return pd.DataFrame(out, columns=["batch_idx", "slot", "index", "chosen"]).astype({"chosen": "Int64"})
+            out.append((*key, slot, index, found))
+        return pd.DataFrame(out, columns=["optimizer_step", "batch_idx", "slot", "index", "chosen"]).astype({"chosen": "Int64"})
 
-    return rows.select("batch_idx", "slot", "index").groupBy("batch_idx").applyInPandas(run, "batch_idx long, slot int, index long, chosen long")
+    schema = "optimizer_step long, batch_idx long, slot int, index long, chosen long"
+    return rows.select("optimizer_step", "batch_idx", "slot", "index").groupBy("optimizer_step", "batch_idx").applyInPandas(run, schema)
 
 
 def suite_waveform(context: Column, past: Column, noise: Column, response: Column, snr_db: Column, rir: Column) -> Column:
     """Noise on the query alone; with a room, noise on past and query together, then the response."""
     query = F.slice(context, past + 1, F.greatest(F.size(context) - past, F.lit(0)))
     fit = lambda n: sg.tile(noise, n)
-    return F.when(rir, sg.full_wet(sg.mix(context, fit(F.size(context)), snr_db), response, past)).otherwise(sg.mix(query, fit(F.size(query)), snr_db))
+    return F.when(rir, sg.noisy_wet(context, fit(F.size(context)), snr_db, response, past)).otherwise(sg.mix(query, fit(F.size(query)), snr_db))
 
 
 def crop_pairs(pairs: DataFrame, key: list[Column], shares: dict[str, Column], past: int, length: int) -> DataFrame:
@@ -71,7 +76,7 @@ def crop_pairs(pairs: DataFrame, key: list[Column], shares: dict[str, Column], p
     anchor = cut(F.col("anchor_start"))
     context = sg.with_context(F.col("samples"), F.col("second_start").cast("int"), F.lit(past), F.lit(length))
     noise = sg.tile(F.col("noise"), F.lit(past + length))
-    wet = F.when(F.col("category") == "rir", sg.full_wet(context, F.col("response"), F.lit(past))).when(F.col("category") == "noise_rir", sg.full_wet(sg.mix(context, noise, F.col("snr_db")), F.col("response"), F.lit(past)))
+    wet = F.when(F.col("category") == "rir", sg.full_wet(context, F.col("response"), F.lit(past))).when(F.col("category") == "noise_rir", sg.noisy_wet(context, noise, F.col("snr_db"), F.col("response"), F.lit(past)))
     made = F.when(F.col("category") == "clean", cut(F.col("second_start"))).when(F.col("category") == "noise", sg.mix(cut(F.col("second_start")), F.slice(noise, 1, length), F.col("snr_db"))).otherwise(wet)
     rows = rows.withColumn("made", made).withColumn("fallback", F.col("made").isNull())
     rows = rows.withColumn("category", F.when(F.col("fallback"), "clean").otherwise(F.col("category")))

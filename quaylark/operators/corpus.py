@@ -16,9 +16,10 @@ def dedupe_keepers(assets: DataFrame, digest: str = "digest") -> DataFrame:
 
 
 def dedupe_audit(assets: DataFrame, digest: str = "digest") -> DataFrame:
-    """Every removed row with its keeper and whether they are of different splits."""
-    keep = dedupe_keepers(assets, digest).where("copies > 1").select(digest, F.col("relative").alias("kept"), F.col("split").alias("kept_split"))
-    return assets.join(keep, digest).where(F.col("relative") != F.col("kept")).select(digest, "kept", F.col("relative").alias("removed"), (F.col("split") != F.col("kept_split")).alias("cross_split"))
+    """Every removed row with its keeper, by split, collection and relative path, and whether they are of different splits."""
+    named = lambda c: F.concat_ws("/", "split", "collection", "relative").alias(c)
+    keep = dedupe_keepers(assets, digest).where("copies > 1").select(digest, named("kept"), F.col("split").alias("kept_split"))
+    return assets.select(digest, "split", named("removed")).join(keep, digest).where(F.col("removed") != F.col("kept")).select(digest, "kept", "removed", (F.col("split") != F.col("kept_split")).alias("cross_split"))
 
 
 def leakage(a: DataFrame, b: DataFrame) -> DataFrame:

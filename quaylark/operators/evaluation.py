@@ -15,10 +15,10 @@ LENGTHS = (2, 5, 10)
 WINDOW_SECONDS, HOP_SECONDS = 2.0, 0.5
 
 
-def suites(spark) -> DataFrame:
-    """Noise, then noise with room, each over the three SNR ranges."""
-    rows = [(2 * 0 + k + 3 * int(rir), rir, lo, hi) for rir in (False, True) for k, (lo, hi) in enumerate(RANGES)]
-    df = spark.createDataFrame(rows, "suite_pos int, rir boolean, snr_low int, snr_high int")
+def suites(spark, ranges=RANGES) -> DataFrame:
+    """Noise, then noise with room, each over the SNR ranges."""
+    rows = [(k + len(ranges) * int(rir), rir, float(lo), float(hi)) for rir in (False, True) for k, (lo, hi) in enumerate(ranges)]
+    df = spark.createDataFrame(rows, "suite_pos int, rir boolean, snr_low double, snr_high double")
     return df.withColumn("suite_id", F.concat_ws("_", F.when(F.col("rir"), "noise_rir").otherwise("noise"), snr_range_id(F.col("snr_low"), F.col("snr_high"))))
 
 
@@ -41,7 +41,7 @@ def manifest(cohort: DataFrame, excluded: DataFrame, n: int, seed: int, need_sec
 
 def query_corpus(recipes: DataFrame, suite_table: DataFrame, seed: int, lengths=LENGTHS) -> DataFrame:
     """Every recipe in every suite and length; noise and noise-with-room of one range share their SNR."""
-    out = recipes.crossJoin(F.broadcast(suite_table)).withColumn("query_seconds", F.explode(F.array(*map(F.lit, lengths))))
+    out = recipes.crossJoin(F.broadcast(suite_table)).withColumn("query_seconds", F.explode(F.array(*(F.lit(float(x)) for x in lengths))))
     out = out.withColumn("snr_db", joint_snr(seed, F.col("track_id"), F.col("snr_low"), F.col("snr_high")))
     return out.withColumn("id", record_id(F.col("track_id"), F.col("suite_id"), F.col("query_seconds")))
 

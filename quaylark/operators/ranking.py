@@ -22,8 +22,8 @@ def hash_rank(df: DataFrame, key: Column, name: str, ties: list[Column], hex_dig
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last row of each key by `order`: last write wins."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), order).alias("_last"))
+    return last.select(*keys, "_last.*").select(*df.columns)
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k) -> DataFrame:

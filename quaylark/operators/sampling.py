@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_mod, stable_uint64, stable_uniform
+from ..functions.paths import g_text
 from ..functions.schedules import SNR_BINS, SNR_WEIGHTS
 
 
@@ -69,8 +70,8 @@ def background_noise(seed, step, pair, key, share: Column, low: Column, high: Co
 
 
 def joint_snr(seed: int, track: Column, low: Column, high: Column) -> Column:
-    """An SNR shared by the noise and noise-with-room suites of one range; integer bounds."""
-    return low + stable_uniform(F.lit(seed), track, F.lit("paper-snr-range"), low.cast("int"), high.cast("int")) * (high - low)
+    """An SNR shared by the noise and noise-with-room suites of one range."""
+    return low + stable_uniform(F.lit(seed), track, F.lit("paper-snr-range"), g_text(low), g_text(high)) * (high - low)
 
 
 def pool_index(seed: Column, attempt: Column, n: Column) -> Column:
@@ -125,19 +126,23 @@ def group_split(rows: DataFrame, group: str, share: float, seed: int) -> DataFra
     return rows.join(ranked.select(group, F.when(F.col("_g") < F.col("_test"), "test").otherwise("train").alias("split")), group)
 
 
-def nearest_match(left: DataFrame, right: DataFrame, key: str, value: str, item: str, seed: int, buckets: float | None = None) -> DataFrame:
+def nearest_match(left: DataFrame, right: DataFrame, key: str, value: str, item: str, seed: int, ranges: int = 256) -> DataFrame:
     """For each row of left the item of right with the nearest value; ties by a keyed hash.
 
-    Both sides are laid on one line and each left row takes the nearest right value before and after it, by windows
-    over value ranges: no cross join.  Values come in sorted order within `buckets`-wide ranges; each range also knows
-    the last value before it and the first after it.
+    Both sides are laid on one line, cut into `ranges` ranges at quantiles of the right values, so no range holds many
+    more of them than another.  Each left row takes the nearest right value before and after it inside its range, or
+    the last one before and the first one after the range: no cross join, and a bounded table of ranges.
     """
     from pyspark.sql import Window
 
-    width = F.lit(float(buckets or 1.0))
     values = right.groupBy(value).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    line = left.select(F.col(key), F.col(value).alias("v"), F.lit(None).cast("double").alias("at")).unionByName(values.select(F.lit(None).cast(left.schema[key].dataType).alias(key), F.col(value).alias("v"), F.col(value).alias("at")))
-    line = line.withColumn("_b", F.floor(F.col("v") / width))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = sorted(set(values.select(F.percentile_approx(F.col(value).cast("double"), shares, 100 * ranges).alias("q")).first()["q"] or []))
+    lit = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
+    line = left.select(F.col(key), F.col(value).cast("double").alias("v"), F.lit(None).cast("double").alias("at")).unionByName(
+        values.select(F.lit(None).cast(left.schema[key].dataType).alias(key), F.col(value).cast("double").alias("v"), F.col(value).cast("double").alias("at"))
+    )
+    line = line.withColumn("_b", F.size(F.filter(lit, lambda c: c <= F.col("v"))))
     edges = line.groupBy("_b").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     every = Window.orderBy("_b")  # one row a range
     edges = edges.select("_b", F.last("hi", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import decoding, evaluation, identity, preparation, schedules, signals
+from . import decoding, evaluation, identity, jobs, preparation, schedules, signals
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (evaluation, identity, preparation, decoding, signals, schedules):
+for _part in (evaluation, identity, preparation, decoding, signals, schedules, jobs):
     QUERIES.update(_part.QUERIES)
     ORACLES.update(_part.ORACLES)

@@ -71,7 +71,8 @@ def throughput(spark, sf):
     return metrics.throughput(rows, "line", "latency").withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
-_SUITES = "suites AS (SELECT pos + 3 * r AS suite_pos, r = 1 AS rir, lo AS snr_low, hi AS snr_high, CASE WHEN r = 1 THEN 'noise_rir' ELSE 'noise' END || '_' || lo || '_' || hi || 'db' AS suite_id FROM (VALUES (0, 0, 5), (1, 5, 10), (2, 10, 20)) t(pos, lo, hi), (VALUES (0), (1)) s(r))"
+_G = lambda x: f"format('{{:g}}', {x})"
+_SUITES = "suites AS (SELECT pos + 3 * r AS suite_pos, r = 1 AS rir, lo AS snr_low, hi AS snr_high, CASE WHEN r = 1 THEN 'noise_rir' ELSE 'noise' END || '_' || format('{:g}', lo) || '_' || format('{:g}', hi) || 'db' AS suite_id FROM (VALUES (0, 0::DOUBLE, 5::DOUBLE), (1, 5, 10), (2, 10, 20)) t(pos, lo, hi), (VALUES (0), (1)) s(r))"
 
 
 @query(f"WITH {_SUITES} SELECT * FROM suites")
@@ -111,8 +112,8 @@ def external_exclusion(spark, sf):
     return ids.agg(F.count(F.lit(1)).alias("ids")).crossJoin(ignored)
 
 
-@query(f"""WITH {_RECIPES}, {_SUITES} SELECT track_id || '__' || suite_id || '__' || s || 's' AS id, track_id, suite_id, s AS query_seconds,
- round(snr_low + CAST({v.u64(str(v.SEED), 'track_id', "'paper-snr-range'", 'snr_low', 'snr_high')} AS DOUBLE) / pow(2.0, 64) * (snr_high - snr_low), 9) AS snr_db FROM recipes, suites, (VALUES (2), (5), (10)) l(s)""")
+@query(f"""WITH {_RECIPES}, {_SUITES} SELECT track_id || '__' || suite_id || '__' || format('{{:g}}', s) || 's' AS id, track_id, suite_id, s AS query_seconds,
+ round(snr_low + CAST({v.u64(str(v.SEED), 'track_id', "'paper-snr-range'", _G('snr_low'), _G('snr_high'))} AS DOUBLE) / pow(2.0, 64) * (snr_high - snr_low), 9) AS snr_db FROM recipes, suites, (VALUES (2::DOUBLE), (5), (10)) l(s)""")
 def corpus_cross_product(spark, sf):
     out = evaluation.query_corpus(_recipes(spark, sf)[0], evaluation.suites(spark), v.SEED)
     return out.select("id", "track_id", "suite_id", "query_seconds", F.round("snr_db", 9).alias("snr_db"))

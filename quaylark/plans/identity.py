@@ -192,11 +192,13 @@ def noise_pool_draws(spark, sf):
     return sampling.draw_from_pool(keys, order, n, stable_uint64(F.lit(7), F.col("key")).cast("string"), "train-noise", F.col("room") != 3)
 
 
-def _places(pool):
-    """0-based places of pool items by id: counts of id ranges first, then ranks inside them."""
+def _places(pool, ranges: int = 1024):
+    """0-based places of pool items by id: counts of id ranges first (so many at most), then ranks inside them."""
     from pyspark.sql import Window
 
-    b = pool.withColumn("_b", F.floor(F.col("wave_id") / 4096))
+    low, high = pool.agg(F.min("wave_id"), F.max("wave_id")).first()
+    width = max(1, ((high or 0) - (low or 0)) // ranges + 1)
+    b = pool.withColumn("_b", F.floor((F.col("wave_id") - (low or 0)) / width))
     sizes = b.groupBy("_b").count().withColumn("_at", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     r = b.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("wave_id")) - 1)
     return r.join(F.broadcast(sizes), "_b").select("wave_id", (F.col("_r") + F.col("_at")).cast("long").alias("pool_idx"))

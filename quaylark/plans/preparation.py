@@ -18,10 +18,10 @@ def exact_dedupe_keeper(spark, sf):
     return corpus.dedupe_keepers(v.copies(spark, sf))
 
 
-_KEEP = "keep AS (SELECT digest, arg_min(relative, k) AS kept, arg_min(split, k) AS kept_split FROM (SELECT *, (CASE WHEN split <> 'test' THEN '1' ELSE '0' END) || '|' || rpad(collection, 20, ' ') || '|' || relative AS k FROM copies) GROUP BY digest)"
+_KEEP = "keep AS (SELECT digest, arg_min(split || '/' || collection || '/' || relative, k) AS kept, arg_min(split, k) AS kept_split FROM (SELECT *, (CASE WHEN split <> 'test' THEN '1' ELSE '0' END) || '|' || rpad(collection, 20, ' ') || '|' || relative AS k FROM copies) GROUP BY digest)"
 
 
-@query(f"WITH {v.COPIES}, {_KEEP} SELECT digest, kept, relative AS removed, split <> kept_split AS cross_split FROM copies JOIN keep USING (digest) WHERE relative <> kept")
+@query(f"WITH {v.COPIES}, {_KEEP} SELECT digest, kept, split || '/' || collection || '/' || relative AS removed, split <> kept_split AS cross_split FROM copies JOIN keep USING (digest) WHERE split || '/' || collection || '/' || relative <> kept")
 def dedupe_audit(spark, sf):
     return corpus.dedupe_audit(v.copies(spark, sf))
 

@@ -69,12 +69,17 @@ def full_wet(spark, sf):
 
 _SEV = """e AS (SELECT wave_id, room, samples[list_position(list_transform(samples, lambda x: abs(x)), list_max(list_transform(samples, lambda x: abs(x)))):64] AS t FROM waves),
  f AS (SELECT wave_id, room, list_transform(t, lambda x: x * x) AS q FROM e),
- sev AS (SELECT wave_id, room, CAST(len(list_filter(range(1, len(q) + 1), lambda i: list_sum(q[1:i]) < 0.99::DOUBLE * list_sum(q))) AS DOUBLE) AS score FROM f)"""
+ sev AS (SELECT wave_id, room, len(list_filter(range(1, len(q) + 1), lambda i: list_sum(q[1:i]) < 0.99::DOUBLE * list_sum(q))) / CAST(CASE WHEN room % 2 = 0 THEN 8000 ELSE 16000 END AS DOUBLE) AS score FROM f)"""
+
+
+def _rate():
+    """Recordings of two rates: severity counts in seconds."""
+    return F.when(F.col("room") % 2 == 0, 8000).otherwise(16_000)
 
 
 @query(f"WITH {v.WAVES}, {_SEV} SELECT wave_id, score FROM sev")
 def severity(spark, sf):
-    return v.waves(spark, sf).select("wave_id", sg.severity(F.col("samples")).alias("score"))
+    return v.waves(spark, sf).select("wave_id", sg.severity(F.col("samples"), _rate()).alias("score"))
 
 
 @query(f"""WITH {v.WAVES}, {_SEV} SELECT wave_id, room, score FROM (SELECT *, row_number() OVER (PARTITION BY room ORDER BY score, wave_id) AS r, count(*) OVER (PARTITION BY room) AS n FROM sev) WHERE r <= greatest(1, ceil(n / 3.0::DOUBLE))""")
@@ -82,7 +87,7 @@ def severity_prefix(spark, sf):
     """The mildest third of each room's responses."""
     from pyspark.sql import Window
 
-    rows = v.waves(spark, sf).select("wave_id", "room", sg.severity(F.col("samples")).alias("score"))
+    rows = v.waves(spark, sf).select("wave_id", "room", sg.severity(F.col("samples"), _rate()).alias("score"))
     n = F.count(F.lit(1)).over(Window.partitionBy("room"))
     r = F.row_number().over(Window.partitionBy("room").orderBy("score", "wave_id"))
     return rows.withColumns({"r": r, "n": n}).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") / 3.0))).select("wave_id", "room", "score")
@@ -134,12 +139,12 @@ def window_extract(spark, sf):
     return rows.select("wave_id", "start", F.round(sg.rms(F.slice("samples", (F.col("start") + 1).cast("int"), 16)), 9).alias("rms"))
 
 
-@query(f"""WITH {v.WAVES}, {_SEV}, a AS (SELECT wave_id, score + (wave_id % 10) / 100.0::DOUBLE AS score FROM sev WHERE wave_id % 5 = 0), b AS (SELECT wave_id AS ir, score FROM sev WHERE wave_id % 5 <> 0),
+@query(f"""WITH {v.WAVES}, {_SEV}, a AS (SELECT wave_id, score + (wave_id % 10) / 100000.0::DOUBLE AS score FROM sev WHERE wave_id % 5 = 0), b AS (SELECT wave_id AS ir, score FROM sev WHERE wave_id % 5 <> 0),
  c AS (SELECT a.wave_id, b.ir, b.score, row_number() OVER (PARTITION BY a.wave_id ORDER BY abs(a.score - b.score), {v.u64('9', 'a.wave_id', 'b.ir')}, b.ir) AS r FROM a, b) SELECT wave_id, ir, score AS matched FROM c WHERE r = 1""")
 def nearest_severity(spark, sf):
-    rows = v.waves(spark, sf).select("wave_id", sg.severity(F.col("samples")).alias("score"))
-    left = rows.where("wave_id % 5 = 0").withColumn("score", F.col("score") + (F.col("wave_id") % 10) / 100.0)
-    return sampling.nearest_match(left, rows.where("wave_id % 5 <> 0").select(F.col("wave_id").alias("ir"), "score"), "wave_id", "score", "ir", 9, buckets=8.0)
+    rows = v.waves(spark, sf).select("wave_id", sg.severity(F.col("samples"), _rate()).alias("score"))
+    left = rows.where("wave_id % 5 = 0").withColumn("score", F.col("score") + (F.col("wave_id") % 10) / 100000.0)
+    return sampling.nearest_match(left, rows.where("wave_id % 5 <> 0").select(F.col("wave_id").alias("ir"), "score"), "wave_id", "score", "ir", 9)
 
 
 _NEAR = lambda x: f"list_position(list_transform([-0.2::DOUBLE, -0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE], lambda c: abs({x} - c)), list_min(list_transform([-0.2::DOUBLE, -0.1::DOUBLE, 0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE], lambda c: abs({x} - c)))) - 1"

@@ -102,10 +102,10 @@ def copies(spark, sf_dir) -> DataFrame:
     """Documents as assets with content digests; a keyed split."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     h = F.substring(F.sha2(F.concat(F.lit("split:"), F.col("doc_id").cast("string")), 256), 1, 1)
-    return d.select(F.sha2("text", 256).alias("digest"), F.col("source").alias("collection"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("relative"), F.when(h < "4", "test").otherwise("train").alias("split"))
+    return d.select(F.sha2("text", 256).alias("digest"), F.col("source").alias("collection"), F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("relative"), F.when(h < "4", "test").otherwise("train").alias("split"))
 
 
-COPIES = """copies AS (SELECT sha256(text) AS digest, source AS collection, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS relative,
+COPIES = """copies AS (SELECT sha256(text) AS digest, source AS collection, 'f' || CAST(doc_id % 3 AS VARCHAR) AS relative,
  CASE WHEN left(sha256('split:' || CAST(doc_id AS VARCHAR)), 1) < '4' THEN 'test' ELSE 'train' END AS split FROM documents)"""
 
 

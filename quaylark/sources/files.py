@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import uuid
 import wave
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.hashing import fingerprint
 from ..functions.paths import CATALOGUE_SUFFIXES, CORPUS_SUFFIXES, basename
 from ..operators.catalogue import duplicates
 from ..operators.quality import assert_empty, token_rules, violations
@@ -31,6 +33,16 @@ RESULT = StructType([
 ])
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; set by tests where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
+        base = f"file://{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/quaylark-files"
+    return f"{base.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
 def audio_files(spark: SparkSession, root: str, suffixes=CATALOGUE_SUFFIXES, content: bool = False) -> DataFrame:
     """(path, length[, content]) of files below root with one of the suffixes, any case; a missing root is empty."""
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -57,8 +69,18 @@ def read_jsonl(spark: SparkSession, path: str, schema, required: list[str] = ())
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines with sorted keys; the job's commit makes the folder appear whole."""
-    df.select(*sorted(df.columns)).write.mode(mode).json(path)
+    """JSON lines with sorted keys at every level and nulls written out; the job's commit makes the folder appear whole."""
+    df.select(*(_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name))).write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def _sorted(col: Column, kind) -> Column:
+    """A value with the fields of its structs in the order of their names."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(col.isNotNull(), F.struct(*(_sorted(col[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType | ArrayType):
+        return F.transform(col, lambda x: _sorted(x, kind.elementType))
+    return col
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +95,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """Append rows of a resume log as JSON lines; read_results() reads them."""
+    write_jsonl(df, path, "append")
 
 
 def read_results(spark: SparkSession, path: str, fingerprint: str, keys=("track_id", "query_seconds", "suite_id")) -> DataFrame:
@@ -87,20 +110,23 @@ def read_results(spark: SparkSession, path: str, fingerprint: str, keys=("track_
 # -- token stores
 
 
-def write_token_store(rows: DataFrame, path: str, vocabulary: int, role: str) -> None:
-    """Parquet by shard, after the rows' checks."""
+def write_token_store(rows: DataFrame, path: str, vocabulary: int, role: str, fingerprint: str) -> None:
+    """Parquet by shard, after the rows' checks, with the tokeniser's fingerprint in every row."""
     assert_empty(violations(rows, "document_index", token_rules(vocabulary, role)), "token store")
-    rows.write.partitionBy("shard_id").parquet(path)
+    rows.withColumn("tokenizer_fingerprint", F.lit(fingerprint)).write.partitionBy("shard_id").parquet(path)
 
 
-def read_token_store(spark: SparkSession, path: str, vocabulary: int, role: str) -> DataFrame:
-    """Usable rows of a store after its checks; an empty store or one of several roles is an error."""
+def read_token_store(spark: SparkSession, path: str, vocabulary: int, role: str, fingerprint: str) -> DataFrame:
+    """Usable rows of a store after its checks, in document order; an empty store, or one of several roles or of another
+    tokeniser, is an error.
+    """
     rows = spark.read.parquet(path)
+    assert_empty(rows.where(~F.col("tokenizer_fingerprint").eqNullSafe(F.lit(fingerprint))).select("document_index", "tokenizer_fingerprint"), "other tokenizer")
     assert_empty(violations(rows, "document_index", token_rules(vocabulary, role)), "token store")
-    usable = rows.where("status = 'ok'")
+    usable = rows.where("status = 'ok'").drop("tokenizer_fingerprint")
     if usable.isEmpty():
         raise ValueError("no usable documents")
-    return usable
+    return usable.orderBy("document_index")
 
 
 def span(tokens: Column, offset: Column, count: Column) -> Column:
@@ -161,28 +187,32 @@ def decode_wavs(files: DataFrame) -> DataFrame:
 
 
 def convert_files(rows: DataFrame, folder: str, rate: int) -> DataFrame:
-    """Write (name, samples) as WAV files below a shared local folder: (name, status, error), status converted, existing or failed.
+    """Write (name, samples) as WAV files below a folder that all executors share (a path or URI): (name, status, error).
 
-    A file is written under another name and then moved, so a task that runs again finds it whole.
+    status is converted, existing or failed.  A file is written under another name and then moved, so a task that runs
+    again finds it whole.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
         for p in parts:
             out = []
             for name, x in zip(p["name"], p["samples"], strict=True):
-                target = os.path.join(folder, name)
+                target = f"{root}/{name}"
                 try:
-                    if os.path.exists(target):
+                    if fs.get_file_info(target).type != pafs.FileType.NotFound:
                         out.append((name, "existing", None))
                         continue
                     x = np.asarray(x, dtype=float)
                     if not len(x) or not np.isfinite(x).all():
                         raise ValueError("empty or non-finite")
-                    tmp = f"{target}.{os.getpid()}.tmp"
-                    with open(tmp, "wb") as f:
+                    tmp = f"{target}.{uuid.uuid4().hex}.tmp"
+                    with fs.open_output_stream(tmp) as f:
                         f.write(wav_bytes(x, rate))
-                    os.replace(tmp, target)
+                    fs.move(tmp, target)
                     out.append((name, "converted", None))
                 except Exception as e:  # noqa: BLE001
                     out.append((name, "failed", str(e)))
@@ -218,6 +248,41 @@ def output_paths(path: str) -> dict[str, str]:
     return {"csv": base + ".csv", "queries": base + ".queries.jsonl", "manifest": base + ".manifest.json"}
 
 
+def sealed(content: dict) -> dict:
+    """A document with its own fingerprint."""
+    return {**content, "fingerprint": fingerprint(content)}
+
+
+def unsealed(document: dict) -> dict:
+    """The content of a sealed document, whose fingerprint must hold."""
+    content = {k: v for k, v in document.items() if k != "fingerprint"}
+    if document.get("fingerprint") != fingerprint(content):
+        raise ValueError("the document's fingerprint does not hold")
+    return content
+
+
+def check_manifest(document: dict, configuration: dict, size: int) -> dict:
+    """A query manifest: sealed, of this configuration, and with so many queries."""
+    content = unsealed(document)
+    if content.get("configuration") != configuration:
+        raise ValueError("the manifest is of another configuration")
+    if len(content.get("queries", [])) != size:
+        raise ValueError(f"the manifest has {len(content.get('queries', []))} queries, not {size}")
+    return content
+
+
+def reusable_recipes(path: str, protocol: str) -> list[dict] | None:
+    """Recipes of an earlier query corpus at this path, None if there is none; a broken or foreign one is an error."""
+    if not os.path.exists(path):
+        return None
+    content = unsealed(read_json(path))
+    if content.get("configuration", {}).get("protocol") != protocol:
+        raise ValueError("the query corpus is of another protocol")
+    if not isinstance(content.get("recipes"), list):
+        raise ValueError("the query corpus has no recipes")
+    return [dict(r) for r in content["recipes"]]
+
+
 def track_ids(value, count: int) -> list[str]:
     """A cohort document: a list, or an object with track_ids; exact count, no repeats."""
     ids = value["track_ids"] if isinstance(value, dict) else value

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaylark.functions.hashing import py_uint64
 from quaylark.operators import composites, decode
 
 
@@ -41,10 +42,17 @@ def test_retry(pairs):
 
 
 def test_replacement(spark):
-    rows = spark.createDataFrame([(0, s, i) for s, i in enumerate([5, 5, 7, 9])] + [(1, 0, 5)], "batch_idx long, slot int, index long")
-    got = composites.replace_identities(rows, 50, {5, *range(10, 50)}, 3).collect()
-    first = {r["slot"]: r["chosen"] for r in got if r["batch_idx"] == 0}
-    assert first[0] == 5 and len(set(first.values())) == 4 and set(first.values()) <= {5, *range(10, 50)}
+    rows = spark.createDataFrame([(1, 0, s, i) for s, i in enumerate([5, 5, 7, 9])] + [(1, 1, 0, 5)] + [(2, 0, s, i) for s, i in enumerate([5, 5, 7, 9])], "optimizer_step long, batch_idx long, slot int, index long")
+    fine = {5, *range(10, 50)}
+    got = composites.replace_identities(rows, 50, fine, 3).collect()
+    for step in (1, 2):
+        first = {r["slot"]: r["chosen"] for r in got if (r["optimizer_step"], r["batch_idx"]) == (step, 0)}
+        used = set()
+        for slot, index in enumerate([5, 5, 7, 9]):  # the sequence begins at a hash of seed, step, batch, slot and index
+            begin = py_uint64(3, step, 0, slot, index, "replacement") % 50
+            want = next(c for c in [index, *((begin + k) % 50 for k in range(50))] if c in fine and c not in used)
+            used.add(want)
+            assert first[slot] == want
     assert [r["chosen"] for r in got if r["batch_idx"] == 1] == [5]
     assert composites.replace_identities(rows, 50, set(), 3).where("chosen is not null").count() == 0
 

@@ -38,8 +38,13 @@ def test_paths(spark):
     assert one(spark, paths.first_room(F.lit("air_binaural_Meeting_1.mat")).alias("x"))["x"] == "meeting"
     assert one(spark, paths.microphone(F.lit("d/shure_sm57_a.wav"), ["shure", "shure_sm57", "akg"]).alias("x"))["x"] == "shure_sm57"
     assert one(spark, paths.microphone(F.lit("akg/unknown.wav"), ["shure", "akg"]).alias("x"))["x"] == "akg"
-    for name, angle in (("Deg030", 30), ("angle_45_x_90deg", 90), ("angle-7", 7), ("none", None)):
+    for name, angle in (("Deg030", 30), ("angle_45_x_90deg", 90), ("angle-7", 7), ("none", None), ("deg_30", None), ("ANGLE45", None), ("0450deg", 450), ("angle1234", 123)):
         assert one(spark, paths.incident_angle(F.lit(name)).alias("x"))["x"] == angle
+    assert one(spark, paths.microphone(F.lit("d/Shure_1.wav"), ["shure", "Shu"]).alias("x"))["x"] == "Shu"
+    for x in (0.0, 5.0, 2.5, 1234567.0, 0.00001234, 100000.0, 0.1 + 0.2, -2.5, 999999.5, 1e-7, 123456.0):
+        assert one(spark, paths.g_text(F.lit(x)).alias("x"))["x"] == f"{x:g}"
+    assert one(spark, paths.snr_range_id(F.lit(0), F.lit(2.5)).alias("x"))["x"] == "0_2.5db"
+    assert one(spark, paths.record_id(F.lit("t"), F.lit("s"), F.lit(2.5)).alias("x"))["x"] == "t__s__2.5s"
     assert one(spark, paths.safe_name(F.lit("a b/ü.c")).alias("x"))["x"] == "a_b_.c"
     with pytest.raises(Exception, match="empty query name"):
         one(spark, paths.safe_name(F.lit("")))
@@ -103,10 +108,10 @@ def test_signals(spark):
     assert np.allclose(both["a"], want) and np.allclose(both["b"], want)
     impulse = [0.0] * 7 + [1.0] + [0.0] * 8
     wet = spark.createDataFrame([(impulse,)], "x array<double>").select(signals.full_wet(F.col("x"), F.array(F.lit(1.0), F.lit(0.5)), F.lit(8)).alias("w")).first()["w"]
-    assert wet == [0.5] + [0.0] * 7
+    assert wet == pytest.approx([0.5] + [0.0] * 7, abs=1e-12)
     q = one(spark, signals.quantile_normalize(F.array(*map(F.lit, (3.0, 1.0, 2.0, 10.0, -7.0, 4.0)))).alias("x"))["x"]
     assert q == pytest.approx([v / 9.25 for v in (3, 1, 2, 10, -7, 4)])
-    assert one(spark, signals.severity(F.array_repeat(F.lit(0.0), 4)).alias("x"))["x"] == math.inf
+    assert one(spark, signals.severity(F.array_repeat(F.lit(0.0), 4), F.lit(8000)).alias("x"))["x"] == math.inf
     assert one(spark, signals.tile(F.array(F.lit(1.0), F.lit(2.0)), F.lit(5)).alias("x"))["x"] == [1, 2, 1, 2, 1]
     assert one(spark, signals.resample_linear(F.array(F.lit(0.0), F.lit(1.0)), F.lit(1), F.lit(2)).alias("x"))["x"] == [0, 0.5, 1, 1]
 
