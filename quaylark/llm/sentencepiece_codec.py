@@ -18,7 +18,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,18 +66,27 @@ class Segmenter:
         return cls([(p.piece, p.score, kinds.get(p.type, "control")) for p in model.pieces], model.trainer_spec.model_type == 1, model.normalizer_spec.add_dummy_prefix)
 
     def merge(self, text: str) -> list[str]:
-        """BPE by its definition: join the neighbours whose union has the best score, the leftmost of equals, until none has one."""
-        parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """BPE by its definition: join the neighbours whose union has the best score, the leftmost of equals, until none has one.
+
+        Neighbours wait in a heap by score and place, so a run of n marks takes n log n steps.
+        """
+        parts, scores, n = list(text), self.scores, len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(-s, i, a + b) for i, (a, b) in enumerate(pairwise(parts)) if (s := scores.get(a + b)) is not None]
+        heapify(waiting)
+        while waiting:
+            _, i, union = heappop(waiting)
+            j = after[i]
+            if parts[i] is None or j >= n or parts[i] + parts[j] != union:
+                continue  # one of the two has gone into another piece
+            parts[i], parts[j] = union, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (s := scores.get(parts[a] + parts[b])) is not None:
+                    heappush(waiting, (-s, a, parts[a] + parts[b]))
+        return [p for p in parts if p is not None]
 
     def _follows(self, before: int, piece: str) -> bool:
         """Whether merging the joined text of the two gives just them; before -1 is the start of a word or an unknown character."""
