@@ -8,6 +8,7 @@ proportion to its cell's raked weight per token, by a hash of its id.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,9 @@ SWEEPS = 6
 TEMPERATURE = 0.5
 SEED = "mix"
 NONE = "(none)"
+MARGINS = ["source", "lang", "topic"]
+#: Cells whose weights may be broadcast.
+MOST_CELLS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +54,8 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
 
     A margin without stated targets gets its observed shares to the power `temperature`, normalised.  Stated targets
     are weights by value, normalised over the values present; values without one get weight 0.  Cells of weight 0
-    stay 0.  Each sweep is written to the shared folder.
+    stay 0.  Each sweep is written to the shared folder.  If a margin is still off its target by more than a hundredth
+    after the last one (margins that contradict each other, or slow convergence), a warning says by how much.
     """
     cells = materialise(cells.withColumn("raked", F.col(weight).cast("double")), "cells")
     total = cells.agg(F.sum("raked")).first()[0] or 0.0
@@ -70,9 +75,18 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
             have = cells.groupBy(m).agg(F.sum("raked").alias("have")).join(want, m).select(m, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("factor"))
             cells = cells.join(have, m, "left").withColumn("raked", F.col("raked") * F.coalesce("factor", F.lit(0.0))).drop("factor")
         cells = materialise(cells, "raked")
+    off = max((residual(cells, m, want) for m, want in zip(margins, wanted, strict=True)), default=0.0)
+    if off > 0.01:
+        warnings.warn(f"after {sweeps} sweeps a margin is {off:.3f} of its target off", stacklevel=2)
     return cells
 
 
+def residual(cells: DataFrame, margin: str, want: DataFrame) -> float:
+    """The largest distance of a margin's weights from its targets (margin, want), relative to the target."""
+    both = cells.groupBy(margin).agg(F.sum("raked").alias("have")).join(want.where("want > 0"), margin, "right")
+    return both.agg(F.max(F.abs(F.coalesce("have", F.lit(0.0)) / F.col("want") - 1))).first()[0] or 0.0
+
+
 def inclusion_scale(raked: DataFrame, weight: str, share: float) -> float:
     """The factor of raked weights at which cells, none kept more than whole, keep a share of the total weight."""
     n, r = F.col(weight), F.col("raked")
@@ -89,6 +103,25 @@ def inclusion_scale(raked: DataFrame, weight: str, share: float) -> float:
         scale = new
 
 
+def _cell_columns(text_col: str, source_col: str, lang_col: str, topic: Column | None) -> list[Column]:
+    """The cell of a row; nulls are a value of their own."""
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    return [named(F.col(source_col)).alias("source"), named(F.col(lang_col)).alias("lang"), named(form_topic(F.col(text_col)) if topic is None else topic).alias("topic")]
+
+
+def _cell_weights(rows: DataFrame, targets, sweeps: int, temperature: float, share: float | None) -> DataFrame:
+    """(source, lang, topic, weight, probability) of the cells of rows (source, lang, topic, n_tokens)."""
+    raked = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")), MARGINS, "n", targets, sweeps, temperature)
+    weights = raked.select(*MARGINS, F.when(F.col("n") > 0, F.col("raked") / F.col("n")).alias("weight"))
+    if share is None:
+        top = weights.agg(F.max("weight")).first()[0]
+        chance = F.col("weight") / F.lit(top).cast("double")
+    else:
+        chance = F.least(F.col("weight") * F.lit(inclusion_scale(raked, "n", share)), F.lit(1.0))
+    weights = materialise(weights.select(*MARGINS, "weight", F.coalesce(chance, F.lit(1.0)).alias("probability")), "mix-cells")
+    return F.broadcast(weights) if weights.count() <= MOST_CELLS else weights
+
+
 def mix_weights(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
     targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED, share: float | None = None,
@@ -98,35 +131,30 @@ def mix_weights(
     weight is the cell's raked weight a token; probability is weight over the largest weight of any cell, so nothing
     is clipped and the kept tokens meet all three targets in expectation, but one rare cell decides how many are kept.
     With a share, that share of all tokens is kept in expectation instead (all, if fewer have a weight): cells too
-    small for their target are kept whole, the rest in proportion to their weights.  Null sources and languages are a value of
-    their own, "(none)".  Texts without words weigh nothing: in a cell without tokens probability is 1.  Rows that
-    repeat an id fall alike.  An empty table gives an empty result.
+    small for their target are kept whole, the rest in proportion to their weights.  Null sources, languages and
+    topics are a value of their own, "(none)".  Texts without words weigh nothing: in a cell without tokens probability
+    is 1.  Rows that repeat an id have one draw, and fall alike within a cell.  An empty table gives an empty result.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"),
-        (form_topic(F.col(text_col)) if topic is None else topic).alias("topic"), word_count(F.col(text_col)).alias("n_tokens"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *_cell_columns(text_col, source_col, lang_col, topic), word_count(F.col(text_col)).alias("n_tokens"))
     rows = materialise(rows, "mix-rows")  # without the texts
-    margins = ["source", "lang", "topic"]
-    cells = rows.groupBy(*margins).agg(F.sum("n_tokens").alias("n"))
-    raked = rake(cells, margins, "n", targets, sweeps, temperature)
-    weights = raked.select(*margins, F.when(F.col("n") > 0, F.col("raked") / F.col("n")).alias("weight"))
-    if share is None:
-        top = weights.agg(F.max("weight")).first()[0]
-        chance = F.col("weight") / F.lit(top).cast("double")
-    else:
-        chance = F.least(F.col("weight") * F.lit(inclusion_scale(raked, "n", share)), F.lit(1.0))
-    weights = weights.select(*margins, "weight", F.coalesce(chance, F.lit(1.0)).alias("probability"))
-    return rows.join(weights, margins).select(
-        F.col("id").alias(id_col), *margins, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "probability",
+    weights = _cell_weights(rows, targets, sweeps, temperature, share)
+    return rows.join(weights, MARGINS).select(
+        F.col("id").alias(id_col), *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "probability",
         (uniform(F.col("id"), seed) < F.col("probability")).alias("kept"),
     )
 
 
-def mix_sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the mix keeps, with all their columns."""
-    drawn = materialise(mix_weights(docs, id_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "mix-gone")
-    return docs.join(drawn.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+def mix_sample(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
+    targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED, share: float | None = None,
+) -> DataFrame:
+    """The rows of docs that the mix keeps, with all their columns, as mix_weights() decides: row by row, so no text moves."""
+    cell = _cell_columns(text_col, source_col, lang_col, topic)
+    counted = materialise(docs.select(*cell, word_count(F.col(text_col)).alias("n_tokens")).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "mix-counts")
+    weights = _cell_weights(counted, targets, sweeps, temperature, share)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    drawn = docs.select(row, *cell, uniform(F.col(id_col).cast("long"), seed).alias("draw")).join(weights, MARGINS)
+    return drawn.where("draw < probability").select("row.*")
 
 
 def mix_sql(sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:
