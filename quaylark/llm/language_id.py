@@ -9,11 +9,12 @@ say on their own.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import binary, materialise, segment_sums, slices
@@ -22,6 +23,9 @@ from .core import binary, materialise, segment_sums, slices
 MOST_DOCS = 6000
 MOST_TRAIN_BYTES = 64 << 20
 MOST_LANGUAGES = 256
+#: One text of the sample in so many is held back for the floor, which lies so far (in nats a bigram) below their lowest.
+FOLDS = 5
+MARGIN = 2.0
 #: A text tells as much as this many bigrams at most: they are not independent.
 EFFECTIVE = 60
 #: Chance that markup declares the true language; rows that a prior's parent counts for.
@@ -33,7 +37,8 @@ MOST_HOSTS = 50_000
 
 
 def bigrams(text: bytes) -> np.ndarray:
-    b = np.frombuffer(text.lower(), np.uint8).astype(np.int32)
+    """Pairs of bytes; a run of white space is one space, so that layout tells nothing."""
+    b = np.frombuffer(b" ".join(text.lower().split()), np.uint8).astype(np.int32)
     return (b[:-1] << 8) | b[1:]
 
 
@@ -42,17 +47,26 @@ class TextModel:
 
     def __init__(self, texts: list[bytes], langs: list[str]):
         self.langs = sorted(set(langs))
+        held = np.arange(len(texts)) % FOLDS == 0
+        # The floor comes from texts that the model has not seen, then all of them are counted.
         counts = np.full((len(self.langs), 65_536), 0.02)
-        for t, lang in zip(texts, langs, strict=True):
-            counts[self.langs.index(lang)] += np.bincount(bigrams(t), minlength=65_536)
-        rows = counts.reshape(len(self.langs), 256, 256)
-        self.table = np.log(rows / rows.sum(axis=2, keepdims=True)).reshape(len(self.langs), 65_536).T.astype(np.float32).copy()
+        self._count(counts, texts, langs, ~held)
         self.floor = -np.inf
-        if texts:
-            total, n = self.evidence(texts)
+        unseen = [t for t, h in zip(texts, held.tolist(), strict=True) if h]
+        if unseen and not held.all():
+            total, n = self.evidence(unseen)
             best = (total.max(axis=1) / np.maximum(n, 1))[n >= 20]
             if len(best):
-                self.floor = float(np.quantile(best, 0.001) - 2.0)
+                self.floor = float(np.quantile(best, 0.001) - MARGIN)
+        self._count(counts, texts, langs, held)
+
+    def _count(self, counts: np.ndarray, texts: list[bytes], langs: list[str], some: np.ndarray) -> None:
+        """Add some texts to the counts, and make the table of log-likelihoods anew."""
+        place = {x: i for i, x in enumerate(self.langs)}
+        for i in np.flatnonzero(some).tolist():
+            counts[place[langs[i]]] += np.bincount(bigrams(texts[i]), minlength=65_536)
+        rows = counts.reshape(len(self.langs), 256, 256)
+        self.table = np.log(rows / rows.sum(axis=2, keepdims=True)).reshape(len(self.langs), 65_536).T.astype(np.float32).copy()
 
     def evidence(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods (rows by languages) and numbers of bigrams."""
@@ -92,21 +106,32 @@ class TextModel:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> TextModel:
-    """Fit on most_docs labelled rows by a hash of their id (a documented bound), MOST_TRAIN_BYTES of text at most."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    picked = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).orderBy("h", "id").limit(most_docs)
-    data = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """Fit on most_docs labelled rows, equally many of each language by a hash of the id (documented bounds).
+
+    MOST_TRAIN_BYTES of text at most are taken, in the hash's order, and the MOST_LANGUAGES most frequent languages:
+    a warning names those left out.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    names = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES + 1).collect()
+    known = [r["lang"] for r in names[:MOST_LANGUAGES]]
+    if not known:
+        return TextModel([], [])
+    if len(names) > MOST_LANGUAGES:
+        warnings.warn(f"more than {MOST_LANGUAGES} languages: the rarer ones, from {names[-1]['lang']} on, are left out", stacklevel=2)
+    h = F.xxhash64(F.col("id").cast("string"))
+    # A rank up to a bound is cut in each task before rows move.
+    picked = rows.where(F.col("lang").isin(*known)).select("id", "lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    picked = picked.where(F.col("r") <= max(1, most_docs // len(known))).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"))
+    found = rows.select("id", "text").join(F.broadcast(picked), "id").limit(2 * max(most_docs, MOST_LANGUAGES))
     texts, langs, size = [], [], 0
-    for r in data.join(F.broadcast(picked.select("id", "lang").dropDuplicates(["id"])), "id").limit(2 * most_docs).toLocalIterator():
-        t = (r["text"] or "").encode()
+    for r in sorted(found.toLocalIterator(), key=lambda r: (r["h"], r["id"], r["text"])):
+        t = r["text"].encode()
         size += len(t)
         if size > MOST_TRAIN_BYTES and texts:
             break
         texts.append(t)
-        langs.append(r["lang"].lower())
-    keep = {x for x, _ in sorted(((x, langs.count(x)) for x in set(langs)), key=lambda p: (-p[1], p[0]))[:MOST_LANGUAGES]}
-    pairs = [(t, x) for t, x in zip(texts, langs, strict=True) if x in keep]
-    return TextModel([t for t, _ in pairs], [x for _, x in pairs])
+        langs.append(r["lang"])
+    return TextModel(texts, langs)
 
 
 def suffix_of(host: Column) -> Column:
@@ -130,7 +155,7 @@ def identify(
     rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, markup: Column | None = None,
     carry: bool = False, min_posterior: float = MIN_POSTERIOR,
 ) -> DataFrame:
-    """(id, language, posterior, fits, accepted, host) per row; with carry, all columns of rows and `accepted` instead.
+    """(id, language, posterior, fits, accepted, host) per row; with carry, the accepted rows with all their columns instead.
 
     A row is accepted if its posterior reaches min_posterior and its text fits some language: empty and null texts,
     and texts far below any language's likelihood, are rejected.  A null host or markup gives no evidence of its
@@ -172,7 +197,7 @@ def identify(
 
     if not langs:
         none = work.select(*(["row"] if carry else []), F.col("id").alias(id_col), F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("fits"), F.lit(False).alias("accepted"), "host")
-        return none.select("row.*", "accepted") if carry else none
+        return none.where("accepted").select("row.*") if carry else none
     seen = work.select("text", "host", "declared").mapInArrow(alone, "host string, lang string").where("lang is not null")
     counts = materialise(seen.groupBy("host", "lang").count().select("host", suffix_of(F.col("host")).alias("suffix"), "lang", F.col("count").alias("n")), "host-languages")
     priors = materialise(host_priors(counts, langs), "host-priors")
@@ -181,7 +206,6 @@ def identify(
     joined = work.join(priors, "host", "left")
     if carry:
         out = joined.select("row", "text", "host", "declared", "prior")
-        row = rows.schema.simpleString()
-        done = out.mapInArrow(decide, f"row {row}, accepted boolean")
-        return done.select(*(F.col(f"row.`{c}`").alias(c) for c in rows.columns), "accepted")
+        done = out.mapInArrow(decide, f"row {rows.schema.simpleString()}, accepted boolean")
+        return done.where("accepted").select("row.*")
     return joined.select("id", "text", "host", "declared", "prior").mapInArrow(decide, f"{id_col} long, language string, posterior double, fits boolean, accepted boolean, host string")

@@ -19,6 +19,11 @@ from .toxicity import toxicity
 END_ID = 2
 SENTENCEPIECE_MODEL = "piece_bpe_32k.model"
 TOKENIZER = "byte_bpe_50k.json"
+#: Character references of HTML that text has most; others become spaces.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "aacute": "á",
+    "iacute": "í", "oacute": "ó", "uacute": "ú", "ecirc": "ê", "acirc": "â", "ocirc": "ô", "amp": "&",
+}
 
 
 def public_path(name: str) -> str:
@@ -71,7 +76,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of web pages: text without tags, declared markup language, host and address suffix."""
     pages = table(spark, sf_dir, "pages")
-    text = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    text = F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
+    for name, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    text = F.regexp_replace(text, r"&#?[A-Za-z0-9]{1,32};", " ")
     rows = pages.select("page_id", text.alias("text"), F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"), F.regexp_extract("html", r"<html[^>]{0,200}\blang=[\"']?([A-Za-z]{2,3})", 1).alias("declared"))
     model = fit(table(spark, sf_dir, "documents"))
     return identify(rows, model, id_col="page_id", host=F.col("host"), markup=F.col("declared"))

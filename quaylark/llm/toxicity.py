@@ -6,9 +6,9 @@ to continuation counts of words, then of stems (inflected forms share one), each
 of their own class, then to continuation counts shared by the two classes, so
 that an expression that is rare in one class borrows what the other knows of
 it, and last to the uniform distribution.  A text's evidence is
-the difference of its two log-likelihoods a word; a logistic curve fitted on
-held-back rows of the sample turns it into a probability at the prior of all
-labelled training rows.
+the difference of its two log-likelihoods, normalised by the root of its number
+of expressions; a logistic curve fitted on held-back rows of the sample turns it
+into a probability at the prior of all labelled training rows.
 """
 
 from __future__ import annotations
@@ -253,8 +253,8 @@ def toxicity(
 ) -> DataFrame:
     """(id, score, predicted) for every row of docs, whole texts.
 
-    Null or empty texts have no evidence and score the prior.  Rows with a null id or label do not train.  Without
-    both classes in the training rows every text scores the prior (0.5 without labels).  Ties and repeated rows
+    Null or empty texts have no evidence and score what the fitted curve gives without any.  Rows with a null id or
+    label do not train.  Without both classes in the training rows every text scores the prior (0.5 without labels).  Ties and repeated rows
     score alike; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, label_col, train_rows or (lambda c: F.lit(True)), most_docs)
