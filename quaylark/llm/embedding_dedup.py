@@ -4,9 +4,10 @@ Each pass hashes every vector by the signs of random projections, sorts the
 vectors by their concatenated hash bits (lexicographically) and compares each
 with the next few in that order; pairs are verified by cosine in double
 precision and united across passes.  Equal vectors are first brought together
-as one row with a count.  The windows settle which vectors hang together; the
-links inside a component are then counted exactly, block against block, so a
-window never caps a vector's partners.
+as one row with a count.  The windows settle which vectors hang together, in
+rounds of passes that go on until a round finds hardly anything new; the links
+inside a component are then counted exactly, block against block, so a window
+never caps a vector's partners.
 """
 
 from __future__ import annotations
@@ -16,13 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import materialise, partitions
+from .core import materialise, partitions, segment_sums
 from .graph import UnionFind, components
 
-PASSES = 32
+#: Passes of a round, and most rounds; a round that joins less than this share of all that is joined is the last.
+PASSES = 16
+ROUNDS = 8
+STILL = 0.002
+#: Bound on what half precision moves a cosine: twice 2^-11, and a little for rounding in sums.
+HALF_ERROR = 1.2e-3
 WINDOW = 24
 BITS = 48
 THRESHOLD = 0.95
@@ -44,18 +51,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as little-endian doubles; null where a vector can link with nothing."""
     for b in batches:
-        out = []
-        for v in b.column(1).to_pylist():
-            x = None if v is None or not v or any(c is None for c in v) else np.array(v, dtype="<f8")
-            ok = x is not None and bool(np.isfinite(x).all()) and bool(x.any())
-            out.append((x + 0.0).tobytes() if ok else None)
+        col = b.column(1)
+        size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(col).cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+        bad, some = segment_sums(~np.isfinite(flat), size), segment_sums(flat != 0, size)
+        ends, raw = np.cumsum(size) * 8, (flat + 0.0).astype("<f8").tobytes()
+        out = [raw[e - 8 * n : e] if ok else None for e, n, ok in zip(ends.tolist(), size.tolist(), ((bad == 0) & (some > 0)).tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "vec"])
 
 
-def projection_links(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """Links (a, b) of verified pairs from vectors (node long, vec binary of doubles), as a spanning forest of each task.
+def projection_links(vectors: DataFrame, passes: int, window: int, threshold: float, seed: int) -> DataFrame:
+    """Links (a, b, sure) of vectors (node long, vec binary of doubles): sure ones as a spanning forest of each task.
 
-    Windows end at a task's edge; another pass orders the vectors anew, so this costs a small share of one pass.
+    Vectors travel as unit vectors of half precision, a quarter of their size.  Its rounding moves a cosine by less than
+    HALF_ERROR: links clear of the threshold by that are sure, and pairs nearer to it are left to the caller.  Windows
+    end at a task's edge; another pass orders the vectors anew, so this costs a small share of one pass.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,67 +78,111 @@ def projection_links(vectors: DataFrame, passes: int = PASSES, window: int = WIN
             for size, at in by_size.items():
                 if size not in planes:
                     planes[size] = np.random.default_rng([seed, size]).standard_normal((size // 8, passes * BITS))
-                bits = (_unit(_matrix([raw[i] for i in at])) @ planes[size]) > 0
-                bits = bits.reshape(len(at), passes, BITS)
+                unit = _unit(_matrix([raw[i] for i in at]))
+                bits = ((unit @ planes[size]) > 0).reshape(len(at), passes, BITS)
                 value = (bits.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(axis=2)
-                node, vec = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
+                half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size // 4), len(at), [None, pa.py_buffer(unit.astype("<f2").tobytes())]).cast(pa.binary())
+                node = b.column(0).take(pa.array(at))
                 for p in range(passes):
                     key = (np.int64(p) << np.int64(BITS)) | value[:, p]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(key), node, vec], names=["size", "key", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), pa.array(key), node, half], names=["size", "key", "node", "half"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, tail = UnionFind(), None
+        sets, tail, doubt = UnionFind(), None, []
         for b in batches:
             if not b.num_rows:
                 continue
             rows = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
-            size, key, node, raw = rows.column(0).to_numpy(), rows.column(1).to_numpy() >> BITS, rows.column(2).to_numpy(), rows.column(3).to_pylist()
+            size, key, node = rows.column(0).to_numpy(), rows.column(1).to_numpy() >> BITS, rows.column(2).to_numpy()
+            raw = rows.column(3).to_pylist()
             start = 0
             for stop in [*(np.flatnonzero((key[1:] != key[:-1]) | (size[1:] != size[:-1])) + 1).tolist(), len(key)]:
-                x = _unit(_matrix(raw[start:stop]))
+                x = np.frombuffer(b"".join(raw[start:stop]), "<f2").reshape(stop - start, -1).astype(np.float32)
                 for step in range(1, min(window, stop - start - 1) + 1):
-                    for i in np.flatnonzero((x[:-step] * x[step:]).sum(axis=1) >= threshold).tolist():
+                    near = np.einsum("ij,ij->i", x[:-step], x[step:])
+                    for i in np.flatnonzero(near >= threshold + HALF_ERROR).tolist():
                         sets.join(int(node[start + i]), int(node[start + i + step]))
+                    at = start + np.flatnonzero(np.abs(near - threshold) < HALF_ERROR)
+                    if len(at):
+                        doubt.append(np.stack([node[at], node[at + step]], axis=1))
                 start = stop
-            tail = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else c for c in rows.slice(max(0, rows.num_rows - window)).columns], names=["size", "key", "node", "vec"])
+            tail = pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else c for c in rows.slice(max(0, rows.num_rows - window)).columns], names=["size", "key", "node", "half"])
         a, r = sets.links()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64()), pa.array([True] * len(a), pa.bool_())], names=["a", "b", "sure"])
+        pairs = np.unique(np.sort(np.concatenate(doubt), axis=1), axis=0) if doubt else np.zeros((0, 2), np.int64)
+        for lo in range(0, len(pairs), 100_000):
+            p = pairs[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array([False] * len(p), pa.bool_())], names=["a", "b", "sure"])
 
     n = partitions(vectors.sparkSession)
-    dealt = vectors.select("node", "vec").mapInArrow(hashed, "size int, key long, node long, vec binary")
-    return dealt.repartitionByRange(n, "size", "key").sortWithinPartitions("size", "key", "node").mapInArrow(compare, "a long, b long")
+    dealt = vectors.select("node", "vec").mapInArrow(hashed, "size int, key long, node long, half binary")
+    return dealt.repartitionByRange(n, "size", "key").sortWithinPartitions("size", "key", "node").mapInArrow(compare, "a long, b long, sure boolean")
+
+
+def linked_parts(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """(node, component) of the vectors (node, vec) that have links: rounds of passes until one joins hardly anything new.
+
+    A round whose links join less than STILL of what all have joined ends it; a dense region, whose windows fill with
+    vectors that don't link, thus gets more passes than a sparse one.
+    """
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                near.append(float(_unit(_matrix([x]))[0] @ _unit(_matrix([y]))[0]) >= threshold)
+            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    links, joined, parts = None, 0, None
+    for r in range(rounds):
+        found = materialise(projection_links(vectors, passes, window, threshold, seed + r), "vector-links")
+        x, y = vectors.select(F.col("node").alias("a"), F.col("vec").alias("x")), vectors.select(F.col("node").alias("b"), F.col("vec").alias("y"))
+        doubt = found.where("not sure").select("a", "b").distinct()
+        if parts is not None:  # pairs of one component say nothing new
+            side = lambda c, name: parts.select(F.col("node").alias(c), F.col("component").alias(name))
+            doubt = doubt.join(side("a", "s"), "a", "left").join(side("b", "t"), "b", "left").where("s is null or t is null or s <> t").select("a", "b")
+        good = found.where("sure").select("a", "b").unionByName(doubt.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"))
+        if parts is not None:  # what was joined so far, as stars
+            good = good.unionByName(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        parts = materialise(components(good), "vector-parts")
+        now = parts.where("node <> component").count()
+        if now - joined <= STILL * now:
+            break
+        joined = now
+    return parts
 
 
 def component_links(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(node, n) for vectors (node, vec, copies, component, size): how many rows at other vectors link directly.
 
-    A component is cut into blocks by a hash; each task compares one block with one other, so a component of any
-    size is spread over many tasks and only counts leave them.
+    A component is cut into blocks by a hash; each task compares two blocks, once for both, so a component of any size
+    is spread over many tasks and only counts leave them.
     """
     n_blocks = F.ceil(F.col("size") / block).cast("int")
     own = vectors.withColumn("n_blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    left = own.select("component", F.col("own").alias("i"), others, "node", "vec", "copies", F.lit(True).alias("left"))
-    right = own.select("component", others, F.col("own").alias("j"), "node", "vec", "copies", F.lit(False).alias("left"))
-    cells = left.select("component", "i", F.col("other").alias("j"), "node", "vec", "copies", "left").unionByName(
-        right.select("component", F.col("other").alias("i"), "j", "node", "vec", "copies", "left")
-    )
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    cells = both.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "node", "vec", "copies")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
+        alike = bool((pdf["i"] == pdf["j"]).iloc[0])
+        if alike:
+            b = a
         if not len(a) or not len(b):
             return pd.DataFrame({"node": [], "n": []}).astype("int64")
-        x, y = _unit(_matrix(list(a["vec"]))), _unit(_matrix(list(b["vec"])))
-        near = (x @ y.T) >= threshold
-        near &= a["node"].to_numpy()[:, None] != b["node"].to_numpy()[None, :]
-        return pd.DataFrame({"node": a["node"].to_numpy(), "n": near @ b["copies"].to_numpy()})
+        x = _unit(_matrix(list(a["vec"])))
+        near = (x @ (x if alike else _unit(_matrix(list(b["vec"])))).T) >= threshold
+        if alike:
+            np.fill_diagonal(near, False)
+            return pd.DataFrame({"node": a["node"].to_numpy(), "n": near @ a["copies"].to_numpy()})
+        return pd.DataFrame({"node": np.concatenate([a["node"], b["node"]]), "n": np.concatenate([near @ b["copies"].to_numpy(), near.T @ a["copies"].to_numpy()])})
 
     cells = cells.groupBy("component", "i", "j").applyInPandas(count, "node long, n long")
     return cells.groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def embedding_components(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD,
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", passes: int = PASSES, window: int = WINDOW, threshold: float = THRESHOLD, rounds: int = ROUNDS,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) per row; links join vectors of one length with cosine at or above the threshold.
 
@@ -143,7 +197,7 @@ def embedding_components(
     nodes = materialise(groups.select(F.xxhash64("vec").alias("node"), "vec", "least", "copies"), "vector-groups")
     if not nodes.groupBy("node").count().where("count > 1").isEmpty():
         nodes = materialise(nodes.drop("node").select(F.conv(F.substring(F.sha2("vec", 256), 1, 15), 16, 10).cast("long").alias("node"), "vec", "least", "copies"), "vector-groups")
-    parts = components(projection_links(nodes, passes, window, threshold))
+    parts = linked_parts(nodes.select("node", "vec"), passes, window, threshold, rounds=rounds)
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     placed = materialise(nodes.join(parts.join(sizes, "component"), "node"), "vector-components")
     links = component_links(placed, threshold)
