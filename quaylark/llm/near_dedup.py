@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import binary, materialise, partitions, slices
+from .core import binary, fresh, materialise, partitions, slices
 from .graph import UnionFind, components, segments
 from .simhash import SEED, majority, near_links, shingle_hashes, spread
 
@@ -44,6 +44,8 @@ MOST_COMMON = 2_000_000
 #: Texts of one shingle up to which they are checked as pairs, and of a block beyond.
 FEW = 64
 BLOCK = 512
+#: Ids that a join may broadcast.
+MOST_KEYS = 1_000_000
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -322,7 +324,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return components(good.unionByName(joined)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest id."""
-    gone = materialise(near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "near-gone")
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest id.
+
+    Ids that go are broadcast up to a bound, so no text moves; more are joined by a shuffle.
+    """
+    (gone_,) = fresh(docs, "gone")
+    gone = materialise(near_groups(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_)), "near-gone")
+    gone = F.broadcast(gone) if gone.count() <= most_keys else gone.hint("shuffle_hash")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_), "left_anti")

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,6 +273,12 @@ def test_sentencepiece_odd_texts(odd, empty):
     for t, ids in zip(cases, own.encode(cases), strict=True):
         assert ids.tolist() == sp.encode(t), repr(t)
         assert own.decode(ids) == sp.decode(sp.encode(t)), repr(t)
+    # Long runs of marks: n log n steps.
+    for t in (" " * 20_000 + "x", "a" + " " * 20_001, "▁" * 5_000, " " * 999 + "b" + " " * 1_000 + "c"):
+        assert own.encode([t])[0].tolist() == sp.encode(t)
+    began = time.process_time()
+    own.encode([" " * 200_000 + "x"])
+    assert time.process_time() - began < 20
     assert sentencepiece_codec.sentencepiece_encode(odd, path).count() == 10
     assert sentencepiece_codec.sentencepiece_encode(empty, path).count() == 0
 
@@ -381,6 +388,7 @@ def test_near_stage(spark, docs, texts, odd, empty):
     paired = [i for i in names if want[i] != i]
     assert paired and np.mean([got.get(i, i) == want[i] for i in paired]) >= 0.9
     assert all(got.get(i, i) == i for i in names if Counter(want.values())[want[i]] == 1)
+    assert near_dedup.near_dedup(odd.withColumnRenamed("digest", "_gone"), most_keys=0).count() == near_dedup.near_dedup(odd).count()
     kept = near_dedup.near_dedup(odd)
     assert kept.columns == odd.columns and near_dedup.near_dedup(empty).count() == 0
 
@@ -456,7 +464,9 @@ def test_language_odd(docs, odd, empty):
     rows = identify(odd, model, host=F.col("source")).collect()
     assert len(rows) == 10 and all(not r["accepted"] and r["language"] == "und" for r in rows if r["doc_id"] in (1, 2))
     carried = identify(odd, model, host=F.col("source"), carry=True)
-    assert carried.columns == [*odd.columns, "accepted"] and carried.count() == 10
+    accepted = identify(odd, model, host=F.col("source")).where("accepted")
+    assert carried.columns == odd.columns and carried.count() == accepted.count() < 10
+    assert identify(odd.withColumnRenamed("digest", "accepted"), model, carry=True).columns == ["doc_id", "text", "lang", "source", "n_chars", "accepted", "id", "row", "key"]
     assert identify(empty, model).count() == 0
     assert identify(odd, fit(empty)).where("accepted").count() == 0
 
@@ -578,7 +588,24 @@ def test_mix(docs, odd, empty):
         assert x / sum(expected.values()) == pytest.approx(seen[la] ** 0.5 / norm, rel=0.02)
     assert sorted(r["doc_id"] for r in mix_sample(docs).collect()) == sorted(r["doc_id"] for r in rows if r["kept"])
     assert mix_weights(odd).count() == 10 and mix_sample(odd).columns == odd.columns
-    assert mix_weights(empty).count() == 0
+    assert mix_weights(empty).count() == 0 and mix_sample(empty).count() == 0
+    from pyspark.sql import functions as F
+
+    # A null topic is a value of its own, and helper columns may clash with the table's.
+    topic = F.when(F.col("doc_id") != 3, F.col("source"))
+    assert mix_weights(odd, topic=topic).count() == 10
+    clashing = odd.withColumnsRenamed({"id": "weight", "row": "probability", "digest": "topic", "key": "draw"})
+    assert mix_sample(clashing, share=1.0).columns == clashing.columns and mix_sample(clashing, share=1.0).count() == mix_sample(odd, share=1.0).count()
+    # A sample is what the weights say, also for rows that repeat an id in another cell.
+    twice = docs.unionByName(docs.withColumn("source", F.lit("copy")))
+    want = Counter((r["doc_id"], r["source"]) for r in mix_weights(twice, share=0.3).where("kept").collect())
+    assert Counter((r["doc_id"], r["source"]) for r in mix_sample(twice, share=0.3).collect()) == want
+
+
+def test_rake_warns_of_targets_that_it_misses(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0)], "s string, t string, n double")
+    with pytest.warns(UserWarning, match="of its target off"):
+        rake(df, ["s", "t"], "n", {"s": {"a": 1, "b": 3}, "t": {"x": 3, "y": 1}})
 
 
 def test_mixing_stage_keeps_its_share(spark, sf_dir, docs):
