@@ -20,7 +20,7 @@ MIX_SHARE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough."""
-    return identify(docs, fit(docs), host=F.col("source"), carry=True).where("accepted").drop("accepted")
+    return identify(docs, fit(docs), host=F.col("source"), carry=True)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents.
+
+    Null and empty texts fit no language and go in the first stage; null ids, sources and languages are values like any
+    other (a null id takes no part in near dedup and stays); extra columns are carried to the last stage; an empty
+    table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")
