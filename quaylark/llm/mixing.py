@@ -11,7 +11,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import materialise
@@ -54,37 +54,32 @@ def rake(cells: DataFrame, margins: list[str], weight: str, targets: dict[str, d
 
     A margin without stated targets gets its observed shares to the power `temperature`, normalised.  Stated targets
     are weights by value, normalised over the values present; values without one get weight 0.  Cells of weight 0
-    stay 0.  Each sweep is written to the shared folder.  If a margin is still off its target by more than a hundredth
+    stay 0.  Sums of a margin are windows over the cells, without joins.  If a margin is still off its target by more than a hundredth
     after the last one (margins that contradict each other, or slow convergence), a warning says by how much.
     """
-    cells = materialise(cells.withColumn("raked", F.col(weight).cast("double")), "cells")
+    cells = cells.withColumn("raked", F.col(weight).cast("double"))
     total = cells.agg(F.sum("raked")).first()[0] or 0.0
-    wanted = []
+    sums = lambda m: F.sum("raked").over(Window.partitionBy(m))
     for m in margins:
-        seen = cells.groupBy(m).agg(F.sum("raked").alias("w")).where("w > 0")
         if targets and m in targets:
             pairs = F.create_map(*(F.lit(x) for kv in targets[m].items() for x in kv))
-            seen = seen.select(m, F.coalesce(F.try_element_at(pairs, F.col(m)), F.lit(0.0)).cast("double").alias("w"))
+            wish = lambda w, m=m, pairs=pairs: F.coalesce(F.try_element_at(pairs, F.col(m)), F.lit(0.0)).cast("double")
         else:
-            seen = seen.select(m, F.pow("w", F.lit(temperature)).alias("w"))
-        seen = materialise(seen, "targets")
-        norm = seen.agg(F.sum("w")).first()[0] or 1.0
-        wanted.append(seen.select(m, (F.col("w") / F.lit(float(norm)) * F.lit(float(total))).alias("want")))
-    for _ in range(sweeps):
-        for m, want in zip(margins, wanted, strict=True):
-            have = cells.groupBy(m).agg(F.sum("raked").alias("have")).join(want, m).select(m, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("factor"))
-            cells = cells.join(have, m, "left").withColumn("raked", F.col("raked") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        cells = materialise(cells, "raked")
-    off = max((residual(cells, m, want) for m, want in zip(margins, wanted, strict=True)), default=0.0)
+            wish = lambda w: F.pow(w, F.lit(temperature))
+        norm = cells.groupBy(m).agg(F.sum("raked").alias("w")).where("w > 0").agg(F.sum(wish(F.col("w")))).first()[0] or 1.0
+        cells = cells.withColumn(f"want_{m}", F.when(sums(m) > 0, wish(sums(m)) / F.lit(float(norm)) * F.lit(float(total))))
+    cells = materialise(cells, "cells")
+    for k in range(sweeps):
+        for m in margins:
+            have = sums(m)
+            cells = cells.withColumn("raked", F.col("raked") * F.coalesce(F.when(have > 0, F.col(f"want_{m}") / have).otherwise(0.0), F.lit(0.0)))
+        if k % 3 == 2 or k == sweeps - 1:
+            cells = materialise(cells, "raked")
+    off = F.greatest(*(F.abs(sums(m) / F.nullif(F.col(f"want_{m}"), F.lit(0.0)) - 1) for m in margins), F.lit(0.0))
+    off = cells.select(off.alias("off")).agg(F.max("off")).first()[0] or 0.0
     if off > 0.01:
         warnings.warn(f"after {sweeps} sweeps a margin is {off:.3f} of its target off", stacklevel=2)
-    return cells
-
-
-def residual(cells: DataFrame, margin: str, want: DataFrame) -> float:
-    """The largest distance of a margin's weights from its targets (margin, want), relative to the target."""
-    both = cells.groupBy(margin).agg(F.sum("raked").alias("have")).join(want.where("want > 0"), margin, "right")
-    return both.agg(F.max(F.abs(F.coalesce("have", F.lit(0.0)) / F.col("want") - 1))).first()[0] or 0.0
+    return cells.drop(*(f"want_{m}" for m in margins))
 
 
 def inclusion_scale(raked: DataFrame, weight: str, share: float) -> float:
