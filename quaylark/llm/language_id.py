@@ -120,18 +120,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         warnings.warn(f"more than {MOST_LANGUAGES} languages: the rarer ones, from {names[-1]['lang']} on, are left out", stacklevel=2)
     h = F.xxhash64(F.col("id").cast("string"))
     # A rank up to a bound is cut in each task before rows move.
-    picked = rows.where(F.col("lang").isin(*known)).select("id", "lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    picked = picked.where(F.col("r") <= max(1, most_docs // len(known))).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"))
-    found = rows.select("id", "text").join(F.broadcast(picked), "id").limit(2 * max(most_docs, MOST_LANGUAGES))
-    texts, langs, size = [], [], 0
-    for r in sorted(found.toLocalIterator(), key=lambda r: (r["h"], r["id"], r["text"])):
-        t = r["text"].encode()
-        size += len(t)
-        if size > MOST_TRAIN_BYTES and texts:
+    picked = rows.where(F.col("lang").isin(*known)).select("id", "lang", h.alias("h"), F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    picked = picked.where(F.col("r") <= max(1, most_docs // len(known))).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"), F.max("n").alias("n"))
+    order = picked.select("h", "id", "lang", "n").collect()  # most_docs rows, or a row a language
+    taken, size = {}, 0
+    for r in sorted(order):
+        size += r["n"]
+        if size > MOST_TRAIN_BYTES and taken:
             break
-        texts.append(t)
-        langs.append(r["lang"])
-    return TextModel(texts, langs)
+        taken[r["id"]] = (len(taken), r["lang"])
+    few = rows.sparkSession.createDataFrame([(i,) for i in taken], "id long")
+    texts: dict[int, bytes] = {}
+    for r in rows.select("id", "text").join(F.broadcast(few), "id").toLocalIterator():
+        t = r["text"].encode()
+        texts[r["id"]] = max(t, texts.get(r["id"], b""))
+    ids = [i for i in taken if i in texts]
+    return TextModel([texts[i] for i in ids], [taken[i][1] for i in ids])
 
 
 def suffix_of(host: Column) -> Column:
