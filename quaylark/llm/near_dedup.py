@@ -275,10 +275,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sets_of(prepared: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words) of some ids (id, distinct), each once: few ids are broadcast, so that only their sets move."""
+    ids = materialise(ids, "near-ids")
+    ids = F.broadcast(ids) if ids.count() <= MOST_KEYS else ids.hint("shuffle_hash")
+    return materialise(prepared.select("id", "key", "words").join(ids, "id", "left_semi").dropDuplicates(["id", "key"]).drop("key"), "near-sets")
+
+
 def _checked(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are near."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(prepared.select("id", "key", "words").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "key"]), "near-sets")
+    sets = _sets_of(prepared, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     x, y = sets.select(F.col("id").alias("a"), F.col("words").alias("x")), sets.select(F.col("id").alias("b"), F.col("words").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
@@ -318,8 +324,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_ = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = materialise(members.join(open_.select("group", "size"), "group"), "near-open")
     cells = _cells(members.drop("size"))
-    sets = prepared.select("id", "key", "words").join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "key"])
-    cells = cells.join(materialise(sets.drop("key"), "near-sets"), "id").drop("id")
+    cells = cells.join(_sets_of(prepared, members.select("id").distinct()), "id").drop("id")
     joined = cells.groupBy("group", "i", "j").applyInPandas(_block, "a long, b long")
     return components(good.unionByName(joined)).select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
 
