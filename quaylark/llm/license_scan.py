@@ -34,18 +34,20 @@ SCHEMA = (
 class SuffixAutomaton:
     """Generalised suffix automaton of several word sequences (after Blumer et al.).
 
-    Each state keeps, per sequence, the first place where its longest string ends.
+    Each state keeps, per sequence, all places where its longest string ends (places), and the first of them (first).
     """
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.first = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.places: list[dict[int, set[int]]] = [{}]
+        self.first: list[dict[int, int]] = []
 
     def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.link.append(link)
         self.length.append(length)
-        self.first.append({})
+        self.places.append({})
         return len(self.next) - 1
 
     def _split(self, parent: int, word: int, child: int) -> int:
@@ -71,17 +73,14 @@ class SuffixAutomaton:
                     old = self.next[p][w]
                     self.link[new] = old if self.length[old] == self.length[p] + 1 else self._split(p, w, old)
                 last = new
-            state = last
-            while state > 0:
-                self.first[state].setdefault(name, at)
-                state = self.link[state]
+            self.places[last].setdefault(name, set()).add(at)
 
     def finish(self) -> None:
-        """Pass the first places up the suffix links to states that were split later."""
+        """Pass the places up the suffix links: where a string ends, its suffixes end, too."""
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            for name, at in self.first[s].items():
-                up = self.first[self.link[s]]
-                up[name] = min(at, up.get(name, at))
+            for name, ends in self.places[s].items():
+                self.places[self.link[s]].setdefault(name, set()).update(ends)
+        self.first = [{name: min(ends) for name, ends in p.items()} for p in self.places]
 
 
 class Scanner:
@@ -146,26 +145,37 @@ class Scanner:
         return places, self.chain(found)
 
     def chain(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int, int, int]]:
-        """Per notice, matches that go on in text and template within max_gap words: spans with their covered words."""
+        """Per notice, matches that go on in text and template within max_gap words: spans with their covered words.
+
+        Each match, at each of its places in the notice, goes on from the chain before it that covers most; chains are
+        then taken by their cover, and a match belongs to one span.  So a stray match does not split a span.
+        """
         spans = []
-        for i, label in enumerate(self.labels):
-            now: list[int] | None = None
-            for a, b, state in found:
-                end = self.sam.first[state].get(i)
-                if end is None:
-                    continue
-                t, u = end + 1 - (b - a), end + 1
-                if now and a - now[1] <= self.max_gap and now[3] <= t <= now[3] + self.max_gap and a >= now[1] - self.min_match:
-                    now[4] += u - t - max(0, now[1] - a)
-                    now[1], now[3] = b, u
-                else:
-                    if now:
-                        spans.append((label, *now))
-                    now = [a, b, t, u, u - t]
-            if now:
-                spans.append((label, *now))
-        least = {lab: self.min_cover * n for lab, n in zip(self.labels, self.lengths, strict=True)}
-        return [s for s in spans if s[5] >= least[s[0]]]
+        for i, (label, size) in enumerate(zip(self.labels, self.lengths, strict=True)):
+            nodes = [(a, b, e + 1 - (b - a), e + 1) for a, b, state in found for e in sorted(self.sam.places[state].get(i, ()))]
+            cover, back = [], []
+            for k, (a, b, t, _) in enumerate(nodes):
+                best, at = 0, -1
+                for j in range(k - 1, -1, -1):  # matches come by their ends
+                    _, z, _, u = nodes[j]
+                    if a - z > self.max_gap:
+                        break
+                    if a >= z - self.min_match and z < b and u <= t <= u + self.max_gap and cover[j] - max(0, z - a) > best:
+                        best, at = cover[j] - max(0, z - a), j
+                cover.append(b - a + best)
+                back.append(at)
+            used: set[tuple[int, int]] = set()
+            for k in sorted(range(len(nodes)), key=lambda k: (-cover[k], k)):
+                if cover[k] < self.min_cover * size:
+                    break
+                path = [k]
+                while back[path[-1]] >= 0:
+                    path.append(back[path[-1]])
+                if used.isdisjoint(nodes[j][:2] for j in path):
+                    used.update(nodes[j][:2] for j in path)
+                    first, last = nodes[path[-1]], nodes[k]
+                    spans.append((label, first[0], last[1], first[2], last[3], cover[k]))
+        return sorted(spans, key=lambda s: (self.labels.index(s[0]), s[1]))
 
     def row(self, words: list[bytes]) -> tuple:
         places, spans = self.scan(words)

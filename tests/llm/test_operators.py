@@ -128,6 +128,7 @@ def test_license_automaton():
         for i, s in enumerate(seqs):
             ends = [j + length - 1 for j in range(len(s)) if length and s[j : j + length] == text[k + 1 - length : k + 1]]
             assert not length or sam.first[state].get(i) == (min(ends) if ends else None)
+            assert not length or sam.places[state].get(i, set()) == set(ends)
     scanner = license_scan.Scanner(NOTICES, license_scan.PHRASES, 6, 0.15, 40)
     for label, notice in NOTICES.items():
         words = ("foo bar " + notice + " baz").encode().translate(license_scan.WORD_BYTES).split()
@@ -136,6 +137,21 @@ def test_license_automaton():
         assert own and own[0][1] == 2 and own[0][2] >= len(words) - 3, label
 
 
+def test_license_chain_of_strays_and_repeats():
+    """A stray match amid a notice does not split its span, and a passage that a notice repeats is met at each place."""
+    notice = " ".join(f"n{k}" for k in range(60))
+    scanner = license_scan.Scanner({"x": notice}, {}, 6, 0.6, 40)
+    stray = " ".join(f"n{k}" for k in range(50, 57))
+    words = lambda t: t.encode().split()
+    half = [" ".join(f"n{k}" for k in r) for r in (range(30), range(30, 60))]
+    _, spans = scanner.scan(words(f"foo {half[0]} bar {stray} bar {half[1]} baz"))
+    assert spans == [("x", 1, 70, 0, 60, 60)]
+    twice = " ".join([half[0], *(f"m{k}" for k in range(30)), half[0], half[1]])
+    scanner = license_scan.Scanner({"x": twice}, {}, 6, 0.4, 40)
+    _, spans = scanner.scan(words(f"{half[0]} foo {half[1]}"))
+    assert ("x", 0, 61, 60, 120, 60) in spans
+
+
 def test_license_odd(odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == 10 and sum(r["n_base"] for r in rows) == 3
