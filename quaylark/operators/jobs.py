@@ -32,6 +32,12 @@ def json_fingerprint(rows: DataFrame, order: str, fields: list[str]) -> DataFram
     return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]")), 256).alias("fingerprint"))
 
 
+def ids_fingerprint(ids: DataFrame, column: str) -> DataFrame:
+    """One row: SHA-256 of the distinct ids as a canonical JSON list in ascending order; an external listing's, of bounded size."""
+    listed = F.transform(F.array_sort(F.collect_set(column)), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    return ids.agg(F.sha2(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")), 256).alias("fingerprint"))
+
+
 def pool_manifest(files: DataFrame, pool: str) -> DataFrame:
     """(pool, files, bytes, fingerprint) of a pool's files (path, bytes)."""
     size = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
@@ -132,8 +138,16 @@ def evaluate_positions(rows: DataFrame, scorer: decode.Scorer, width: int, steps
     """Beams and greedy codes of cached positions (query_id, code, view_type, start_key), and their metrics by view and by start."""
     found = composites.identify(rows.select("query_id", F.lit(0).alias("window_id")), scorer, width, steps)
     told = rows.select("query_id", "code", "view_type", "start_key").join(found, "query_id").withColumn("ended", F.lit(True))
-    by = lambda keys: metrics.generation_metrics(told, keys)
-    return told, by(["view_type"]).withColumn("start_key", F.lit(None).cast("long")).unionByName(by(["view_type", "start_key"]))
+    each = told.withColumn("start_key", F.explode(F.array(F.lit(None).cast("long"), F.col("start_key"))))  # both groupings in one pass
+    return told, metrics.generation_metrics(each, ["view_type", "start_key"])
+
+
+def monitor_probe(rows: DataFrame, scorer: decode.Scorer, width: int, steps: int = decode.DIGITS) -> DataFrame:
+    """Metrics of a monitoring run's queries (query_id, code, condition, snr_db): by condition, and by condition and SNR."""
+    found = composites.identify(rows.select("query_id", F.lit(0).alias("window_id")), scorer, width, steps)
+    told = rows.join(found, "query_id").withColumn("ended", F.lit(True))
+    levels = F.array(F.struct(F.lit("condition").alias("level"), F.lit(None).cast("double").alias("snr_db")), F.struct(F.lit("snr").alias("level"), F.col("snr_db")))
+    return metrics.generation_metrics(told.select("code", "greedy", "beam", "ended", "condition", F.inline(levels)), ["level", "condition", "snr_db"])
 
 
 def evaluate_segments(queries: DataFrame, tokens: DataFrame, rejects: DataFrame, scorer: decode.Scorer, width: int, weight: float) -> DataFrame:

@@ -511,6 +511,19 @@ def segment_metrics(spark, sf):
     return out.withColumns({c: F.round(c, 6 if c == "audio_perplexity" else 9) for c in ("mrr", "mean_latency_seconds", "loss", "audio_loss", "digit_loss", "boundary_loss", "digit_accuracy", "exact_accuracy", "audio_perplexity")})
 
 
+@query(f"""WITH {_identified(5)}, {_TOLD}, m AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN 'clean' ELSE 'noise' END AS condition, CASE WHEN query_id % 4 <> 0 THEN query_id % 3 * 5.0::DOUBLE END AS snr_db FROM r)
+ SELECT 'condition' AS level, condition, NULL::DOUBLE AS snr_db, {_GENERATION} FROM m GROUP BY condition UNION ALL SELECT 'snr', condition, snr_db, {_GENERATION} FROM m GROUP BY condition, snr_db""")
+def monitor_probe(spark, sf):
+    i = F.col("query_id")
+    rows = _true_codes(spark, sf).select("query_id", "code", F.when(i % 4 == 0, "clean").otherwise("noise").alias("condition"), F.when(i % 4 != 0, i % 3 * F.lit(5.0)).alias("snr_db"))
+    return jobs.monitor_probe(rows, decoding.SCORER, 5).withColumn("mrr", F.round("mrr", 9))
+
+
+@query(f"""WITH {v.EXTERNAL} SELECT sha256('[' || string_agg('"' || source_id || '"', ',' ORDER BY source_id) || ']') AS fingerprint FROM (SELECT DISTINCT source_id FROM external WHERE source_id IS NOT NULL)""")
+def exclusion_fingerprint(spark, sf):
+    return jobs.ids_fingerprint(evaluation.exclusion(v.external(spark, sf), "source_id")[0], "source_id")
+
+
 @query(f"WITH {ev._RECIPES}, q AS (SELECT track_id, 2.0::DOUBLE AS query_seconds, 's' || (query_pos % 3) AS suite_id, code FROM recipes), r AS (SELECT track_id, 2.0::DOUBLE AS query_seconds, 's1' AS suite_id, query_pos AS rank FROM recipes) SELECT track_id, suite_id, rank, code FROM r JOIN q USING (track_id, suite_id, query_seconds)")
 def corpus_lookup(spark, sf):
     r = ev._recipes(spark, sf)[0]

@@ -145,3 +145,11 @@ def test_residual_codes(spark):
             k = min(range(3), key=lambda k: (abs(v - book[k]), k))
             assert got[q][i] == k
             v -= book[k]
+
+
+def test_resample_is_band_limited(spark):
+    at = lambda rate, n, hz: np.sin(2 * np.pi * hz * np.arange(n) / rate)
+    rows = [(at(8000, 800, 1000).tolist(), 8000, 16000), (at(16000, 1600, 1000).tolist(), 16000, 8000), (at(16000, 1600, 6000).tolist(), 16000, 8000), ([], 8000, 16000), (at(8000, 80, 100).tolist(), 8000, 8000)]
+    got = [np.array(r["y"]) for r in spark.createDataFrame(rows, "x array<double>, f int, g int").select(signals.resample(F.col("x"), F.col("f"), F.col("g")).alias("y")).collect()]
+    assert got[0] == pytest.approx(at(16000, 1600, 1000), abs=1e-9) and got[1] == pytest.approx(at(8000, 800, 1000), abs=1e-9)
+    assert np.abs(got[2]).max() < 1e-9 and len(got[2]) == 800 and not len(got[3]) and got[4] == pytest.approx(at(8000, 80, 100))
