@@ -18,14 +18,21 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary folder."""
+    """A new folder of this application below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quaylark-work")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quaylark/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quaylark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete this application's work folders.  Results of the operators read from them: write those first."""
+    folder = shared_dir(spark, "any").rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

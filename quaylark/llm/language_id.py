@@ -34,6 +34,7 @@ STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
 #: Hosts whose priors may be broadcast; more are joined by a shuffle.
 MOST_HOSTS = 50_000
+SALTS = 16
 
 
 def bigrams(text: bytes) -> np.ndarray:
@@ -157,7 +158,7 @@ def host_priors(counts: DataFrame, langs: list[str], strength: float = STRENGTH)
 
 def identify(
     rows: DataFrame, model: TextModel, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, markup: Column | None = None,
-    carry: bool = False, min_posterior: float = MIN_POSTERIOR,
+    carry: bool = False, min_posterior: float = MIN_POSTERIOR, most_hosts: int = MOST_HOSTS,
 ) -> DataFrame:
     """(id, language, posterior, fits, accepted, host) per row; with carry, the accepted rows with all their columns instead.
 
@@ -205,9 +206,11 @@ def identify(
     seen = work.select("text", "host", "declared").mapInArrow(alone, "host string, lang string").where("lang is not null")
     counts = materialise(seen.groupBy("host", "lang").count().select("host", suffix_of(F.col("host")).alias("suffix"), "lang", F.col("count").alias("n")), "host-languages")
     priors = materialise(host_priors(counts, langs), "host-priors")
-    if priors.count() <= MOST_HOSTS:
-        priors = F.broadcast(priors)
-    joined = work.join(priors, "host", "left")
+    if priors.count() <= most_hosts:
+        joined = work.join(F.broadcast(priors), "host", "left")
+    else:  # rows of a hot host are dealt to SALTS tasks
+        every = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = work.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(every, ["host", "salt"], "left").drop("salt")
     if carry:
         out = joined.select("row", "text", "host", "declared", "prior")
         done = out.mapInArrow(decide, f"row {rows.schema.simpleString()}, accepted boolean")

@@ -479,6 +479,8 @@ def test_language_odd(docs, odd, empty):
     model = fit(docs)
     rows = identify(odd, model, host=F.col("source")).collect()
     assert len(rows) == 10 and all(not r["accepted"] and r["language"] == "und" for r in rows if r["doc_id"] in (1, 2))
+    few = identify(docs, model, host=F.col("source"))
+    assert sorted(map(str, identify(docs, model, host=F.col("source"), most_hosts=0).collect())) == sorted(map(str, few.collect()))
     carried = identify(odd, model, host=F.col("source"), carry=True)
     accepted = identify(odd, model, host=F.col("source")).where("accepted")
     assert carried.columns == odd.columns and carried.count() == accepted.count() < 10
@@ -704,3 +706,14 @@ def test_pipeline(spark, sf_dir, texts):
         assert 0 < out.count() <= docs.count()
         docs = out
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_work_folders_can_be_removed(spark):
+    from quaylark.llm import core
+
+    some = core.materialise(spark.range(3).toDF("x"), "some")
+    assert some.count() == 3
+    folder = core.shared_dir(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    assert os.listdir(folder)
+    core.remove_work(spark)
+    assert not os.path.exists(folder)
