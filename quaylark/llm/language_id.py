@@ -120,9 +120,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(names) > MOST_LANGUAGES:
         warnings.warn(f"more than {MOST_LANGUAGES} languages: the rarer ones, from {names[-1]['lang']} on, are left out", stacklevel=2)
     h = F.xxhash64(F.col("id").cast("string"))
-    # A rank up to a bound is cut in each task before rows move.
-    picked = rows.where(F.col("lang").isin(*known)).select("id", "lang", h.alias("h"), F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    picked = picked.where(F.col("r") <= max(1, most_docs // len(known))).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"), F.max("n").alias("n"))
+    share = max(1, most_docs // len(known))
+    # Of a frequent language only rows of small hashes, some four times its share, are ranked.
+    bounds = F.create_map(*(F.lit(x) for r in names[:MOST_LANGUAGES] for x in (r["lang"], int(min(2**63 - 1, -(2**63) + 2**64 * min(1.0, 4 * share / r["count"]))))))
+    picked = rows.where(F.col("lang").isin(*known) & (h <= F.try_element_at(bounds, F.col("lang")))).select("id", "lang", h.alias("h"), F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    picked = picked.where(F.col("r") <= share).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"), F.max("n").alias("n"))
     order = picked.select("h", "id", "lang", "n").collect()  # most_docs rows, or a row a language
     taken, size = {}, 0
     for r in sorted(order):
