@@ -1,10 +1,11 @@
-"""Queries of the ten operators with their production parameters, and SQL for those that SQL can express."""
+"""Queries of the operators with their production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations, collocations_sql
 from .embedding_dedup import embedding_components
 from .exact_dedup import exact_groups
 from .language_id import fit, identify
@@ -13,6 +14,7 @@ from .lm_scoring import lm_scores
 from .mixing import mix_sql, mix_weights
 from .sentencepiece_codec import sentencepiece_encode
 from .simhash import simhash_components
+from .spelling_variants import spelling_variants, variants_sql
 from .token_output import token_output
 from .toxicity import toxicity
 
@@ -98,6 +100,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_path(TOKENIZER), END_ID)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -109,6 +119,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
+    "op11_collocations": op11_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
     "pages_language_id": pages_language_id,
 }
 
@@ -121,4 +133,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM r""",
     "op9_mixing": f"SELECT doc_id, source, lang, topic, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, kept FROM ({mix_sql()})",
+    "op11_collocations": collocations_sql(),
+    "op13_spelling_variants": variants_sql(),
 }
