@@ -12,6 +12,7 @@ from .language_id import fit, identify
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .mixing import mix_sql, mix_weights
+from .quality_ranker import quality
 from .sentencepiece_codec import sentencepiece_encode
 from .simhash import simhash_components
 from .spelling_variants import spelling_variants, variants_sql
@@ -104,6 +105,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality(docs, table(spark, sf_dir, "labels"), train_rows=lambda i: remainder(i, 3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -120,6 +127,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
     "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
     "op13_spelling_variants": op13_spelling_variants,
     "pages_language_id": pages_language_id,
 }

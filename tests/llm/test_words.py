@@ -208,4 +208,4 @@ def test_equal_keys_of_unlike_words():
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], names=["key", "place", "word", "n"])
     for cut in (1, 2, 3, 5):
         out = [tuple(r.values()) for b in var.near_rows(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
-        assert sorted(out) == [("hallo", 1, 7, "halxo"), ("halxo", 1, 9, "hallo")]
+        assert sorted(out) == [("hallo", 1, 7, "halxo"), ("halo", 1, 7, "halxo"), ("halxo", 1, 5, "halo"), ("halxo", 1, 9, "hallo")]
