@@ -121,11 +121,14 @@ def view_rotation(rows: DataFrame, seed: int, catalogue_pass: int) -> DataFrame:
 
 
 def canonical_pairs(rows: DataFrame, seed: int, catalogue_pass: int) -> DataFrame:
-    """Two canonical starts of each track for a pass: its turn's and the next in the track's keyed order, cyclically."""
+    """Two canonical starts of each track for a pass: places 2 * pass and the next in the track's keyed order, cyclically.
+
+    So the passes go through all starts two by two, and only then begin again.
+    """
     w = Window.partitionBy("track_id")
     placed = rows.where("view = 'canonical'").withColumn("_p", F.row_number().over(w.orderBy(stable_uint64(F.lit(seed), F.col("track_id"), F.col("view"), F.col("start").cast("string")), "start")) - 1)
     placed = placed.withColumn("_n", F.count(F.lit(1)).over(w))
-    turn = lambda k: F.max(F.when(F.col("_p") == (F.lit(catalogue_pass) + k) % F.col("_n"), F.col("start")))
+    turn = lambda k: F.max(F.when(F.col("_p") == (F.lit(2 * catalogue_pass) + k) % F.col("_n"), F.col("start")))
     return placed.groupBy("track_id").agg(turn(0).alias("anchor_start"), turn(1).alias("other_start"))
 
 

@@ -65,23 +65,23 @@ def prepare_corpus(sources: DataFrame, expected: DataFrame, status: Column, pass
 
 
 def with_assets(recipes: DataFrame, noise: DataFrame, rooms: DataFrame, seed: int, context: int) -> DataFrame:
-    """Recipes (track_id, ...) with their held-out noise, its offset and their room.
+    """Recipes (track_id, ...) with their held-out noise, its offset and their room; every recipe stays, `error` says what it lacks.
 
     noise: (pool_idx, path, samples, valid), rooms: (pool_idx, path, valid), numbered from 0.  Each recipe draws from
     both pools by its own keys and takes the next valid item; the noise's offset leaves `context` samples where it can.
     """
 
     def drawn(pool: DataFrame, salt: str, role: str, columns: list[str]) -> DataFrame:
-        n = pool.count()
         keys = recipes.select(F.col("track_id").alias("key"))
         seeded = stable_uint64(F.lit(seed), F.col("key"), F.lit(role)).cast("string")
-        met = draw_from_pool(keys, pool, n, seeded, salt, F.col("valid"), attempts=min(n, 16))
-        return met.join(F.broadcast(pool) if n <= 100_000 else pool, "pool_idx").select(F.col("key").alias("track_id"), "attempt", *columns)
+        return draw_from_pool(keys, pool, seeded, salt, F.col("valid")).join(pool, "pool_idx").select(F.col("key").alias("track_id"), "attempt", *columns)
 
     sound = drawn(noise, "validation-noise", "paper-noise", ["path", "samples"])
     base = stable_uint64(F.lit("validation-noise"), stable_uint64(F.lit(seed), F.col("track_id"), F.lit("paper-noise")).cast("string"))
     sound = sound.select("track_id", F.col("path").alias("noise_path"), pool_offset(base, F.col("attempt"), F.col("samples") - context).alias("noise_offset_samples"))
-    return recipes.join(sound, "track_id").join(drawn(rooms, "validation-room-ir", "paper-room-ir", [F.col("path").alias("rir_path")]), "track_id")
+    room = drawn(rooms, "validation-room-ir", "paper-room-ir", [F.col("path").alias("rir_path")]).drop("attempt")
+    lacks = [F.when(F.col(c).isNull(), F.lit(f"no valid {what}")) for c, what in (("noise_path", "noise"), ("rir_path", "room"))]
+    return recipes.join(sound, "track_id", "left").join(room, "track_id", "left").withColumn("error", F.nullif(F.concat_ws(", ", *lacks), F.lit("")))
 
 
 def pair_keys(pairs: DataFrame, seed: int, clean_steps: int) -> DataFrame:

@@ -83,13 +83,25 @@ def pool_offset(seed: Column, attempt: Column, most: Column) -> Column:
     return stable_mod(F.greatest(most, F.lit(0)) + 1, seed.cast("string"), attempt, F.lit("offset"))
 
 
-def draw_from_pool(keys: DataFrame, pool: DataFrame, n: int, seed: Column, salt: str, valid: Column, attempts: int = 4) -> DataFrame:
-    """For each row of keys (`key`) the first valid item of pool (`pool_idx` in 0..n-1) over the attempts, with its attempt."""
-    tried = keys.withColumn("pool_seed", stable_uint64(F.lit(salt), seed)).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    tried = tried.withColumn("pool_idx", pool_index(F.col("pool_seed"), F.col("attempt"), F.lit(n)))
-    met = tried.join(pool.where(valid), "pool_idx")
-    best = met.groupBy("key").agg(F.min_by(F.struct("attempt", "pool_idx"), "attempt").alias("x"))
-    return best.select("key", "x.attempt", "x.pool_idx")
+def draw_from_pool(keys: DataFrame, pool: DataFrame, seed: Column, salt: str, valid: Column, width: int = 65_536) -> DataFrame:
+    """For each row of keys (`key`) the first valid item of pool from the key's place on, around the pool's end: (key, attempt, pool_idx).
+
+    pool: (pool_idx, ...), numbered from 0 without gaps.  attempt counts the items passed over; both are NULL where the
+    pool has no valid item.  The next valid item of every place is found once, in ranges of `width` places.
+    """
+    from pyspark.sql import Window
+
+    items = pool.select("pool_idx", F.when(valid, F.col("pool_idx")).alias("_item"), F.floor(F.col("pool_idx") / width).alias("_b"))
+    edges = items.groupBy("_b").agg(F.min("_item").alias("_lo"))
+    every = Window.orderBy("_b")  # a row a range
+    edges = edges.select("_b", F.coalesce(F.first("_lo", True).over(every.rowsBetween(1, Window.unboundedFollowing)), F.min("_lo").over(Window.partitionBy())).alias("_later"))
+    ahead = F.first("_item", True).over(Window.partitionBy("_b").orderBy("pool_idx").rowsBetween(0, Window.unboundedFollowing))
+    following = items.withColumn("_next", ahead).join(edges, "_b").select(F.col("pool_idx").alias("_start"), F.coalesce("_next", "_later").alias("pool_idx"))
+    size = F.broadcast(pool.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    placed = keys.select("key", stable_uint64(F.lit(salt), seed).alias("_seed")).crossJoin(size)
+    placed = placed.withColumn("_start", F.when(F.col("_n") > 0, pool_index(F.col("_seed"), F.lit(0), F.greatest("_n", F.lit(1)))))
+    met = placed.join(following, "_start", "left")
+    return met.select("key", F.pmod(F.col("pool_idx") - F.col("_start"), F.greatest("_n", F.lit(1))).cast("int").alias("attempt"), "pool_idx")
 
 
 def monitor_manifest(tracks: DataFrame, views: list[tuple[str, list[int]]], seed: int, rank: str) -> DataFrame:

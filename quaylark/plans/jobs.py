@@ -165,23 +165,22 @@ def checkpoint_cohort(spark, sf):
 
 # -- recipes and keys
 
-_POOLS = f"""{ev._RECIPES}, noise AS (SELECT CAST(n_nationkey AS BIGINT) AS pool_idx, 'noise/' || n_name AS path, n_nationkey * 40 AS samples, n_nationkey % 4 <> 1 AS valid FROM nation),
- rooms AS (SELECT CAST(n_nationkey AS BIGINT) AS pool_idx, 'room/' || n_name AS path, n_nationkey % 3 <> 2 AS valid FROM nation),
+_POOLS = f"""{ev._RECIPES}, noise AS (SELECT CAST(p_partkey - 1 AS BIGINT) AS i, 'noise/' || p_partkey AS path, p_partkey * 40 AS samples, p_partkey % 53 = 7 AS valid FROM part),
+ rooms AS (SELECT CAST(n_nationkey AS BIGINT) AS i, 'room/' || n_name AS path, n_nationkey = 3 AS valid FROM nation),
  nk AS (SELECT track_id, {sql_uint64("'validation-noise'", 'CAST(' + sql_uint64(str(S), 'track_id', "'paper-noise'") + ' AS VARCHAR)')} AS u FROM recipes),
- rk AS (SELECT track_id, {sql_uint64("'validation-room-ir'", 'CAST(' + sql_uint64(str(S), 'track_id', "'paper-room-ir'") + ' AS VARCHAR)')} AS u FROM recipes),
- nd AS (SELECT track_id, any_value(u) AS u, arg_min(path, t) AS noise_path, arg_min(samples, t) AS samples, min(t) AS attempt FROM nk, range(16) r(t) JOIN noise ON pool_idx = CAST((CAST(u AS HUGEINT) + t) % 25 AS BIGINT) AND valid GROUP BY track_id),
- rd AS (SELECT track_id, arg_min(path, t) AS rir_path FROM rk, range(16) r(t) JOIN rooms ON pool_idx = CAST((CAST(u AS HUGEINT) + t) % 25 AS BIGINT) AND valid GROUP BY track_id)"""
+ ns AS (SELECT track_id, u, CAST(CAST(u AS HUGEINT) % n AS BIGINT) AS start, n FROM nk, (SELECT count(*) AS n FROM noise)),
+ nd AS (SELECT track_id, u, CAST((i - start + n) % n AS BIGINT) AS attempt, path AS noise_path, samples FROM (SELECT *, (SELECT coalesce(min(i) FILTER (i >= start), min(i)) FROM noise WHERE valid) AS i FROM ns) JOIN noise USING (i))"""
 
 
-@query(f"""WITH {_POOLS} SELECT track_id, code, start_sample, noise_path, CAST({sql_uint64('u', 'attempt', "'offset'")} % CAST(greatest(samples - 200, 0) + 1 AS UBIGINT) AS BIGINT) AS noise_offset_samples, rir_path
- FROM recipes JOIN nd USING (track_id) JOIN rd USING (track_id)""")
+@query(f"""WITH {_POOLS} SELECT track_id, code, start_sample, noise_path, CAST({sql_uint64('u', 'attempt', "'offset'")} % CAST(greatest(samples - 200, 0) + 1 AS UBIGINT) AS BIGINT) AS noise_offset_samples, rooms.path AS rir_path, NULL::VARCHAR AS error
+ FROM recipes JOIN nd USING (track_id), rooms WHERE rooms.valid""")
 def degraded_recipes(spark, sf):
-    """Query recipes with their held-out noise, its offset and their room."""
-    n = v.table(spark, sf, "nation", "n_nationkey", "n_name")
-    k = F.col("n_nationkey")
-    noise = n.select(k.cast("long").alias("pool_idx"), F.concat(F.lit("noise/"), "n_name").alias("path"), (k * 40).alias("samples"), (k % 4 != 1).alias("valid"))
-    rooms = n.select(k.cast("long").alias("pool_idx"), F.concat(F.lit("room/"), "n_name").alias("path"), (k % 3 != 2).alias("valid"))
-    return jobs.with_assets(ev._recipes(spark, sf)[0], noise, rooms, S, 200).select("track_id", "code", "start_sample", "noise_path", "noise_offset_samples", "rir_path")
+    """Query recipes with their held-out noise, its offset and their room, where few items of the pools are valid."""
+    p, n = v.table(spark, sf, "part", "p_partkey"), v.table(spark, sf, "nation", "n_nationkey", "n_name")
+    i, k = F.col("p_partkey"), F.col("n_nationkey")
+    noise = p.select((i - 1).cast("long").alias("pool_idx"), F.concat(F.lit("noise/"), i.cast("string")).alias("path"), (i * 40).alias("samples"), (i % 53 == 7).alias("valid"))
+    rooms = n.select(k.cast("long").alias("pool_idx"), F.concat(F.lit("room/"), "n_name").alias("path"), (k == 3).alias("valid"))
+    return jobs.with_assets(ev._recipes(spark, sf)[0], noise, rooms, S, 200).select("track_id", "code", "start_sample", "noise_path", "noise_offset_samples", "rir_path", "error")
 
 
 _PK = sql_uint64(str(S), "track_id", "'canonical'", "5", "'shifted'", "doc_id % 7")
@@ -241,7 +240,7 @@ def catalogue_pass(spark, sf):
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY {sql_uint64(str(S), 'conv_id', "'canonical'", 'turn')}, turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
- SELECT conv_id AS track_id, max(turn) FILTER (p = 3 % n) AS anchor_start, max(turn) FILTER (p = 4 % n) AS other_start FROM s GROUP BY conv_id""")
+ SELECT conv_id AS track_id, max(turn) FILTER (p = 6 % n) AS anchor_start, max(turn) FILTER (p = 7 % n) AS other_start FROM s GROUP BY conv_id""")
 def canonical_pairs(spark, sf):
     c = v.table(spark, sf, "conversations", "conv_id", "turn").select(F.col("conv_id").alias("track_id"), F.lit("canonical").alias("view"), F.col("turn").alias("start"))
     return catalogue.canonical_pairs(c, S, 3)
@@ -359,10 +358,10 @@ def catalogue_round_trip(spark, sf):
     return files.read_catalogue(spark, path)
 
 
-@query(f"""WITH {v.RANKS} SELECT CAST(query_id AS VARCHAR) AS track_id, suite_id || '-' || line || '-' || written AS suite_id, CAST(snr AS DOUBLE) AS query_seconds, rank AS correct_rank, 'f' AS protocol_fingerprint FROM ranks WHERE query_id % 10 = 0""")
+@query(f"""WITH {v.RANKS} SELECT CAST(query_id AS VARCHAR) AS track_id, suite_id || '-' || line || '-' || written AS suite_id, CAST(snr AS DOUBLE) AS query_seconds, rank AS correct_rank, 'f' AS protocol_fingerprint FROM ranks""")
 def resume_log_round_trip(spark, sf):
     """Results appended in two parts as JSON lines, and read again as the log that a run resumes from."""
-    r = v.ranks(spark, sf).where("query_id % 10 = 0").select(
+    r = v.ranks(spark, sf).select(
         F.lit("f").alias("protocol_fingerprint"), F.lit("ok").alias("status"), F.col("query_id").cast("string").alias("track_id"), F.concat_ws("-", "suite_id", F.col("line").cast("string"), F.col("written").cast("string")).alias("suite_id"), F.col("snr").cast("double").alias("query_seconds"), F.col("rank").cast("int").alias("correct_rank"))
     path = files.work_folder(spark, "results")
     files.append_results(r.where("correct_rank is null"), path)

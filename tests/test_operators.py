@@ -1,8 +1,10 @@
 """Operators on hand-made tables: goldens, errors, files, streams."""
 
+import hashlib
 import itertools
 import json
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -320,3 +322,45 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/new").count() == 2
     assert sorted((r["track_id"], r["value"]) for r in streams.read_latest(spark, f"{tmp_path}/last", 1, schema).collect()) == [("a", 3.0), ("b", 4.0)]
+
+
+# -- pools and passes
+
+def test_pool_draws_pass_over_all_invalid_items(spark):
+    """200 recipes, a pool of 100 whose first 30 alone are valid: all come out, with the first valid item around the end."""
+    from quaylark.operators.sampling import draw_from_pool
+
+    pool = spark.range(100).select(F.col("id").alias("pool_idx"))
+    keys = spark.range(200).select(F.col("id").cast("string").alias("key"))
+    seed = lambda k: int(hashlib.sha256(f"salt:{k}".encode()).hexdigest()[:16], 16)
+    for width, fine in ((7, lambda i: i < 30), (1000, lambda i: i == 99), (1, lambda i: i % 40 == 13)):
+        got = draw_from_pool(keys, pool, F.col("key"), "salt", F.udf(fine, "boolean")("pool_idx"), width=width).collect()
+        assert len(got) == 200
+        for r in got:
+            start = seed(r["key"]) % 100
+            first = next(t for t in range(100) if fine((start + t) % 100))
+            assert (r["attempt"], r["pool_idx"]) == (first, (start + first) % 100)
+    none = draw_from_pool(keys, pool, F.col("key"), "salt", F.lit(False)).collect()
+    assert len(none) == 200 and all(r["pool_idx"] is None for r in none)
+    assert draw_from_pool(keys, pool.limit(0), F.col("key"), "salt", F.lit(True)).where("pool_idx is null").count() == 200
+
+
+def test_recipes_without_assets_are_error_rows(spark):
+    from quaylark.operators.jobs import with_assets
+
+    recipes = spark.range(200).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("track_id"))
+    noise = spark.range(100).select(F.col("id").alias("pool_idx"), F.col("id").cast("string").alias("path"), F.lit(500).alias("samples"), (F.col("id") < 30).alias("valid"))
+    rooms = noise.select("pool_idx", "path", "valid")
+    fine = with_assets(recipes, noise, rooms, 1, 200)
+    assert fine.count() == 200 and fine.where("error is null and noise_path < 30 and rir_path < 30 and noise_offset_samples between 0 and 300").count() == 200
+    assert with_assets(recipes, noise, rooms.withColumn("valid", F.lit(False)), 1, 200).where("error = 'no valid room' and noise_path is not null").count() == 200
+    assert with_assets(recipes, noise.limit(0), rooms.limit(0), 1, 200).where("error = 'no valid noise, no valid room'").count() == 200
+
+
+def test_canonical_pairs_go_through_all_starts(spark):
+    """n/2 passes see each start once; an odd number of starts goes on around."""
+    rows = spark.createDataFrame([(t, "canonical", s) for t, n in (("a", 6), ("b", 8), ("c", 5)) for s in range(n)], "track_id string, view string, start int")
+    passes = [{r["track_id"]: (r["anchor_start"], r["other_start"]) for r in catalogue.canonical_pairs(rows, 3, p).collect()} for p in range(5)]
+    assert sorted(s for p in passes[:3] for s in p["a"]) == list(range(6)) and sorted(s for p in passes[:4] for s in p["b"]) == list(range(8))
+    assert passes[3]["a"] == passes[0]["a"]
+    assert Counter(s for p in passes for s in p["c"]) == dict.fromkeys(range(5), 2)
