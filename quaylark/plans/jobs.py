@@ -369,11 +369,11 @@ def resume_log_round_trip(spark, sf):
     return files.read_results(spark, path, "f").select("track_id", "suite_id", "query_seconds", "correct_rank", "protocol_fingerprint")
 
 
-@query(f"""WITH {v.WAVES} SELECT 'w' || wave_id || '.wav' AS name, 8000 AS rate, array_to_string(list_transform(samples, lambda q: CAST(CAST(round_even(greatest(-1.0, least(1.0, q)) * 32767, 0) AS BIGINT) AS VARCHAR)), ' ') AS pcm FROM waves WHERE wave_id < 300""")
+@query(f"""WITH {v.WAVES} SELECT 'w' || wave_id || '.wav' AS name, 8000 AS rate, array_to_string(list_transform(samples, lambda q: CAST(CAST(round_even(greatest(-1.0, least(1.0, q)) * 32767, 0) AS BIGINT) AS VARCHAR)), ' ') AS pcm FROM waves""")
 def wav_round_trip(spark, sf):
-    """Three hundred waveforms, a stated number, written as WAV files below the shared folder and decoded."""
+    """All waveforms written as WAV files below the shared folder and decoded."""
     folder = files.work_folder(spark, "wav")
-    w = v.waves(spark, sf).where("wave_id < 300").select(F.concat(F.lit("w"), F.col("wave_id").cast("string"), F.lit(".wav")).alias("name"), F.transform("samples", lambda q: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q))).alias("samples"))
+    w = v.waves(spark, sf).select(F.concat(F.lit("w"), F.col("wave_id").cast("string"), F.lit(".wav")).alias("name"), F.transform("samples", lambda q: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q))).alias("samples"))
     files.convert_files(w, folder, 8000).write.format("noop").mode("overwrite").save()
     got = files.decode_wavs(files.audio_files(spark, folder, content=True))
     return got.select(P.basename(F.col("path")).alias("name"), "rate", F.array_join(F.transform("samples", lambda q: F.round(q * 32767).cast("long").cast("string")), " ").alias("pcm"))
