@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..sources import files, recordings
+from ..sources import files, recordings, token_shards
+from . import jobs
 from . import views as v
 from .registry import Registry
 
@@ -49,4 +50,32 @@ def recording_channels(spark, sf):
     return each.select("name", "channel", F.array_join(F.transform("x", lambda q: F.bround(q * 1_000_000).cast("long").cast("string")), " ").alias("samples"))
 
 
+# -- flat token shards
+
+def _shards(spark, sf):
+    docs = jobs._store(spark, sf)[0].where("corpus_role = 'canonical_training'")
+    bad = F.col("document_index") % 13 == 0
+    rows = docs.select("document_index", "track_id", "code", F.when(bad, "failed").otherwise("ok").alias("status"), F.when(bad, 0).otherwise(F.size("tokens")).alias("token_count"), F.when(bad, "bad").alias("error"), "segment_start", "corpus_role", "tokens", F.floor(F.col("document_index") / 100).cast("int").alias("shard_id"))
+    path = files.work_folder(spark, "shards")
+    token_shards.write_shards(rows, path, "f1", vocabulary=jobs.VOCAB.total)
+    return token_shards.read_index(spark, path, "f1", "canonical_training", "full")
+
+
+_SHARDS = f"""{jobs._STORE}, flat_docs AS (SELECT document_index, track_id, code, segment_start, tokens, document_index // 100 AS shard_id, document_index % 13 <> 0 AS ok FROM docs WHERE corpus_role = 'canonical_training')"""
+
+
+@query(f"""WITH {_SHARDS} SELECT document_index, track_id, code, CAST(shard_id AS INTEGER) AS shard_id, CASE WHEN ok THEN 'ok' ELSE 'failed' END AS status, CAST(CASE WHEN ok THEN len(tokens) ELSE 0 END AS INTEGER) AS token_count,
+ CAST(coalesce(sum(CASE WHEN ok THEN len(tokens) ELSE 0 END) OVER (PARTITION BY shard_id ORDER BY document_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS token_offset, segment_start FROM flat_docs""")
+def flat_shard_index(spark, sf):
+    """Offsets of documents inside flat 16-bit shards of a hundred document numbers each."""
+    return _shards(spark, sf).select("document_index", "track_id", "code", "shard_id", "status", "token_count", "token_offset", "segment_start")
+
+
+@query(f"""WITH {_SHARDS} SELECT document_index, array_to_string(tokens[document_index % 7 + 1:document_index % 7 + 5], ' ') AS span FROM flat_docs WHERE ok""")
+def flat_shard_spans(spark, sf):
+    """Five tokens of each document, read by their offset in the shard."""
+    rows = _shards(spark, sf).where("status = 'ok'").withColumns({"first": F.col("document_index") % 7, "n": F.lit(5)})
+    return token_shards.read_tokens(rows, "first", "n").select("document_index", F.array_join("tokens", " ").alias("span"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

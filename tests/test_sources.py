@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylark.sources import recordings as rec
+from quaylark.sources import token_shards as ts
 
 
 # -- recordings
@@ -107,3 +108,85 @@ def test_written_recordings(spark, tmp_path):
     assert rec.write_recordings(rows.limit(1), str(tmp_path)).first()["status"] == "existing"
     assert rec.read_recordings(spark, str(tmp_path), samples=True).select("samples").collect()[0][0] == [[0.5, -0.25]]
     assert sorted(os.listdir(tmp_path)) == ["a.wav"]
+
+
+# -- flat token shards
+
+ROWS = "shard_id int, document_index long, track_id string, status string, tokens array<int>, token_count int, error string"
+
+
+def _rows(spark, n=40, shards=4):
+    rng = np.random.default_rng(n)
+    out = []
+    for i in range(n):
+        ok = i % 7 != 3
+        t = rng.integers(0, 8192, rng.integers(0, 30)).tolist()
+        out.append((i % shards, i, f"t{i}", "ok" if ok else "failed", t if ok else None, len(t) if ok else 0, None if ok else "bad"))
+    return out, spark.createDataFrame(out, ROWS).repartition(5)
+
+
+def test_token_shards(spark, tmp_path):
+    want, df = _rows(spark)
+    ts.write_shards(df, str(tmp_path), "f", vocabulary=8192, tokenizer={"name": "t"})
+    assert sorted(os.listdir(tmp_path)) == sorted(f"{ts.stem(s)}{p}" for s in range(4) for p in ts.PARTS)
+    index = ts.read_index(spark, str(tmp_path), "f", "canonical_training", "full")
+    rows = {r["document_index"]: r for r in ts.read_tokens(index).collect()}
+    assert all(rows[i]["tokens"] == (t or []) and rows[i]["shard_id"] == s and rows[i]["status"] == st and rows[i]["error"] == e for s, i, _, st, t, _, e in want) and len(rows) == len(want)
+    for s in range(4):  # numpy maps what the index says
+        flat = np.load(tmp_path / f"{ts.stem(s)}.tokens.npy", mmap_mode="r")
+        assert flat.dtype == np.uint16 and flat.tolist() == [x for sh, _, _, _, t, _, _ in want if sh == s for x in t or []]
+    spans = ts.read_tokens(index.withColumns({"a": F.lit(3), "n": F.lit(4)}), "a", "n")
+    assert {r["document_index"]: r["tokens"] for r in spans.collect()} == {i: (t or [])[3:7] for _, i, _, _, t, _, _ in want}
+    for args, said in ((("other",), "another tokenizer"), (("f", "heldout_evaluation"), "role")):
+        with pytest.raises(Exception, match=said):
+            ts.read_index(spark, str(tmp_path), *args).collect()
+    with pytest.raises(Exception, match="exists"):
+        ts.write_shards(df.where("shard_id = 2"), str(tmp_path), "f")
+    assert not os.path.exists(tmp_path / "_temporary") and ts.read_index(spark, str(tmp_path), "f").count() == 40
+    ts.write_shards(df.where("shard_id < 2"), str(tmp_path), "g", mode="overwrite")
+    assert len(os.listdir(tmp_path)) == 6 and ts.read_index(spark, str(tmp_path), "g").count() == 20
+    with pytest.raises(Exception, match="no token shards"):
+        ts.read_index(spark, str(tmp_path / "none"), "g").collect()
+
+
+@pytest.mark.parametrize("fault", ["count", "range", "role", "killed"])
+def test_no_half_shard(spark, tmp_path, fault):
+    """A task that fails or dies after others have written their shards leaves nothing that a reader sees, and no temporary files."""
+    _, df = _rows(spark)
+    last = F.col("document_index") == 39
+    if fault == "killed":
+        import signal
+
+        def die(x):
+            import time
+
+            if x == 39:
+                time.sleep(2)  # the other shards are written by then
+                os.kill(os.getpid(), signal.SIGKILL)
+            return x
+
+        bad = df.withColumn("token_count", F.when(last, F.udf(die, "long")("document_index").cast("int") * 0 - 1).otherwise(F.col("token_count")))
+    else:
+        bad = {"count": df.withColumn("token_count", F.when(last, 99).otherwise(F.col("token_count"))), "range": df.withColumn("tokens", F.when(last, F.array_repeat(F.lit(70_000), F.size("tokens"))).otherwise(F.col("tokens"))),
+               "role": df.withColumn("corpus_role", F.when(last, "heldout_evaluation").otherwise("canonical_training"))}[fault]
+    with pytest.raises(Exception):  # noqa: B017
+        ts.write_shards(bad, str(tmp_path), "f", vocabulary=8192)
+    assert not [n for _, _, names in os.walk(tmp_path) for n in names]
+    ts.write_shards(df, str(tmp_path), "f", vocabulary=8192)
+    assert ts.read_index(spark, str(tmp_path), "f").count() == 40
+
+
+def test_damaged_shards(spark, tmp_path):
+    _, df = _rows(spark)
+    for k, (part, hurt, said) in enumerate([
+        (".tokens.npy", lambda b: b[:-2], "token array"), (".tokens.npy", lambda b: b.replace(b"<u2", b"<u4"), "flat uint16"), (".index.jsonl", lambda b: b.split(b"\n", 1)[1], "index"), (".meta.json", lambda b: b.replace(b"true", b"false"), "complete"),
+        (".tokens.npy", lambda b: b[:-2] + b"\xff\xff", "vocabulary"),
+    ]):
+        root = tmp_path / str(k)
+        ts.write_shards(df, str(root), "f", vocabulary=8192)
+        path = root / f"{ts.stem(1)}{part}"
+        path.write_bytes(hurt(path.read_bytes()))
+        with pytest.raises(Exception, match=said):
+            ts.read_index(spark, str(root), "f", check="full").collect()
+        os.remove(root / f"{ts.stem(1)}.meta.json")  # without it the shard is not there
+        assert {r["shard_id"] for r in ts.read_index(spark, str(root), "f").collect()} == {0, 2, 3}
