@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..sources import files, recordings, token_shards
+from ..sources import files, recordings, reject_log, token_shards
 from . import jobs
 from . import views as v
 from .registry import Registry
@@ -78,4 +78,18 @@ def flat_shard_spans(spark, sf):
     return token_shards.read_tokens(rows, "first", "n").select("document_index", F.array_join("tokens", " ").alias("span"))
 
 
+# -- reject log
+
+@query(f"""WITH {v.ASSETS}, told AS (SELECT path, 'nine ' || min(p_partkey) AS error, 1 AS turn FROM assets WHERE p_partkey % 9 = 0 GROUP BY path UNION ALL SELECT path, 'six ' || min(p_partkey), 2 FROM assets WHERE p_partkey % 6 = 0 GROUP BY path
+ UNION ALL SELECT path, 'all ' || min(p_partkey), 3 FROM assets WHERE p_partkey % 5 = 0 GROUP BY path) SELECT path, arg_min(error, turn) AS error FROM told GROUP BY path""")
+def reject_log_commits(spark, sf):
+    """Three writers' rejects, one after another, as one log: the first error of each path."""
+    a = v.assets(spark, sf).select("p_partkey", "path")
+    log = reject_log.RejectLog(spark, files.work_folder(spark, "rejects"))
+    for n, word in ((9, "nine"), (6, "six"), (5, "all")):
+        some = a.where(F.col("p_partkey") % n == 0).groupBy("path").agg(F.min("p_partkey").alias("k"))
+        log.add(some.select("path", F.concat(F.lit(f"{word} "), F.col("k").cast("string")).alias("error")))
+    return log.read()
+
+
 QUERIES, ORACLES = query.queries, query.oracles

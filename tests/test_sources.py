@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylark.sources import recordings as rec
+from quaylark.sources import reject_log as rl
 from quaylark.sources import token_shards as ts
 
 
@@ -190,3 +191,75 @@ def test_damaged_shards(spark, tmp_path):
             ts.read_index(spark, str(root), "f", check="full").collect()
         os.remove(root / f"{ts.stem(1)}.meta.json")  # without it the shard is not there
         assert {r["shard_id"] for r in ts.read_index(spark, str(root), "f").collect()} == {0, 2, 3}
+
+
+# -- reject log
+
+def _rejects(spark, paths, error):
+    return spark.createDataFrame([(f"p{i}", error) for i in paths], rl.REJECTS)
+
+
+def test_reject_log(spark, tmp_path):
+    log = rl.RejectLog(spark, f"file://{tmp_path}/log")
+    assert log.version() == 0 and log.read().count() == 0
+    assert log.add(_rejects(spark, [], "none")) == 0
+    assert log.add(_rejects(spark, range(10), "first")) == 1
+    assert log.add(_rejects(spark, range(5, 15), "second").unionByName(_rejects(spark, range(12, 15), "a")).unionByName(spark.createDataFrame([(None, "x")], rl.REJECTS))) == 2
+    assert log.add(_rejects(spark, range(15), "third")) == 2
+    want = {f"p{i}": "first" if i < 10 else "second" if i < 12 else "a" for i in range(15)}
+    assert {r["path"]: r["error"] for r in log.read().collect()} == want and log.read(1).count() == 10
+    files = spark.createDataFrame([(f"p{i}",) for i in range(20)], "path string")
+    assert log.contains(files).count() == 15 and sorted(r[0] for r in log.without(files).collect()) == [f"p{i}" for i in range(15, 20)]
+
+
+def test_reject_log_conflict(spark, tmp_path, monkeypatch):
+    """Another writer commits between this one's reading and its commit, twice: its paths win, the rest is added once."""
+    log, other = rl.RejectLog(spark, str(tmp_path)), rl.RejectLog(spark, str(tmp_path))
+    create, turns = rl._create, []
+
+    def slow(spark_, path, content):
+        if len(turns) < 2:
+            turns.append(path)
+            monkeypatch.setattr(rl, "_create", create)
+            other.add(_rejects(spark, [len(turns), len(turns) + 10], f"other {len(turns)}"))
+            monkeypatch.setattr(rl, "_create", slow)
+        return create(spark_, path, content)
+
+    monkeypatch.setattr(rl, "_create", slow)
+    assert log.add(_rejects(spark, range(6), "mine")) == 3
+    assert {r["path"]: r["error"] for r in log.read().collect()} == {f"p{i}": "mine" for i in range(6)} | {"p1": "other 1", "p11": "other 1", "p2": "other 2", "p12": "other 2"}
+    assert log.read().count() == 8
+
+
+def test_reject_log_of_concurrent_jobs(spark, tmp_path, monkeypatch):
+    """Several Spark jobs at once add overlapping paths, over folds of the log: each path once, with the error of its first commit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    monkeypatch.setattr(rl, "FOLD_AFTER", 3)
+
+    def work(k):
+        log = rl.RejectLog(spark, str(tmp_path))
+        return [log.add(_rejects(spark, range(7 * t + k, 7 * t + k + 12), f"{k}:{t}")) for t in range(3)]
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    log = rl.RejectLog(spark, str(tmp_path))
+    rows = log.read().collect()
+    assert len(rows) == len({r["path"] for r in rows}) and {r["path"] for r in rows} == {f"p{i}" for t in range(3) for k in range(4) for i in range(7 * t + k, 7 * t + k + 12)}
+    first = {}
+    for n in range(1, log.version() + 1):
+        for r in log.read(n).collect():
+            first.setdefault(r["path"], r["error"])
+    assert {r["path"]: r["error"] for r in rows} == first
+
+
+def test_reject_log_after_a_lost_writer(spark, tmp_path, monkeypatch):
+    """A writer that dies before its commit leaves data that nobody reads."""
+    log = rl.RejectLog(spark, str(tmp_path))
+    log.add(_rejects(spark, range(3), "first"))
+    with monkeypatch.context() as m:
+        m.setattr(rl, "_create", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            log.add(_rejects(spark, range(9), "lost"))
+    assert log.read().count() == 3
+    assert log.add(_rejects(spark, range(9), "second")) == 2 and log.read().count() == 9
