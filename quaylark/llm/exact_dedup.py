@@ -1,19 +1,23 @@
 """Exact deduplication as a stateful stream, in DataFrame operations only.
 
-The ledger of a table (digest of the normalised text, identifier, content
-locator) runs as a stream through an aggregation keyed by digest.  Its state is
-kept without expiry by the RocksDB store on disk, checkpointed in the shared
-folder, so later calls meet all earlier texts.  It retains, for each digest, the
-identifier that stays, where the digest's content was first kept and how many
-rows had it, and each micro-batch writes what became of the digests that it
-touched.  A digest with more than one row is a hit: its rows' full texts are
-compared with each other and with the content at the locator, so texts count as
-equal by their bytes, never by digest alone.
+Each call writes its normalised texts as content, and the ledger of that content
+(digest, identifier, locator) runs as a stream through an aggregation keyed by
+digest.  Its state is kept without expiry by the RocksDB store on disk,
+checkpointed in the shared folder, so later calls meet all earlier texts.  It
+retains, for each digest, the identifier that stays, the locator of the content
+that came first and how many rows had it, and each micro-batch writes what became
+of the digests that it touched.  A digest with more than one row is a hit: its
+rows' full texts are compared with each other and with the content at the
+locator, so texts count as equal by their bytes, never by digest alone.
+
+A call can die at any step and be made again.  Content and ledger are written
+under the call's number, content first, and only a complete ledger is ever
+streamed; the stream itself goes on from its checkpoint.  The call's number is
+used up by a mark written last.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,28 +35,51 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
-LEDGER = "digest binary, id long, locator long"
-HELD = "digest binary, keep_id long, locator long, group_size long"
-CONTENT = "digest binary, text string, keep_id long, n long"
+#: A locator names a row of the content of its call: rows are numbered by file, so that a look-up skips the others.
+#: Marks are a second hash of the texts: where those of one digest differ, so do the texts, whichever call had them.
+LEDGER = "digest binary, id long, locator long, mark long, call int"
+HELD = "digest binary, keep_id long, at struct<call:int,locator:long>, group_size long, alike boolean"
+CONTENT = "digest binary, id long, locator long, text string"
 #: Tasks that the rows of one digest are dealt to, where a join can't be broadcast.
 SALTS = 16
 #: Keys that a join may broadcast (longs: some 40 MB); beyond it, it goes by a shuffle.
 MOST_KEYS = 1_000_000
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p, system = _path(spark, path)
+    return system.exists(p)
+
+
+def _mark(spark: SparkSession, folder: str, call: int) -> None:
+    p, system = _path(spark, f"{folder}/calls/{call}")
+    system.createNewFile(p)
+
+
+def _next_call(spark: SparkSession, folder: str) -> int:
+    """The first number that no finished call has."""
+    p, system = _path(spark, f"{folder}/calls")
+    return 1 + max((int(x.getPath().getName()) for x in system.listStatus(p)), default=-1) if system.exists(p) else 0
+
+
 def run_ledger(spark: SparkSession, folder: str, call: int, max_bytes: str | None = None) -> DataFrame:
-    """Run the files of the ledger that the state has not seen through it: (digest, keep_id, locator, group_size) of the digests in them.
+    """Run the files of the ledger that the state has not seen through it: what became of the digests of the call, as HELD.
 
-    The figures are those of all calls.  A micro-batch that runs again overwrites what it wrote.
+    The figures are those of all calls.  A micro-batch that runs again overwrites what it wrote; those of an attempt
+    that died count as this one's.
     """
     old = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
-    written = set()
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/touched/call={call}/{number}")
-        written.add(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/touched/call={call}/batch={number}")
 
     try:
         reader = spark.readStream.schema(LEDGER)
@@ -60,25 +87,48 @@ def run_ledger(spark: SparkSession, folder: str, call: int, max_bytes: str | Non
             reader = reader.option("maxBytesPerTrigger", max_bytes)
         held = (
             reader.parquet(f"{folder}/ledger").groupBy("digest")
-            .agg(F.max("id").alias("keep_id"), F.first("locator").alias("locator"), F.count(F.lit(1)).alias("group_size"))
+            .agg(F.max("id").alias("keep_id"), F.min(F.struct("call", "locator")).alias("at"), F.count(F.lit(1)).alias("group_size"), (F.min("mark") == F.max("mark")).alias("alike"))
         )
         stream = held.writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True)
         stream.option("checkpointLocation", f"{folder}/state").start().awaitTermination()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    if not written:
+    touched = f"{folder}/touched/call={call}"
+    if not _there(spark, touched):
         return spark.createDataFrame([], HELD)
-    read = [spark.read.schema(HELD).parquet(f"{folder}/touched/call={call}/{n}") for n in sorted(written)]
-    if len(read) == 1:
-        return read[0]
-    told = read[0].withColumn("batch", F.lit(0))
-    for n, part in enumerate(read[1:], 1):
-        told = told.unionByName(part.withColumn("batch", F.lit(n)))
-    last = told.groupBy("digest").agg(F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("v")).select("digest", "v.*")
+    told = spark.read.schema(f"{HELD}, batch int").parquet(touched)
+    p, system = _path(spark, touched)
+    if len(system.listStatus(p)) == 1:
+        return told.drop("batch")
+    last = told.groupBy("digest").agg(F.max_by(F.struct("keep_id", "at", "group_size", "alike"), "batch").alias("v")).select("digest", "v.*")
     return materialise(last, "exact-touched")
 
 
+def _sum_of(rows: DataFrame) -> tuple:
+    """Of (digest, id): how many, and a sum of their hashes."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("digest", "id").cast("decimal(38,0)"))).first())
+
+
+def _begin(spark: SparkSession, folder: str, rows: DataFrame, max_bytes: str | None) -> int:
+    """Write content and ledger of the next call, unless an earlier attempt at it has.
+
+    An attempt that died after its ledger was complete, but was made with other rows, is finished first: its rows may
+    be in the state already.
+    """
+    call = _next_call(spark, folder)
+    ledger = lambda n: f"{folder}/ledger/call={n}"
+    if _there(spark, f"{ledger(call)}/_SUCCESS"):
+        if _sum_of(spark.read.schema(LEDGER).parquet(ledger(call))) == _sum_of(rows):
+            return call
+        run_ledger(spark, folder, call, max_bytes)
+        _mark(spark, folder, call)
+        call += 1
+    rows.select("digest", "id", F.monotonically_increasing_id().alias("locator"), "text").write.mode("overwrite").parquet(f"{folder}/content/call={call}")
+    spark.read.schema(CONTENT).parquet(f"{folder}/content/call={call}").select("digest", "id", "locator", F.xxhash64("text").alias("mark")).write.mode("overwrite").parquet(ledger(call))
+    return call
+
+
 def _salt():
     return F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
 
@@ -101,14 +151,6 @@ def _contents(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
 
 
-def _next_call(spark: SparkSession, folder: str) -> int:
-    try:
-        last = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").agg(F.max("locator")).first()[0]
-    except AnalysisException:
-        return 0
-    return 0 if last is None else last + 1
-
-
 def normal(text_col: str):
     return lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
@@ -128,15 +170,14 @@ def exact_groups(
     group_size, and all or none are kept.  An empty table gives an empty result.
 
     With a state_dir, calls go on from each other: keep_id and group_size are of the rows of this and all earlier
-    calls, and each call keeps its distinct texts below it, as the content that its locators name.
+    calls, and each call keeps its texts below it, as the content that its locators name.  A call that died is made
+    again with the same rows; what it had done is not done twice.
     """
     spark = docs.sparkSession
     folder = state_dir or shared_dir(spark, "exact")
-    call = _next_call(spark, folder) if state_dir else 0
-    normalised = lambda df: df.select(F.col(id_col).cast("long").alias("id"), normal(text_col).alias("text")).withColumn("digest", digest_of("text"))
-    rows = normalised(docs)
-    rows.select("digest", "id", F.lit(call).cast("long").alias("locator")).write.mode("append").parquet(f"{folder}/ledger")
-    seen = spark.read.schema(LEDGER).parquet(f"{folder}/ledger").where(F.col("locator") == call).select("digest", "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), normal(text_col).alias("text")).withColumn("digest", digest_of("text"))
+    call = _begin(spark, folder, rows, max_bytes)
+    seen = spark.read.schema("digest binary, id long").parquet(f"{folder}/ledger/call={call}")
     hits = materialise(run_ledger(spark, folder, call, max_bytes).where("group_size > 1"), "exact-hits")
     few = hits.count() <= most_keys
     groups = hits.select("digest", "keep_id", "group_size")
@@ -145,27 +186,19 @@ def exact_groups(
     else:
         found = seen.withColumn("salt", _salt()).join(groups.select("digest", _every_salt(), "keep_id", "group_size"), ["digest", "salt"], "left")
     found = materialise(found.select("digest", "id", "keep_id", "group_size"), "exact-found")
-    kept_texts = lambda n: spark.read.schema(CONTENT).parquet(f"{folder}/content/{n}")
-    if state_dir:
-        _contents(rows).write.mode("overwrite").parquet(f"{folder}/content/{call}")
-        texts = _of(kept_texts(call), hits, few)
-        for r in hits.where(F.col("locator") != call).select("locator").distinct().collect():  # a row a call
-            texts = texts.unionByName(_of(kept_texts(r[0]), hits.where(F.col("locator") == r[0]), few))
-    else:
-        (id_,) = fresh(docs, "id")
-        members = found.where("group_size is not null and id is not null").select(F.col("id").alias(id_)).distinct()
-        if members.count() <= most_keys:  # only the hits' texts are normalised again
-            named = docs.join(F.broadcast(members), F.col(id_col).cast("long") == F.col(id_), "left_semi")
-            rows = normalised(named.unionByName(docs.where(F.col(id_col).cast("long").isNull())))
-        texts = _contents(_of(rows, hits, few))
-    clash = materialise(texts.groupBy("digest").agg(F.count_distinct("text").alias("n")).where("n > 1").select("digest"), "exact-clash")
+    content = lambda n: spark.read.schema(CONTENT).parquet(f"{folder}/content/call={n}")
+    texts = _contents(_of(content(call), hits, few))
+    for r in hits.where(F.col("at.call") != call).select("at.call").distinct().collect():  # a row a call
+        first = hits.where(F.col("at.call") == r["call"]).select(F.col("at.locator").alias("locator"))
+        texts = texts.unionByName(_contents(content(r["call"]).join(F.broadcast(first) if few else first, "locator", "left_semi")))
+    unlike = texts.groupBy("digest").agg(F.count_distinct("text").alias("n")).where("n > 1").select("digest")
+    clash = materialise(unlike.unionByName(hits.where(~F.col("alike")).select("digest")).distinct(), "exact-clash")
     if not clash.isEmpty():  # several texts under one digest: only those need their text to tell them apart
-        every = texts if not state_dir else kept_texts(0)
-        for n in range(1, call + 1 if state_dir else 0):
-            every = every.unionByName(kept_texts(n))
-        told = every.join(clash, "digest", "left_semi").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        told = rows.join(clash, "digest", "left_semi").join(told, ["digest", "text"]).select("digest", "id", "keep_id", "group_size")
-        found = found.join(clash, "digest", "left_anti").unionByName(told)
+        told = _contents(spark.read.schema(CONTENT).parquet(*(f"{folder}/content/call={n}" for n in range(call + 1))).join(clash, "digest", "left_semi"))
+        told = content(call).join(clash, "digest", "left_semi").join(told.withColumnRenamed("n", "group_size"), ["digest", "text"]).select("digest", "id", "keep_id", "group_size")
+        found = found.join(clash, "digest", "left_anti").unionByName(materialise(told, "exact-told-apart"))
+    if state_dir:
+        _mark(spark, folder, call)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
