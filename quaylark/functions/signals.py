@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -180,31 +182,59 @@ def window_starts(query: Column, window: Column, hop: Column) -> Column:
     return F.when(last >= 0, grid).otherwise(F.array().cast("array<long>"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def resample_linear(x: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-    """Linear interpolation to another rate: approximate, there is no band-limited resampler here."""
-
-    def one(a, f, g):
-        n = int(np.ceil(len(a) * g / f))
-        return np.interp(np.arange(n) * f / g, np.arange(len(a)), a) if len(a) else a
-
-    return pd.Series([one(a, f, g) for a, f, g in zip(x, old, new, strict=True)])
+#: Zero crossings of the resampling kernel on either side, and outputs computed at once.
+CROSSINGS = 32
+RESAMPLE_BLOCK = 8192
+
+
+def sinc_kernel(x: np.ndarray, cut: float) -> np.ndarray:
+    """Blackman-windowed sinc at distances x (input samples) with its band cut at `cut` of the input's half rate."""
+    u = np.clip(np.abs(x) * cut / CROSSINGS, 0, 1)
+    return np.sinc(cut * x) * (0.42 + 0.5 * np.cos(np.pi * u) + 0.08 * np.cos(2 * np.pi * u))
+
+
+def beyond_ends(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values of a at any places: beyond its ends it goes on point-mirrored at them, so that lines stay lines."""
+    n = len(a)
+    if n == 1:
+        return np.full(at.shape, a[0])
+    period = 2 * (n - 1)
+    q = at % period
+    mirrored = q >= n
+    q = np.where(mirrored, period - q, q)
+    slope = (a[-1] - a[0]) / (n - 1)
+    off_line = a[q] - (a[0] + slope * q)
+    return a[0] + slope * at + np.where(mirrored, -off_line, off_line)
+
+
+def polyphase(a: np.ndarray, old: int, new: int) -> np.ndarray:
+    """ceil(n * new / old) samples at the places m * old / new, by a bank of kernels, one for each fraction of a sample.
+
+    Each output is a weighted mean of the samples around it with weights that sum to 1.  Outputs come in blocks, each from
+    the stretch of input that it needs, with overlap.
+    """
+    a = np.asarray(a, dtype=float)
+    g = math.gcd(int(old), int(new))
+    down, up = int(old) // g, int(new) // g
+    if not len(a) or up == down:
+        return a
+    cut = min(1.0, up / down)
+    half = math.ceil(CROSSINGS / cut)
+    near = np.arange(1 - half, half + 1)
+    n, out = -(-len(a) * up // down), []
+    for lo in range(0, n, RESAMPLE_BLOCK):
+        place = np.arange(lo, min(n, lo + RESAMPLE_BLOCK)) * down
+        base, phase = place // up, place % up
+        own, which = np.unique(phase, return_inverse=True)
+        bank = sinc_kernel(own[:, None] / up - near, cut)
+        bank /= bank.sum(axis=1, keepdims=True)
+        stretch = beyond_ends(a, np.arange(base[0] + near[0], base[-1] + near[-1] + 1))
+        rows = np.lib.stride_tricks.sliding_window_view(stretch, len(near))[base - base[0]]
+        out.append(np.einsum("ij,ij->i", rows, bank[which.reshape(-1)]))
+    return np.concatenate(out)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def resample(x: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-    """Band-limited resampling of whole arrays by FFT: nothing above either rate's half stays; ceil(n * new / old) samples."""
-
-    def one(a, f, g):
-        if a is None or not len(a) or f == g:
-            return a
-        n = int(np.ceil(len(a) * g / f))
-        bands = np.fft.rfft(a)
-        kept = np.zeros(n // 2 + 1, dtype=complex)
-        m = min(len(bands), len(kept))
-        kept[:m] = bands[:m]
-        if m < len(bands) and n % 2 == 0:
-            kept[-1] = kept[-1].real  # the half rate itself has no phase
-        return np.fft.irfft(kept, n) * (n / len(a))
-
-    return pd.Series([one(a, f, g) for a, f, g in zip(x, old, new, strict=True)])
+    """Band-limited resampling (polyphase()); an array that is NULL, empty or has the rate already stays as it is."""
+    return pd.Series([a if a is None or f is None or g is None else polyphase(a, f, g) for a, f, g in zip(x, old, new, strict=True)])

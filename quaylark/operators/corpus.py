@@ -36,28 +36,35 @@ def first_five(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column).limit(5)
 
 
-def merge_rare_labels(counts: dict[int, int], least: int) -> dict[int, int]:
-    """Old label to new: the smallest rare label joins the nearest other (the smaller of equally near), until all have `least`."""
-    size, goes = dict(counts), {k: k for k in counts}
-    while len(size) > 1:
-        rare = sorted(k for k, n in size.items() if n < least)
-        if not rare:
-            break
-        label = rare[0]
-        near = min((k for k in size if k != label), key=lambda k: (abs(k - label), k))
-        size[near] += size.pop(label)
-        goes = {a: near if b == label else b for a, b in goes.items()}
-    return goes
+_MERGES = """
+WITH RECURSIVE merging(groups, goes, step) MAX RECURSION LEVEL {most} AS (
+  SELECT array_sort(collect_list(struct(label, n))), transform(array_sort(collect_list(label)), x -> struct(x AS old, x AS new)), 0 FROM {histogram} WHERE label IS NOT NULL
+  UNION ALL
+  SELECT filter(transform(groups, (g, j) -> if(j = near, struct(g.label AS label, g.n + groups[at].n AS n), g)), (g, j) -> j <> at),
+    transform(goes, m -> if(m.new = groups[at].label, struct(m.old AS old, groups[near].label AS new), m)), step + 1
+  FROM (
+    SELECT groups, goes, step, at,
+      CASE WHEN at = 0 THEN 1 WHEN at = size(groups) - 1 OR groups[at].label - groups[at - 1].label <= groups[at + 1].label - groups[at].label THEN at - 1 ELSE at + 1 END AS near
+    FROM (SELECT groups, goes, step, CAST(array_position(transform(groups, g -> g.n < {least}), true) AS INT) - 1 AS at FROM merging WHERE size(groups) > 1)
+    WHERE at >= 0
+  )
+)
+SELECT inline(max_by(goes, step)) FROM merging"""
+
+
+def merge_rare_labels(histogram: DataFrame, least: int, most: int = 100_000) -> DataFrame:
+    """(old, new) of the labels of a histogram (label, n): the smallest rare label joins the nearest other (the smaller of equally near), until all have `least`.
+
+    A recursive table over the histogram, which has a row a label.
+    """
+    return histogram.sparkSession.sql(_MERGES, histogram=histogram.select("label", "n"), least=int(least), most=int(most))
 
 
 def apply_merge(rows: DataFrame, label: str, least: int) -> DataFrame:
-    """rows with rare labels merged; the counts (a row a label) are settled on the driver."""
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    goes = merge_rare_labels(counts, least)
-    if not goes:
-        return rows
-    pairs = F.create_map(*(F.lit(x) for kv in goes.items() for x in kv))
-    return rows.withColumn(label, F.element_at(pairs, F.col(label)))
+    """rows with rare labels merged; a null label stays."""
+    goes = merge_rare_labels(rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")), least)
+    told = rows.join(goes, rows[label] == goes["old"], "left")
+    return told.select(*(F.col("new").alias(c) if c == label else rows[c] for c in rows.columns))
 
 
 def corpus_summary(rows: DataFrame, failures: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import signals
+from ..operators import corpus
 from ..sources import files, recordings, reject_log, token_shards
 from . import jobs
 from . import views as v
@@ -92,4 +94,56 @@ def reject_log_commits(spark, sf):
     return log.read()
 
 
+# -- lines
+
+_LINE = "CASE WHEN event_id % 13 = 0 THEN '{\"step\": ' || event_id WHEN event_id % 17 = 0 THEN '' ELSE '{\"step\": ' || event_id || '}' END"
+
+
+@query(f"""WITH l AS (SELECT event_id % 7 AS part, row_number() OVER (PARTITION BY event_id % 7 ORDER BY event_id) AS line, {_LINE} AS text FROM events) SELECT CAST(part AS INTEGER) AS part, line, text FROM l WHERE text <> '' AND right(text, 1) <> '}}'""")
+def malformed_log_lines(spark, sf):
+    """Line numbers of cut lines in seven logs with blank lines."""
+    e = v.table(spark, sf, "events", "event_id")
+    i = F.col("event_id")
+    whole = F.concat(F.lit('{"step": '), i.cast("string"))
+    rows = e.select((i % 7).cast("int").alias("part"), i, F.when(i % 13 == 0, whole).when(i % 17 == 0, "").otherwise(F.concat(whole, F.lit("}"))).alias("value"))
+    path = files.work_folder(spark, "logs")
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    return files.malformed_lines(spark, path).select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int").alias("part"), "line", "text")
+
+
+# -- recordings at other rates
+
+def _resampled_sql(old: int, new: int) -> str:
+    cut, z = min(1.0, new / old), 32
+    half = -(-z * old // new) if new < old else z
+    u, x = f"least(1.0, abs(x) * {cut}::DOUBLE / {z})", f"(pi() * {cut}::DOUBLE * x)"
+    kernel = f"(CASE WHEN x = 0 THEN 1.0 ELSE sin({x}) / {x} END) * (0.42 + 0.5 * cos(pi() * {u}) + 0.08 * cos(2 * pi() * {u}))"
+    return f"""t{new} AS (SELECT m, m * {old} // {new} + k AS place, m * {old} / {new}.0::DOUBLE - (m * {old} // {new} + k) AS x FROM range({-(-64 * new // old)}) a(m), range({1 - half}, {half + 1}) b(k)),
+ k{new} AS (SELECT m, place, {kernel} AS h, ((place % 126) + 126) % 126 AS q FROM t{new}), h{new} AS (SELECT m, place, q, h / sum(h) OVER (PARTITION BY m) AS h FROM k{new}),
+ e{new} AS (SELECT m, h, CASE WHEN q <= 63 THEN q ELSE 126 - q END AS q, CASE WHEN q <= 63 THEN 1.0 ELSE -1.0 END AS sign, place FROM h{new}),
+ y{new} AS (SELECT wave_id, m, sum(h * (x[1] + (x[64] - x[1]) * place / 63.0::DOUBLE + sign * (x[q + 1] - x[1] - (x[64] - x[1]) * q / 63.0::DOUBLE))) AS y FROM (SELECT wave_id, samples AS x FROM waves), e{new} GROUP BY wave_id, m)"""
+
+
+@query(f"""WITH {v.WAVES}, {_resampled_sql(8, 12)}, {_resampled_sql(8, 5)} SELECT wave_id, rate, array_to_string(list(CAST(CAST(round(y * 100000) AS BIGINT) AS VARCHAR) ORDER BY m), ' ') AS samples FROM (SELECT *, 12 AS rate FROM y12 UNION ALL SELECT *, 5 FROM y5) GROUP BY wave_id, rate""")
+def resampled_waves(spark, sf):
+    """Waveforms of a rate of 8 at rates of 12 and 5, ends included."""
+    w = v.waves(spark, sf).select("wave_id", "samples", F.explode(F.array(F.lit(12), F.lit(5))).alias("rate"))
+    y = signals.resample(F.col("samples"), F.lit(8), F.col("rate"))
+    return w.select("wave_id", "rate", F.array_join(F.transform(y, lambda q: F.round(q * 100_000).cast("long").cast("string")), " ").alias("samples"))
+
+
+# -- rare labels
+
+@query("""WITH RECURSIVE h AS (SELECT n_chars // 150 AS label, count(*) AS n FROM documents GROUP BY 1),
+ r AS (SELECT list(struct_pack(label := label, n := n)) AS g, list(struct_pack(old := label, new := label)) AS goes, 0 AS step FROM h
+  UNION ALL SELECT list_transform(list_filter(g, lambda x: x.label <> a), lambda x: struct_pack(label := x.label, n := CASE WHEN x.label = b THEN x.n + c ELSE x.n END)), list_transform(goes, lambda x: struct_pack(old := x.old, new := CASE WHEN x.new = a THEN b ELSE x.new END)), step + 1 FROM
+   (SELECT *, list_min(list_transform(list_filter(g, lambda x: x.label <> a), lambda x: struct_pack(d := abs(x.label - a), label := x.label))).label AS b, list_filter(g, lambda x: x.label = a)[1].n AS c FROM
+    (SELECT *, list_min(list_transform(list_filter(g, lambda x: x.n < 9), lambda x: x.label)) AS a FROM r WHERE len(g) > 1) WHERE a IS NOT NULL)),
+ m AS (SELECT unnest(arg_max(goes, step)) AS x FROM r) SELECT doc_id, m.x.new AS label FROM documents JOIN m ON m.x.old = n_chars // 150""")
+def merged_rare_labels(spark, sf):
+    """Lengths in steps of 150 characters; labels of fewer than nine documents join their neighbours."""
+    d = v.table(spark, sf, "documents", "doc_id", "n_chars")
+    return corpus.apply_merge(d.select("doc_id", F.floor(F.col("n_chars") / 150).alias("label")), "label", 9)
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -7,11 +7,11 @@ import json
 import os
 import uuid
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -68,6 +68,33 @@ def read_jsonl(spark: SparkSession, path: str, schema, required: list[str] = ())
     return df
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is a JSON object."""
+    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")), F.lit(False))
+
+
+def malformed_lines(spark: SparkSession, path: str, fine: Callable[[Column], Column] = is_object) -> DataFrame:
+    """(path, line, text) of the lines below path that are neither blank nor fine; lines are numbered from 1 in each file.
+
+    Large files are read in splits.  A split knows the lines before it from the counts of the file's earlier splits, so
+    one scan settles all, and only the wrong lines leave their task.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("m"))
+    wrong = F.when((F.trim("value") != "") & ~fine(F.col("value")), F.struct("m", "value"))
+    splits = lines.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"), F.collect_list(wrong).alias("wrong"))
+    earlier = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("path", "first", "before", F.explode("wrong").alias("w"))
+    return told.select("path", (F.col("before") + F.col("w.m") - F.col("first") + 1).alias("line"), F.col("w.value").alias("text"))
+
+
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A JSON lines log; malformed lines are an error that names the first five by path and line."""
+    wrong = malformed_lines(spark, path).orderBy("path", "line").limit(5).collect()
+    if wrong:
+        raise ValueError("malformed: " + "; ".join(f"{r['path']}:{r['line']}" for r in wrong))
+    return spark.read.schema(schema).json(path)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """JSON lines with sorted keys at every level and nulls written out; the job's commit makes the folder appear whole."""
     df.select(*(_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name))).write.mode(mode).option("ignoreNullFields", False).json(path)

@@ -158,9 +158,24 @@ def test_losses(spark):
         losses.pair_rows(rows).collect()
 
 
+def plain_merge(counts, least):
+    """A rare label's rows are relabelled, again and again."""
+    rows = [(k, k) for k, n in counts.items() for _ in range(n)]
+    while len(size := Counter(new for _, new in rows)) > 1 and (rare := sorted(k for k, n in size.items() if n < least)):
+        near = min((k for k in size if k != rare[0]), key=lambda k: (abs(k - rare[0]), k))
+        rows = [(old, near if new == rare[0] else new) for old, new in rows]
+    return dict(rows)
+
+
 def test_corpus(spark):
-    assert corpus.merge_rare_labels({1: 1, 2: 5, 4: 1, 9: 7}, 3) == {1: 2, 2: 2, 4: 2, 9: 9}
-    assert corpus.merge_rare_labels({3: 1}, 5) == {3: 3}
+    merged = lambda counts, least: {r["old"]: r["new"] for r in corpus.merge_rare_labels(spark.createDataFrame(list(counts.items()), "label int, n int"), least).collect()}
+    assert merged({1: 1, 2: 5, 4: 1, 9: 7}, 3) == {1: 2, 2: 2, 4: 2, 9: 9}
+    assert merged({3: 1}, 5) == {3: 3} and merged({}, 5) == {}
+    assert merged({1: 1, 3: 1, 5: 1, 7: 1, 20: 9}, 4) == dict.fromkeys((1, 3, 5, 7), 7) | {20: 20} == plain_merge({1: 1, 3: 1, 5: 1, 7: 1, 20: 9}, 4)
+    rng = np.random.default_rng(1)
+    for least in (2, 6):
+        counts = {int(k): int(n) for k, n in zip(rng.choice(200, 30, replace=False), rng.integers(1, 8, 30), strict=True)}
+        assert merged(counts, least) == plain_merge(counts, least)
     rows = spark.createDataFrame([(1,), (2,), (2,), (2,)], "label int")
     assert [r["label"] for r in corpus.apply_merge(rows, "label", 2).collect()] == [2, 2, 2, 2]
     assets = spark.createDataFrame([("d", "b", "x", "train"), ("d", "c", "y", "test"), ("d", "a", "z", "train"), ("e", "a", "w", "train")], "digest string, collection string, relative string, split string")

@@ -1,5 +1,6 @@
 """Data sources: recordings, flat token shards, the commit log, line numbers."""
 
+import json
 import os
 import struct
 import zlib
@@ -263,3 +264,37 @@ def test_reject_log_after_a_lost_writer(spark, tmp_path, monkeypatch):
             log.add(_rejects(spark, range(9), "lost"))
     assert log.read().count() == 3
     assert log.add(_rejects(spark, range(9), "second")) == 2 and log.read().count() == 9
+
+
+# -- lines
+
+def test_malformed_lines(spark, tmp_path):
+    """Path, line and text of each wrong line, in files cut into several splits, of several files in one split, and packed ones."""
+    import gzip
+
+    from quaylark.sources import files
+
+    rng = np.random.default_rng(3)
+    want = set()
+    for k, n in enumerate((1, 900, 7, 2000, 0)):
+        lines = []
+        for i in range(n):
+            kind = rng.integers(0, 40)
+            text = '{"step": ' if kind == 0 else "[1, 2]" if kind == 1 else "7" if kind == 2 else "" if kind < 6 else "   " if kind == 6 else json.dumps({"step": i, "text": "x" * int(rng.integers(0, 60))})
+            lines.append(text)
+            if kind <= 2:
+                want.add((f"f{k}.jsonl", i + 1, text))
+        (tmp_path / f"f{k}.jsonl").write_text("\n".join(lines) + ("\n" if k % 2 else ""))
+    (tmp_path / "g.jsonl.gz").write_bytes(gzip.compress(b'{"a": 1}\n\nbad\n'))
+    want.add(("g.jsonl.gz", 3, "bad"))
+    for size in ("1000", "20000", "100m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {(os.path.basename(r["path"]), r["line"], r["text"]) for r in files.malformed_lines(spark, str(tmp_path)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == want, size
+    first = sorted((n, line) for n, line, _ in want)[0]
+    with pytest.raises(ValueError, match=f"malformed: .*{first[0]}:{first[1]}"):
+        files.read_log(spark, str(tmp_path), "step int")
+    assert files.read_log(spark, str(tmp_path / "f4.jsonl"), "step int").count() == 0
