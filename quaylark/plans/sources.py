@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import signals
-from ..operators import corpus
+from ..operators import corpus, quantiser
 from ..sources import files, recordings, reject_log, token_shards
 from . import jobs
 from . import views as v
@@ -146,4 +147,70 @@ def merged_rare_labels(spark, sf):
     return corpus.apply_merge(d.select("doc_id", F.floor(F.col("n_chars") / 150).alias("label")), "label", 9)
 
 
+# -- residual quantiser
+
+def _picked(word: str, n: int) -> str:
+    return f"(SELECT row_number() OVER (ORDER BY h, wave_id) - 1 AS code, samples AS c FROM (SELECT wave_id, samples, {v.hash_order(f"'{word}'", 'CAST(wave_id AS VARCHAR)')} AS h FROM waves ORDER BY h, wave_id LIMIT {n}))"
+
+
+def _book(spark, sf, word: str, n: int) -> np.ndarray:
+    """The n waveforms that come first in a hash order: a codebook of stated size."""
+    h = F.substring(F.sha2(F.concat_ws(":", F.lit(word), F.col("wave_id").cast("string")), 256), 1, 16)
+    return np.array([r["samples"] for r in v.waves(spark, sf).select("samples", "wave_id").orderBy(h, "wave_id").limit(n).collect()])
+
+
+_DISTANCE = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+_LEFT = "list_transform(list_zip(x, c), lambda p: p[1] - p[2])"
+
+
+def _nearest_sql(rows: str, book: str) -> str:
+    return f"(SELECT wave_id, x, code, c, d FROM (SELECT r.wave_id, r.x, b.code, b.c, {_DISTANCE.replace('x, c', 'r.x, b.c')} AS d FROM {rows} r, {book} b) QUALIFY row_number() OVER (PARTITION BY wave_id ORDER BY d, code) = 1)"
+
+
+def _vectors(spark, sf):
+    return v.waves(spark, sf).select("wave_id", F.col("samples").alias("x"))
+
+
+@query(f"""WITH {v.WAVES}, book1 AS {_picked('one', 16)}, book2 AS (SELECT code, list_transform(c, lambda q: q / 2) AS c FROM {_picked('two', 16)}), r0 AS (SELECT wave_id, samples AS x FROM waves),
+ s1 AS {_nearest_sql('r0', 'book1')}, r1 AS (SELECT wave_id, {_LEFT} AS x, code FROM s1), s2 AS {_nearest_sql('r1', 'book2')}
+ SELECT s1.wave_id, CAST(s1.code AS INTEGER) AS first, CAST(s2.code AS INTEGER) AS second, round(s2.d, 6) AS error FROM s1 JOIN s2 USING (wave_id)""")
+def vector_codes(spark, sf):
+    """Codes of whole vectors by two given codebooks, the second for what the first leaves over."""
+    got = quantiser.encode(_vectors(spark, sf), [_book(spark, sf, "one", 16), _book(spark, sf, "two", 16) / 2])
+    return got.select("wave_id", F.element_at("codes", 1).alias("first"), F.element_at("codes", 2).alias("second"), F.round("error", 6).alias("error"))
+
+
+def _lloyd_sql(steps: int) -> str:
+    parts = [f"c0 AS {_picked('lloyd', 8)}", "r AS (SELECT wave_id, samples AS x FROM waves)"]
+    for k in range(steps):
+        parts.append(f"a{k} AS {_nearest_sql('r', f'c{k}')}")
+        parts.append(f"m{k} AS (SELECT code, i, avg(x[i]) AS v FROM a{k}, range(1, 65) t(i) GROUP BY code, i)")
+        parts.append(f"c{k + 1} AS (SELECT o.code, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN (SELECT code, list(v ORDER BY i) AS c FROM m{k} GROUP BY code) n USING (code))")
+    return ", ".join([*parts, f"e AS {_nearest_sql('r', f'c{steps}')}"])
+
+
+@query(f"WITH {v.WAVES}, {_lloyd_sql(3)} SELECT CAST(code AS INTEGER) AS code, count(*) AS n, round(sum(d), 6) AS error, round(any_value(c[1]), 9) AS first FROM e GROUP BY code")
+def lloyd_codebook(spark, sf):
+    """Three Lloyd steps from eight given entries: entries, their members and distortion."""
+    rows = _vectors(spark, sf)
+    book = quantiser.lloyd(rows, _book(spark, sf, "lloyd", 8), 3)
+    entries = F.array(*(F.lit(float(x)) for x in book[:, 0]))
+    got = quantiser.encode(rows, [book]).groupBy(F.element_at("codes", 1).alias("code")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("error"), 6).alias("error"))
+    return got.withColumn("first", F.round(F.get(entries, F.col("code")), 9))
+
+
+_MEL = lambda hz: 2595 * np.log10(1 + hz / 700)
+
+
+@query(f"""WITH {v.WAVES}, w AS (SELECT n, 0.5 - 0.5 * cos(2 * pi() * n / 32) AS w FROM range(32) t(n)), f AS (SELECT wave_id, s, n, samples[s * 16 + n + 1] * w AS y FROM waves, range(3) a(s), w),
+ p AS (SELECT wave_id, s, k, pow(sum(y * cos(2 * pi() * k * n / 32)), 2) + pow(sum(y * sin(2 * pi() * k * n / 32)), 2) AS power FROM f, range(17) b(k) GROUP BY wave_id, s, k),
+ e AS (SELECT j, 700 * (pow(10, {_MEL(4000)}::DOUBLE * j / 7 / 2595) - 1) AS hz FROM range(8) c(j)),
+ m AS (SELECT lo.j AS band, k, greatest(0, least((k * 250 - lo.hz) / (mid.hz - lo.hz), (hi.hz - k * 250) / (hi.hz - mid.hz))) AS h FROM e lo JOIN e mid ON mid.j = lo.j + 1 JOIN e hi ON hi.j = lo.j + 2, range(17) d(k))
+ SELECT wave_id, CAST(s AS INTEGER) AS frame, CAST(band AS INTEGER) AS band, round(ln(greatest(1e-10, sum(power * h))), 6) AS level FROM p JOIN m USING (k) GROUP BY wave_id, s, band""")
+def log_mel_frames(spark, sf):
+    """Frames of 32 samples every 16, six bands, at a rate of 8000."""
+    frames = v.waves(spark, sf).select("wave_id", F.posexplode(quantiser.log_mel(F.col("samples"), 8000, 32, 16, 6)).alias("frame", "levels"))
+    return frames.select("wave_id", "frame", F.posexplode("levels").alias("band", "level")).withColumn("level", F.round("level", 6))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
