@@ -9,7 +9,6 @@ say on their own.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,20 +108,20 @@ class TextModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> TextModel:
     """Fit on most_docs labelled rows, equally many of each language by a hash of the id (documented bounds).
 
-    MOST_TRAIN_BYTES of text at most are taken, in the hash's order, and the MOST_LANGUAGES most frequent languages:
-    a warning names those left out.
+    MOST_TRAIN_BYTES of text at most are taken, in the hash's order.  More than MOST_LANGUAGES languages, for which a
+    worker's memory is not meant, are an error: none is left out.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.lower(F.col(lang_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     names = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES + 1).collect()
-    known = [r["lang"] for r in names[:MOST_LANGUAGES]]
+    known = [r["lang"] for r in names]
     if not known:
         return TextModel([], [])
     if len(names) > MOST_LANGUAGES:
-        warnings.warn(f"more than {MOST_LANGUAGES} languages: the rarer ones, from {names[-1]['lang']} on, are left out", stacklevel=2)
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     h = F.xxhash64(F.col("id").cast("string"))
     share = max(1, most_docs // len(known))
     # Of a frequent language only rows of small hashes, some four times its share, are ranked.
-    bounds = F.create_map(*(F.lit(x) for r in names[:MOST_LANGUAGES] for x in (r["lang"], int(min(2**63 - 1, -(2**63) + 2**64 * min(1.0, 4 * share / r["count"]))))))
+    bounds = F.create_map(*(F.lit(x) for r in names for x in (r["lang"], int(min(2**63 - 1, -(2**63) + 2**64 * min(1.0, 4 * share / r["count"]))))))
     picked = rows.where(F.col("lang").isin(*known) & (h <= F.try_element_at(bounds, F.col("lang")))).select("id", "lang", h.alias("h"), F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
     picked = picked.where(F.col("r") <= share).groupBy("id").agg(F.min("lang").alias("lang"), F.min("h").alias("h"), F.max("n").alias("n"))
     order = picked.select("h", "id", "lang", "n").collect()  # most_docs rows, or a row a language
@@ -210,9 +209,9 @@ def identify(
     priors = materialise(host_priors(counts, langs), "host-priors")
     if priors.count() <= most_hosts:
         joined = work.join(F.broadcast(priors), "host", "left")
-    else:  # rows of a hot host are dealt to SALTS tasks
+    else:  # rows of a hot host are dealt to SALTS tasks, by their place: equal texts too
         every = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = work.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(every, ["host", "salt"], "left").drop("salt")
+        joined = work.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")).join(every, ["host", "salt"], "left").drop("salt")
     if carry:
         out = joined.select("row", "text", "host", "declared", "prior")
         done = out.mapInArrow(decide, f"row {rows.schema.simpleString()}, accepted boolean")

@@ -22,6 +22,8 @@ TEMPERATURE = 0.5
 SEED = "mix"
 NONE = "(none)"
 MARGINS = ["source", "lang", "topic"]
+#: Of all tokens, how many the query keeps in expectation.
+SHARE = 0.5
 #: Cells whose weights may be broadcast.
 MOST_CELLS = 100_000
 
@@ -123,10 +125,10 @@ def mix_weights(
 ) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, kept) per row.
 
-    weight is the cell's raked weight a token; probability is weight over the largest weight of any cell, so nothing
-    is clipped and the kept tokens meet all three targets in expectation, but one rare cell decides how many are kept.
-    With a share, that share of all tokens is kept in expectation instead (all, if fewer have a weight): cells too
-    small for their target are kept whole, the rest in proportion to their weights.  Null sources, languages and
+    weight is the cell's raked weight a token.  With a share, that share of all tokens is kept in expectation (all, if
+    fewer have a weight): cells too small for their target are kept whole, the rest in proportion to their weights, so a
+    rare cell changes next to nothing for the others.  Without one, probability is weight over the largest weight of
+    any cell: the kept tokens meet all three targets in expectation, but one rare cell decides how many are kept.  Null sources, languages and
     topics are a value of their own, "(none)".  Texts without words weigh nothing: in a cell without tokens probability
     is 1.  Rows that repeat an id have one draw, and fall alike within a cell.  An empty table gives an empty result.
     """
@@ -152,8 +154,8 @@ def mix_sample(
     return drawn.where("draw < probability").select("row.*")
 
 
-def mix_sql(sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:
-    """DuckDB SQL of the rows of mix_weights over documents."""
+def mix_sql(sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str = SEED, share: float = SHARE) -> str:
+    """DuckDB SQL of the rows of mix_weights over documents: where the kept tokens reach the share is read off cells sorted by tokens a weight."""
     margins = ["source", "lang", "topic"]
     steps = []
     names = ["c0"]
@@ -177,8 +179,12 @@ def mix_sql(sweeps: int = SWEEPS, temperature: float = TEMPERATURE, seed: str =
         r"len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),"
         "\nc0 AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS n, CAST(sum(n_tokens) AS DOUBLE) AS raked FROM r GROUP BY ALL)",
     ) + (
-        f",\nf AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN raked / n END AS weight FROM {names[-1]}),"
-        "\ng AS (SELECT *, coalesce(weight / (SELECT max(weight) FROM f), 1.0) AS probability FROM f)"
+        f",\nf AS (SELECT source, lang, topic, n, raked, CASE WHEN n > 0 THEN raked / n END AS weight FROM {names[-1]}),"
+        "\nq AS (SELECT n, raked, n / raked AS q FROM f WHERE raked > 0),"
+        "\no AS (SELECT q, sum(n) OVER w + q * ((SELECT sum(raked) FROM q) - sum(raked) OVER w) AS kept FROM q WINDOW w AS (ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),"
+        f"\nt AS (SELECT {share} * sum(n) AS want FROM f), b AS (SELECT min(q) AS q FROM o, t WHERE kept >= want),"
+        "\nz AS (SELECT coalesce((any_value(t.want) - coalesce(sum(q.n) FILTER (q.q < b.q), 0)) / sum(q.raked) FILTER (q.q >= b.q), max(q.q)) AS scale FROM q, b, t),"
+        "\ng AS (SELECT *, coalesce(least(1.0, weight * (SELECT scale FROM z)), 1.0) AS probability FROM f)"
         f"\nSELECT doc_id, source, lang, topic, n_tokens, coalesce(weight, 0.0) AS weight, probability, "
         f"CAST('0x' || left(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 13) AS BIGINT) / pow(16.0, 13) < probability AS kept FROM r JOIN g USING (source, lang, topic)"
     )

@@ -11,7 +11,7 @@ from .exact_dedup import exact_groups
 from .language_id import fit, identify
 from .license_scan import license_scan
 from .lm_scoring import lm_scores
-from .mixing import mix_sql, mix_weights
+from .mixing import SHARE, mix_sql, mix_weights
 from .quality_ranker import quality
 from .sentencepiece_codec import sentencepiece_encode
 from .simhash import simhash_components
@@ -93,7 +93,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mix_weights(table(spark, sf_dir, "documents"))
+    rows = mix_weights(table(spark, sf_dir, "documents"), share=SHARE)
     return rows.withColumns({"weight": F.round("weight", 9), "probability": F.round("probability", 9)})
 
 

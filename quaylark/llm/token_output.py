@@ -13,6 +13,7 @@ next level, and a key's number is the rank of its place.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -178,12 +179,25 @@ PIECE = re.compile("\0|'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+
 BUNCH = 64
 
 
+def _is_known(form: dict) -> bool:
+    """Whether a tokenizer file is of the one form whose pieces this module finds itself: plain byte-level BPE."""
+    cutter, model = form.get("pre_tokenizer") or {}, form["model"]
+    added = form.get("added_tokens") or []
+    return (
+        form.get("normalizer") is None and form.get("truncation") is None and form.get("padding") is None
+        and cutter.get("type") == "ByteLevel" and cutter.get("add_prefix_space") is False and cutter.get("use_regex") is True
+        and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+
+
 class ByteBpe:
     """A byte-level BPE of the tokenizers library with a bounded memory of words.
 
     Its pre-tokeniser always begins a new piece at a space before a non-space, and merges never cross pieces, so
     a text without runs of white space is the words between its spaces, each encoded once: piece by piece with the
-    library's BPE model where their characters are of a stated set.  All else goes through the whole library.
+    library's BPE model where their characters are of a stated set.  All else goes through the whole library, and so
+    do all texts if the file's normaliser, pre-tokeniser or model is of another form than this one.
     """
 
     def __init__(self, path: str):
@@ -207,8 +221,7 @@ class ByteBpe:
         self.bare = Tokenizer(self.whole.model)
         vocabulary = self.whole.get_vocab()
         self.zero = vocabulary.get(self.letters[0], -1)
-        if sum(self.letters[0] in t for t in vocabulary) != 1:
-            raise ValueError("merges cross zero bytes")
+        self.known = _is_known(json.loads(self.whole.to_str())) and sum(self.letters[0] in t for t in vocabulary) == 1
         self._anew()
 
     def _anew(self) -> None:
@@ -268,7 +281,7 @@ class ByteBpe:
         """Ids of all texts one after another, each with end_id behind it if given, and the number of each text's ids."""
         if self.n_units > CACHE_WORDS:
             self._anew()
-        split = [t.split(" ") if plain(t, self.special) else None for t in texts]
+        split = [t.split(" ") if self.known and plain(t, self.special) else None for t in texts]
         flat = list(chain.from_iterable(s[1:] for s in split if s))
         words = self.words
         at = np.fromiter(map(words.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))

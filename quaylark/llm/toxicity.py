@@ -237,15 +237,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return ToxicityModel([], [], 0.5)
     ids = F.broadcast(pick[0].unionByName(pick[1]))  # 2 * most_docs rows at most
     data = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    rows = data.join(ids, "id").select(F.xxhash64("id").alias("h"), "id", "text", "y").limit(4 * most_docs)
-    kept, size = [], 0
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["h"], r["id"])):
-        size += len(r["text"])
-        if size > MOST_TRAIN_BYTES and kept:
+    # Sizes reach the driver before any text does; of rows that repeat an id the longest counts, then the largest.
+    sizes = data.join(ids, "id").select("id", "y", F.octet_length("text").alias("n")).groupBy("id").agg(F.max("y").alias("y"), F.max("n").alias("n"))
+    taken, size = {}, 0
+    for r in sizes.orderBy(F.xxhash64("id"), "id").collect():
+        size += r["n"]
+        if size > MOST_TRAIN_BYTES and taken:
             break
-        kept.append(r)
+        taken[r["id"]] = r
+    few = docs.sparkSession.createDataFrame([(i, r["n"]) for i, r in taken.items()], "id long, n int")
+    chosen = data.join(F.broadcast(few), "id").where(F.octet_length("text") == F.col("n")).groupBy("id").agg(F.max("text").alias("text"))
+    texts = {r["id"]: bytes(r["text"]) for r in chosen.toLocalIterator()}  # MOST_TRAIN_BYTES, or a single text
+    kept = [(texts[i], r["y"] > 0) for i, r in taken.items()]
     prior = (n[True] + 1) / (n[True] + n[False] + 2)
-    return ToxicityModel([bytes(r["text"]) for r in kept], [r["y"] > 0 for r in kept], prior)
+    return ToxicityModel([t for t, _ in kept], [y for _, y in kept], prior)
 
 
 def toxicity(
@@ -254,7 +259,7 @@ def toxicity(
     """(id, score, predicted) for every row of docs, whole texts.
 
     Null or empty texts have no evidence and score what the fitted curve gives without any.  Rows with a null id or
-    label do not train.  Without both classes in the training rows every text scores the prior (0.5 without labels).  Ties and repeated rows
+    label do not train; rows that repeat an id train as one.  Without both classes in the training rows every text scores the prior (0.5 without labels).  Ties and repeated rows
     score alike; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, label_col, train_rows or (lambda c: F.lit(True)), most_docs)
