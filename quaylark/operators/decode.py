@@ -19,7 +19,10 @@ DIGITS = 5
 
 class Scorer(Protocol):
     def logits(self, rows: DataFrame) -> DataFrame:
-        """rows (query_id, window_id, prefix, ...) with a column logits ARRAY<DOUBLE> of ten."""
+        """rows (query_id, window_id, prefix, ...) with a column logits ARRAY<DOUBLE> of ten; a search that looks at ends needs `others`, too.
+
+        others: ARRAY<DOUBLE>, the logits of what is no digit at this place, the end first.
+        """
 
 
 class HashScorer:
@@ -31,15 +34,19 @@ class HashScorer:
     def logits(self, rows: DataFrame) -> DataFrame:
         digest = F.sha2(_text(self.seed, F.col("query_id"), F.col("window_id"), F.col("prefix")), 256)
         values = [F.conv(F.substring(digest, 6 * d + 1, 6), 16, 10).cast("double") / F.lit(float(1 << 22)) for d in range(10)]
-        return rows.withColumn("logits", F.array(*values))
+        end = F.conv(F.substring(digest, 61, 4), 16, 10).cast("double") / F.lit(float(1 << 14))
+        return rows.withColumns({"logits": F.array(*values), "others": F.array(end, F.lit(0.5))})
 
     def sql(self, query: str, window: str, prefix: str, digit: str) -> str:
         h = f"sha256(concat_ws(':', '{self.seed}', CAST({query} AS VARCHAR), CAST({window} AS VARCHAR), {prefix}))"
         return f"(('0x' || substr({h}, 6 * {digit} + 1, 6))::BIGINT / 4194304.0)"
 
+    def end_sql(self, query: str, window: str, prefix: str) -> str:
+        return f"(('0x' || substr(sha256(concat_ws(':', '{self.seed}', CAST({query} AS VARCHAR), CAST({window} AS VARCHAR), {prefix})), 61, 4))::BIGINT / 16384.0)"
+
 
 class TableScorer:
-    """Logits looked up in a table (query_id, window_id, prefix, logits)."""
+    """Logits looked up in a table (query_id, window_id, prefix, logits[, others])."""
 
     def __init__(self, table: DataFrame):
         self.table = table
@@ -54,11 +61,26 @@ def log_softmax(logits: Column) -> Column:
     return F.transform(logits, lambda x: x - norm)
 
 
-def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS) -> DataFrame:
+def end_log_probability(logits: Column, others: Column) -> Column:
+    """Log-probability of the end among all tokens: the digits and the others, of which it is the first."""
+    return F.get(log_softmax(F.concat(others, logits)), F.lit(0))
+
+
+def end_is_best(logits: Column, others: Column) -> Column:
+    """Whether the end is the most likely token; of equals the digits come first, then the end."""
+    return (F.get(others, F.lit(0)) > F.array_max(logits)) & (F.get(others, F.lit(0)) >= F.array_max(others))
+
+
+def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
     """(query_id, code, score, rank): digit log-probabilities are averaged over a query's windows before pruning.
 
-    windows: (query_id, window_id).  Ties are broken by the smaller prefix.
+    windows: (query_id, window_id).  Ties are broken by the smaller prefix.  With ends, the search goes one step beyond
+    the digits and tells `ended`.  'score': each code goes on with its end, the end's mean log-probability counts and
+    decides the order, and every code has ended.  'flag': score and order are those of the digits, and ended says
+    whether the end is the most likely next token by the mean of the windows' probabilities' logarithms.
     """
+    if ends not in (None, "score", "flag"):
+        raise ValueError(f"ends: {ends}")
     beam = windows.select("query_id").distinct().withColumn("prefix", F.lit("")).withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("prefix"))
     for step in range(steps):
@@ -69,14 +91,26 @@ def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGI
         cand = grown.select("query_id", F.explode(F.array(*(F.struct(F.concat("prefix", F.lit(str(d))).alias("prefix"), F.round(F.col("score") + F.col(f"d{d}"), 12).alias("score")) for d in range(10)))).alias("c"))
         cand = cand.select("query_id", "c.prefix", "c.score")
         beam = cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(width, 10 ** (step + 1)))
-        if step < steps - 1:
+        if step < steps - 1 or ends:
             beam = beam.drop("rank")
-    return beam.select("query_id", F.col("prefix").alias("code"), "score", "rank")
-
-
-def beam(queries: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS) -> DataFrame:
+    if ends is None:
+        return beam.select("query_id", F.col("prefix").alias("code"), "score", "rank")
+    every = F.concat("others", "logits")
+    last = scorer.logits(windows.join(beam, "query_id")).select("query_id", "prefix", "score", log_softmax(every).alias("lp"))
+    n_others = F.size("lp") - 10
+    told = last.groupBy("query_id", "prefix", "score").agg(
+        F.avg(F.get("lp", F.lit(0))).alias("end"), *(F.avg(F.get("lp", (n_others + d).cast("int"))).alias(f"d{d}") for d in range(10)), F.avg(F.coalesce(F.array_max(F.slice("lp", F.lit(2), n_others - 1)), F.lit(float("-inf")))).alias("rest"),
+    )
+    if ends == "score":
+        told = told.withColumn("score", F.round(F.col("score") + F.col("end"), 12)).withColumn("ended", F.lit(True))
+    else:
+        told = told.withColumn("ended", (F.col("end") > F.greatest(*(F.col(f"d{d}") for d in range(10)))) & (F.col("end") >= F.col("rest")))
+    return told.select("query_id", F.col("prefix").alias("code"), "score", F.row_number().over(order).alias("rank"), "ended")
+
+
+def beam(queries: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
     """One window a query."""
-    return joint_beam(queries.select("query_id", F.lit(0).alias("window_id")), scorer, width, steps)
+    return joint_beam(queries.select("query_id", F.lit(0).alias("window_id")), scorer, width, steps, ends)
 
 
 def greedy(queries: DataFrame, scorer: Scorer, steps: int = DIGITS, eos: Column | None = None) -> DataFrame:
@@ -90,13 +124,6 @@ def greedy(queries: DataFrame, scorer: Scorer, steps: int = DIGITS, eos: Column
     return now.select("query_id", F.col("prefix").alias("code"), score.alias("score"), F.lit(True).alias("ended"))
 
 
-def rescore_with_end(beam: DataFrame, ends: DataFrame) -> DataFrame:
-    """Add each code's end log-probability (query_id, code, eos) and rank again."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("code"))
-    both = beam.drop("rank").join(ends, ["query_id", "code"]).withColumn("score", F.col("score") + F.col("eos")).drop("eos")
-    return both.withColumn("rank", F.row_number().over(order))
-
-
 def beams_as_arrays(beam: DataFrame) -> DataFrame:
     """One row a query with its codes in rank order."""
     codes = F.transform(F.array_sort(F.collect_list(F.struct("rank", "code", "score"))), lambda x: x["code"])

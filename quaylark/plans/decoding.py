@@ -51,6 +51,25 @@ def joint_beam_decode(spark, sf):
     return decode.joint_beam(windows, SCORER, 10).withColumn("score", F.round("score", 6))
 
 
+_END = f"""e AS (SELECT query_id, window_id, prefix, score, {SCORER.end_sql('query_id', 'window_id', 'prefix')} AS x, 10 AS d FROM win JOIN b5 USING (query_id) UNION ALL SELECT query_id, window_id, prefix, score, 0.5::DOUBLE, 11 FROM win JOIN b5 USING (query_id)
+ UNION ALL SELECT query_id, window_id, prefix, score, {SCORER.sql('query_id', 'window_id', 'prefix', 'd')}, d FROM win JOIN b5 USING (query_id), range(10) t(d)),
+ p AS (SELECT *, x - ln(sum(exp(x)) OVER (PARTITION BY query_id, window_id, prefix)) AS lp FROM e), m AS (SELECT query_id, prefix, d, any_value(score) AS score, avg(lp) AS lp FROM p GROUP BY query_id, prefix, d),
+ z AS (SELECT query_id, prefix, any_value(score) AS score, max(lp) FILTER (d = 10) AS stop, max(lp) AS top FROM m GROUP BY query_id, prefix)"""
+
+
+@query(_beam_sql(_THREE, 10) + f", {_END} SELECT query_id, prefix AS code, round(round(score + stop, 12), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score + stop, 12) DESC, prefix) AS INTEGER) AS rank, true AS ended FROM z")
+def joint_beam_with_end(spark, sf):
+    """The end is scored inside the search and decides the order."""
+    windows = _queries(spark, sf).withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return decode.joint_beam(windows, SCORER, 10, ends="score").withColumn("score", F.round("score", 6))
+
+
+@query(_beam_sql(_ONE, 5) + f", {_END} SELECT query_id, prefix AS code, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prefix) AS INTEGER) AS rank, stop >= top AS ended FROM z")
+def beam_end_validity(spark, sf):
+    """Whether each code of the beam would end next."""
+    return decode.beam(_queries(spark, sf), SCORER, 5, ends="flag").withColumn("score", F.round("score", 6))
+
+
 _FLAT = "flat AS (SELECT wave_id, flatten(list_transform(range(8), lambda t: list_transform(range(8), lambda q: CAST(codes[q + 1][t + 1] + q * 1024 AS INTEGER)))) AS tokens FROM codes)"
 _JOIN = lambda x: f"array_to_string({x}, ' ')"
 

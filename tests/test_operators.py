@@ -142,8 +142,8 @@ def test_beam_against_brute_force(spark):
     assert one == {r["query_id"]: r["code"] for r in decode.greedy(queries, scorer, steps=3).collect()}
     table = decode.TableScorer(scorer.logits(every.withColumn("prefix", F.col("prefix"))))
     assert sorted(map(tuple, decode.joint_beam(windows, table, 4, steps=2).collect())) == sorted(map(tuple, decode.joint_beam(windows, scorer, 4, steps=2).collect()))
-    ended = decode.rescore_with_end(decode.beam(queries, scorer, 3, steps=2), decode.beam(queries, scorer, 3, steps=2).select("query_id", "code", (-F.col("score") * 2).alias("eos")))
-    assert ended.where("rank = 1").count() == 3
+    ended = decode.beam(queries, scorer, 3, steps=2, ends="score")
+    assert ended.where("rank = 1 and ended").count() == 3
     assert all(len(r["beam"]) == 3 for r in decode.beams_as_arrays(ended).collect())
 
 
@@ -379,3 +379,40 @@ def test_canonical_pairs_go_through_all_starts(spark):
     assert sorted(s for p in passes[:3] for s in p["a"]) == list(range(6)) and sorted(s for p in passes[:4] for s in p["b"]) == list(range(8))
     assert passes[3]["a"] == passes[0]["a"]
     assert Counter(s for p in passes for s in p["c"]) == dict.fromkeys(range(5), 2)
+
+
+@pytest.mark.parametrize("n_windows", [1, 3])
+def test_ends_against_all_codes(spark, n_windows):
+    """A beam as wide as all codes of two digits, with ends: a brute force over every code, whose order the ends change."""
+    scorer = decode.HashScorer(11)
+    windows = spark.range(4).select(F.col("id").alias("query_id")).withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))))
+    prefixes = spark.createDataFrame([("",)] + [(str(a),) for a in range(10)] + [(f"{a}{b}",) for a in range(10) for b in range(10)], "prefix string")
+    table = {(r["query_id"], r["window_id"], r["prefix"]): (r["logits"], r["others"]) for r in scorer.logits(windows.crossJoin(prefixes)).collect()}
+    soft = lambda x: np.array(x) - np.log(np.exp(np.array(x)).sum())
+    changed = 0
+    for width, kind in ((100, "score"), (100, "flag"), (4, "score"), (4, "flag")):
+        got = {}
+        for r in decode.joint_beam(windows, scorer, width, 2, kind).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["code"], r["score"], r["ended"]))
+        plain = {}
+        for r in decode.joint_beam(windows, scorer, width, 2).collect():
+            plain.setdefault(r["query_id"], []).append((r["rank"], r["code"]))
+        for i in range(4):
+            mean = lambda prefix: np.mean([soft(table[i, w, prefix][0]) for w in range(n_windows)], axis=0)  # noqa: B023, E731
+            digits = {f"{a}{b}": mean("")[a] + mean(str(a))[b] for a in range(10) for b in range(10)}
+            if width == 4:
+                first = sorted(range(10), key=lambda a: (-mean("")[a], a))[:4]
+                digits = {c: s for c, s in digits.items() if int(c[0]) in first}
+                digits = dict(sorted(digits.items(), key=lambda x: (-round(x[1], 12), x[0]))[:4])
+            last = {c: np.mean([soft([*table[i, w, c][1], *table[i, w, c][0]]) for w in range(n_windows)], axis=0) for c in digits}
+            if kind == "score":
+                want = sorted(((s + last[c][0], c, True) for c, s in digits.items()), key=lambda x: (-round(x[0], 12), x[1]))
+            else:
+                want = sorted(((s, c, bool(last[c][0] >= last[c].max())) for c, s in digits.items()), key=lambda x: (-round(x[0], 12), x[1]))
+            assert [(c, e) for _, c, _, e in sorted(got[i])] == [(c, e) for _, c, e in want]
+            assert np.allclose([s for _, _, s, _ in sorted(got[i])], [s for s, _, _ in want], atol=1e-9)
+            changed += [c for _, c, *_ in sorted(got[i])] != [c for _, c in sorted(plain[i])]
+    assert changed >= 4
+    one = windows.where("window_id = 0").withColumn("prefix", F.lit("12"))
+    for r in scorer.logits(one).select("logits", "others", decode.end_log_probability(F.col("logits"), F.col("others")).alias("p"), decode.end_is_best(F.col("logits"), F.col("others")).alias("b")).collect():
+        assert math.isclose(r["p"], soft([*r["others"], *r["logits"]])[0]) and r["b"] == (r["others"][0] > max([*r["logits"], r["others"][1]]))
