@@ -298,3 +298,52 @@ def test_malformed_lines(spark, tmp_path):
     with pytest.raises(ValueError, match=f"malformed: .*{first[0]}:{first[1]}"):
         files.read_log(spark, str(tmp_path), "step int")
     assert files.read_log(spark, str(tmp_path / "f4.jsonl"), "step int").count() == 0
+
+
+# -- jobs that do only what is missing
+
+def test_shard_job(spark, tmp_path):
+    """A second run writes nothing; a damaged or foreign shard alone is done again; a run that died is made good."""
+    from quaylark.sources import shard_job as sj
+
+    rows = spark.range(60).select((F.col("id") % 6).cast("int").alias("shard_id"), "id", F.sequence(F.lit(0), (F.col("id") % 4).cast("int")).alias("tokens"))
+    calls = []
+
+    def job(df):
+        calls.append(1)
+        return df.withColumn("error", F.when(F.col("id") % 10 == 0, "bad"))
+
+    path = f"file://{tmp_path}/job"
+    files_of = lambda: {(d, n): os.stat(os.path.join(d, n)).st_mtime_ns for d, _, names in os.walk(tmp_path / "job/data") for n in names if n.startswith("part-")}
+    assert sorted(map(tuple, sj.run_shards(rows, job, path, "f").collect())) == [(k, "missing") for k in range(6)]
+    before = files_of()
+    assert sj.run_shards(rows.repartition(5), job, path, "f").count() == 0 and files_of() == before
+    kind = job(rows.limit(0)).schema
+    assert sj.shard_report(spark, path, kind, rows).first().asDict() == {"ok": 54, "failed": 6, "tokens": sum(1 + i % 4 for i in range(60) if i % 10), "complete": True}
+    assert not sj.shard_report(spark, path, kind, spark.range(7).select(F.col("id").cast("int").alias("shard_id"))).first()["complete"]
+    for (d, n) in before:
+        if d.endswith("shard_id=2"):
+            os.remove(os.path.join(d, n))
+        if d.endswith("shard_id=4"):
+            rows.where("shard_id = 4 and id < 20").drop("shard_id").withColumn("error", F.lit(None).cast("string")).coalesce(1).write.mode("overwrite").parquet(d)
+    assert sorted(map(tuple, sj.run_shards(rows, job, path, "f").collect())) == [(2, "missing"), (4, "damaged")]
+    assert {k: t for k, t in files_of().items() if "shard_id=2" not in k[0] and "shard_id=4" not in k[0]} == {k: t for k, t in before.items() if "shard_id=2" not in k[0] and "shard_id=4" not in k[0]}
+    assert sj.run_shards(rows.where("id <> 7"), job, path, "f").collect()[0].asDict() == {"shard_id": 1, "reason": "input"}
+    assert sj.read_output(spark, path, kind).count() == 59
+    # A run of another job dies after its data is written and before its lines are.
+    from pyspark.sql import DataFrameWriter
+
+    write = DataFrameWriter.parquet
+
+    def dying(self, p, *a, **k):
+        if p.endswith("/ledger"):
+            raise KeyboardInterrupt
+        write(self, p, *a, **k)
+
+    DataFrameWriter.parquet = dying
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            sj.run_shards(rows, job, path, "g")
+    finally:
+        DataFrameWriter.parquet = write
+    assert sj.run_shards(rows, job, path, "g").count() == 6 and sj.run_shards(rows, job, path, "g").count() == 0 and sj.read_output(spark, path, kind).count() == 60
