@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import signals
-from ..operators import corpus, quantiser
+from ..operators import catalogue, corpus, quantiser
 from ..sources import files, recordings, reject_log, shard_job, token_shards
+from ..streaming import batches
 from . import jobs
 from . import views as v
 from .registry import Registry
@@ -250,4 +254,24 @@ def shards_after_two_runs(spark, sf):
     return shard_job.read_output(spark, path, kind).select("wave_id", "shard_id", F.array_join("tokens", " ").alias("tokens"), "error")
 
 
+# -- batches as a stream
+
+@query(f"""WITH {v.TRACKS}, cohort AS (SELECT * FROM (SELECT track_id, row_number() OVER (ORDER BY {v.hash_order(f"'{v.SEED}'", 'track_id', "'cohort'")}, track_id) - 1 AS pos FROM tracks) WHERE pos < 100),
+ o AS (SELECT track_id, row_number() OVER (ORDER BY {v.hash_order(f"'{v.SEED + 2}'", 'track_id', "'batch'")}, track_id) - 1 AS place FROM cohort), f AS (SELECT track_id, place FROM o UNION ALL SELECT track_id, place + 100 FROM o WHERE place < 12),
+ b AS (SELECT track_id, place // 16 AS batch_idx, CAST(place % 16 AS INTEGER) AS slot FROM f), e AS (SELECT * FROM b UNION ALL SELECT track_id, 7, slot FROM b WHERE batch_idx = 0)
+ SELECT track_id, batch_idx, slot, CAST((2 * 8 + batch_idx) // 4 AS BIGINT) AS optimizer_step FROM e""")
+def delivered_batches(spark, sf):
+    """A batch plan as a stream that fails after one micro-batch of three and goes on from its checkpoint."""
+    cohort = catalogue.sample_cohort(v.tracks(spark, sf), v.SEED, 100)
+    plan = catalogue.batch_plan(cohort, v.SEED, 2, 100, 16, 4).select("track_id", "batch_idx", "slot", "optimizer_step")
+    path, folder, check = (files.work_folder(spark, n) for n in ("plan", "delivered", "plan-checkpoint"))
+    n = batches.write_plan(plan, path)
+    first = batches.deliver(batches.plan_stream(spark, path, plan.schema, check, 3), folder, check, until=1)
+    with contextlib.suppress(StreamingQueryException):
+        first.awaitTermination(600)
+    first.stop()
+    batches.deliver_all(batches.plan_stream(spark, path, plan.schema, check, 3), folder, check, n)
+    return batches.delivered(spark, folder, plan.schema).select("track_id", "batch_idx", "slot", "optimizer_step")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
