@@ -22,6 +22,31 @@ def dedupe_audit(assets: DataFrame, digest: str = "digest") -> DataFrame:
     return assets.select(digest, "split", named("removed")).join(keep, digest).where(F.col("removed") != F.col("kept")).select(digest, "kept", "removed", (F.col("split") != F.col("kept_split")).alias("cross_split"))
 
 
+SOURCE = ["dataset", "split", "collection", "relative", "path"]
+
+
+def collect_sources(parts: list[DataFrame], passthrough: str = "bg_noise") -> DataFrame:
+    """One listing of several collectors' rows, whose other columns may differ: what a part lacks is NULL.
+
+    Every part must have the columns of SOURCE.  `name` is the place in the prepared corpus; two rows with one name and
+    of one data set, which would overwrite each other, are an error, as is a row without any of SOURCE.
+    """
+    for k, part in enumerate(parts):
+        if lacking := [c for c in SOURCE if c not in part.columns]:
+            raise ValueError(f"part {k} has no {', '.join(lacking)}")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    rows = rows.withColumn("name", F.when(F.col("dataset") == passthrough, F.concat_ws("/", "split", "relative")).otherwise(F.concat_ws("/", "split", "collection", "relative")))
+    holes = rows.where(" OR ".join(f"{c} IS NULL" for c in SOURCE)).select("dataset", "path").limit(5).collect()
+    if holes:
+        raise ValueError(f"incomplete sources: {[tuple(r) for r in holes]}")
+    clash = rows.groupBy("dataset", "name").count().where("count > 1").orderBy("dataset", "name").limit(5).collect()
+    if clash:
+        raise ValueError(f"sources of one name: {[r['name'] for r in clash]}")
+    return rows
+
+
 def leakage(a: DataFrame, b: DataFrame) -> DataFrame:
     """Values on both sides: must be empty."""
     return a.intersect(b)

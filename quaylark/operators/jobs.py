@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import signals
 from ..functions.hashing import stable_mod, stable_uint64
-from . import composites, corpus, decode, losses, metrics
+from . import composites, corpus, decode, evaluation, losses, metrics
 from .ranking import hash_rank
 from .sampling import draw_from_pool, pool_offset
 
@@ -84,6 +85,46 @@ def with_assets(recipes: DataFrame, noise: DataFrame, rooms: DataFrame, seed: in
     return recipes.join(sound, "track_id", "left").join(room, "track_id", "left").withColumn("error", F.nullif(F.concat_ws(", ", *lacks), F.lit("")))
 
 
+def degraded_waveforms(corpus: DataFrame, tracks: DataFrame, noise: DataFrame, rooms: DataFrame, rate: int, past: int) -> DataFrame:
+    """corpus with `samples`, each query's waveform as its recipe says, and `reason` where there is none.
+
+    corpus: (track_id, start_sample, query_seconds, snr_db, rir, noise_path, noise_offset_samples, rir_path, error, ...).
+    tracks: (track_id, samples), noise: (path, samples), rooms: (path, response), all at `rate`.  The query has `past`
+    samples before it for the room to ring; noise is taken from its offset, and repeated if it ends before the query.
+    """
+    rows = corpus.join(tracks.select("track_id", F.col("samples").alias("_track")), "track_id", "left")
+    rows = rows.join(noise.select(F.col("path").alias("noise_path"), F.col("samples").alias("_noise")), "noise_path", "left")
+    rows = rows.join(rooms.select(F.col("path").alias("rir_path"), F.col("response").alias("_room")), "rir_path", "left")
+    n = F.ceil(F.col("query_seconds") * rate).cast("int")
+    context = signals.with_context(F.col("_track"), F.col("start_sample").cast("int"), F.lit(past), n)
+    query = F.slice("_context", past + 1, n)
+    rest = F.slice("_noise", (F.col("noise_offset_samples") + 1).cast("int"), F.greatest(F.size("_noise"), F.lit(0)))
+    rows = rows.withColumn("_context", context).withColumn("_heard", rest)
+    lacks = F.coalesce(
+        F.col("error"), F.when(F.col("_track").isNull(), "no track"), signals.invalid_reason(query, n), F.when(F.col("_heard").isNull() | (F.size("_heard") == 0), "no noise"), F.when(F.col("rir") & F.col("_room").isNull(), "no room"),
+    )
+    rows = rows.withColumn("reason", lacks)
+    wave = composites.suite_waveform(F.col("_context"), F.lit(past), F.col("_heard"), F.col("_room"), F.col("snr_db"), F.col("rir"))
+    return rows.withColumn("samples", F.when(F.col("reason").isNull(), wave)).drop("_track", "_noise", "_room", "_context", "_heard")
+
+
+def evaluate_degraded(
+    recipes: DataFrame, tracks: DataFrame, noise: DataFrame, rooms: DataFrame, suite_table: DataFrame, scorer: decode.Scorer, seed: int, rate: int, past: int, width: int, lengths=evaluation.LENGTHS,
+    window_seconds: float = evaluation.WINDOW_SECONDS, hop_seconds: float = evaluation.HOP_SECONDS, steps: int = decode.DIGITS, done: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The whole evaluation: every recipe in every suite and length, its waveform, the joint beam over its windows; (result rows, metrics by suite and length).
+
+    recipes: (track_id, code, start_sample) with assets (with_assets()).  done: results of an earlier run, which are not
+    made again; the metrics are then of the rest.  A recipe without an asset or a waveform is a failed query.
+    """
+    corpus = evaluation.query_corpus(recipes, suite_table, seed, lengths)
+    if done is not None:
+        corpus = evaluation.pending(corpus, done)
+    heard = degraded_waveforms(corpus, tracks, noise, rooms, rate, past)
+    asked = heard.select(F.col("id").alias("query_id"), "track_id", "code", "suite_id", "query_seconds", "samples", "reason", F.lit(None).cast("double").alias("latency"))
+    return composites.evaluate_joint(asked, scorer, width, round(window_seconds * rate), round(hop_seconds * rate), ["suite_id", "query_seconds"], steps)
+
+
 def pair_keys(pairs: DataFrame, seed: int, clean_steps: int) -> DataFrame:
     """Keys of pairs (optimizer_step, batch_idx, pair, track_id, and both views and starts): the pair's, and its noise's.
 

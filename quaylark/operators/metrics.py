@@ -39,6 +39,21 @@ def generation_metrics(rows: DataFrame, keys: list[str], code: str = "code", bea
     )
 
 
+def with_empty_groups(measured: DataFrame, expected: DataFrame, keys: list[str], count: str = "queries") -> DataFrame:
+    """Metrics with a row for every expected group: one without queries has count 0 and no metric."""
+    return expected.select(*keys).distinct().join(measured, keys, "left").withColumn(count, F.coalesce(F.col(count), F.lit(0)).cast("long"))
+
+
+def augmentation_stats(rows: DataFrame, keys: list[str], categories: list[str], category: str = "category", snr: str = "snr_db", start: str = "start_sample", identity: str = "track_id") -> DataFrame:
+    """What a batch's draws came to: share of each category, mean SNR where there is noise, bounds and mean of the starts, rows whose identity an earlier row had, and whether the starts are all different."""
+    n = F.count(F.lit(1))
+    share = [(F.count_if(F.col(category) == c) / n).alias(f"{c}_share") for c in categories]
+    return rows.groupBy(*keys).agg(
+        n.alias("rows"), *share, F.avg(snr).alias("mean_snr_db"), F.min(start).alias("first_start"), F.max(start).alias("last_start"), F.avg(start).alias("mean_start"),
+        (F.count(identity) - F.count_distinct(identity)).alias("collisions"), (F.count_distinct(start) == F.count(start)).alias("starts_differ"),
+    )
+
+
 def grouped_levels(rows: DataFrame, levels: list[list[str]], aggregates: list[Column], names: list[str]) -> DataFrame:
     """One pass over several groupings; columns outside a row's level are NULL, and grouping_id tells levels apart."""
     return rows.groupingSets([[F.col(c) for c in lv] for lv in levels], *names).agg(F.grouping_id().alias("level"), *aggregates)

@@ -14,10 +14,10 @@ SCORER = decode.HashScorer(5)
 VOCAB = Vocabulary(8)
 
 
-def _beam_sql(windows: str, width: int) -> str:
+def _beam_sql(windows: str, width: int, steps: int = 5) -> str:
     """Chained steps of the beam over a table `windows` (query_id, window_id)."""
     parts = [f"win AS ({windows})", "b0 AS (SELECT DISTINCT query_id, '' AS prefix, 0.0::DOUBLE AS score FROM win)"]
-    for k in range(1, 6):
+    for k in range(1, steps + 1):
         parts.append(
             f"""l{k} AS (SELECT query_id, window_id, prefix, score, d, {SCORER.sql('query_id', 'window_id', 'prefix', 'd')} AS x FROM win JOIN b{k - 1} USING (query_id), range(10) t(d)),
 n{k} AS (SELECT *, x - (max(x) OVER w + ln(sum(exp(x)) OVER w) - max(x) OVER w) AS lp FROM l{k} WINDOW w AS (PARTITION BY query_id, window_id, prefix)),

@@ -248,6 +248,26 @@ def convert_files(rows: DataFrame, folder: str, rate: int) -> DataFrame:
     return rows.select("name", "samples").mapInPandas(run, "name string, status string, error string")
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write (name, content binary) as files below a folder that all executors share; each appears whole, under its name, or not at all."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for p in parts:
+            for name, content in zip(p["name"], p["content"], strict=True):
+                target = f"{root}/{name}"
+                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                tmp = f"{target}.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(tmp) as f:
+                    f.write(bytes(content))
+                fs.move(tmp, target)
+            yield pd.DataFrame({"n": [len(p)]})
+
+    rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 

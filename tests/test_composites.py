@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaylark.functions.hashing import py_uint64
-from quaylark.operators import composites, decode
+from quaylark.operators import composites, corpus, decode, metrics
 
 
 @pytest.fixture(scope="module")
@@ -84,8 +84,8 @@ def test_evaluation(spark, pairs):
     scorer = decode.HashScorer(2)
     queries = pairs.select(F.col("pair_id").alias("query_id"), "samples").limit(8)
     top = decode.beams_as_arrays(decode.joint_beam(queries.select("query_id", F.explode(F.array(F.lit(0), F.lit(12), F.lit(24)).cast("array<long>")).alias("window_id")), scorer, 4, 2))
-    corpus = queries.join(top, "query_id").select("query_id", F.element_at("beam", 2).alias("code"), F.when(F.col("query_id") == 0, F.array(F.lit(1.0))).otherwise(F.col("samples")).alias("samples"), F.lit(0.5).alias("latency"), F.lit("s").alias("suite_id"))
-    rows, m = composites.evaluate_joint(corpus, scorer, 4, 16, 12, ["suite_id"], 2)
+    asked = queries.join(top, "query_id").select("query_id", F.element_at("beam", 2).alias("code"), F.when(F.col("query_id") == 0, F.array(F.lit(1.0))).otherwise(F.col("samples")).alias("samples"), F.lit(0.5).alias("latency"), F.lit("s").alias("suite_id"))
+    rows, m = composites.evaluate_joint(asked, scorer, 4, 16, 12, ["suite_id"], 2)
     got = m.first()
     assert (got["selected"], got["failed"]) == (8, 1) and got["top5"] == pytest.approx(7 / 8) and got["mrr"] == pytest.approx(3.5 / 8)
     assert rows.where("failed").first()["reason"] == "short"
@@ -93,3 +93,24 @@ def test_evaluation(spark, pairs):
     assert len(ids) == 8 and all(r["beam"] and len(r["greedy"]) == 2 for r in ids)
     means = composites.paired_means(spark.createDataFrame([("a", "clean", True), ("a", "seen", False), ("b", "clean", True)], "track_id string, condition string, hit boolean"), "condition", "hit").collect()
     assert {r["condition"]: (r["mean"], r["n"]) for r in means} == {"clean": (1.0, 1), "seen": (0.0, 1)}
+
+
+def test_collected_sources(spark):
+    row = lambda d, c, r, **k: spark.createDataFrame([(d, "train", c, r, f"/raw/{r}", *k.values())], f"dataset string, split string, collection string, relative string, path string{''.join(f', {x} int' for x in k)}")
+    got = corpus.collect_sources([row("bg_noise", "a", "x.wav", angle=3), row("room_ir", "b", "x.wav", rate=7)]).collect()
+    assert {(r["name"], r["angle"], r["rate"]) for r in got} == {("train/x.wav", 3, None), ("train/b/x.wav", None, 7)}
+    with pytest.raises(ValueError, match="one name"):
+        corpus.collect_sources([row("room_ir", "a", "x.wav"), row("room_ir", "a", "x.wav")])
+    with pytest.raises(ValueError, match="incomplete"):
+        corpus.collect_sources([row("room_ir", "a", "x.wav").withColumn("split", F.lit(None).cast("string"))])
+    with pytest.raises(ValueError, match="has no relative, path"):
+        corpus.collect_sources([row("room_ir", "a", "x.wav").drop("relative", "path")])
+
+
+def test_empty_groups(spark):
+    rows = spark.createDataFrame([("a", "t1", "noise", 5.0, 3), ("a", "t1", "clean", None, 4), ("a", "t2", "noise", 7.0, 4)], "batch string, track_id string, category string, snr_db double, start_sample int")
+    r = metrics.augmentation_stats(rows, ["batch"], ["clean", "noise", "rir"]).first()
+    assert (r["rows"], r["rir_share"], r["mean_snr_db"], r["first_start"], r["last_start"], r["collisions"], r["starts_differ"]) == (3, 0, 6, 3, 4, 1, False)
+    expected = spark.createDataFrame([("a",), ("b",)], "batch string")
+    told = {x["batch"]: (x["rows"], x["mean_snr_db"]) for x in metrics.with_empty_groups(metrics.augmentation_stats(rows, ["batch"], ["clean"]), expected, ["batch"], "rows").collect()}
+    assert told == {"a": (3, 6.0), "b": (0, None)}
