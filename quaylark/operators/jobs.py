@@ -209,6 +209,41 @@ def evaluate_segments(queries: DataFrame, tokens: DataFrame, rejects: DataFrame,
     return out.withColumn("skipped_tracks", F.col("selected_tracks") - F.col("evaluated_tracks")).withColumn("audio_perplexity", metrics.perplexity(F.col("audio_loss")))
 
 
+#: Files that a job may know as unusable without asking for a join: their numbers travel to every task.
+MOST_BAD = 1_000_000
+
+
+def crop_job(slots: DataFrame, tracks: DataFrame, noise: DataFrame, rooms: DataFrame, shares: dict[str, Column], seed: int, past: int, length: int, path: str) -> dict[str, int]:
+    """Write the crops of a plan's batches to path, and say in the same pass what became of its slots.
+
+    slots: (optimizer_step, batch_idx, slot, index), noise and rooms also by slot: (optimizer_step, batch_idx, slot,
+    noise) and (..., response).  tracks: (index, track_id, samples), numbered from 0.  A track that is silent, not
+    finite or shorter than a crop is replaced by another of its batch's keyed sequence, which no slot of the batch has;
+    a slot for which none is left is skipped.  Each other slot gives its clean anchor and its secondary view; a view
+    that a room silences is a copy of the anchor.  The counts are observed while the rows are written (a stage that
+    runs again for a lost executor may be counted twice): slots, replaced, skipped, rows, fallbacks, degraded.
+    """
+    from pyspark.sql import Observation
+
+    batch = ["optimizer_step", "batch_idx"]
+    usable = (F.size("samples") >= length) & signals.invalid_reason(F.col("samples"), F.size("samples")).isNull()
+    n = tracks.agg(F.max("index")).first()[0]
+    bad = {r["index"] for r in tracks.where(~F.coalesce(usable, F.lit(False))).select("index").limit(MOST_BAD + 1).collect()}
+    if len(bad) > MOST_BAD:
+        raise ValueError(f"more than {MOST_BAD} unusable tracks: leave them out of the catalogue first")
+    identities, crops = Observation("identities"), Observation("crops")
+    chosen = composites.replace_identities(slots, (-1 if n is None else n) + 1, lambda k: k not in bad, seed)
+    replaced = F.col("chosen").isNotNull() & (F.col("chosen") != F.col("index"))
+    chosen = chosen.observe(identities, F.count(F.lit(1)).alias("slots"), F.count_if(replaced).alias("replaced"), F.count_if(F.col("chosen").isNull()).alias("skipped"))
+    found = chosen.where("chosen is not null").join(tracks.withColumnRenamed("index", "chosen"), "chosen").join(noise, [*batch, "slot"], "left").join(rooms, [*batch, "slot"], "left")
+    pairs = found.withColumn("pair_id", F.struct(*batch, "slot", "index"))
+    rows = composites.crop_pairs(pairs, [F.lit(seed), F.col("optimizer_step"), F.col("batch_idx"), F.col("slot")], shares, past, length)
+    second = F.col("role") == "secondary"
+    rows = rows.observe(crops, F.count(F.lit(1)).alias("rows"), F.count_if(second & F.col("fallback")).alias("fallbacks"), F.count_if(second & F.col("degraded")).alias("degraded"))
+    rows.select("pair_id.*", "track_id", "role", "start", "category", "snr_bin", "snr_db", "fallback", "degraded", "wave").write.parquet(path)
+    return identities.get | crops.get
+
+
 def replacement_start(seed: int, step: Column, batch: Column, slot: Column, index: Column, n: int) -> Column:
     """Where the search for another identity begins."""
     return stable_mod(F.lit(n), F.lit(seed), step, batch, slot, index, F.lit("replacement"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import schedules as sc
 from ..functions import signals as sg
+from ..functions.hashing import sql_uint64
 from ..functions.tokens import Vocabulary
 from ..operators import composites, corpus, evaluation, jobs, metrics
 from ..sources import files
@@ -213,6 +214,31 @@ def degraded_evaluation(spark, sf):
     return out.select("suite_id", "query_seconds", "selected", "failed", *(F.round(c, 9).alias(c) for c in ("top1", "top5", "mrr")))
 
 
+# -- crops and their audit
+
+_CROP_HASH = sql_uint64(str(v.SEED), "7", "batch_idx", "slot", "index", "'replacement'")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), slots AS (SELECT doc_id // 16 AS batch_idx, CAST(doc_id % 16 AS INTEGER) AS slot, doc_id % 13 AS index FROM documents),
+ c AS (SELECT batch_idx, slot, index, list_filter(list_concat([index], list_filter(list_transform(range(n), lambda k: CAST((CAST(u % n AS BIGINT) + k) % n AS BIGINT)), lambda x: x <> index)[1:32]), lambda x: x % 4 <> 1) AS fine FROM (SELECT *, {_CROP_HASH} AS u FROM slots, n)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY batch_idx ORDER BY slot) - 1 AS k FROM c),
+ r AS (SELECT batch_idx, -1::BIGINT AS k, [-1::BIGINT] AS used, NULL::BIGINT AS chosen, NULL::BIGINT AS index FROM (SELECT DISTINCT batch_idx FROM g)
+  UNION ALL SELECT batch_idx, k, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, x, index FROM (SELECT g.batch_idx, g.k, r.used, g.index, list_filter(g.fine, lambda y: NOT list_contains(r.used, y))[1] AS x FROM r JOIN g ON g.batch_idx = r.batch_idx AND g.k = r.k + 1))
+ SELECT count(*) AS slots, count(*) FILTER (chosen <> index) AS replaced, count(*) FILTER (chosen IS NULL) AS skipped, 2 * count(chosen) AS rows FROM r WHERE k >= 0""")
+def crop_job_audit(spark, sf):
+    """What became of the slots of batches of sixteen, a quarter of whose tracks are silent: observed while the crops are written."""
+    w = v.waves(spark, sf)
+    i, d = F.col("wave_id"), F.col("doc_id")
+    tracks = w.select(i.alias("index"), F.concat(F.lit("t"), i.cast("string")).alias("track_id"), F.when(i % 4 == 1, F.array_repeat(F.lit(0.0), 64)).otherwise(F.transform("samples", lambda q: q + 0.01)).alias("samples"))
+    slots = v.table(spark, sf, "documents", "doc_id").select(F.lit(7).cast("long").alias("optimizer_step"), F.floor(d / 16).alias("batch_idx"), (d % 16).cast("int").alias("slot"), (d % 13).alias("index"))
+    key = ["optimizer_step", "batch_idx", "slot"]
+    noise = slots.select(*key, F.array(*(F.lit(x) for x in (0.5, -0.25, 0.125))).alias("noise"))
+    rooms = slots.select(*key, F.array(F.lit(1.0), F.lit(0.5)).alias("response"))
+    shares = {k: F.lit(0.25) for k in _KINDS}
+    told = jobs.crop_job(slots, tracks, noise, rooms, shares, v.SEED, 8, 16, files.work_folder(spark, "crops"))
+    return spark.createDataFrame([tuple(told[k] for k in ("slots", "replaced", "skipped", "rows"))], "slots long, replaced long, skipped long, rows long")
+
+
 # -- streaming logs
 
 _LINES = "step long, line long, metric string, value double"

@@ -114,3 +114,37 @@ def test_empty_groups(spark):
     expected = spark.createDataFrame([("a",), ("b",)], "batch string")
     told = {x["batch"]: (x["rows"], x["mean_snr_db"]) for x in metrics.with_empty_groups(metrics.augmentation_stats(rows, ["batch"], ["clean"]), expected, ["batch"], "rows").collect()}
     assert told == {"a": (3, 6.0), "b": (0, None)}
+
+
+def test_crop_job(spark, tmp_path):
+    """Rows and audit of one pass: replaced identities are different within a batch, noisy pairs share their start, silent rooms fall back, and what is left over is skipped."""
+    rng = np.random.default_rng(3)
+    wave = lambda k: [0.0] * 40 if k in (1, 7) else rng.normal(size=10).tolist() if k == 2 else rng.normal(size=40).tolist()
+    tracks = spark.createDataFrame([(k, f"t{k}", wave(k)) for k in range(12)], "index long, track_id string, samples array<double>")
+    slots = spark.createDataFrame([(5, b, s, k) for b, plan in enumerate([[0, 1, 2, 3], [4, 4, 5, 7], list(range(12))]) for s, k in enumerate(plan)], "optimizer_step long, batch_idx long, slot int, index long")
+    key = ["optimizer_step", "batch_idx", "slot"]
+    noise = slots.select(*key, F.array(*(F.lit(float(x)) for x in rng.normal(size=6))).alias("noise"))
+    rooms = slots.select(*key, F.when(F.col("slot") % 2 == 0, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.lit(1.0), F.lit(0.5))).alias("response"))
+    shares = {"clean": F.lit(0.25), "noise": F.lit(0.25), "rir": F.lit(0.25), "noise_rir": F.lit(0.25)}
+    from quaylark.operators.jobs import crop_job
+
+    audit = crop_job(slots, tracks, noise, rooms, shares, 3, 8, 16, f"file://{tmp_path}/crops")
+    rows = spark.read.parquet(f"file://{tmp_path}/crops").collect()
+    # 12 tracks, 9 of them usable: the batch of all twelve skips three; the others replace their unusable and repeated ones.
+    assert audit["slots"] == 20 and audit["skipped"] == 3 and audit["rows"] == len(rows) == 34
+    by = {}
+    for r in rows:
+        by.setdefault((r["batch_idx"], r["slot"]), {})[r["role"]] = r
+    assert len(by) == 17 and audit["replaced"] == sum(p["anchor"]["track_id"] != f"t{p['anchor']['index']}" for p in by.values()) >= 4
+    for b in range(3):
+        used = [p["anchor"]["track_id"] for (x, _), p in by.items() if x == b]
+        assert len(used) == len(set(used)) and not {"t1", "t2", "t7"} & set(used)
+    for p in by.values():
+        a, s = p["anchor"], p["secondary"]
+        assert a["track_id"] == s["track_id"] and not a["degraded"] and len(a["wave"]) == len(s["wave"]) == 16
+        if s["degraded"] or s["fallback"]:
+            assert s["start"] == a["start"]
+        if s["fallback"]:
+            assert s["wave"] == a["wave"] and s["category"] == "clean"
+    second = [p["secondary"] for p in by.values()]
+    assert audit["fallbacks"] == sum(r["fallback"] for r in second) and audit["degraded"] == sum(r["degraded"] for r in second) > 0
