@@ -98,9 +98,13 @@ def microphone(path: Column, names) -> Column:
     )
 
 
+#: Fixed value: how names write an angle.
+ANGLE = r"(?:Deg|deg|angle[_-]?)(\d{1,3})|(\d{1,3})(?:Deg|deg)"
+
+
 def incident_angle(name: Column) -> Column:
     """Last angle of three digits at most, of forms like Deg030, angle_30 or 030deg."""
-    found = F.regexp_extract_all(name, F.lit(r"(?:Deg|deg|angle[_-]?)(\d{1,3})|(\d{1,3})(?:Deg|deg)"), F.lit(0))
+    found = F.regexp_extract_all(name, F.lit(ANGLE), F.lit(0))
     return F.when(F.size(found) > 0, F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"(\d+)", 1).cast("int"))
 
 
