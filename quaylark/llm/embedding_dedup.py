@@ -20,6 +20,7 @@ vector's partners.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,8 @@ SEED = 7
 #: Vectors of one block of a component whose pairs a task compares; of one of crowded vectors.
 BLOCK = 1024
 CROWD_BLOCK = 16_384
+#: Bytes of pairs of blocks that one task compares: they may come as one batch.
+PAIR_BYTES = 48 << 20
 
 
 def _matrix(raw: list[bytes]) -> np.ndarray:
@@ -286,7 +289,9 @@ def crowd_links(vectors: DataFrame, n: int, threshold: float, seed: int, block:
     pairs = materialise(pairs.where((F.col("i") == F.col("j")) | (apart <= F.col("r_i") + F.col("r_j") + reach)).select("i", "j", "size_i", "first_i", "size_j", "first_j"), "vector-block-pairs")
     body = lambda k: blocks.select(F.col("size").alias(f"size_{k}"), F.col("first").alias(f"first_{k}"), F.struct("nodes", "parts", "singles").alias(f"b_{k}"))
     met = pairs.join(body("i"), ["size_i", "first_i"]).join(body("j"), ["size_j", "first_j"])
-    met = met.repartition(max(1, min(pairs.count(), 100 * partitions(spark))), "i", "j")  # a few pairs a task: a batch holds all of them
+    n_pairs, size = pairs.count(), blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("singles").cast("long")).alias("b")).first()
+    mean = 2 * (size["b"] or 0) / max(1, size["n"])
+    met = met.repartition(max(1, min(n_pairs, max(partitions(spark), math.ceil(n_pairs * mean / PAIR_BYTES)))), "i", "j")
     return met.select((F.col("i") == F.col("j")).alias("same"), "b_i.*", *(F.col(f"b_j.{c}").alias(f"{c}_j") for c in ("nodes", "parts", "singles"))).mapInArrow(compare, FOUND)
 
 
