@@ -199,6 +199,9 @@ def exact_groups(
         found = found.join(clash, "digest", "left_anti").unionByName(materialise(told, "exact-told-apart"))
     if state_dir:
         _mark(spark, folder, call)
+    else:  # what is told is written elsewhere: nothing reads the call's own folder any more
+        p, system = _path(spark, folder)
+        system.delete(p, True)
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return found.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
