@@ -17,8 +17,19 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a batch that goes to Python and back, where the session does not say: long texts must not fill a worker by their number.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it was given a size."""
+    if spark.sparkContext.getConf().get(BATCH_KEY) is None and spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder of this application below spark.checkpoint.dir; where that is unset and Spark is local (tests), below a temporary folder."""
+    bound_batches(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
