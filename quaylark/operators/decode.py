@@ -1,12 +1,14 @@
 """Ranked decoding of five digits over a pluggable scorer: greedy, beam and joint beam.
 
-A scorer maps (query_id, window_id, prefix) to ten digit logits.  The beam's
-table stays partitioned by query, so its steps shuffle once for the mean over
-windows; only width rows a query go on from step to step.
+A scorer maps (query_id, window_id, prefix) to ten digit logits.  Queries are
+dealt once, to a stated number of tasks, and stay there: a few bytes of ids
+become hundreds of rows a query, which Spark's own sizing of tasks can't know.
+Only width rows a query go on from step to step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import _text
 
 DIGITS = 5
+#: Tasks among which queries are dealt, where the session has fewer shuffle partitions.
+LEAST_TASKS = 64
 
 
 class Scorer(Protocol):
@@ -33,8 +37,8 @@ class HashScorer:
 
     def logits(self, rows: DataFrame) -> DataFrame:
         digest = F.sha2(_text(self.seed, F.col("query_id"), F.col("window_id"), F.col("prefix")), 256)
-        values = [F.conv(F.substring(digest, 6 * d + 1, 6), 16, 10).cast("double") / F.lit(float(1 << 22)) for d in range(10)]
-        end = F.conv(F.substring(digest, 61, 4), 16, 10).cast("double") / F.lit(float(1 << 14))
+        values = [F.conv(F.substring(digest, 6 * d + 1, 6), 16, 10).cast("long") / F.lit(float(1 << 22)) for d in range(10)]
+        end = F.conv(F.substring(digest, 61, 4), 16, 10).cast("long") / F.lit(float(1 << 14))
         return rows.withColumns({"logits": F.array(*values), "others": F.array(end, F.lit(0.5))})
 
     def sql(self, query: str, window: str, prefix: str, digit: str) -> str:
@@ -55,10 +59,36 @@ class TableScorer:
         return rows.join(self.table, ["query_id", "window_id", "prefix"])
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once: inside a lambda, a column that stands for an expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    norm = top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    return F.transform(logits, lambda x: x - norm)
+    def less_norm(x: Column, top: Column) -> Column:
+        norm = top + F.log(F.aggregate(x, F.lit(0.0), lambda a, y: a + F.exp(y - top)))
+        return _with(norm, lambda n: F.transform(x, lambda y: y - n))
+
+    return _with(logits, lambda x: _with(F.array_max(x), lambda top: less_norm(x, top)))
+
+
+def _log_probabilities(scored: DataFrame, keep: list[str], ends: bool = False) -> DataFrame:
+    """The columns to keep, with log-probabilities l0..l9 of the ten digits from `logits`, in plain columns.
+
+    With ends they are of all tokens, and there are `end` and `rest`, those of the end and of the best of the `others` after it.
+    """
+    digits = [f"l{d}" for d in range(10)]
+    rows = scored.select(*keep, *(["others"] if ends else []), *(F.get("logits", F.lit(d)).alias(x) for d, x in enumerate(digits)))
+    rows = rows.withColumn("_top", F.greatest(*digits, *([F.array_max("others")] if ends else [])))
+    total = sum((F.exp(F.col(x) - F.col("_top")) for x in digits), F.lit(0.0))
+    if ends:
+        total = total + F.aggregate("others", F.lit(0.0), lambda a, y: a + F.exp(y - F.col("_top")))
+    rows = rows.withColumn("_norm", F.col("_top") + F.log(total))
+    out = [(F.col(x) - F.col("_norm")).alias(x) for x in digits]
+    if ends:
+        rest = F.coalesce(F.array_max(F.slice("others", F.lit(2), F.size("others") - 1)), F.lit(float("-inf")))
+        out += [(F.get("others", F.lit(0)) - F.col("_norm")).alias("end"), (rest - F.col("_norm")).alias("rest")]
+    return rows.select(*keep, *out)
 
 
 def end_log_probability(logits: Column, others: Column) -> Column:
@@ -71,46 +101,54 @@ def end_is_best(logits: Column, others: Column) -> Column:
     return (F.get(others, F.lit(0)) > F.array_max(logits)) & (F.get(others, F.lit(0)) >= F.array_max(others))
 
 
-def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
-    """(query_id, code, score, rank): digit log-probabilities are averaged over a query's windows before pruning.
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_TASKS), "query_id")
 
-    windows: (query_id, window_id).  Ties are broken by the smaller prefix.  With ends, the search goes one step beyond
-    the digits and tells `ended`.  'score': each code goes on with its end, the end's mean log-probability counts and
-    decides the order, and every code has ended.  'flag': score and order are those of the digits, and ended says
-    whether the end is the most likely next token by the mean of the windows' probabilities' logarithms.
-    """
+
+def _search(windows: DataFrame, scorer: Scorer, width: int, steps: int, ends: str | None, one: bool = False) -> DataFrame:
+    """joint_beam() over dealt windows.  With one, every query has one window, number 0: nothing is to be joined or averaged."""
     if ends not in (None, "score", "flag"):
         raise ValueError(f"ends: {ends}")
     beam = windows.select("query_id").distinct().withColumn("prefix", F.lit("")).withColumn("score", F.lit(0.0))
+    keys, digits = ["query_id", "prefix", "score"], [f"l{d}" for d in range(10)]
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("prefix"))
+
+    def means(beam: DataFrame, names: list[str], ends: bool = False) -> DataFrame:
+        asked = beam.withColumn("window_id", F.lit(0)) if one else windows.join(beam.hint("merge"), "query_id")
+        told = _log_probabilities(scorer.logits(asked), keys, ends)
+        return told if one else told.groupBy(*keys).agg(*(F.avg(x).alias(x) for x in names))
+
     for step in range(steps):
-        asked = windows.join(beam, "query_id")
-        scored = scorer.logits(asked).select("query_id", "prefix", "score", log_softmax(F.col("logits")).alias("lp"))
-        means = [F.avg(F.element_at("lp", d + 1)).alias(f"d{d}") for d in range(10)]
-        grown = scored.groupBy("query_id", "prefix", "score").agg(*means)
-        cand = grown.select("query_id", F.explode(F.array(*(F.struct(F.concat("prefix", F.lit(str(d))).alias("prefix"), F.round(F.col("score") + F.col(f"d{d}"), 12).alias("score")) for d in range(10)))).alias("c"))
-        cand = cand.select("query_id", "c.prefix", "c.score")
+        grown = means(beam, digits)
+        cand = grown.select("query_id", F.inline(F.array(*(F.struct(F.concat("prefix", F.lit(str(d))).alias("prefix"), F.round(F.col("score") + F.col(x), 12).alias("score")) for d, x in enumerate(digits)))))
         beam = cand.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(width, 10 ** (step + 1)))
         if step < steps - 1 or ends:
             beam = beam.drop("rank")
     if ends is None:
         return beam.select("query_id", F.col("prefix").alias("code"), "score", "rank")
-    every = F.concat("others", "logits")
-    last = scorer.logits(windows.join(beam, "query_id")).select("query_id", "prefix", "score", log_softmax(every).alias("lp"))
-    n_others = F.size("lp") - 10
-    told = last.groupBy("query_id", "prefix", "score").agg(
-        F.avg(F.get("lp", F.lit(0))).alias("end"), *(F.avg(F.get("lp", (n_others + d).cast("int"))).alias(f"d{d}") for d in range(10)), F.avg(F.coalesce(F.array_max(F.slice("lp", F.lit(2), n_others - 1)), F.lit(float("-inf")))).alias("rest"),
-    )
+    told = means(beam, [*digits, "end", "rest"], True)
     if ends == "score":
         told = told.withColumn("score", F.round(F.col("score") + F.col("end"), 12)).withColumn("ended", F.lit(True))
     else:
-        told = told.withColumn("ended", (F.col("end") > F.greatest(*(F.col(f"d{d}") for d in range(10)))) & (F.col("end") >= F.col("rest")))
+        told = told.withColumn("ended", (F.col("end") > F.greatest(*digits)) & (F.col("end") >= F.col("rest")))
     return told.select("query_id", F.col("prefix").alias("code"), "score", F.row_number().over(order).alias("rank"), "ended")
 
 
+def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
+    """(query_id, code, score, rank): digit log-probabilities are averaged over a query's windows before pruning.
+
+    windows: (query_id, window_id).  Ties are broken by the smaller prefix.  With ends, the search goes one step beyond
+    the digits and tells `ended`.  'score': each code goes on with its end, the end's mean log-probability counts and
+    decides the order, and every code has ended.  'flag': score and order are those of the digits, and ended says
+    whether the end is the most likely next token by the mean of the windows' probabilities' logarithms.
+    """
+    windows = windows.select("query_id", "window_id")
+    return _search(_dealt(windows), scorer, width, steps, ends)
+
+
 def beam(queries: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
     """One window a query."""
-    return joint_beam(queries.select("query_id", F.lit(0).alias("window_id")), scorer, width, steps, ends)
+    return _search(_dealt(queries.select("query_id")), scorer, width, steps, ends, one=True)
 
 
 def greedy(queries: DataFrame, scorer: Scorer, steps: int = DIGITS, eos: Column | None = None) -> DataFrame:

@@ -147,6 +147,31 @@ def test_beam_against_brute_force(spark):
     assert all(len(r["beam"]) == 3 for r in decode.beams_as_arrays(ended).collect())
 
 
+def test_log_softmax_works_each_part_out_once(spark):
+    x = [0.5, -2.0, 7.25, 7.25]
+    told = decode.log_softmax(F.col("x"))
+    assert str(told).count("array_max") == 1
+    got = spark.createDataFrame([(x,), (None,)], "x array<double>").select(told.alias("y")).collect()
+    norm = math.log(sum(map(math.exp, x)))
+    assert got[0]["y"] == pytest.approx([v - norm for v in x]) and got[1]["y"] is None
+
+
+@pytest.mark.parametrize("ends", [None, "score", "flag"])
+def test_beams_are_not_put_into_one_task(spark, ends):
+    """A query's id becomes hundreds of rows, so the tasks must not be sized by the ids."""
+    queries = spark.range(640).select(F.col("id").alias("query_id"))
+    windows = queries.withColumn("window_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    for found in (decode.joint_beam(windows, decode.HashScorer(1), 3, 2, ends), decode.beam(queries, decode.HashScorer(1), 3, 2, ends)):
+        rows = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("query_id").alias("n")).collect()
+        assert len(rows) > decode.LEAST_TASKS // 2 and max(r["n"] for r in rows) < 64 and sum(r["n"] for r in rows) == 640
+
+
+def test_lines_without_code_have_no_part_in_a_fingerprint(spark):
+    rows = spark.createDataFrame([("b", "00002", 1), ("x", None, 0), ("a", "00001", 2)], "track_id string, code string, pos int")
+    assert catalogue.mapping_fingerprint(rows, "pos").first()[0] == hashlib.sha256(b"b:00002\na:00001").hexdigest()
+    assert catalogue.mapping_fingerprint(rows.where("code is null"), "pos").first()[0] is None
+
+
 def test_losses(spark):
     pairs = spark.createDataFrame([(1, [0.0] * 10, [0.0] * 10)], "k int, teacher array<double>, student array<double>")
     assert losses.distillation(pairs, ["k"], 2.0).first()["kd_loss"] == 0
