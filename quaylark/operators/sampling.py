@@ -95,7 +95,8 @@ def draw_from_pool(keys: DataFrame, pool: DataFrame, seed: Column, salt: str, va
     edges = items.groupBy("_b").agg(F.min("_item").alias("_lo"))
     every = Window.orderBy("_b")  # a row a range
     edges = edges.select("_b", F.coalesce(F.first("_lo", True).over(every.rowsBetween(1, Window.unboundedFollowing)), F.min("_lo").over(Window.partitionBy())).alias("_later"))
-    ahead = F.first("_item", True).over(Window.partitionBy("_b").orderBy("pool_idx").rowsBetween(0, Window.unboundedFollowing))
+    # Looks back from the end: a window that looks ahead goes through what follows for every row.
+    ahead = F.last("_item", True).over(Window.partitionBy("_b").orderBy(F.col("pool_idx").desc()).rowsBetween(Window.unboundedPreceding, 0))
     following = items.withColumn("_next", ahead).join(edges, "_b").select(F.col("pool_idx").alias("_start"), F.coalesce("_next", "_later").alias("pool_idx"))
     size = F.broadcast(pool.agg(F.count(F.lit(1)).alias("_n")))  # one row
     placed = keys.select("key", stable_uint64(F.lit(salt), seed).alias("_seed")).crossJoin(size)
