@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import _text
+from ..functions.signals import let
 
 DIGITS = 5
 #: Tasks among which queries are dealt, where the session has fewer shuffle partitions.
@@ -59,17 +60,12 @@ class TableScorer:
         return rows.join(self.table, ["query_id", "window_id", "prefix"])
 
 
-def _with(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value worked out once: inside a lambda, a column that stands for an expression is worked out for every element."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def log_softmax(logits: Column) -> Column:
     def less_norm(x: Column, top: Column) -> Column:
         norm = top + F.log(F.aggregate(x, F.lit(0.0), lambda a, y: a + F.exp(y - top)))
-        return _with(norm, lambda n: F.transform(x, lambda y: y - n))
+        return let(norm, lambda n: F.transform(x, lambda y: y - n))
 
-    return _with(logits, lambda x: _with(F.array_max(x), lambda top: less_norm(x, top)))
+    return let(logits, lambda x: let(F.array_max(x), lambda top: less_norm(x, top)))
 
 
 def _log_probabilities(scored: DataFrame, keep: list[str], ends: bool = False) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import stable_mod, stable_uint64, stable_uniform
+from ..functions.hashing import _text, stable_mod, stable_uint64, stable_uniform
 from ..functions.paths import g_text
 from ..functions.schedules import SNR_BINS, SNR_WEIGHTS
+from ..functions.signals import let
+
+#: Of nearest matches: tasks among which they are dealt, where the session has fewer shuffle partitions; items of one value that
+#: meet a row at once; shares of the rows that have the same nearest value.
+LEAST_TASKS, CHUNK, SHARES = 64, 1024, 16
 
 
 def start_sample(most: Column, *key, reserved: Column | None = None) -> Column:
@@ -145,28 +150,43 @@ def nearest_match(left: DataFrame, right: DataFrame, key: str, value: str, item:
     Both sides are laid on one line, cut into `ranges` ranges at quantiles of the right values, so no range holds many
     more of them than another.  Each left row takes the nearest right value before and after it inside its range, or
     the last one before and the first one after the range: no cross join, and a bounded table of ranges.
+
+    The items of one value tie, and which has the least hash with a left row only the hashes of all of them tell: where
+    values repeat, their pairs are the work.  It is dealt by value, CHUNK items and a share of the left rows, and a row
+    meets a chunk as one array, so no pair is ever a row of its own.
     """
     from pyspark.sql import Window
 
-    values = right.groupBy(value).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    right = right.select(F.col(item), F.col(value).cast("double").alias("c"))
+    values = right.groupBy("c").agg(F.count(F.lit(1)).alias("_n"))
     shares = [k / ranges for k in range(1, ranges)]
-    cuts = sorted(set(values.select(F.percentile_approx(F.col(value).cast("double"), shares, 100 * ranges).alias("q")).first()["q"] or []))
+    cuts = sorted(set(values.select(F.percentile_approx("c", shares, 100 * ranges).alias("q")).first()["q"] or []))
     lit = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
     line = left.select(F.col(key), F.col(value).cast("double").alias("v"), F.lit(None).cast("double").alias("at")).unionByName(
-        values.select(F.lit(None).cast(left.schema[key].dataType).alias(key), F.col(value).cast("double").alias("v"), F.col(value).cast("double").alias("at"))
+        values.select(F.lit(None).cast(left.schema[key].dataType).alias(key), F.col("c").alias("v"), F.col("c").alias("at"))
     )
-    line = line.withColumn("_b", F.size(F.filter(lit, lambda c: c <= F.col("v"))))
+    line = line.withColumn("_b", let(F.col("v"), lambda v: F.size(F.filter(lit, lambda c: c <= v))))
     edges = line.groupBy("_b").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     every = Window.orderBy("_b")  # one row a range
     edges = edges.select("_b", F.last("hi", True).over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("hi"), F.first("lo", True).over(every.rowsBetween(1, Window.unboundedFollowing)).alias("lo"))
-    w = Window.partitionBy("_b").orderBy("v")
-    near = line.withColumn("below", F.last("at", True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first("at", True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    # Both look back, one along each direction: a window that looks ahead goes through what follows for every row.
+    so_far = lambda order: F.last("at", True).over(Window.partitionBy("_b").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    near = line.withColumn("below", so_far(F.col("v").asc())).withColumn("above", so_far(F.col("v").desc()))
     near = near.where(F.col("at").isNull()).join(F.broadcast(edges), "_b").withColumn("below", F.coalesce("below", "hi")).withColumn("above", F.coalesce("above", "lo"))
     cand = F.filter(F.array_distinct(F.array("below", "above")), lambda x: x.isNotNull())
     picked = near.withColumn("d", F.array_min(F.transform(cand, lambda x: F.abs(x - F.col("v"))))).withColumn("c", F.explode(F.filter(cand, lambda x: F.abs(x - F.col("v")) == F.col("d"))))
-    met = picked.join(values, picked["c"] == values[value]).withColumn("item", F.explode("items"))
-    best = met.groupBy(key).agg(F.min_by(F.struct(F.col("item"), F.col("c").alias("value")), F.struct(stable_uint64(F.lit(seed), F.col(key), F.col("item")), F.col("item"))).alias("x"))
-    return best.select(key, F.col("x.item").alias(item), F.col("x.value").alias("matched"))
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_TASKS)
+    sizes = values.select("c", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_chunks"), F.least(F.lit(SHARES), F.ceil(F.col("_n") / 64)).cast("int").alias("_shares"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = ["c", "_chunk", "_share"]
+    asked = picked.select(key, "c").join(sizes, "c").withColumn("_share", F.pmod(F.xxhash64(key), F.col("_shares")).cast("int")).select(key, "c", "_share", F.explode(upto("_chunks")).alias("_chunk"))
+    items = right.join(sizes, "c").groupBy("c", F.pmod(F.xxhash64(item), F.col("_chunks")).cast("int").alias("_chunk"), "_shares").agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    items = items.select("c", "_chunk", "_items", F.explode(upto("_shares")).alias("_share"))
+    met = asked.repartition(tasks, *cell).join(items.repartition(tasks, *cell), cell)
+    draw = lambda x: F.substring(F.sha2(_text(F.lit(seed), F.col(key), x), 256), 1, 16)  # noqa: E731  # ordered as stable_uint64()
+    least = F.array_min(F.transform("_items", lambda x: F.struct(draw(x).alias("h"), x.alias("item"))))
+    best = met.select(key, "c", least.alias("m")).where("m is not null").groupBy(key).agg(F.min_by(F.struct("m.item", "c"), F.col("m")).alias("x"))
+    return best.select(key, F.col("x.item").alias(item), F.col("x.c").alias("matched"))
 
 
 def replacement_candidates(rows: DataFrame, n: int, key: list[Column], index: str, most: int = 33) -> DataFrame:

@@ -107,6 +107,19 @@ def test_splits_and_matches(spark):
         assert len(got) == 60 and all(abs(a[r["k"]] - r["matched"]) == np.abs(b - a[r["k"]]).min() and b[r["ir"]] == r["matched"] for r in got)
 
 
+def test_matches_of_one_value_stay_arrays_and_windows_look_back(spark):
+    """Many items of one value: against a plain search; no window of the plans looks ahead, and no pair becomes a row."""
+    left, right = [(k, 0.25 * (k % 3)) for k in range(30)], [(i, float(i % 2)) for i in range(2500)]
+    made = spark.createDataFrame(left, "k long, s double"), spark.createDataFrame(right, "ir long, s double")
+    got = sampling.nearest_match(*made, "k", "s", "ir", 1)
+    draw = lambda k, i: hashlib.sha256(f"1:{k}:{i}".encode()).hexdigest()[:16]
+    want = {(k, *min(right, key=lambda r: (abs(r[1] - v), draw(k, r[0]), r[0]))) for k, v in left}
+    assert {tuple(r) for r in got.collect()} == want
+    plans = [got, sampling.draw_from_pool(spark.range(9).withColumnRenamed("id", "key"), spark.range(50).withColumnRenamed("id", "pool_idx"), F.col("key"), "salt", F.lit(True))]
+    text = [p._jdf.queryExecution().optimizedPlan().toString() for p in plans]
+    assert all("currentrow$(), unboundedfollowing$()" not in x for x in text) and "explode(items" not in text[0]
+
+
 def test_manifest_and_corpus(spark):
     cohort = spark.createDataFrame([(f"t{i}", f"{i:06d}", f"{i:05d}", 12.0) for i in range(4)], "track_id string, source_id string, code string, duration double")
     excluded = spark.createDataFrame([("000001",)], "source_id string")
