@@ -59,7 +59,7 @@ def found_corpus_files(spark, sf):
 @query(f"WITH {_FILES} SELECT name, sha256(content) AS sha256 FROM named")
 def content_digests(spark, sf):
     folder = _folder(spark, sf)
-    digests = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(folder).select("path", F.sha2("content", 256).alias("sha256"))
+    digests = files.whole_files(spark, folder).select("path", F.sha2("content", 256).alias("sha256"))
     return digests.select(_below(folder).alias("name"), "sha256")
 
 

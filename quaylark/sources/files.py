@@ -43,11 +43,23 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def whole_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime, length, content) of all files below root.
+
+    Spark counts 4 MB for opening a file and so gives a task some thirty small ones; here the number of tasks is bounded.
+    """
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).coalesce(_tasks(spark))
+
+
 def audio_files(spark: SparkSession, root: str, suffixes=CATALOGUE_SUFFIXES, content: bool = False) -> DataFrame:
     """(path, length[, content]) of files below root with one of the suffixes, any case; a missing root is empty."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        files = whole_files(spark, root)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -255,17 +267,22 @@ def write_files(rows: DataFrame, folder: str) -> None:
         from pyarrow import fs as pafs
 
         fs, root = pafs.FileSystem.from_uri(folder)
+        made = set()  # folders, not files
         for p in parts:
             for name, content in zip(p["name"], p["content"], strict=True):
                 target = f"{root}/{name}"
-                fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                if (above := target.rsplit("/", 1)[0]) not in made:
+                    fs.create_dir(above, recursive=True)
+                    if len(made) < 100_000:
+                        made.add(above)
                 tmp = f"{target}.{uuid.uuid4().hex}.tmp"
                 with fs.open_output_stream(tmp) as f:
                     f.write(bytes(content))
                 fs.move(tmp, target)
             yield pd.DataFrame({"n": [len(p)]})
 
-    rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
+    dealt = rows.select("name", F.col("content").cast("binary").alias("content")).repartition(_tasks(rows.sparkSession))  # a small table may be one split, but many files
+    dealt.mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

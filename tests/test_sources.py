@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quaylark.sources import files
 from quaylark.sources import recordings as rec
 from quaylark.sources import reject_log as rl
 from quaylark.sources import token_shards as ts
@@ -347,3 +348,12 @@ def test_shard_job(spark, tmp_path):
     finally:
         DataFrameWriter.parquet = write
     assert sj.run_shards(rows, job, path, "g").count() == 6 and sj.run_shards(rows, job, path, "g").count() == 0 and sj.read_output(spark, path, kind).count() == 60
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    rows = spark.range(600).select(F.format_string("d%d/f%d.wav", F.col("id") % 3, "id").alias("name"), F.col("id").cast("string").alias("content")).coalesce(1)
+    folder = f"file://{tmp_path}/many"
+    files.write_files(rows, folder)
+    found = files.whole_files(spark, folder)
+    assert found.rdd.getNumPartitions() <= max(4, 4 * spark.sparkContext.defaultParallelism)
+    assert {(r["path"].rsplit("/", 1)[1], bytes(r["content"])) for r in found.collect()} == {(f"f{k}.wav", str(k).encode()) for k in range(600)}
