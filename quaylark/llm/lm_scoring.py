@@ -35,6 +35,8 @@ BITS_PER_ENTRY = 5
 N_HASHES = 3
 #: Levels double the count every LEVELS steps.
 LEVELS = 2
+#: Counts that a task holds before it adds them up and passes them on, and bytes of text that it splits into words at once: both bound a worker's memory.
+MOST_HELD, SLICE_BYTES = 2_000_000, 2 << 20
 MOST_FREQUENT = 200_000
 #: Pairs count as much as this many words of the word model.
 DIRICHLET = 300.0
@@ -233,7 +235,7 @@ def train_filter(texts: DataFrame, n_segments: int, bits_per_entry: int = BITS_P
             single = np.zeros(2, np.int64)
 
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", SLICE_BYTES):
                 hashes = words.hashes
                 cur, before, _, _ = sequence([tokens_of(t) for t in binary(b, "text")], words)
                 if words.generation != generation:
@@ -246,7 +248,7 @@ def train_filter(texts: DataFrame, n_segments: int, bits_per_entry: int = BITS_P
                 keys.append(pair_keys(pairs, words.hashes))
                 counts.append(c)
                 size += len(pairs)
-                if size > 6_000_000:
+                if size > MOST_HELD:
                     yield from flush()
         settle(words.hashes)
         yield from flush()
@@ -292,7 +294,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], names=["token", "n"])
 
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", SLICE_BYTES):
                 for t in binary(b, "text"):
                     found.update(tokens_of(t))
                 if len(found) > 600_000:
@@ -442,7 +444,7 @@ def lm_scores(
         model = Model(shared.value, often.value)
         row = chunk = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", SLICE_BYTES):
                 split = [tokens_of(t) for t in binary(b, "text")]
                 cur, before, n = model.read(split)
                 real = cur > 0
