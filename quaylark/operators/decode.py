@@ -150,10 +150,11 @@ def beam(queries: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, en
 def greedy(queries: DataFrame, scorer: Scorer, steps: int = DIGITS, eos: Column | None = None) -> DataFrame:
     """(query_id, code, score): the best digit at each step (the smallest of equals), plus an end log-probability if given."""
     now = queries.select("query_id", F.lit(0).alias("window_id"), F.lit("").alias("prefix"), F.lit(0.0).alias("score"), *(["eos"] if eos is not None else []))
+    digits = [f"l{d}" for d in range(10)]
     for _ in range(steps):
-        scored = scorer.logits(now).withColumn("lp", log_softmax(F.col("logits"))).withColumn("best", F.array_max("lp"))
-        digit = (F.array_position("lp", F.col("best")) - 1).cast("string")
-        now = scored.withColumn("prefix", F.concat("prefix", digit)).withColumn("score", F.col("score") + F.col("best")).drop("logits", "lp", "best")
+        scored = _log_probabilities(scorer.logits(now), now.columns).withColumn("best", F.greatest(*digits))
+        digit = F.coalesce(*(F.when(F.col(x) == F.col("best"), str(d)) for d, x in enumerate(digits)))
+        now = scored.withColumn("prefix", F.concat("prefix", digit)).withColumn("score", F.col("score") + F.col("best")).drop("best", *digits)
     score = F.col("score") + eos if eos is not None else F.col("score")
     return now.select("query_id", F.col("prefix").alias("code"), score.alias("score"), F.lit(True).alias("ended"))
 
