@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylark.llm.core import shared_dir
+from quaylark.llm.core import bound_batches, shared_dir
 from quaylark.llm.exact_dedup import exact_dedup
 from quaylark.llm.language_id import fit, identify
 from quaylark.llm.mixing import mix_sample
@@ -17,27 +19,46 @@ from quaylark.llm.sentencepiece_codec import sentencepiece_encode
 #: Of the tokens that reach the mixing stage, how many stay.
 MIX_SHARE = 0.5
 
+#: Five stages in a row leave executors little memory: bytes of an Arrow batch (in the JVM and in Python, for each task), and rows that are read at once.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
+
+
+def bounded(stage):
+    """The stage with small batches, unless the session says otherwise."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark, BATCH_BYTES, READ_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@bounded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain enough."""
     return identify(docs, fit(docs), host=F.col("source"), carry=True)
 
 
+@bounded
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
     return exact_dedup(docs)
 
 
+@bounded
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (shingles of five words, similarity 0.8 or more), the document with the smallest id."""
     return near_dedup(docs)
 
 
+@bounded
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of half the tokens by the target weights of sources, languages and topics; small cells are kept whole."""
     return mix_sample(docs, share=MIX_SHARE)
 
 
+@bounded
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document."""
     return sentencepiece_encode(docs, public_path(SENTENCEPIECE_MODEL))

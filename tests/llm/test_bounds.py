@@ -100,3 +100,19 @@ def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
     assert len(ids) == len(set(ids)) and 5 * 10**8 not in ids
     clash.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pipeline_stages_take_small_batches(spark):
+    import corpus_pipeline
+    from quaylark.llm.core import BATCH_KEY, READ_KEY, bound_batches
+
+    def told(session):
+        corpus_pipeline.language_stage(session, session.createDataFrame([], "doc_id long, text string, lang string, source string"), "")
+        return session.conf.get(BATCH_KEY), session.conf.get(READ_KEY)
+
+    fresh, used, given = spark.newSession(), spark.newSession(), spark.newSession()
+    bound_batches(used)  # an operator ran before
+    given.conf.set(BATCH_KEY, "1048576")
+    given.conf.set(READ_KEY, "77")
+    assert told(fresh) == told(used) == (str(4 << 20), "512")
+    assert told(given) == ("1048576", "77")
