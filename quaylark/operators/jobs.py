@@ -194,18 +194,18 @@ def monitor_probe(rows: DataFrame, scorer: decode.Scorer, width: int, steps: int
 def evaluate_segments(queries: DataFrame, tokens: DataFrame, rejects: DataFrame, scorer: decode.Scorer, width: int, weight: float) -> DataFrame:
     """One row of metrics over track positions (query_id, track_id, path, code, seconds): generation and teacher-forced losses.
 
-    Queries of rejected files are left out, and their tracks count as skipped.  tokens: (query_id, loss, family,
+    queries is read several times: where it is costly, store it first.  Queries of rejected files are left out, and their tracks count as skipped.  tokens: (query_id, loss, family,
     correct), the losses of each query's document; means are of the queries' means.
     """
     all_tracks = queries.agg(F.count_distinct("track_id").alias("selected_tracks"))
     used = queries.join(rejects.select("path").distinct(), "path", "left_anti")
     found = composites.identify(used.select("query_id", F.lit(0).alias("window_id")), scorer, width)
     told = used.join(found, "query_id").withColumn("ended", F.lit(True))
-    got = metrics.generation_metrics(told, []).crossJoin(told.agg(F.count_distinct("track_id").alias("evaluated_tracks"), F.avg("seconds").alias("mean_latency_seconds")))
+    got = metrics.generation_metrics(told, [], more=(F.count_distinct("track_id").alias("evaluated_tracks"), F.avg("seconds").alias("mean_latency_seconds")))
     per = losses.family_losses(tokens.join(used.select("query_id"), "query_id", "left_semi"), ["query_id"], weight)
-    exact = losses.exact_accuracy(tokens, "query_id", ["query_id"]).join(used.select("query_id"), "query_id", "left_semi")
-    mean = per.agg(*(F.avg(c).alias(c) for c in ("loss", "audio_loss", "digit_loss", "boundary_loss", "digit_accuracy")))
-    out = got.crossJoin(all_tracks).crossJoin(mean).crossJoin(exact.agg(F.avg("exact_accuracy").alias("exact_accuracy")))
+    exact = F.avg((F.col("digit_accuracy") == 1.0).cast("double")).alias("exact_accuracy")  # all digits are correct; NULL without digits
+    mean = per.agg(*(F.avg(c).alias(c) for c in ("loss", "audio_loss", "digit_loss", "boundary_loss", "digit_accuracy")), exact)
+    out = got.crossJoin(all_tracks).crossJoin(mean)
     return out.withColumn("skipped_tracks", F.col("selected_tracks") - F.col("evaluated_tracks")).withColumn("audio_perplexity", metrics.perplexity(F.col("audio_loss")))
 
 

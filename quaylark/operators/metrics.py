@@ -30,12 +30,12 @@ def joint_metrics(rows: DataFrame, keys: list[str], rank: str = "rank", failed:
     return rows.groupBy(*keys).agg(*out)
 
 
-def generation_metrics(rows: DataFrame, keys: list[str], code: str = "code", beam: str = "beam", greedy: str = "greedy", ended: str = "ended") -> DataFrame:
-    """Metrics over the rows present: reciprocal rank counts any place of the beam."""
+def generation_metrics(rows: DataFrame, keys: list[str], code: str = "code", beam: str = "beam", greedy: str = "greedy", ended: str = "ended", more: tuple[Column, ...] = ()) -> DataFrame:
+    """Metrics over the rows present, and `more` aggregates in the same pass: reciprocal rank counts any place of the beam."""
     r = rank_in(F.col(beam), F.col(code))
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("queries"), F.avg((F.col(greedy) == F.col(code)).cast("double")).alias("greedy_top1"), F.avg((~F.col(ended)).cast("double")).alias("invalid_code_rate"),
-        F.avg(hit(r, 1)).alias("top1"), F.avg(hit(r, 5)).alias("top5"), F.avg(hit(r, 10)).alias("top10"), F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"),
+        F.avg(hit(r, 1)).alias("top1"), F.avg(hit(r, 5)).alias("top5"), F.avg(hit(r, 10)).alias("top10"), F.avg(F.coalesce(1.0 / r, F.lit(0.0))).alias("mrr"), *more,
     )
 
 

@@ -454,3 +454,10 @@ def test_ends_against_all_codes(spark, n_windows):
     one = windows.where("window_id = 0").withColumn("prefix", F.lit("12"))
     for r in scorer.logits(one).select("logits", "others", decode.end_log_probability(F.col("logits"), F.col("others")).alias("p"), decode.end_is_best(F.col("logits"), F.col("others")).alias("b")).collect():
         assert math.isclose(r["p"], soft([*r["others"], *r["logits"]])[0]) and r["b"] == (r["others"][0] > max([*r["logits"], r["others"][1]]))
+
+
+def test_segment_metrics_searches_once(spark, sf_dir):
+    from quaylark.plans import jobs as plans
+
+    plan = plans.QUERIES["segment_metrics"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") <= 2 * decode.DIGITS  # one beam; each step's window and its filter may name it
