@@ -480,12 +480,15 @@ _GENERATION = "count(*) AS queries, avg(CASE WHEN greedy = code THEN 1.0::DOUBLE
 
 
 def _true_codes(spark, sf):
-    """Queries with true codes that are the greedy one, third in the beam, or absent."""
+    """Queries with true codes that are the greedy one, third in the beam, or absent: stored, so that no stage holds two searches and none is made again."""
     q = v.table(spark, sf, "embeddings", "vec_id").select(F.col("vec_id").alias("query_id"))
     found = composites.identify(q.withColumn("window_id", F.lit(0)), decoding.SCORER, 5)
     i = F.col("query_id")
     code = F.when(i % 3 == 0, F.col("greedy")).when(i % 3 == 1, F.element_at("beam", 3)).otherwise("00000")
-    return found.select("query_id", code.alias("code"), F.when(i % 2 == 0, "canonical").otherwise("heldout").alias("view_type"), (i % 4 * 2500).alias("start_key"))
+    told = found.select("query_id", code.alias("code"), F.when(i % 2 == 0, "canonical").otherwise("heldout").alias("view_type"), (i % 4 * 2500).alias("start_key"))
+    path = files.work_folder(spark, "true-codes")
+    told.write.parquet(path)
+    return spark.read.schema(told.schema).parquet(path)
 
 
 @query(f"WITH {_identified(5)}, {_TOLD} SELECT view_type, start_key, {_GENERATION} FROM r GROUP BY GROUPING SETS ((view_type), (view_type, start_key))")
@@ -504,9 +507,6 @@ def segment_metrics(spark, sf):
     """Evaluation by track and position with rejected files, generation and teacher-forced losses."""
     i = F.col("query_id")
     queries = _true_codes(spark, sf).select("query_id", "code", F.floor(i / 4).alias("track_id"), F.concat(F.lit("p"), i.cast("string")).alias("path"), (i % 7 / F.lit(10.0)).alias("seconds"))
-    path = files.work_folder(spark, "segments")  # the beams that the true codes come from are searched once
-    queries.write.parquet(path)
-    queries = spark.read.schema(queries.schema).parquet(path)
     rejects = queries.where((i % 16 == 5) | (F.floor(i / 4) % 9 == 0)).select("path")
     tokens = decoding._logits(spark, sf).select(F.col("wave_id").alias("query_id"), "loss", "family", "correct")
     out = jobs.evaluate_segments(queries, tokens, rejects, decoding.SCORER, 5, 32.0)

@@ -456,8 +456,9 @@ def test_ends_against_all_codes(spark, n_windows):
         assert math.isclose(r["p"], soft([*r["others"], *r["logits"]])[0]) and r["b"] == (r["others"][0] > max([*r["logits"], r["others"][1]]))
 
 
-def test_segment_metrics_searches_once(spark, sf_dir):
+@pytest.mark.parametrize("name", ["segment_metrics", "monitor_probe", "position_metrics"])
+def test_evaluation_searches_once(spark, sf_dir, name):
     from quaylark.plans import jobs as plans
 
-    plan = plans.QUERIES["segment_metrics"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") <= 2 * decode.DIGITS  # one beam; each step's window and its filter may name it
