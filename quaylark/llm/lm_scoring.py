@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import binary, materialise, partitions, segment_sums, slices
+from .core import binary, bound_batches, materialise, partitions, segment_sums, slices
 
 #: The largest filter that is broadcast; the probes of a larger one are sent to its segments.
 MOST_FILTER_BYTES = 256 << 20
@@ -35,8 +35,11 @@ BITS_PER_ENTRY = 5
 N_HASHES = 3
 #: Levels double the count every LEVELS steps.
 LEVELS = 2
-#: Counts that a task holds before it adds them up and passes them on, and bytes of text that it splits into words at once: both bound a worker's memory.
-MOST_HELD, SLICE_BYTES = 2_000_000, 2 << 20
+#: Counts that a task holds before it adds them up and passes them on, kinds of words that it counts or numbers at once, and bytes of
+#: text that it splits into words at once: all bound a worker's memory, which Python keeps from stage to stage.
+MOST_HELD, MOST_WORDS, SLICE_BYTES = 1_000_000, 200_000, 1 << 20
+#: Bytes of a batch that goes to Python, and rows that the Parquet reader holds at once.
+BATCH_BYTES, READ_ROWS = 4 << 20, 512
 MOST_FREQUENT = 200_000
 #: Pairs count as much as this many words of the word model.
 DIRICHLET = 300.0
@@ -91,7 +94,7 @@ class Words:
     Number 0 is the end of a text, 1 its start.  `generation` changes when numbers start anew.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = MOST_WORDS):
         self.most, self.generation = most, -1
         self._anew()
 
@@ -297,7 +300,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
             for b in slices(whole, "text", SLICE_BYTES):
                 for t in binary(b, "text"):
                     found.update(tokens_of(t))
-                if len(found) > 600_000:
+                if len(found) > MOST_WORDS:
                     yield from flush()
         yield from flush()
 
@@ -414,6 +417,7 @@ def lm_scores(
     beyond that the probes are sent to its segments, with the same scores.
     """
     spark = docs.sparkSession
+    bound_batches(spark, BATCH_BYTES, READ_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("held_out", ~F.coalesce(train_rows(F.col("id")), F.lit(True)))
     train = rows.where(~F.col("held_out"))
@@ -489,6 +493,8 @@ def lm_scores(
         yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(some), pa.float64()), pa.array(np.full(len(some), chunk)), pa.array(some.astype(np.int32)), *(pa.nulls(len(some), pa.binary()),) * 2, pa.array(data, pa.binary())], names=NAMES)
 
     scored = materialise(rows.mapInArrow(score, SCORED), "lm-scored")
+    shared.destroy()  # what was scored is stored: executors need not keep the tables for a later call
+    often.destroy()
     texts = scored.where("n_tokens is not null")
     if not small:
         told = routed_scores(

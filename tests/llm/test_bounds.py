@@ -116,3 +116,21 @@ def test_pipeline_stages_take_small_batches(spark):
     given.conf.set(READ_KEY, "77")
     assert told(fresh) == told(used) == (str(4 << 20), "512")
     assert told(given) == ("1048576", "77")
+
+
+def test_lm_scores_bounds_memory(spark, sf_dir, monkeypatch):
+    """Small batches and reads, and once texts are scored their tables leave the executors: a later call does not come on top of them."""
+    import os
+
+    from pyspark import SparkContext
+
+    from quaylark.llm.core import BATCH_KEY, READ_KEY
+    from quaylark.llm.lm_scoring import lm_scores
+
+    seen, plain = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: seen.append(plain(self, value)) or seen[-1])
+    session = spark.newSession()
+    scored = lm_scores(session.read.parquet(f"{sf_dir}/documents.parquet"), lambda i: i % 7 != 2)
+    assert (session.conf.get(BATCH_KEY), session.conf.get(READ_KEY)) == (str(4 << 20), "512")
+    assert len(seen) == 2 and not any(os.path.exists(b._path) for b in seen)
+    assert scored.where("score is not null").count() == session.read.parquet(f"{sf_dir}/documents.parquet").count()
