@@ -3,6 +3,7 @@
 A scorer maps (query_id, window_id, prefix) to ten digit logits.  Queries are
 dealt once, to a stated number of tasks, and stay there: a few bytes of ids
 become hundreds of rows a query, which Spark's own sizing of tasks can't know.
+Their number grows with the queries, so that a task's memory doesn't.
 Only width rows a query go on from step to step.
 """
 
@@ -18,8 +19,8 @@ from ..functions.hashing import _text
 from ..functions.signals import let
 
 DIGITS = 5
-#: Tasks among which queries are dealt, where the session has fewer shuffle partitions.
-LEAST_TASKS = 64
+#: Tasks among which queries are dealt at least, where the session has fewer shuffle partitions, and windows a task has on average at most.
+LEAST_TASKS, MOST_WINDOWS = 64, 4096
 
 
 class Scorer(Protocol):
@@ -97,8 +98,10 @@ def end_is_best(logits: Column, others: Column) -> Column:
     return (F.get(others, F.lit(0)) > F.array_max(logits)) & (F.get(others, F.lit(0)) >= F.array_max(others))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_TASKS), "query_id")
+def dealt(rows: DataFrame, key: str = "query_id") -> DataFrame:
+    """rows by key, in tasks of a bounded number on average.  They are counted first, and a search reads them at each step: where they are costly, store them."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_TASKS, -(-rows.count() // MOST_WINDOWS))
+    return rows.repartition(tasks, key)
 
 
 def _search(windows: DataFrame, scorer: Scorer, width: int, steps: int, ends: str | None, one: bool = False) -> DataFrame:
@@ -139,12 +142,12 @@ def joint_beam(windows: DataFrame, scorer: Scorer, width: int, steps: int = DIGI
     whether the end is the most likely next token by the mean of the windows' probabilities' logarithms.
     """
     windows = windows.select("query_id", "window_id")
-    return _search(_dealt(windows), scorer, width, steps, ends)
+    return _search(dealt(windows), scorer, width, steps, ends)
 
 
 def beam(queries: DataFrame, scorer: Scorer, width: int, steps: int = DIGITS, ends: str | None = None) -> DataFrame:
     """One window a query."""
-    return _search(_dealt(queries.select("query_id")), scorer, width, steps, ends, one=True)
+    return _search(dealt(queries.select("query_id")), scorer, width, steps, ends, one=True)
 
 
 def greedy(queries: DataFrame, scorer: Scorer, steps: int = DIGITS, eos: Column | None = None) -> DataFrame:

@@ -462,3 +462,15 @@ def test_evaluation_searches_once(spark, sf_dir, name):
 
     plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") <= 2 * decode.DIGITS  # one beam; each step's window and its filter may name it
+
+
+def test_tasks_of_a_search_grow_with_its_queries(spark, monkeypatch):
+    """No task has more windows on average than stated, whatever the session's shuffle partitions; the beams are the same."""
+    queries = spark.range(500).withColumnRenamed("id", "query_id")
+    windows = queries.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    search = lambda: (decode.beam(queries, decode.HashScorer(1), 3, 2), decode.joint_beam(windows, decode.HashScorer(1), 3, 2))
+    want = [sorted(map(str, x.collect())) for x in search()]
+    monkeypatch.setattr(decode, "MOST_WINDOWS", 5, raising=False)
+    some = search()
+    assert [x.rdd.getNumPartitions() for x in some] == [100, 200]
+    assert [sorted(map(str, x.collect())) for x in some] == want
