@@ -126,16 +126,21 @@ def is_deterministic(docs: DataFrame, quantize) -> bool:
     return tokenize_documents(docs, quantize).exceptAll(tokenize_documents(docs, quantize)).isEmpty()
 
 
-def evaluate_joint(corpus: DataFrame, scorer: decode.Scorer, width: int, window: int, hop: int, keys: list[str], steps: int = decode.DIGITS) -> tuple[DataFrame, DataFrame]:
+def evaluate_joint(corpus: DataFrame, scorer: decode.Scorer, width: int, window: int, hop: int, keys: list[str], steps: int = decode.DIGITS, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Result rows and grouped metrics of joint beams over windows of each query.
 
     corpus: (query_id, code, samples, latency, keys).  Queries without a valid window or waveform are failures, as are
-    those that come with a `reason`, where corpus has one.
+    those that come with a `reason`, where corpus has one.  The beams read their windows at every step: where samples
+    are computed, path names a new folder where each query's starts are stored, so that they are computed once.
     """
     starts = sg.window_starts(F.size("samples").cast("long"), F.lit(window), F.lit(hop))
     known = F.col("reason") if "reason" in corpus.columns else F.lit(None).cast("string")
     checked = corpus.withColumn("reason", F.coalesce(known, F.when(F.col("samples").isNull(), "no waveform"), sg.invalid_reason(F.col("samples"), F.size("samples")), F.when(F.size(starts) == 0, "short")))
-    windows = checked.where("reason is null").select("query_id", F.explode(starts).alias("window_id"))
+    checked = checked.select("query_id", *keys, "code", "reason", "latency", starts.alias("starts"))
+    if path is not None:
+        checked.write.parquet(path)
+        checked = corpus.sparkSession.read.schema(checked.schema).parquet(path)
+    windows = checked.where("reason is null").select("query_id", F.explode("starts").alias("window_id"))
     beams = decode.beams_as_arrays(decode.joint_beam(windows, scorer, width, steps))
     rows = checked.join(beams, "query_id", "left").withColumn("failed", F.col("reason").isNotNull()).withColumn("rank", metrics.rank_in(F.col("beam"), F.col("code")))
     rows = rows.select("query_id", *keys, "code", "beam", "rank", "failed", "reason", "latency")

@@ -18,7 +18,8 @@ WINDOW_SECONDS, HOP_SECONDS = 2.0, 0.5
 def suites(spark, ranges=RANGES) -> DataFrame:
     """Noise, then noise with room, each over the SNR ranges."""
     rows = [(k + len(ranges) * int(rir), rir, float(lo), float(hi)) for rir in (False, True) for k, (lo, hi) in enumerate(ranges)]
-    df = spark.createDataFrame(rows, "suite_pos int, rir boolean, snr_low double, snr_high double")
+    names = ("suite_pos", "rir", "snr_low", "snr_high")
+    df = spark.range(0, 1, 1, 1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, r, strict=True))) for r in rows))))
     return df.withColumn("suite_id", F.concat_ws("_", F.when(F.col("rir"), "noise_rir").otherwise("noise"), snr_range_id(F.col("snr_low"), F.col("snr_high"))))
 
 

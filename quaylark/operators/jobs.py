@@ -110,19 +110,20 @@ def degraded_waveforms(corpus: DataFrame, tracks: DataFrame, noise: DataFrame, r
 
 def evaluate_degraded(
     recipes: DataFrame, tracks: DataFrame, noise: DataFrame, rooms: DataFrame, suite_table: DataFrame, scorer: decode.Scorer, seed: int, rate: int, past: int, width: int, lengths=evaluation.LENGTHS,
-    window_seconds: float = evaluation.WINDOW_SECONDS, hop_seconds: float = evaluation.HOP_SECONDS, steps: int = decode.DIGITS, done: DataFrame | None = None,
+    window_seconds: float = evaluation.WINDOW_SECONDS, hop_seconds: float = evaluation.HOP_SECONDS, steps: int = decode.DIGITS, done: DataFrame | None = None, path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The whole evaluation: every recipe in every suite and length, its waveform, the joint beam over its windows; (result rows, metrics by suite and length).
 
     recipes: (track_id, code, start_sample) with assets (with_assets()).  done: results of an earlier run, which are not
     made again; the metrics are then of the rest.  A recipe without an asset or a waveform is a failed query.
+    path: a new folder where the windows are stored; without it every step of the beams makes the waveforms again.
     """
     corpus = evaluation.query_corpus(recipes, suite_table, seed, lengths)
     if done is not None:
         corpus = evaluation.pending(corpus, done)
-    heard = degraded_waveforms(corpus, tracks, noise, rooms, rate, past)
+    heard = degraded_waveforms(decode.dealt(corpus, "id"), tracks, noise, rooms, rate, past)
     asked = heard.select(F.col("id").alias("query_id"), "track_id", "code", "suite_id", "query_seconds", "samples", "reason", F.lit(None).cast("double").alias("latency"))
-    return composites.evaluate_joint(asked, scorer, width, round(window_seconds * rate), round(hop_seconds * rate), ["suite_id", "query_seconds"], steps)
+    return composites.evaluate_joint(asked, scorer, width, round(window_seconds * rate), round(hop_seconds * rate), ["suite_id", "query_seconds"], steps, path)
 
 
 def pair_keys(pairs: DataFrame, seed: int, clean_steps: int) -> DataFrame:

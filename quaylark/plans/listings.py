@@ -210,7 +210,7 @@ def degraded_evaluation(spark, sf):
         F.when(i % 31 != 0, F.concat(F.lit("r"), (i % 10).cast("string"))).alias("rir_path"), F.when(i % 31 == 0, "no valid room").alias("error"),
     )
     suites = evaluation.suites(spark, ((0, 5), (5, 10)))
-    _, out = jobs.evaluate_degraded(recipes, tracks, noise, rooms, suites, decoding.SCORER, v.SEED, 10, 8, 10, (2, 3), steps=2)
+    _, out = jobs.evaluate_degraded(recipes, tracks, noise, rooms, suites, decoding.SCORER, v.SEED, 10, 8, 10, (2, 3), steps=2, path=files.work_folder(spark, "windows"))
     return out.select("suite_id", "query_seconds", "selected", "failed", *(F.round(c, 9).alias(c) for c in ("top1", "top5", "mrr")))
 
 

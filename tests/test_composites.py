@@ -95,6 +95,26 @@ def test_evaluation(spark, pairs):
     assert {r["condition"]: (r["mean"], r["n"]) for r in means} == {"clean": (1.0, 1), "seen": (0.0, 1)}
 
 
+def test_waveforms_of_an_evaluation_are_made_once(spark, pairs, sf_dir, tmp_path):
+    """With a path the windows are stored: no step of the beams makes samples again, and the results are the same."""
+    from quaylark.plans import catalogue
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def heard(x):
+        made.add(1)
+        return x
+
+    asked = pairs.select(F.col("pair_id").alias("query_id"), F.lit("01").alias("code"), heard("samples").alias("samples"), F.lit(0.5).alias("latency"), F.lit("s").alias("suite_id"))
+    rows, m = composites.evaluate_joint(asked, decode.HashScorer(2), 4, 16, 12, ["suite_id"], 2, f"file://{tmp_path}/windows")
+    got = sorted(map(str, rows.collect()))
+    assert m.first()["selected"] == made.value == pairs.count()
+    assert got == sorted(map(str, composites.evaluate_joint(asked, decode.HashScorer(2), 4, 16, 12, ["suite_id"], 2)[0].collect()))
+    plan = catalogue.QUERIES["degraded_evaluation"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_collected_sources(spark):
     row = lambda d, c, r, **k: spark.createDataFrame([(d, "train", c, r, f"/raw/{r}", *k.values())], f"dataset string, split string, collection string, relative string, path string{''.join(f', {x} int' for x in k)}")
     got = corpus.collect_sources([row("bg_noise", "a", "x.wav", angle=3), row("room_ir", "b", "x.wav", rate=7)]).collect()
