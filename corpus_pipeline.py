@@ -21,14 +21,19 @@ MIX_SHARE = 0.5
 
 #: Five stages in a row leave executors little memory: bytes of an Arrow batch (in the JVM and in Python, for each task), and rows that are read at once.
 BATCH_BYTES, READ_ROWS = 4 << 20, 512
+#: Bytes of a row group (what a task holds until it writes it, and what one of the next stage reads at once), and of one buffer of those reads.
+GROUP = {"parquet.block.size": 4 << 20, "parquet.read.allocation.size": 256 << 10}
 
 
 def bounded(stage):
-    """The stage with small batches, unless the session says otherwise."""
+    """The stage with small batches and row groups, unless the session says otherwise."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         bound_batches(spark, BATCH_BYTES, READ_ROWS)
+        for key, size in GROUP.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, str(size))
         return stage(spark, docs, sf_dir)
 
     return run_stage

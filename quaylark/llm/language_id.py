@@ -131,7 +131,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if size > MOST_TRAIN_BYTES and taken:
             break
         taken[r["id"]] = (len(taken), r["lang"])
-    few = rows.sparkSession.createDataFrame([(i,) for i in taken], "id long")
+    few = rows.sparkSession.createDataFrame(pa.table({"id": pa.array(taken, pa.int64())}))  # rows that need no Python worker
     texts: dict[int, bytes] = {}
     for r in rows.select("id", "text").join(F.broadcast(few), "id").toLocalIterator():
         t = r["text"].encode()

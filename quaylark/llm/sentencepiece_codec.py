@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain, pairwise
 
@@ -211,10 +211,15 @@ def cut(marked: str) -> list[str]:
     return [*out, marks] if marks else out
 
 
-@lru_cache(maxsize=2)
-def segmenter(path: str) -> Segmenter:
-    """One model and memory of words for all tasks of a worker."""
-    return Segmenter.load(path)
+class Shared:
+    """One model and memory of words for all tasks of a worker; broadcast, so that Spark drops them once the worker has other tasks."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    @cached_property
+    def model(self) -> Segmenter:
+        return Segmenter.load(self.path)
 
 
 def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,8 +229,10 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     repeated rows pass through; an empty table gives an empty result.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(model_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = segmenter(model_path)
+        model = shared.value.model
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -243,8 +250,10 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
 def sentencepiece_decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of encoded rows; null ids decode to the empty text, ids outside the model are an error."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(Shared(model_path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = segmenter(model_path)
+        model = shared.value.model
         for b in batches:
             texts = [model.decode(np.array(x or [], dtype=np.int64)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])

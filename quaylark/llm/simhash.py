@@ -26,7 +26,9 @@ from .graph import UnionFind, components, segments
 
 SEED = 42
 #: Pairs of nodes that a walk holds at once; above it, the walk goes on in halves.
-FRONTIER = 1 << 21
+FRONTIER = 1 << 19
+#: Rows that a task gathers before it walks their whole buckets.
+FLUSH = 100_000
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -243,7 +245,7 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
             for lo in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (a, b, sure)], names=["a", "b", "sure"])
 
-        limit = 400_000
+        limit = FLUSH
         for b in batches:
             if b.num_rows:
                 keys.append(b.column(0).to_numpy())
@@ -252,7 +254,7 @@ def near_links(prints: DataFrame, streams: int, tries: list[tuple[int, int]], bu
                 rows += b.num_rows
                 if rows >= limit:
                     yield from flush(False)
-                    limit = max(400_000, 2 * rows)
+                    limit = max(FLUSH, 2 * rows)
         yield from flush(True)
 
     dealt = prints.select("node", "fp").mapInArrow(deal, "key long, node long, fp binary")

@@ -134,3 +134,69 @@ def test_lm_scores_bounds_memory(spark, sf_dir, monkeypatch):
     assert (session.conf.get(BATCH_KEY), session.conf.get(READ_KEY)) == (str(4 << 20), "512")
     assert len(seen) == 2 and not any(os.path.exists(b._path) for b in seen)
     assert scored.where("score is not null").count() == session.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_pipeline_stages_write_small_row_groups(spark, tmp_path):
+    """A stage's texts are written and read some 4 MiB at a time, not a whole task's, unless the session says otherwise."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    def groups(session, name):
+        docs = session.range(20_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 512), 8).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+        rows = docs.withColumn("text", F.concat(*(F.sha2(F.concat(F.col("text"), F.lit(str(k))), 512) for k in range(8))))
+        corpus_pipeline.language_stage(session, rows.limit(0), "")
+        rows.write.parquet(f"{tmp_path}/{name}")
+        (file,) = glob.glob(f"{tmp_path}/{name}/*.parquet")
+        found = pq.ParquetFile(file).metadata
+        assert found.num_rows == 20_000
+        return found.num_row_groups
+
+    given = spark.newSession()
+    given.conf.set("parquet.block.size", str(64 << 20))
+    assert groups(spark.newSession(), "fresh") > 2 and groups(given, "given") == 1
+
+
+def test_encoding_leaves_no_model_in_workers(spark):
+    """Once a worker has other tasks, the encoder's model and its memory of words are gone."""
+    from quaylark.llm.queries import SENTENCEPIECE_MODEL
+    from quaylark.llm.sentencepiece_codec import sentencepiece_encode
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        n = sum(type(x).__name__ == "Segmenter" for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    docs = spark.range(64, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    assert sentencepiece_encode(docs, public_path(SENTENCEPIECE_MODEL)).where("round_trip").count() == 64
+    spark.range(64, numPartitions=8).mapInArrow(held, "n long").count()  # each worker takes up something else
+    assert {r["n"] for r in spark.range(64, numPartitions=8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_language_sample_needs_no_python_worker(spark, monkeypatch):
+    """The sample's ids go to Spark as a table, not through Python workers that would stay beside those of the texts."""
+    from pyspark.sql import SparkSession
+
+    seen, plain = [], SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, *a, **b: seen.append(plain(self, *a, **b)) or seen[-1])
+    docs = plain(spark, [(i, f"some words of text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == ["en"]
+    assert len(seen) == 1 and "RDD" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_stores_are_unloaded(spark):
+    """The setting is one that Spark knows, and is given back."""
+    from quaylark.llm.exact_dedup import STATE, exact_groups
+
+    key = "spark.sql.streaming.stateStore.unloadOnCommit"
+    assert STATE[key] == "true" and spark.conf.get(key) == "false"
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in exact_groups(docs).collect()} == {(1, 2), (2, 2), (3, 3)}
+    assert spark.conf.get(key) == "false"
