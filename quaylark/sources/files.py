@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import errno
 import io
 import json
 import os
+import stat
 import uuid
 import wave
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -47,25 +52,152 @@ def _tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
-def whole_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modificationTime, length, content) of all files below root.
+#: Entries that a task of a listing goes through before it leaves the folders that remain to others; rows of its batches.
+ENTRIES = 10_000
+#: Bytes of content in a batch; a larger file is a batch of its own.
+CONTENT_BYTES = 8 << 20
+
+_FOUND = "path string, folder boolean, modified long, length long"
+
+
+def _passed_over(name: str, folder: bool) -> bool:
+    """Whether Spark's readers pass over a name."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _entries(fs, folder: str) -> Iterator[tuple[str, bool, int | None, int | None]]:
+    """(path, whether it is a folder, milliseconds, bytes) of what lies in a folder: a local one comes entry by entry, others as their store lists them."""
+    from pyarrow import fs as pafs
+
+    if not isinstance(fs, pafs.LocalFileSystem):
+        for x in fs.get_file_info(pafs.FileSelector(folder)):
+            yield x.path, x.type == pafs.FileType.Directory, None if x.mtime_ns is None else x.mtime_ns // 10**6, x.size
+        return
+    with os.scandir(folder) as entries:
+        for x in entries:
+            try:
+                at = x.stat()
+            except OSError as e:
+                if e.errno not in (errno.ENOENT, errno.ELOOP):  # deleted since, or a link to nothing
+                    raise
+                continue
+            yield x.path, stat.S_ISDIR(at.st_mode), at.st_mtime_ns // 10**6, at.st_size
+
+
+def _walk(fs, top: str) -> Iterator[tuple]:
+    """Rows of _FOUND: the files below a folder that are not empty, and those folders that are left to others once ENTRIES are seen."""
+    queue, seen = deque([top]), 0
+    while queue:
+        here = queue.popleft()
+        if seen >= ENTRIES:
+            yield here, True, None, None
+            continue
+        for path, folder, modified, length in _entries(fs, here):
+            seen += 1
+            if _passed_over(path.rsplit("/", 1)[-1], folder) or not (folder or length):
+                continue
+            if folder and seen < ENTRIES:
+                queue.append(path)
+            else:
+                yield path, folder, modified, length
+
+
+def _place(spark: SparkSession, root: str) -> tuple[str, str, str] | None:
+    """(URI, path in its store, what Spark writes before that path) of a folder in a store that Arrow opens; None for anything else."""
+    from pyarrow import fs as pafs
+
+    if set(root) & set("{}[]*?\\"):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    uri, name = path.toUri().toString(), path.toString()
+    try:
+        fs, top = pafs.FileSystem.from_uri(uri)
+        fine = name.endswith(top) and fs.get_file_info(top).type == pafs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        return None
+    return (uri, top, name.removesuffix(top)) if fine else None
+
+
+def _listing(spark: SparkSession, uri: str, top: str) -> DataFrame:
+    """Rows of _FOUND of all files below a folder, walked by tasks and stored below the work folder: the driver holds none of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        kinds = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("modified", pa.int64()), ("length", pa.int64())])
+        for batch in batches:
+            rows = chain.from_iterable(_walk(fs, folder) for folder in batch.column(0).to_pylist())
+            while part := list(islice(rows, ENTRIES)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
 
-    Spark counts 4 MB for opening a file and so gives a task some thirty small ones; here the number of tasks is bounded.
+    store, levels = work_folder(spark, "_listing"), []  # a listing of the work folder itself passes over that name
+    folders, left = spark.createDataFrame([(top,)], "path string"), 1
+    while left:
+        levels.append(f"{store}/level{len(levels)}")
+        folders.repartition(min(left, _tasks(spark))).mapInArrow(run, _FOUND).write.parquet(levels[-1])
+        folders = spark.read.schema(_FOUND).parquet(levels[-1]).where("folder").select("path")
+        left = folders.count()
+    return spark.read.schema(_FOUND).parquet(*levels).where("NOT folder")
+
+
+def _with_content(found: DataFrame, uri: str) -> DataFrame:
+    """Listed files with their content, read by a bounded number of tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, _ = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            first, size, held = 0, 0, []
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                with fs.open_input_stream(path, compression=None) as f:
+                    content = f.read()
+                if held and size + len(content) > CONTENT_BYTES:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array(held, pa.binary())], [*batch.schema.names, "content"])
+                    first, size, held = k, 0, []
+                held.append(content)
+                size += len(content)
+            if held:
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(held)).columns, pa.array(held, pa.binary())], [*batch.schema.names, "content"])
+
+    dealt = found.select("path", "modified", "length").repartition(_tasks(found.sparkSession), "path")
+    return dealt.mapInArrow(run, "path string, modified long, length long, content binary")
+
+
+def whole_files(spark: SparkSession, root: str, suffixes=None, content: bool = True) -> DataFrame:
+    """(path, modificationTime, length[, content]) of all files below root, or of those with one of the suffixes, any case.
+
+    As Spark's binaryFile reader has them (without empty and hidden ones), but that reader lists all files in the driver's memory; here tasks list the
+    folders, and as many tasks read as a session has use for.  The reader itself takes what is not a folder (a file, a
+    glob, a root that is missing) and stores that Arrow doesn't open.
     """
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).coalesce(_tasks(spark))
+    columns = ["path", "modificationTime", "length", *(["content"] if content else [])]
+    suffix = F.lower(F.regexp_extract(basename(F.col("path")), r"\.([^.]+)$", 1))
+    fine = suffix.isin(*suffixes) if suffixes else F.lit(True)
+    place = _place(spark, root)
+    if place is None:  # Spark counts 4 MB for opening a file and so gives a task some thirty small ones
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).coalesce(_tasks(spark)).where(fine).select(*columns)
+    uri, top, before = place
+    found = _listing(spark, uri, top).where(fine)
+    if content:
+        found = _with_content(found, uri)
+    return found.withColumns({"path": F.concat(F.lit(before), "path"), "modificationTime": F.timestamp_millis("modified")}).select(*columns)
 
 
 def audio_files(spark: SparkSession, root: str, suffixes=CATALOGUE_SUFFIXES, content: bool = False) -> DataFrame:
     """(path, length[, content]) of files below root with one of the suffixes, any case; a missing root is empty."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     try:
-        files = whole_files(spark, root)
+        files = whole_files(spark, root, suffixes, content)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
         files = spark.createDataFrame([], schema)
-    suffix = F.lower(F.regexp_extract(basename(F.col("path")), r"\.([^.]+)$", 1))
-    return files.where(suffix.isin(*suffixes)).select("path", "length", *(["content"] if content else []))
+    return files.select("path", "length", *(["content"] if content else []))
 
 
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:

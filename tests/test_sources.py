@@ -1,5 +1,6 @@
 """Data sources: recordings, flat token shards, the commit log, line numbers."""
 
+import gzip
 import json
 import os
 import struct
@@ -357,3 +358,39 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     found = files.whole_files(spark, folder)
     assert found.rdd.getNumPartitions() <= max(4, 4 * spark.sparkContext.defaultParallelism)
     assert {(r["path"].rsplit("/", 1)[1], bytes(r["content"])) for r in found.collect()} == {(f"f{k}.wav", str(k).encode()) for k in range(600)}
+
+
+def _as_reader(spark, root):
+    return sorted(map(tuple, spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length", "content").collect()))
+
+
+def test_listing_is_that_of_the_reader(spark, tmp_path, monkeypatch):
+    for name in ("a b/ü%20/x=1 #.wav", "a b/p.WAV", "a b/z.wav.gz", "_k=v/p.wav", "_gone/p.wav", ".gone/p.wav", "_metadata_x/p.wav", "c/d/e/f/g/.h.wav", "c/d/e/f/g/h.wav", "c/p._COPYING_", "q.txt", "_metadata", "_SUCCESS", "none"):
+        at = tmp_path / "root" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(gzip.compress(b"x") if name.endswith("gz") else name.encode())
+    (tmp_path / "root/empty.wav").write_bytes(b"")
+    (tmp_path / "root/void").mkdir()
+    (tmp_path / "root/nowhere.wav").symlink_to(tmp_path / "not there")
+    (tmp_path / "root/linked").symlink_to(tmp_path / "root/c", target_is_directory=True)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.listed.link./in", f"file://{tmp_path}/root")  # Arrow opens no such store
+    for root in (str(tmp_path / "root"), "viewfs://listed/in", f"file://{tmp_path}/root/", f"{tmp_path}/root/a b", f"{tmp_path}/root/*", f"{tmp_path}/root/q.txt"):
+        for entries in (10_000, 2):  # one task walks all, or leaves folders to others
+            monkeypatch.setattr(files, "ENTRIES", entries)
+            monkeypatch.setattr(files, "CONTENT_BYTES", entries * 10)
+            found = files.whole_files(spark, root)
+            assert found.columns == ["path", "modificationTime", "length", "content"] and sorted(map(tuple, found.collect())) == _as_reader(spark, root)
+    void = files.whole_files(spark, f"{tmp_path}/root/void")
+    assert void.columns == found.columns and void.count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.whole_files(spark, f"{tmp_path}/nowhere")
+    names = {r["path"].rsplit("/", 1)[1] for r in files.audio_files(spark, str(tmp_path / "root")).collect()}
+    assert names == {"x=1 #.wav", "p.WAV", "p.wav", "h.wav"}
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    rows = spark.range(600).select(F.format_string("d%d/f%d.wav", F.col("id") % 3, "id").alias("name"), F.col("id").cast("string").alias("content")).coalesce(1)
+    folder = f"file://{tmp_path}/many"
+    files.write_files(rows, folder)
+    for found in (files.whole_files(spark, folder), files.audio_files(spark, folder), files.corpus_files(spark, folder)):
+        assert not [x for x in found.inputFiles() if x.endswith(".wav")] and len(found.inputFiles()) < 100 and found.count() == 600
