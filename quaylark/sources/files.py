@@ -86,19 +86,19 @@ def _entries(fs, folder: str) -> Iterator[tuple[str, bool, int | None, int | Non
             yield x.path, stat.S_ISDIR(at.st_mode), at.st_mtime_ns // 10**6, at.st_size
 
 
-def _walk(fs, top: str) -> Iterator[tuple]:
-    """Rows of _FOUND: the files below a folder that are not empty, and those folders that are left to others once ENTRIES are seen."""
+def _walk(fs, top: str, most: int) -> Iterator[tuple]:
+    """Rows of _FOUND: the files below a folder that are not empty, and those folders that are left to others once so many entries are seen."""
     queue, seen = deque([top]), 0
     while queue:
         here = queue.popleft()
-        if seen >= ENTRIES:
+        if seen >= most:
             yield here, True, None, None
             continue
         for path, folder, modified, length in _entries(fs, here):
             seen += 1
             if _passed_over(path.rsplit("/", 1)[-1], folder) or not (folder or length):
                 continue
-            if folder and seen < ENTRIES:
+            if folder and seen < most:
                 queue.append(path)
             else:
                 yield path, folder, modified, length
@@ -130,7 +130,7 @@ def _listing(spark: SparkSession, uri: str, top: str) -> DataFrame:
         fs, _ = pafs.FileSystem.from_uri(uri)
         kinds = pa.schema([("path", pa.string()), ("folder", pa.bool_()), ("modified", pa.int64()), ("length", pa.int64())])
         for batch in batches:
-            rows = chain.from_iterable(_walk(fs, folder) for folder in batch.column(0).to_pylist())
+            rows = chain.from_iterable(_walk(fs, folder, ENTRIES) for folder in batch.column(0).to_pylist())
             while part := list(islice(rows, ENTRIES)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
 
